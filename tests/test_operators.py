@@ -1,0 +1,101 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace import operators as op
+from millrace.operators import dedup
+
+EVENTS = "event_id string, event_timestamp timestamp_ntz, delivery int, v int"
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    """One id has a third of the rows, the others are unique."""
+    n = 30_000
+    return spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("event_id"),
+        (F.lit("2026-01-01").cast("timestamp_ntz")
+         + F.make_dt_interval(secs=(n - F.col("id")).cast("decimal(18,6)"))).alias("event_timestamp"),
+        (F.col("id") % 7).cast("int").alias("delivery"),
+        F.col("id").cast("int").alias("v"),
+    ).repartition(8)
+
+
+def test_keep_first_takes_the_earliest(spark):
+    rows = spark.sql(
+        """select * from values
+        ('a', timestamp_ntz'2026-01-02 00:00:00', 0, 1),
+        ('a', timestamp_ntz'2026-01-01 00:00:00', 1, 2),
+        ('a', timestamp_ntz'2026-01-01 00:00:00', 0, 3),
+        ('b', timestamp_ntz'2026-01-05 00:00:00', 0, 4)
+        as t(event_id, event_timestamp, delivery, v)"""
+    )
+    got = {r.event_id: r.v for r in op.keep_first(rows, ["delivery"]).collect()}
+    assert got == {"a": 3, "b": 4}
+    again = [sorted(r.v for r in op.keep_first(rows.repartition(n)).collect()) for n in (1, 3, 5)]
+    assert again[0] == again[1] == again[2]
+
+
+def test_keep_first_thins_hot_ids_before_the_shuffle(skewed):
+    first = op.keep_first(skewed, ["delivery"])
+    assert first.count() == 20_001
+    assert first.where("event_id = 'hot'").first().v == 29_997
+    before_shuffle = physical(first).split("Exchange hashpartitioning(event_id")[1]
+    assert "WindowGroupLimit" in before_shuffle
+
+
+@pytest.mark.parametrize("rows", [None, 20_001])
+def test_absent_from(spark, skewed, rows):
+    events = op.keep_first(skewed, ["delivery"])
+    stored = events.where("v % 2 = 0")
+    absent = op.absent_from(events, stored, rows=rows)
+    assert absent.count() == events.where("v % 2 = 1").count()
+    assert absent.where("v % 2 = 0").count() == 0
+
+
+def test_absent_from_shuffles_only_beyond_the_bound(spark, tmp_path):
+    spark.range(1000).selectExpr("cast(id as string) event_id", "id v").write.parquet(f"{tmp_path}/s")
+    stored = spark.read.parquet(f"{tmp_path}/s")
+    batch = stored.where("v < 10")
+    small = physical(op.absent_from(batch, stored, rows=10))
+    assert "LeftSemi, BuildRight" in small and "hashpartitioning" not in small
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        big = physical(op.absent_from(batch, stored, rows=dedup.BROADCAST_IDS + 1))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Broadcast" not in big and "SortMergeJoin" in big
+
+
+def test_number_rows(spark):
+    values = list(range(5000))
+    random.Random(1).shuffle(values)
+    df = spark.createDataFrame([(v // 10, v) for v in values], "a int, b int").repartition(7)
+    got = op.number_rows(df, ["a", "b"], start=100).orderBy("id").collect()
+    assert [r.id for r in got] == list(range(101, 5101))
+    assert [r.b for r in got] == list(range(5000))
+
+
+def test_running(spark):
+    rows = [(i, (i * 37) % 101 - 50) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k int, x int").repartition(5)
+    values = {"total": ("sum", "x"), "low": ("min", "x"), "high": ("max", "x")}
+    got = op.running(df, ["k"], values).orderBy("k").collect()
+    total, low, high = 0, None, None
+    for (k, x), row in zip(rows, got, strict=True):
+        total += x
+        low, high = (x, x) if low is None else (min(low, x), max(high, x))
+        assert (row.k, row.total, row.low, row.high) == (k, total, low, high)
+
+
+def test_ordered_values_are_not_gathered_in_one_task(spark):
+    """Only one row per partition may meet in a single task."""
+    df = spark.range(1000).selectExpr("id k", "id x")
+    plan = physical(op.running(df, ["k"], {"s": ("sum", "x")}))
+    single = plan.split("Exchange SinglePartition")
+    assert len(single) == 2 and "HashAggregate" in single[1][:200]

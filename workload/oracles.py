@@ -180,14 +180,14 @@ _LINE = (
     f"concat_ws(',', {_HEAD}, product_name, category, {_PRICE_TEXT},"
     " coalesce(event_type, ''), \"timestamp\")"
 )
+_NUMBER = "cast(event_id as bigint)"
+_BROKEN = f"({_NUMBER} % 41 = 0 or {_NUMBER} % 43 = 0 or {_NUMBER} % 47 = 0)"
 _LINES = f"""lines as (
-  select event_id, cast(event_id as bigint) as number,
-    case when cast(event_id as bigint) % 43 = 0 then concat_ws(',', {_HEAD})
-         when cast(event_id as bigint) % 47 = 0 then concat({_LINE}, ',surplus')
+  select event_id,
+    case when {_NUMBER} % 43 = 0 then concat_ws(',', {_HEAD})
+         when {_NUMBER} % 47 = 0 then concat({_LINE}, ',surplus')
          else {_LINE} end as line
-  from raw
-), broken as (
-  select event_id, line from lines where number % 41 = 0 or number % 43 = 0 or number % 47 = 0
+  from raw where {_BROKEN}
 )"""
 
 _CLOSED = "(select max(event_timestamp) - interval 2 hour from ue)"
@@ -224,7 +224,13 @@ where (event_id is not null and user_id is not null and product_id is not null
     or length(event_type) > 20) as too_long
 from ue"""
     ),
-    "malformed_rows": _with(_RAW, _LINES)("select event_id, line from broken"),
+    "malformed_rows": _with(_RAW, _LINES)("select event_id, line from lines"),
+    "malformed_reasons": _from_v(
+        f"""select reasons, count(*) as rejected_rows
+from (select case when {_BROKEN} then 'corrupt_record' else {_REASONS} end as reasons
+      from v where delivery = 0 and (not is_valid or {_BROKEN})) t
+group by reasons"""
+    ),
     "export_roundtrip": _from_ue(
         """select event_id, user_id, product_id, product_name, category,
   cast(price as double) as price, event_type,
