@@ -1,71 +1,56 @@
-"""The row rules. Each rule is a reason code and a condition that is true for a
-violation and never null, so that a row is either valid or has a reason."""
+"""The row rules. Each rule is a reason code and a SQL condition that is true for
+a violation and never null, so that a row is either valid or has a reason."""
 
-from pyspark.sql import functions as F
-
-from millrace.functions.cleaning import as_money
-from millrace.model import CORRUPT, EVENT_TYPES, TEXT_LIMITS
+from millrace.model import CORRUPT, EVENT_TYPES, MONEY, TEXT_LIMITS
 
 REQUIRED_TEXT = ("event_id", "user_id", "product_id", "product_name", "category", "event_type")
 BASIC_TEXT = ("event_id", "user_id", "product_id", "event_type")
 
-
-def _is(condition):
-    return F.coalesce(condition, F.lit(False))
-
-
-def unknown_type(column="event_type"):
-    return _is(~F.col(column).isin(*EVENT_TYPES))
-
-
-def not_finite(column="price"):
-    price = F.col(column)
-    return _is(F.isnan(price) | (F.abs(price) == float("inf")))
-
-
-def basic_rules():
-    """The six rules of the ingestion job: ids, event type, price and time."""
-    rules = [(f"{c}_null", F.col(c).isNull()) for c in BASIC_TEXT]
-    rules += [
-        ("event_type_unknown", unknown_type()),
-        ("price_null", F.col("price").isNull()),
-        ("price_not_positive", _is(F.col("price") <= 0)),
-    ]
-    return rules + _time_rules()
-
-
-def table_rules():
-    """The basic rules plus everything the stored table demands."""
-    price = F.col("price")
-    rules = [(f"{c}_null", F.col(c).isNull()) for c in REQUIRED_TEXT]
-    rules += [("event_type_unknown", unknown_type())]
-    rules += [
-        (f"{c}_length", _is(F.length(c) > limit))
+_TYPES = ", ".join(f"'{t}'" for t in EVENT_TYPES)
+UNKNOWN_TYPE = f"coalesce(event_type NOT IN ({_TYPES}), false)"
+NOT_FINITE = "coalesce(isnan(price) OR abs(price) = double('Infinity'), false)"
+
+_PRICE = {
+    "price_null": "price IS NULL",
+    "price_not_positive": "coalesce(price <= 0, false)",
+}
+_TIME = {
+    "timestamp_null": "`timestamp` IS NULL",
+    "timestamp_unparsable": "`timestamp` IS NOT NULL AND event_timestamp IS NULL",
+}
+
+# The rules of the ingestion job: ids, event type, price and time.
+BASIC_RULES = {
+    **{f"{c}_null": f"{c} IS NULL" for c in BASIC_TEXT},
+    "event_type_unknown": UNKNOWN_TYPE,
+    **_PRICE,
+    **_TIME,
+}
+
+# The basic rules plus everything the stored table demands.
+TABLE_RULES = {
+    **{f"{c}_null": f"{c} IS NULL" for c in REQUIRED_TEXT},
+    "event_type_unknown": UNKNOWN_TYPE,
+    **{
+        f"{c}_length": f"coalesce(length({c}) > {limit}, false)"
         for c, limit in TEXT_LIMITS.items()
         if c != "event_type"  # a known type is always short enough
-    ]
-    rules += [
-        ("price_null", price.isNull()),
-        ("price_not_positive", _is(price <= 0)),
-        ("price_not_finite", not_finite()),
-        ("price_range", price.isNotNull() & ~not_finite() & as_money(price).isNull()),
-    ]
-    return rules + _time_rules()
-
-
-def _time_rules():
-    text, parsed = F.col("timestamp"), F.col("event_timestamp")
-    return [
-        ("timestamp_null", text.isNull()),
-        ("timestamp_unparsable", text.isNotNull() & parsed.isNull()),
-    ]
+    },
+    **_PRICE,
+    "price_not_finite": NOT_FINITE,
+    "price_range": f"price IS NOT NULL AND NOT {NOT_FINITE}"
+    f" AND try_cast(price AS {MONEY.simpleString()}) IS NULL",
+    **_TIME,
+}
 
 
 def rules_for(columns, strict=True):
-    """Reason codes and conditions for a cleaned frame with these columns."""
-    rules = table_rules() if strict else basic_rules()
-    if CORRUPT in columns:
-        # A line that did not parse has no further reasons: its fields mean nothing.
-        parsed = F.col(CORRUPT).isNull()
-        rules = [("corrupt_record", ~parsed)] + [(code, parsed & bad) for code, bad in rules]
-    return rules
+    """Reason code -> condition for a cleaned frame with these columns."""
+    rules = TABLE_RULES if strict else BASIC_RULES
+    if CORRUPT not in columns:
+        return rules
+    # A line that did not parse has no further reasons: its fields mean nothing.
+    return {
+        "corrupt_record": f"{CORRUPT} IS NOT NULL",
+        **{code: f"{CORRUPT} IS NULL AND {bad}" for code, bad in rules.items()},
+    }

@@ -25,7 +25,7 @@ def keep_first(df, tie_break=(), key="event_id", order="event_timestamp"):
 def absent_from(df, stored, key="event_id", rows=None):
     """The rows of df whose key is not stored yet. df must have unique keys.
 
-    rows is the exact size of df if known. A small df is broadcast past the one
+    rows is the size of df, or a bound of it, if known. A small df is broadcast past the one
     column of the stored table, which is then read but neither shuffled nor
     sorted; otherwise both sides are shuffled on the key.
     """

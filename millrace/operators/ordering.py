@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from millrace.session import new_folder
 
+# So many rows may be numbered in one task, if their number is known.
+ONE_TASK_ROWS = 100_000
+
 _BITS = 33  # monotonically_increasing_id keeps the row within its partition here
 
 
@@ -35,22 +38,26 @@ def _ordered(df, order_by, pin):
     )
 
 
-def number_rows(df, order_by, name="id", start=0, pin=write_and_read):
+def number_rows(df, order_by, name="id", start=0, rows=None, pin=write_and_read):
     """Add start + 1, start + 2, … in the order given, which must be total.
 
-    pin keeps the ordered frame for the second pass; the default writes it.
+    rows is the size of df, or a bound of it, if known; a small frame is numbered
+    in one task. pin keeps a large one for the second pass; the default writes it.
     """
-    rows = _ordered(df, order_by, pin)
+    if rows is not None and rows <= ONE_TASK_ROWS:
+        place = F.row_number().over(Window.orderBy(*order_by))
+        return df.withColumn(name, (F.lit(start) + place).cast("bigint")).select(name, *df.columns)
+    ordered = _ordered(df, order_by, pin)
     # One row per partition of the shuffle: a window over them and a broadcast are bounded.
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        rows.groupBy("_part")
+        ordered.groupBy("_part")
         .agg(F.count("*").alias("_rows"))
         .select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     )
     number = F.lit(start) + F.col("_before") + F.col("_place") + 1
     return (
-        rows.join(F.broadcast(offsets), "_part")
+        ordered.join(F.broadcast(offsets), "_part")
         .withColumn(name, number.cast("bigint"))
         .select(name, *df.columns)
     )
@@ -69,14 +76,14 @@ def running(df, order_by, values, pin=write_and_read):
 
     values maps a new column to (sum | min | max, input column).
     """
-    rows = _ordered(df, order_by, pin)
+    ordered = _ordered(df, order_by, pin)
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     within = (
         Window.partitionBy("_part")
         .orderBy("_place")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    per_part = rows.groupBy("_part").agg(
+    per_part = ordered.groupBy("_part").agg(
         *[_RUNNING[how](column).alias(f"_all_{name}") for name, (how, column) in values.items()]
     )
     before = per_part.select(
@@ -91,7 +98,7 @@ def running(df, order_by, values, pin=write_and_read):
         for name, (how, column) in values.items()
     }
     return (
-        rows.join(F.broadcast(before), "_part")
+        ordered.join(F.broadcast(before), "_part")
         .withColumns(here)
         .select(*df.columns, *values)
     )

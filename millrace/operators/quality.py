@@ -1,12 +1,9 @@
 """Cleaning, the verdict on each row, and reports about broken rules."""
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import functions as F
 
 from millrace.functions.cleaning import as_money, lowered, parse_event_time, tidy
-from millrace.functions.rules import not_finite, rules_for, unknown_type
+from millrace.functions.rules import NOT_FINITE, UNKNOWN_TYPE, rules_for
 from millrace.model import EVENT_COLUMNS, TEXT_COLUMNS, TEXT_LIMITS
 
 # Fixed value: the textual form of a UUID.
@@ -24,11 +21,14 @@ def clean(df, strict=True):
     return df.withColumns({**texts, "event_timestamp": parse_event_time("timestamp")})
 
 
+def _any(conditions):
+    return " OR ".join(f"({c})" for c in conditions)
+
+
 def judge(df, strict=True):
     """Add is_valid, never null. strict applies all rules of the stored table,
     otherwise only those of ids, event type, price sign and event time."""
-    violations = [bad for _, bad in rules_for(df.columns, strict)]
-    return df.withColumn("is_valid", ~reduce(or_, violations))
+    return df.withColumn("is_valid", ~F.expr(_any(rules_for(df.columns, strict).values())))
 
 
 def valid(judged):
@@ -37,10 +37,11 @@ def valid(judged):
 
 def rejected(judged, strict=True):
     """The invalid rows with their reason codes, joined by semicolons."""
-    codes = [F.when(bad, F.lit(code)) for code, bad in rules_for(judged.columns, strict)]
+    rules = rules_for(judged.columns, strict)
+    codes = ", ".join(f"CASE WHEN {bad} THEN '{code}' END" for code, bad in rules.items())
     return (
-        judged.where(~F.col("is_valid"))
-        .withColumn("reasons", F.concat_ws(";", *codes))
+        judged.where("NOT is_valid")
+        .withColumn("reasons", F.expr(f"concat_ws(';', {codes})"))
         .drop("is_valid")
     )
 
@@ -59,21 +60,21 @@ def to_event_columns(df):
 def rule_violations(cleaned, strict=True):
     """One row per rule with the number of rows that break it; a single scan."""
     rules = rules_for(cleaned.columns, strict)
-    counts = cleaned.agg(*[F.count_if(bad).alias(code) for code, bad in rules])
-    codes = [code for code, _ in rules]
-    return counts.unpivot([], codes, "rule", "violations")
+    counts = cleaned.agg(*[F.count_if(F.expr(bad)).alias(code) for code, bad in rules.items()])
+    return counts.unpivot([], list(rules), "rule", "violations")
 
 
 def conformance_report(events, id_pattern=UUID):
     """Counts over stored rows that do not look like the table's contract."""
-    too_long = [F.length(c) > limit for c, limit in TEXT_LIMITS.items()]
-    missing = [F.col(c).isNull() for c in EVENT_COLUMNS]
+    too_long = _any(f"length({c}) > {limit}" for c, limit in TEXT_LIMITS.items())
+    missing = _any(f"{c} IS NULL" for c in EVENT_COLUMNS)
+    bad_price = f"NOT price > 0 OR {NOT_FINITE}"
     return events.agg(
         F.count("*").alias("checked_rows"),
         F.count_if(~F.col("event_id").rlike(id_pattern)).alias("bad_event_id"),
-        F.count_if(unknown_type()).alias("bad_event_type"),
-        F.count_if(~(F.col("price") > 0) | not_finite()).alias("bad_price"),
+        F.count_if(F.expr(UNKNOWN_TYPE)).alias("bad_event_type"),
+        F.count_if(F.expr(bad_price)).alias("bad_price"),
         F.count_if(F.col("event_timestamp").isNull()).alias("bad_timestamp"),
-        F.count_if(reduce(or_, missing)).alias("missing_value"),
-        F.count_if(reduce(or_, too_long)).alias("too_long"),
+        F.count_if(F.expr(missing)).alias("missing_value"),
+        F.count_if(F.expr(too_long)).alias("too_long"),
     )

@@ -14,6 +14,7 @@ SETTINGS = {
     # Streaming state may outgrow the heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 
@@ -36,16 +37,21 @@ def shared_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
-    raise RuntimeError("spark.checkpoint.dir must name a folder shared by the executors")
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder shared by the executors")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
+    return context.getCheckpointDir()
 
 
 def new_folder(spark, label):
-    """A path under the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/millrace/{label}-{uuid.uuid4().hex}"
+    """A path under the shared folder that nothing else uses, gone with the session."""
+    parent = f"{shared_folder(spark)}/millrace/{label}-{uuid.uuid4().hex}"
+    fs, target = filesystem(spark, parent)
+    fs.mkdirs(target)
+    fs.deleteOnExit(target)
+    return f"{parent}/data"
 
 
 def filesystem(spark, path):

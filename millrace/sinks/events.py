@@ -3,6 +3,7 @@
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from millrace.functions.cleaning import event_date
@@ -32,11 +33,10 @@ class EventTable:
     def insert_absent(self, events, batch_id, rows=None, last_id=0, created_at=None):
         """Store the events whose id no other batch has stored.
 
-        events must have unique ids; rows is their number if known. Returns the
+        events must have unique ids; rows is their number, or a bound of it, if known. Returns the
         number of rows written. Ids continue after last_id in event order.
         """
-        spark = events.sparkSession
-        stored = self.read(spark).where(F.col("batch_id") != batch_id)
+        stored = self.read(events.sparkSession).where(F.col("batch_id") != batch_id)
         if self.within_dates:
             low, high = events.agg(F.min(event_date()), F.max(event_date())).first()
             stored = stored.where(F.col("event_date").between(low, high))
@@ -45,25 +45,28 @@ class EventTable:
 
         def pin(df):
             # Recomputed from the same shuffle if an executor is lost.
-            pinned.append(df.persist(StorageLevel.DISK_ONLY))
+            pinned.append(df.persist(StorageLevel.MEMORY_AND_DISK))
             return pinned[0]
 
         try:
             # The order of the ids also puts neighbouring dates into the same tasks,
             # and a busy date into many.
-            numbered = number_rows(fresh, ["event_timestamp", "event_id"], start=last_id, pin=pin)
-            written = pinned[0].count()
+            numbered = number_rows(
+                fresh, ["event_timestamp", "event_id"], start=last_id, rows=rows, pin=pin
+            )
             stamp = F.lit(created_at) if created_at is not None else F.current_timestamp()
+            written = Observation()
             (
                 numbered.withColumns(
                     {"created_at": stamp.cast("timestamp_ntz"), "event_date": event_date()}
                 )
                 .sortWithinPartitions("event_date", "event_type", "event_timestamp")
+                .observe(written, F.count("*").alias("rows"))
                 .write.mode("overwrite")
                 .partitionBy("event_date")
                 .parquet(f"{self.path}/batch_id={batch_id}")
             )
-            return written
+            return written.get["rows"]
         finally:
             for df in pinned:
                 df.unpersist()

@@ -1,37 +1,55 @@
 """One row of counts and times per micro-batch."""
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import functions as F
 
 from millrace.session import ensure_folder
 
-COUNTS = "received bigint, corrupt bigint, valid bigint, invalid bigint, kept bigint, written bigint"
-TIMES = (
-    "validate_seconds double, dedup_seconds double, write_seconds double, total_seconds double,"
-    " rows_per_second double, valid_rate double"
-)
-ROW = f"{COUNTS}, last_id bigint, {TIMES}, finished_at timestamp"
+ROW = {
+    **dict.fromkeys(
+        ("received", "corrupt", "valid", "invalid", "kept", "written", "last_id"), "bigint"
+    ),
+    **dict.fromkeys(
+        (
+            "validate_seconds",
+            "dedup_seconds",
+            "write_seconds",
+            "total_seconds",
+            "rows_per_second",
+            "valid_rate",
+        ),
+        "double",
+    ),
+    "finished_at": "timestamp",
+}
+SCHEMA = ", ".join(f"{name} {kind}" for name, kind in {**ROW, "batch_id": "bigint"}.items())
 
 
 @dataclass(frozen=True)
 class Ledger:
     path: str
+    _last_ids: dict = field(default_factory=dict, repr=False, compare=False)
 
     def read(self, spark):
-        return spark.read.schema(f"{ROW}, batch_id bigint").parquet(self.path)
+        ensure_folder(spark, self.path)
+        return spark.read.schema(SCHEMA).parquet(self.path)
 
     def record(self, spark, batch_id, row):
-        """Replace the row of a batch. The row is built from counts, not from data."""
-        (
-            spark.createDataFrame([row], ROW)
-            .coalesce(1)
-            .write.mode("overwrite")
-            .parquet(f"{self.path}/batch_id={batch_id}")
+        """Replace the row of a batch. The row is made of counts, not of data."""
+        values = ", ".join(
+            f"CAST({row.get(name, 'NULL')} AS {kind}) AS {name}" for name, kind in ROW.items()
         )
+        spark.sql(f"SELECT {values}").write.mode("overwrite").parquet(
+            f"{self.path}/batch_id={batch_id}"
+        )
+        self._last_ids.clear()
+        self._last_ids[batch_id] = row["last_id"]
 
     def last_id(self, spark, batch_id):
-        """The highest id given before a batch, 0 if there is none."""
-        ensure_folder(spark, self.path)
+        """The highest id given before a batch, 0 if there is none. The ledger is
+        read only if this process has not recorded the batch before."""
+        if batch_id - 1 in self._last_ids:
+            return self._last_ids[batch_id - 1]
         before = self.read(spark).where(F.col("batch_id") < batch_id)
         return before.agg(F.max("last_id")).first()[0] or 0

@@ -1,11 +1,18 @@
 """Rejected rows, one directory per micro-batch."""
 
+from millrace.model import CORRUPT
+
 
 def write_rejected(df, path, batch_id, fmt="csv"):
     """Replace the batch's rejected rows, so that a replay does not repeat them.
-    A failure is raised: the batch must not commit without its rejects."""
+    A failure is raised: the batch must not commit without its rejects.
+
+    A line that did not parse is in raw_line; readers of CSV would take a column
+    with the reserved name for their own.
+    """
     (
-        df.write.mode("overwrite")
+        df.withColumnRenamed(CORRUPT, "raw_line")
+        .write.mode("overwrite")
         .format(fmt)
         .options(**({"header": "true", "escape": '"'} if fmt == "csv" else {}))
         .save(f"{path}/batch_id={batch_id}")

@@ -3,7 +3,6 @@
 import logging
 import time
 from dataclasses import dataclass
-from datetime import datetime, timezone
 
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
@@ -76,7 +75,7 @@ class Pipeline:
                 total_seconds=total,
                 rows_per_second=row["written"] / total,
                 valid_rate=row["valid"] / row["received"],
-                finished_at=datetime.now(timezone.utc),
+                finished_at="current_timestamp()",
             )
             self.ledger.record(spark, batch_id, row)
             log.info("batch %d: %s", batch_id, row)
@@ -90,7 +89,7 @@ class Pipeline:
         began = time.monotonic()
         survivors = _survivors(judged).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            kept = survivors.count()
+            kept = survivors.count()  # computes and keeps them
             deduped = time.monotonic()
             written = with_retry(
                 lambda: self.target.insert_absent(

@@ -248,7 +248,7 @@ group by reasons"""
     ),
     "table_insert": _from_ue(
         f"""select row_number() over (order by batch_id, event_timestamp, event_id) as id,
-  {_COLUMNS}, batch_id, cast(event_timestamp as date) as event_date
+  {_COLUMNS}, batch_id
 from (select *, cast(case when cast(event_id as bigint) % 3 = 0 then 0 else 1 end as bigint)
         as batch_id from ue) t"""
     ),

@@ -17,7 +17,6 @@ from millrace.streaming import Pipeline, event_clock, hourly_stream, minute_stre
 from workload import fixtures as fx
 
 QUERIES = {}
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def query(function):
@@ -138,7 +137,7 @@ def table_insert(spark, sf_dir):
     events = fx.user_events(spark, sf_dir)
     first = table.insert_absent(_already_stored(events), batch_id=0)
     table.insert_absent(events, batch_id=1, last_id=first)
-    return table.read(spark).select("id", *EVENT_COLUMNS, "batch_id", "event_date")
+    return table.read(spark).select("id", *EVENT_COLUMNS, "batch_id")
 
 
 @query
@@ -257,7 +256,9 @@ def _stream_session(spark):
     """A session whose settings the stateful streams may pin in their checkpoints."""
     session = spark.newSession()
     session.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
-    session.conf.set(STATE_STORE, SETTINGS[STATE_STORE])
+    for key, value in SETTINGS.items():
+        if key.startswith("spark.sql.streaming.stateStore."):
+            session.conf.set(key, value)
     return session
 
 
