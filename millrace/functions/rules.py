@@ -1,5 +1,9 @@
-"""The row rules. Each rule is a reason code and a SQL condition that is true for
-a violation and never null, so that a row is either valid or has a reason."""
+"""The row rules, twice, as SQL conditions that are never null.
+
+The contract is what a valid row satisfies, each value checked with as few
+operations as possible since every landed row pays for them. The rules name what
+is wrong with the other rows. A row either meets the contract or breaks a rule.
+"""
 
 from millrace.model import CORRUPT, EVENT_TYPES, MONEY, TEXT_LIMITS
 
@@ -44,6 +48,36 @@ TABLE_RULES = {
 }
 
 
+_KNOWN_TYPE = f"coalesce(event_type IN ({_TYPES}), false)"
+_POSITIVE = "coalesce(price > 0, false)"
+
+BASIC_CONTRACT = (
+    "event_id IS NOT NULL",
+    "user_id IS NOT NULL",
+    "product_id IS NOT NULL",
+    _KNOWN_TYPE,
+    _POSITIVE,
+    "event_timestamp IS NOT NULL",
+)
+TABLE_CONTRACT = (
+    *(
+        f"coalesce(length({c}) <= {limit}, false)"
+        for c, limit in TEXT_LIMITS.items()
+        if c != "event_type"
+    ),
+    _KNOWN_TYPE,
+    _POSITIVE,
+    f"try_cast(price AS {MONEY.simpleString()}) IS NOT NULL",  # nor NaN nor infinite
+    "event_timestamp IS NOT NULL",
+)
+
+
+def contract_for(columns, strict=True):
+    """The conditions of a valid row in a cleaned frame with these columns."""
+    contract = TABLE_CONTRACT if strict else BASIC_CONTRACT
+    return (f"{CORRUPT} IS NULL", *contract) if CORRUPT in columns else contract
+
+
 def rules_for(columns, strict=True):
     """Reason code -> condition for a cleaned frame with these columns."""
     rules = TABLE_RULES if strict else BASIC_RULES

@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from millrace.functions.cleaning import as_money, lowered, parse_event_time, tidy
-from millrace.functions.rules import NOT_FINITE, UNKNOWN_TYPE, rules_for
-from millrace.model import EVENT_COLUMNS, TEXT_COLUMNS, TEXT_LIMITS
+from millrace.functions.cleaning import lowered, parse_event_time, tidy
+from millrace.functions.rules import NOT_FINITE, UNKNOWN_TYPE, contract_for, rules_for
+from millrace.model import EVENT_COLUMNS, MONEY, TEXT_COLUMNS, TEXT_LIMITS
 
 # Fixed value: the textual form of a UUID.
 UUID = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
@@ -28,7 +28,8 @@ def _any(conditions):
 def judge(df, strict=True):
     """Add is_valid, never null. strict applies all rules of the stored table,
     otherwise only those of ids, event type, price sign and event time."""
-    return df.withColumn("is_valid", ~F.expr(_any(rules_for(df.columns, strict).values())))
+    contract = " AND ".join(contract_for(df.columns, strict))
+    return df.withColumn("is_valid", F.expr(contract))
 
 
 def valid(judged):
@@ -53,8 +54,9 @@ def split(df, strict=True):
 
 
 def to_event_columns(df):
-    """The table's columns in order, the price as money."""
-    return df.withColumn("price", as_money("price")).select(*EVENT_COLUMNS)
+    """The table's columns in order, the price as money. A price that does not fit,
+    which only the basic rules let through, is an error rather than a null."""
+    return df.withColumn("price", F.col("price").cast(MONEY)).select(*EVENT_COLUMNS)
 
 
 def rule_violations(cleaned, strict=True):

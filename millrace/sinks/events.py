@@ -63,6 +63,7 @@ class EventTable:
                 .sortWithinPartitions("event_date", "event_type", "event_timestamp")
                 .observe(written, F.count("*").alias("rows"))
                 .write.mode("overwrite")
+                .option("partitionOverwriteMode", "static")  # dates of an earlier try go too
                 .partitionBy("event_date")
                 .parquet(f"{self.path}/batch_id={batch_id}")
             )

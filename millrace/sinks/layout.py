@@ -15,6 +15,7 @@ def write_report_layout(events, path, mode="overwrite"):
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .write.mode(mode)
+        .option("partitionOverwriteMode", "static")
         .partitionBy("event_date")
         .parquet(path)
     )

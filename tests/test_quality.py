@@ -1,6 +1,7 @@
 import datetime
 
 import pytest
+from pyspark.errors import ArithmeticException
 
 from millrace import operators as op
 from millrace.model import CORRUPT, EVENT_COLUMNS, LANDING
@@ -83,6 +84,12 @@ def test_normalised_values(landing):
     assert str(row.price) == "1.50"
 
 
+def test_a_price_that_does_not_fit_is_an_error_without_the_table_rules(landing):
+    good, _ = op.split(landing.where("price = 1e8"), strict=False)
+    with pytest.raises(ArithmeticException):
+        op.to_event_columns(good).collect()
+
+
 def test_times_do_not_depend_on_the_session_zone(spark, landing):
     session = spark.newSession()
     session.conf.set("spark.sql.session.timeZone", "America/New_York")

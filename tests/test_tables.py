@@ -48,11 +48,26 @@ def test_replaying_a_batch_changes_nothing(spark, events, tmp_path):
     assert [(f.name, f.dataType) for f in stored.schema] == [(f.name, f.dataType) for f in STORED]
 
 
-def test_a_replay_that_shrinks_leaves_no_old_rows(spark, events, tmp_path):
+@pytest.mark.parametrize("overwrite", ["static", "dynamic"])
+def test_a_replay_that_shrinks_leaves_no_old_rows(spark, events, tmp_path, overwrite):
     table = EventTable(str(tmp_path / "t"))
-    table.insert_absent(events, 0)
-    few = events.where("event_timestamp < timestamp_ntz'2024-01-10 00:00:00'")
-    assert table.insert_absent(few, 0) == table.read(spark).count() == few.count()
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", overwrite)
+    try:
+        table.insert_absent(events, 0)
+        few = events.where("event_timestamp < timestamp_ntz'2024-01-10 00:00:00'")
+        assert table.insert_absent(few, 0) == table.read(spark).count() == few.count()
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+
+
+def test_many_and_few_rows_get_the_same_ids(spark, events, tmp_path):
+    """Numbering in one task and over ranges of the order agree."""
+    ids = []
+    for name, rows in (("few", events.count()), ("many", None)):
+        table = EventTable(str(tmp_path / name))
+        table.insert_absent(events, 0, rows=rows, last_id=7)
+        ids.append(sorted(table.read(spark).select("id", "event_id").collect()))
+    assert ids[0] == ids[1] and ids[0][0].id == 8
 
 
 def test_within_dates_reads_only_those_partitions(spark, events, tmp_path):

@@ -23,9 +23,10 @@ def as_landing(events, parts):
     number = F.col("event_id")
     user = F.concat(F.lit("user_"), F.col("user_id").cast("string"))
     written = event_text("ts")
-    joined = events.withColumn(
-        "p_partkey", F.get_json_object("props", "$.k").cast("bigint")
-    ).join(parts.select("p_partkey", "p_name", "p_type"), "p_partkey")
+    part = F.get_json_object("props", "$.k").cast("bigint")
+    joined = events.join(
+        parts.select("p_partkey", "p_name", "p_type"), part == F.col("p_partkey")
+    )
     return joined.select(
         number.cast("string").alias("event_id"),
         F.when(number % 97 == 0, None)
