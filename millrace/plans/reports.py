@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions.timekeeping import hour_of, minute_of, ratio
+from millrace.sources.events import after, newest_dates
 
 CENTS = "decimal(18,2)"
 
@@ -47,18 +48,21 @@ def hourly_events(events):
     )
 
 
-def hours_after(hourly, hours=24, now=None):
-    """The rows of hourly_events of the last hours before now.
+def last_hours(events, hours=24, now=None):
+    """hourly_events of the hours that begin less than so many hours before now.
 
-    now is a timestamp_ntz column or scalar subquery, by default the current time.
+    now is a timestamp_ntz column without references or a scalar subquery, by
+    default the current time.
     """
     now = F.localtimestamp() if now is None else now
-    return hourly.where(F.col("event_hour") > now - F.make_dt_interval(hours=F.lit(hours)))
+    start = now - F.make_dt_interval(hours=F.lit(hours))
+    # An hour that begins after start has only events after start.
+    return hourly_events(after(events, start)).where(F.col("event_hour") > start)
 
 
-def newest(events, column="event_timestamp"):
+def newest(events):
     """The latest event time as a scalar subquery."""
-    return events.agg(F.max(column)).scalar()
+    return newest_dates(events, 1).agg(F.max("event_timestamp")).scalar()
 
 
 def purchase_funnel(events):
@@ -93,7 +97,8 @@ def top_products(events, n=None):
 
 def recent_activity(events, n=100):
     return (
-        events.orderBy(F.desc("event_timestamp"), "event_id")
+        newest_dates(events, n)
+        .orderBy(F.desc("event_timestamp"), "event_id")
         .select("event_id", "user_id", "product_name", "event_type", "price", "event_timestamp")
         .limit(n)
     )
@@ -101,7 +106,8 @@ def recent_activity(events, n=100):
 
 def recent_events(events, n=10):
     """The newest events with all their columns."""
-    return events.orderBy(F.desc("event_timestamp"), "event_id").limit(n)
+    latest = newest_dates(events, n)
+    return latest.orderBy(F.desc("event_timestamp"), "event_id").limit(n)
 
 
 def events_per_minute(events, latest=None):

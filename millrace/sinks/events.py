@@ -38,8 +38,8 @@ class EventTable:
         """
         stored = self.read(events.sparkSession).where(F.col("batch_id") != batch_id)
         if self.within_dates:
-            low, high = events.agg(F.min(event_date()), F.max(event_date())).first()
-            stored = stored.where(F.col("event_date").between(low, high))
+            dates = events.select(event_date()).distinct().collect()  # one row per day
+            stored = stored.where(F.col("event_date").isin([d for (d,) in dates]))
         fresh = absent_from(events.select(*EVENT_COLUMNS), stored, rows=rows)
         pinned = []
 

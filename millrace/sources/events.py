@@ -1,5 +1,8 @@
 """The stored event table."""
 
+from datetime import datetime
+
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from millrace.model import STORED, nullable
@@ -24,9 +27,38 @@ def between(events, start, end, time="event_timestamp"):
     return kept
 
 
+def after(events, start, time="event_timestamp"):
+    """start < event_timestamp, on a stored table with the matching dates only."""
+    start = _moment(start)
+    kept = events.where(F.col(time) > start)
+    if "event_date" in events.columns:
+        kept = kept.where(F.col("event_date") >= F.to_date(start))
+    return kept
+
+
+def newest_dates(events, n):
+    """The latest dates of a stored table that together hold at least n rows.
+
+    The rows per date come from the file footers, so the newest events are found
+    without reading the older ones. Other frames are returned as they are.
+    """
+    if "event_date" not in events.columns:
+        return events
+    per_date = events.groupBy("event_date").agg(F.count("*").alias("rows"))
+    # The window sees one row per date.
+    so_far = F.sum("rows").over(Window.orderBy(F.desc("event_date")))
+    dates = per_date.select("event_date", so_far.alias("so_far"))
+    enough = dates.agg(
+        F.coalesce(
+            F.max(F.when(F.col("so_far") >= n, F.col("event_date"))), F.min("event_date")
+        )
+    )
+    return events.where(F.col("event_date") >= enough.scalar())
+
+
 def _moment(value):
-    if isinstance(value, (str, bytes)):
-        raise TypeError("give a datetime or a column, not text")
-    if hasattr(value, "isoformat"):
+    if isinstance(value, datetime):
         return F.expr(f"timestamp_ntz'{value.isoformat(sep=' ')}'")
-    return value
+    if isinstance(value, Column):
+        return value
+    raise TypeError("give a datetime or a column")

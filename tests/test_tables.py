@@ -100,6 +100,49 @@ def test_date_ranges_prune_partitions(spark, events, tmp_path):
     assert len(days) == events.select(F.to_date("event_timestamp")).distinct().count()
 
 
+def scanned_partitions(df):
+    """Partitions the scans of an executed plan have read, largest scan last."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    found, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        metric = node.metrics().get("numPartitions") if "Scan" in node.nodeName() else None
+        if metric is not None and metric.isDefined():
+            found.append(metric.get().value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+    return sorted(found)
+
+
+def test_newest_events_come_from_the_newest_dates(spark, events, tmp_path):
+    write_report_layout(events, str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    per_date = stored.groupBy("event_date").count().orderBy(F.desc("event_date")).collect()
+    few = reports.recent_events(stored, 10)
+    assert scanned_partitions(few) == [1]
+    assert few.select(*EVENT_COLUMNS).collect() == reports.recent_events(events, 10).collect()
+    many = reports.recent_activity(stored, per_date[0]["count"] + 1)
+    assert scanned_partitions(many) == [2]
+    assert reports.recent_activity(stored, 10**6).count() == events.count()
+    assert reports.recent_activity(stored.where("event_id = ''"), 5).count() == 0
+
+
+def test_last_hours_read_only_their_dates(spark, events, tmp_path):
+    write_report_layout(events, str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    last = reports.last_hours(stored, 24, reports.newest(stored))
+    assert scanned_partitions(last) == [2]
+    newest = events.agg(F.max("event_timestamp")).first()[0]
+    hourly = reports.hourly_events(events)
+    expected = hourly.where(F.col("event_hour") > F.lit(newest - datetime.timedelta(days=1)))
+    assert sorted(last.collect()) == sorted(expected.collect()) != []
+
+
 def test_reports_read_only_their_columns(spark, events, tmp_path):
     write_report_layout(events, str(tmp_path / "t"))
     stored = spark.read.parquet(str(tmp_path / "t"))

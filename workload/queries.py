@@ -153,7 +153,7 @@ def _report(name, build):
 
 
 def _last_day(events):
-    return reports.hours_after(reports.hourly_events(events), now=reports.newest(events))
+    return reports.last_hours(events, 24, reports.newest(events))
 
 
 def _january_days(events):
