@@ -63,3 +63,8 @@ def filesystem(spark, path):
 def ensure_folder(spark, path):
     fs, target = filesystem(spark, path)
     fs.mkdirs(target)
+
+
+def remove_folder(spark, path):
+    fs, target = filesystem(spark, path)
+    fs.delete(target, True)

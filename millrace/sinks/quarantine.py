@@ -8,12 +8,14 @@ def write_rejected(df, path, batch_id, fmt="csv"):
     A failure is raised: the batch must not commit without its rejects.
 
     A line that did not parse is in raw_line; readers of CSV would take a column
-    with the reserved name for their own.
+    with the reserved name for their own. Returns the directory.
     """
+    target = f"{path}/batch_id={batch_id}"
     (
         df.withColumnRenamed(CORRUPT, "raw_line")
         .write.mode("overwrite")
         .format(fmt)
         .options(**({"header": "true", "escape": '"'} if fmt == "csv" else {}))
-        .save(f"{path}/batch_id={batch_id}")
+        .save(target)
     )
+    return target

@@ -5,11 +5,13 @@ import time
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from millrace.model import CORRUPT, EVENT_COLUMNS
 from millrace.operators.dedup import keep_first
 from millrace.operators.quality import clean, judge, rejected, to_event_columns, valid
+from millrace.session import remove_folder
 from millrace.sinks.events import EventTable
 from millrace.sinks.jdbc import JdbcEvents
 from millrace.sinks.ledger import Ledger
@@ -56,31 +58,40 @@ class Pipeline:
         """Clean, judge, deduplicate and store one micro-batch."""
         spark = batch.sparkSession
         began = time.monotonic()
-        judged = judge(clean(batch, self.strict), self.strict).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            row = _count(judged)
-            if row["received"] == 0:
-                log.info("batch %d: empty", batch_id)
-                return
-            if row["invalid"]:
-                write_rejected(
-                    rejected(judged, self.strict), self.quarantine, batch_id, self.quarantine_format
-                )
-            checked = time.monotonic()
-            row.update(self._store(judged, batch_id, row["valid"], spark))
-            ended = time.monotonic()
-            total = ended - began
-            row.update(
-                validate_seconds=checked - began,
-                total_seconds=total,
-                rows_per_second=row["written"] / total,
-                valid_rate=row["valid"] / row["received"],
-                finished_at="current_timestamp()",
-            )
-            self.ledger.record(spark, batch_id, row)
-            log.info("batch %d: %s", batch_id, row)
-        finally:
-            judged.unpersist()
+        judged = judge(clean(batch, self.strict), self.strict)
+        row = self._reject(judged, batch_id)
+        if row["received"] == 0:
+            log.info("batch %d: empty", batch_id)
+            return
+        checked = time.monotonic()
+        row.update(self._store(judged, batch_id, row["valid"], spark))
+        total = time.monotonic() - began
+        row.update(
+            validate_seconds=checked - began,
+            total_seconds=total,
+            rows_per_second=row["written"] / total,
+            valid_rate=row["valid"] / row["received"],
+            finished_at="current_timestamp()",
+        )
+        self.ledger.record(spark, batch_id, row)
+        log.info("batch %d: %s", batch_id, row)
+
+    def _reject(self, judged, batch_id):
+        """Write the rejects; the same pass counts the batch."""
+        counts = Observation()
+        corrupt = F.col(CORRUPT).isNotNull() if CORRUPT in judged.columns else F.lit(False)
+        judged = judged.observe(
+            counts,
+            F.count("*").alias("received"),
+            F.count_if(corrupt).alias("corrupt"),
+            F.count_if("is_valid").alias("valid"),
+            F.count_if(~F.col("is_valid")).alias("invalid"),
+        )
+        rejects = rejected(judged, self.strict)
+        path = write_rejected(rejects, self.quarantine, batch_id, self.quarantine_format)
+        if counts.get["invalid"] == 0:
+            remove_folder(judged.sparkSession, path)
+        return dict(counts.get)
 
     def _store(self, judged, batch_id, valid_rows, spark):
         last_id = self.ledger.last_id(spark, batch_id)
@@ -109,21 +120,6 @@ class Pipeline:
             survivors.unpersist()
 
 
-def _count(judged):
-    """All counts of the batch in one pass over it."""
-    corrupt = F.col(CORRUPT).isNotNull() if CORRUPT in judged.columns else F.lit(False)
-    return (
-        judged.agg(
-            F.count("*").alias("received"),
-            F.count_if(corrupt).alias("corrupt"),
-            F.count_if("is_valid").alias("valid"),
-            F.count_if(~F.col("is_valid")).alias("invalid"),
-        )
-        .first()
-        .asDict()
-    )
-
-
 def _survivors(judged):
     """The first delivery of each valid event, as table columns."""
     arrival = [c for c in (SOURCE_TIME, SOURCE_FILE) if c in judged.columns]

@@ -54,9 +54,7 @@ def pipeline(tmp_path):
 
 def run(spark, pipeline, landing, tmp_path, **options):
     stream = stream_landing(spark, landing.folder, **options)
-    query = pipeline.start(stream, str(tmp_path / "checkpoint"), available_now=True)
-    query.awaitTermination()
-    return query
+    pipeline.start(stream, str(tmp_path / "checkpoint"), available_now=True).awaitTermination()
 
 
 def ids(spark, pipeline):
@@ -125,6 +123,7 @@ def test_a_failed_write_is_retried(spark, pipeline, landing, tmp_path):
     Breaks.left = 2
     run(spark, replace(pipeline, target=Breaks(pipeline.target.path)), landing, tmp_path)
     assert ids(spark, pipeline) == ["a", "b"]
+    assert os.listdir(pipeline.quarantine) == []  # nothing was rejected
 
 
 def test_a_batch_without_valid_rows(spark, pipeline, landing, tmp_path):
@@ -138,15 +137,42 @@ def test_a_batch_without_valid_rows(spark, pipeline, landing, tmp_path):
 def test_admission_and_source_cleaning(spark, pipeline, landing, tmp_path):
     for name in "abcde":
         landing.put(line(name))
-    query = run(
+    run(
         spark, pipeline, landing, tmp_path, max_files=2, clean_source="archive",
         archive=str(tmp_path / "archive"),
     )
-    assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [2, 2, 1]
+    ledger = pipeline.ledger.read(spark).orderBy("batch_id")
+    assert [r.received for r in ledger.collect()] == [2, 2, 1]
     assert ids(spark, pipeline) == list("abcde")
     assert len(os.listdir(landing.folder)) < 5
 
 
+def test_an_id_with_a_third_of_the_rows(spark, pipeline, landing, tmp_path):
+    rows = [line(f"e{i}" if i % 3 else "hot", f"2026-01-15 10:{i % 60:02d}:00") for i in range(9000)]
+    landing.put(*rows)
+    landing.put(*rows[::-1])
+    run(spark, pipeline, landing, tmp_path, max_files=1)
+    assert pipeline.target.read(spark).count() == 6001
+    counts = {r.batch_id: (r.kept, r.written) for r in pipeline.ledger.read(spark).collect()}
+    assert counts == {0: (6001, 6001), 1: (6001, 0)}
+
+
+def test_many_new_events_are_joined_and_numbered_without_bounds(
+    spark, pipeline, landing, tmp_path, monkeypatch
+):
+    """The ways beyond the broadcast and one-task bounds store the same rows."""
+    from millrace.operators import dedup, ordering
+
+    monkeypatch.setattr(dedup, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(ordering, "ONE_TASK_ROWS", 0)
+    landing.put(*[line(f"a{i}") for i in range(50)])
+    landing.put(*[line(f"a{i}") for i in range(25, 100)])
+    run(spark, pipeline, landing, tmp_path, max_files=1)
+    stored = pipeline.target.read(spark)
+    assert sorted(r.id for r in stored.select("id").collect()) == list(range(1, 101))
+    assert stored.select("event_id").distinct().count() == 100
+
+
 def landing_events(spark, landing):
     from millrace import operators as op
 
