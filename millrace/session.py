@@ -65,6 +65,14 @@ def ensure_folder(spark, path):
     fs.mkdirs(target)
 
 
-def remove_folder(spark, path):
-    fs, target = filesystem(spark, path)
-    fs.delete(target, True)
+def remove_folders(spark, pattern):
+    """Delete the folders that match a path pattern, if any."""
+    fs, target = filesystem(spark, pattern)
+    for found in fs.globStatus(target) or []:
+        fs.delete(found.getPath(), True)
+
+
+def existing(spark, paths):
+    """Those of the paths that exist."""
+    located = [(path, *filesystem(spark, path)) for path in paths]
+    return [path for path, fs, target in located if fs.exists(target)]

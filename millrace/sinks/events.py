@@ -10,17 +10,18 @@ from millrace.functions.cleaning import event_date
 from millrace.model import EVENT_COLUMNS
 from millrace.operators.dedup import absent_from
 from millrace.operators.ordering import number_rows
-from millrace.session import ensure_folder
+from millrace.session import ensure_folder, remove_folders
 from millrace.sources.events import read_events
 
 
 @dataclass(frozen=True)
 class EventTable:
-    """A table with one writer. Each micro-batch owns the directory batch_id=<n>
-    and replaces it as a whole, so that a replayed batch does not repeat rows.
+    """A table with one writer. Each micro-batch owns the folders batch_id=<n> below
+    the dates and replaces them, so that a replayed batch does not repeat rows.
 
-    within_dates compares new ids only with stored events of the same dates: much
-    less to read, and right only if a re-delivered event keeps its time.
+    New ids are compared with all stored ones, which costs a scan of the id column
+    per batch. within_dates lists and reads only the dates of the batch, whatever
+    the size of the table; it is right only if a re-delivered event keeps its time.
     """
 
     path: str
@@ -36,10 +37,14 @@ class EventTable:
         events must have unique ids; rows is their number, or a bound of it, if known. Returns the
         number of rows written. Ids continue after last_id in event order.
         """
-        stored = self.read(events.sparkSession).where(F.col("batch_id") != batch_id)
+        spark = events.sparkSession
+        ensure_folder(spark, self.path)
+        remove_folders(spark, f"{self.path}/event_date=*/batch_id={batch_id}")
+        dates = None
         if self.within_dates:
-            dates = events.select(event_date()).distinct().collect()  # one row per day
-            stored = stored.where(F.col("event_date").isin([d for (d,) in dates]))
+            # One row per day.
+            dates = [d for (d,) in events.select(event_date()).distinct().collect()]
+        stored = read_events(spark, self.path, dates)
         fresh = absent_from(events.select(*EVENT_COLUMNS), stored, rows=rows)
         pinned = []
 
@@ -58,14 +63,17 @@ class EventTable:
             written = Observation()
             (
                 numbered.withColumns(
-                    {"created_at": stamp.cast("timestamp_ntz"), "event_date": event_date()}
+                    {
+                        "created_at": stamp.cast("timestamp_ntz"),
+                        "event_date": event_date(),
+                        "batch_id": F.lit(batch_id),
+                    }
                 )
                 .sortWithinPartitions("event_date", "event_type", "event_timestamp")
                 .observe(written, F.count("*").alias("rows"))
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "static")  # dates of an earlier try go too
-                .partitionBy("event_date")
-                .parquet(f"{self.path}/batch_id={batch_id}")
+                .write.mode("append")
+                .partitionBy("event_date", "batch_id")
+                .parquet(self.path)
             )
             return written.get["rows"]
         finally:

@@ -6,12 +6,18 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from millrace.model import STORED, nullable
+from millrace.session import existing
 
 
-def read_events(spark, path, columns=None):
-    """Stored events; the explicit schema spares the listing of file footers."""
-    events = spark.read.schema(nullable(STORED)).parquet(path)
-    return events.select(*columns) if columns else events
+def read_events(spark, path, dates=None):
+    """Stored events, with dates only the folders of those are listed and read."""
+    reader = spark.read.schema(nullable(STORED))
+    if dates is None:
+        return reader.parquet(path)
+    folders = existing(spark, [f"{path}/event_date={date}" for date in dates])
+    if not folders:
+        return spark.createDataFrame([], nullable(STORED))
+    return reader.option("basePath", path).parquet(*folders)
 
 
 def between(events, start, end, time="event_timestamp"):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.model import CORRUPT, EVENT_COLUMNS
 from millrace.operators.dedup import keep_first
 from millrace.operators.quality import clean, judge, rejected, to_event_columns, valid
-from millrace.session import remove_folder
+from millrace.session import remove_folders
 from millrace.sinks.events import EventTable
 from millrace.sinks.jdbc import JdbcEvents
 from millrace.sinks.ledger import Ledger
@@ -90,7 +90,7 @@ class Pipeline:
         rejects = rejected(judged, self.strict)
         path = write_rejected(rejects, self.quarantine, batch_id, self.quarantine_format)
         if counts.get["invalid"] == 0:
-            remove_folder(judged.sparkSession, path)
+            remove_folders(judged.sparkSession, path)
         return dict(counts.get)
 
     def _store(self, judged, batch_id, valid_rows, spark):
