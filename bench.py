@@ -21,7 +21,7 @@ from millrace.plans import files, health, reports  # noqa: E402
 from millrace.session import build_session, new_folder  # noqa: E402
 from millrace.sinks import EventTable, Ledger, export_landing, write_report_layout  # noqa: E402
 from millrace.sources import between, read_landing, stream_landing  # noqa: E402
-from millrace.streaming import Pipeline, event_clock, hourly_stream, stream_dedup  # noqa: E402
+from millrace.streaming import Pipeline, hourly_stream, stream_dedup  # noqa: E402
 from workload import fixtures as fx  # noqa: E402
 from workload import queries as wl  # noqa: E402
 

@@ -2,4 +2,13 @@ from millrace.sources.events import after, between, newest_dates, read_events
 from millrace.sources.jdbc import Database
 from millrace.sources.landing import malformed, read_landing, stream_landing
 
-__all__ = ["Database", "after", "between", "malformed", "newest_dates", "read_events", "read_landing", "stream_landing"]
+__all__ = [
+    "Database",
+    "after",
+    "between",
+    "malformed",
+    "newest_dates",
+    "read_events",
+    "read_landing",
+    "stream_landing",
+]

@@ -75,7 +75,8 @@ def test_command_line(spark, tmp_path):
             check=True, timeout=300, capture_output=True, text=True,
         ).stdout
 
-    folders = [f"--{n}={tmp_path / n}" for n in ("landing", "quarantine", "ledger", "checkpoint", "table")]
+    names = ("landing", "quarantine", "ledger", "checkpoint", "table")
+    folders = [f"--{n}={tmp_path / n}" for n in names]
     call("ingest", "--once", *folders)
     shown = call("report", folders[-1], "--view=v_event_summary")
     assert "|view      |1           |1           |1.50     |1.50       |" in shown

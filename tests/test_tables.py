@@ -1,4 +1,5 @@
 import datetime
+from types import SimpleNamespace
 
 import duckdb
 import pytest
@@ -175,6 +176,16 @@ def test_views(spark, events):
     assert spark.table("v_event_summary").count() == 0
 
 
+def test_views_of_a_stored_table(spark, events, tmp_path):
+    table = EventTable(str(tmp_path / "t"))
+    table.insert_absent(events, 0)
+    register_views(table.read(spark))
+    for name, report in VIEWS.items():
+        assert sorted(map(str, spark.table(name).collect())) == sorted(
+            map(str, report(events).collect())
+        )
+
+
 def test_a_predicate_on_a_view_reaches_the_scan(spark, events, tmp_path):
     write_report_layout(events, str(tmp_path / "t"))
     register_views(spark.read.parquet(str(tmp_path / "t")))
@@ -261,6 +272,57 @@ def test_merge_statement_inserts_only_new_ids():
         assert con.execute("select event_id from t order by 1").fetchall() == [("a",), ("b",)]
 
 
+class Connection:
+    """Stands in for a JDBC connection and notes what is asked of it."""
+
+    def __init__(self, fails=False):
+        self.calls, self.fails = [], fails
+
+    def __getattr__(self, name):
+        def note(*args):
+            self.calls.append((name, *args))
+            if name == "createStatement":
+                return self
+            if name == "executeUpdate":
+                if self.fails:
+                    raise OSError("connection lost")
+                return 3
+            return None
+
+        return note
+
+
+def transaction(connection):
+    jvm = SimpleNamespace(
+        java=SimpleNamespace(
+            util=SimpleNamespace(Properties=Connection),
+            sql=SimpleNamespace(
+                DriverManager=SimpleNamespace(getConnection=lambda url, properties: connection)
+            ),
+        )
+    )
+    target = JdbcEvents(Database("jdbc:x", "u", "p", query_timeout=9))
+    return target._in_transaction(SimpleNamespace(_jvm=jvm), "INSERT", "DROP")
+
+
+def test_staged_rows_move_in_one_transaction():
+    connection = Connection()
+    assert transaction(connection) == 3
+    assert [c for c in connection.calls if c[0] not in ("createStatement", "setQueryTimeout")] == [
+        ("setAutoCommit", False), ("executeUpdate", "INSERT"), ("close",),
+        ("executeUpdate", "DROP"), ("close",), ("commit",), ("close",),
+    ]
+    assert ("setQueryTimeout", 9) in connection.calls
+
+
+def test_a_failed_move_is_rolled_back():
+    connection = Connection(fails=True)
+    with pytest.raises(OSError):
+        transaction(connection)
+    names = [c[0] for c in connection.calls]
+    assert "commit" not in names and names[-2:] == ["rollback", "close"]
+
+
 def test_database_settings(spark, monkeypatch):
     monkeypatch.setenv("POSTGRES_HOST", "db")
     monkeypatch.delenv("POSTGRES_PASSWORD", raising=False)
