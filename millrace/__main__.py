@@ -19,6 +19,7 @@ def _arguments(argv=None):
     target = ingest.add_mutually_exclusive_group(required=True)
     target.add_argument("--table", help="folder of the Parquet event table")
     target.add_argument("--jdbc", metavar="NAME", help="table of the database in POSTGRES_*")
+    ingest.add_argument("--format", choices=["csv", "parquet"], default="csv")
     ingest.add_argument("--trigger", default="10 seconds")
     ingest.add_argument("--max-files", type=int, default=10)
     ingest.add_argument("--max-bytes", help="admit this many bytes per batch instead of files")
@@ -43,6 +44,7 @@ def ingest(spark, args):
     stream = stream_landing(
         spark,
         args.landing,
+        args.format,
         max_files=args.max_files,
         max_bytes=args.max_bytes,
         clean_source=args.clean_source,

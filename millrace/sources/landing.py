@@ -1,10 +1,11 @@
-"""Landing CSV files as a batch or as a stream."""
+"""Landing files as a batch or as a stream."""
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.model import CORRUPT, LANDING, LANDING_COLUMNS
 
+PERMISSIVE = "PERMISSIVE"
 SOURCE_FILE = "source_file"
 SOURCE_TIME = "source_time"
 
@@ -19,45 +20,43 @@ def _options(mode, enforce_schema, header=True):
         # whenever a query does not need all of its columns.
         "columnPruning": "false",
     }
-    if mode == "PERMISSIVE":
+    if mode == PERMISSIVE:
         options["columnNameOfCorruptRecord"] = CORRUPT
     return options
 
 
-def _schema(mode):
-    if mode == "PERMISSIVE":
-        return T.StructType(LANDING.fields + [T.StructField(CORRUPT, T.StringType())])
-    return LANDING
-
-
-def _with_source(df, mode):
+def _load(reader, path, fmt, mode, enforce_schema, header=True):
+    if fmt == "csv":
+        reader = reader.options(**_options(mode, enforce_schema, header))
+    marks = fmt == "csv" and mode == PERMISSIVE
+    fields = [T.StructField(CORRUPT, T.StringType())] if marks else []
+    rows = reader.format(fmt).schema(T.StructType(LANDING.fields + fields)).load(path)
     columns = [F.col(c) for c in LANDING_COLUMNS]
-    if mode == "PERMISSIVE":
+    if marks:
         # A bad number is only noticed when the number is read, so the marker
         # depends on the price and no projection can prune one without the other.
         marker = F.when(F.col("price").isNull(), F.col(CORRUPT)).when(
             F.col(CORRUPT).isNotNull(), F.col(CORRUPT)
         )
         columns.append(marker.alias(CORRUPT))
-    return df.select(
+    return rows.select(
         *columns,
         F.col("_metadata.file_path").alias(SOURCE_FILE),
         F.col("_metadata.file_modification_time").alias(SOURCE_TIME),
     )
 
 
-def read_landing(spark, path, mode="PERMISSIVE", enforce_schema=True, header=True):
-    """All landing files under a path. PERMISSIVE keeps lines that do not parse
-    in _corrupt_record; DROPMALFORMED drops them."""
-    options = _options(mode, enforce_schema, header)
-    reader = spark.read.schema(_schema(mode)).options(**options)
-    return _with_source(reader.csv(path), mode)
+def read_landing(spark, path, fmt="csv", mode=PERMISSIVE, enforce_schema=True, header=True):
+    """All landing files under a path, CSV or Parquet. PERMISSIVE keeps CSV lines
+    that do not parse in _corrupt_record; DROPMALFORMED drops them."""
+    return _load(spark.read, path, fmt, mode, enforce_schema, header)
 
 
 def stream_landing(
     spark,
     path,
-    mode="PERMISSIVE",
+    fmt="csv",
+    mode=PERMISSIVE,
     enforce_schema=True,
     max_files=10,
     max_bytes=None,
@@ -70,7 +69,7 @@ def stream_landing(
     None, "delete" or "archive" (with the archive folder) and takes effect after
     a later batch has committed.
     """
-    reader = spark.readStream.schema(_schema(mode)).options(**_options(mode, enforce_schema))
+    reader = spark.readStream
     if max_bytes is not None:
         reader = reader.option("maxBytesPerTrigger", max_bytes)
     elif max_files is not None:
@@ -79,7 +78,7 @@ def stream_landing(
         reader = reader.option("cleanSource", clean_source)
     if archive:
         reader = reader.option("sourceArchiveDir", archive)
-    return _with_source(reader.csv(path), mode)
+    return _load(reader, path, fmt, mode, enforce_schema)
 
 
 def malformed(landing):

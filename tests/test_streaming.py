@@ -173,6 +173,14 @@ def test_many_new_events_are_joined_and_numbered_without_bounds(
     assert stored.select("event_id").distinct().count() == 100
 
 
+def test_parquet_landing(spark, pipeline, tmp_path):
+    folder = str(tmp_path / "in")
+    fx.dup(spark, SF).drop("delivery").write.parquet(folder)
+    stream = stream_landing(spark, folder, "parquet")
+    pipeline.start(stream, str(tmp_path / "checkpoint"), available_now=True).awaitTermination()
+    assert pipeline.target.read(spark).count() == fx.user_events(spark, SF).count()
+
+
 def landing_events(spark, landing):
     from millrace import operators as op
 
