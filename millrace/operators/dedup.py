@@ -3,9 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-# At most this many ids are broadcast. Ids have at most 50 characters, so the
-# broadcast side stays near 100 MB whatever the size of the stored table.
-BROADCAST_IDS = 1_000_000
+# At most this many ids are broadcast, as hashes of 8 bytes whatever their length.
+BROADCAST_IDS = 4_000_000
 
 
 def keep_first(df, tie_break=(), key="event_id", order="event_timestamp"):
@@ -25,11 +24,14 @@ def keep_first(df, tie_break=(), key="event_id", order="event_timestamp"):
 def absent_from(df, stored, key="event_id", rows=None):
     """The rows of df whose key is not stored yet. df must have unique keys.
 
-    rows is the size of df, or a bound of it, if known. A small df is broadcast past the one
-    column of the stored table, which is then read but neither shuffled nor
-    sorted; otherwise both sides are shuffled on the key.
+    rows is the size of df, or a bound of it, if known. The hashed ids of a small df
+    are broadcast past the one column of the stored table, which is then read but
+    neither shuffled nor sorted; the few matches are compared by id. Otherwise both
+    sides are shuffled on the key.
     """
     keys = stored.select(key)
     if rows is not None and rows <= BROADCAST_IDS:
-        keys = keys.join(F.broadcast(df.select(key)), key, "left_semi")
+        hashes = df.select(F.xxhash64(key).alias("_hash"))
+        keys = keys.withColumn("_hash", F.xxhash64(key))
+        keys = keys.join(F.broadcast(hashes), "_hash", "left_semi").select(key)
     return df.join(keys, key, "left_anti")
