@@ -6,8 +6,9 @@ import pytest
 from oracle import compare
 
 import __spark_entry__ as entry
+from workload.oracles import ORACLES
+from workload.queries import QUERIES
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 DIRS = [f"/root/testdata/sf{sf}" for sf in os.environ.get("TEST_SF", "0.001").split(",")]
 
 
@@ -15,6 +16,10 @@ def test_each_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
 
 
+def test_entry_has_all_queries():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() == 3
 
