@@ -1,3 +1,91 @@
 """DuckDB SQL for the registered queries of this folder."""
 
+from millrace.llm.quality_rules import BASE_RULES, RULES, STOP_WORDS, SYMBOLS
+
 ORACLES = {}
+
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+ORACLES["op5_line_dedup"] = f"""
+WITH whole AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+line AS (
+    SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS position FROM whole),
+keyed AS (
+    SELECT *, translate(trim(line, {_WHITE}), '{_UPPER}', '{_UPPER.lower()}') AS key FROM line),
+repeated AS (
+    SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40
+    GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+judged AS (
+    SELECT k.*, coalesce(k.doc_id <> r.keeper, false) AS dropped
+    FROM keyed k LEFT JOIN repeated r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY position) FILTER (NOT dropped), ''))
+        AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+_CONTROL = r"<s>|</s>|\[INST\]|\[/INST\]"
+
+ORACLES["op7_chat_format"] = rf"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+ordered AS (
+    SELECT *, length(regexp_replace(text, '(\\*({_CONTROL}))', '\\\1', 'g')) AS chars,
+        length(regexp_replace(role, '(\\*({_CONTROL}))', '\\\1', 'g')) AS role_chars,
+        lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before
+    FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), ''
+        ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text)
+        FILTER (role = 'assistant'), '')) AS loss_sha256,
+    (5 + sum(chars + CASE WHEN before IS NULL THEN 11 + role_chars WHEN before = role THEN 8
+        ELSE 16 + role_chars END))::BIGINT AS formatted_chars
+FROM ordered GROUP BY conv_id
+"""
+
+
+def _broken(rule):
+    ends = [f"({rule.measure}) < {rule.least}"] if rule.least is not None else []
+    ends += [f"({rule.measure}) > {rule.most}"] if rule.most is not None else []
+    return " OR ".join(ends)
+
+
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+ORACLES["op10_quality_rules"] = rf"""
+WITH whole AS (
+    SELECT doc_id, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+        list_filter(string_split(coalesce(text, ''), chr(10)),
+            lambda x: trim(x, {_WHITE}) <> '') AS lines
+    FROM documents),
+place AS (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM whole),
+window3 AS (
+    SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS k FROM place),
+repeated AS (
+    SELECT doc_id, i FROM window3 QUALIFY count(*) OVER (PARTITION BY doc_id, k) >= 2),
+covered AS (
+    SELECT doc_id, count(DISTINCT j) AS n
+    FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM repeated) GROUP BY doc_id),
+measured AS (
+    SELECT doc_id, len(words) AS n_words,
+        length(translate(text, {_WHITE}, '')) AS word_chars,
+        length(text) - length(translate(text, '{SYMBOLS}', '')) AS n_symbols,
+        len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+        coalesce(n, 0) AS n_repeat_words, strlen(text) AS n_bytes, len(lines) AS n_lines,
+        len(list_filter(words, lambda x: lower(x) IN ({_STOP}))) AS n_stop_words,
+        len(list_filter(lines, lambda x:
+            regexp_matches(trim(x, {_WHITE}), '^[-*•]'))) AS n_bullet_lines,
+        len(list_filter(lines, lambda x:
+            ends_with(rtrim(x), '...') OR ends_with(rtrim(x), '…'))) AS n_open_lines
+    FROM whole LEFT JOIN covered USING (doc_id))
+SELECT *, coalesce({" OR ".join(map(_broken, BASE_RULES))}, false) AS base_failed,
+    NOT coalesce({" OR ".join(map(_broken, BASE_RULES + RULES))}, false) AS kept
+FROM measured
+"""

@@ -34,8 +34,8 @@ BASE_RULES = (
 )
 
 RULES = (
-    Rule("word_length", "word_chars / n_words", least=2.0, most=14.0),
-    Rule("symbols", "n_symbols / n_words", most=0.1),
+    Rule("word_length", "word_chars / greatest(n_words, 1)", least=2.0, most=14.0),
+    Rule("symbols", "n_symbols / greatest(n_words, 1)", most=0.1),
     Rule("stop_words", "n_stop_words", least=2),
     Rule("duplicate_lines", "n_dup_lines / greatest(n_lines, 1)", most=0.5),
     Rule("bullet_lines", "n_bullet_lines / greatest(n_lines, 1)", most=0.9),
