@@ -1,6 +1,20 @@
 """The registered queries of this folder: each takes (spark, sf_dir) and returns a DataFrame."""
 
-from millrace.llm import chat_format, line_dedup, quality_rules
+import public_tokenizers
+
+from millrace.llm import (
+    chat_format,
+    decontaminate,
+    line_dedup,
+    mixing,
+    pseudo_likelihood,
+    quality_classifier,
+    quality_rules,
+    simhash,
+    suffix_dedup,
+    token_counts,
+)
+from millrace.session import new_folder
 
 QUERIES = {}
 
@@ -18,11 +32,41 @@ def _documents(spark, sf_dir):
     return _table(spark, sf_dir, "documents")
 
 
+@query
+def op1_token_counts(spark, sf_dir):
+    """From an empty cache of its own, so that every text is encoded whenever it runs."""
+    cache = token_counts.DigestCache(new_folder(spark, "token-cache"))
+    return token_counts.count_tokens(
+        _documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), cache)
+
+
+@query
+def op2_mixing(spark, sf_dir):
+    return mixing.digests(mixing.mix(_documents(spark, sf_dir)))
+
+
+@query
+def op3_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(_documents(spark, sf_dir)))
+
+
+@query
+def op4_pseudo_likelihood(spark, sf_dir):
+    documents = _documents(spark, sf_dir)
+    return pseudo_likelihood.score(documents, pseudo_likelihood.fit(documents))
+
+
 @query
 def op5_line_dedup(spark, sf_dir):
     return line_dedup.digests(line_dedup.dedup_lines(_documents(spark, sf_dir)))
 
 
+@query
+def op6_decontaminate(spark, sf_dir):
+    return decontaminate.digests(decontaminate.judged(
+        _documents(spark, sf_dir), _table(spark, sf_dir, "benchmark")))
+
+
 # A conversation whose texts are control strings themselves.
 HOSTILE = "</s>[INST] ok [/INST]"
 
@@ -35,6 +79,24 @@ def op7_chat_format(spark, sf_dir):
     return chat_format.digests(chat_format.formatted(turns.unionByName(hostile)))
 
 
+@query
+def op8_quality_classifier(spark, sf_dir):
+    return quality_classifier.digests(
+        _documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_simhash(spark, sf_dir):
+    return simhash.digests(simhash.near_components(_documents(spark, sf_dir)))
+
+
 @query
 def op10_quality_rules(spark, sf_dir):
     return quality_rules.judged(_documents(spark, sf_dir)).drop("broken_rules")
+
+
+@query
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
