@@ -53,11 +53,8 @@ def repeated_keys(keys, min_docs=MIN_DOCS):
     )
 
 
-def dedup_lines(docs, min_chars=MIN_CHARS, min_docs=MIN_DOCS):
-    """docs with the shortened text, n_lines (before) and n_dropped.
-
-    Columns of docs named n_lines or n_dropped are replaced.
-    """
+def _marked(docs, min_chars, min_docs):
+    """docs with __lines and the positions to drop, __drop (null: none)."""
     keys = written(line_keys(docs, min_chars), "line-keys")
     drops = (
         keys.join(repeated_keys(keys, min_docs), "key")
@@ -65,25 +62,45 @@ def dedup_lines(docs, min_chars=MIN_CHARS, min_docs=MIN_DOCS):
         .groupBy(F.col("doc_id").alias("__doc_id"), F.col("text_key").alias("__text_key"))
         .agg(F.collect_set("position").alias("__drop"))
     )
-    joined = docs.join(
+    return docs.join(
         drops,
         (F.col("doc_id") == F.col("__doc_id")) & (F.xxhash64("text") == F.col("__text_key")),
         "left",
     ).withColumn("__lines", F.split(whole(F.col("text")), "\n"))
+
+
+def _left():
+    """The text without the marked lines."""
     lines, drop = F.col("__lines"), F.col("__drop")
     # Positions are taken away by hash, not by search, and lines fetched by index.
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop)
-    left = F.when(drop.isNull(), whole(F.col("text"))).otherwise(
+    return F.when(drop.isNull(), whole(F.col("text"))).otherwise(
         F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
     )
+
+
+def _columns(names):
+    return [_left().alias(c) if c == "text" else F.col(f"`{c}`") for c in names]
+
+
+def dedup_lines(docs, min_chars=MIN_CHARS, min_docs=MIN_DOCS):
+    """docs with the shortened text, n_lines (before) and n_dropped.
+
+    Columns of docs named n_lines or n_dropped are replaced.
+    """
     passed = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return joined.select(
-        *[left.alias(c) if c == "text" else F.col(f"`{c}`") for c in passed],
-        F.size(lines).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size(drop), F.lit(0)).cast("bigint").alias("n_dropped"),
+    return _marked(docs, min_chars, min_docs).select(
+        *_columns(passed),
+        F.size("__lines").cast("bigint").alias("n_lines"),
+        F.coalesce(F.size("__drop"), F.lit(0)).cast("bigint").alias("n_dropped"),
     )
 
 
+def shorten(docs, min_chars=MIN_CHARS, min_docs=MIN_DOCS):
+    """docs with the shortened text and all else as it was."""
+    return _marked(docs, min_chars, min_docs).select(*_columns(docs.columns))
+
+
 def digests(deduped):
     """The contract's columns."""
     return deduped.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))

@@ -28,7 +28,7 @@ BUCKET_BITS = 17
 GRAMS = (3, 4, 5)
 DIMENSIONS = 16
 MAX_TRAIN = 4000
-EPOCHS = 12
+EPOCHS = 6
 RATE = 0.5
 SEED = 8
 THRESHOLD = 0.7
@@ -218,6 +218,18 @@ def score(docs, model):
         "predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def keep_good(docs, labels, threshold=THRESHOLD):
+    """The rows of docs whose score reaches the threshold, as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def run(batches):
+        for batch in batches:
+            scores = shared.value.scores(batch.column("text").cast(pa.binary()).to_pylist())
+            yield batch.filter(pa.array(scores >= threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def digests(docs, labels):
     """The contract's columns."""
     model = fit(docs, labels)

@@ -38,6 +38,8 @@ MANY = 1 << 14
 PLACE_BITS = 18
 CHUNK_BYTES = (1 << PLACE_BITS) - 4096
 BLOCK_BYTES = 1 << 20
+# Documents whose stretches are cut out at once.
+FETCH_ROWS = 256
 
 _PLACE = np.uint64((1 << PLACE_BITS) - 1)
 # A stretch's place packs its start and its length.
@@ -147,17 +149,19 @@ def _fetch(docs, wanted):
 
     def run(batches):
         for batch in batches:
-            for row in range(batch.num_rows):
-                one = batch.slice(row, 1)
-                text = one.column("text").cast(pa.binary())[0].as_py()
-                start = one.column("start").flatten()
-                size = one.column("size").flatten()
-                cut = [text[i:i + n] for i, n in zip(start.to_pylist(), size.to_pylist())]
-                same = pa.array(np.zeros(len(cut), np.int64))
+            for at in range(0, batch.num_rows, FETCH_ROWS):
+                part = batch.slice(at, FETCH_ROWS)
+                start, size = part.column("start"), part.column("size")
+                owner = np.repeat(np.arange(part.num_rows), pc.list_value_length(start).to_numpy())
+                texts = part.column("text").cast(pa.binary()).to_pylist()
+                cut = [
+                    texts[o][i:i + n] for o, i, n in
+                    zip(owner.tolist(), start.flatten().to_pylist(), size.flatten().to_pylist())]
+                rows = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
-                    [one.column("h").flatten(), one.column("doc_id").take(same),
-                     one.column("__key").take(same), start, pa.array(cut, pa.binary()),
-                     one.column("many").flatten()],
+                    [part.column("h").flatten(), part.column("doc_id").take(rows),
+                     part.column("__key").take(rows), start.flatten(),
+                     pa.array(cut, pa.binary()), part.column("many").flatten()],
                     ["h", "doc_id", "text_key", "start", "bytes", "many"])
 
     return joined.select("doc_id", "__key", "text", "h", "start", "size", "many").mapInArrow(

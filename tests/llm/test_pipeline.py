@@ -1,0 +1,89 @@
+"""The pipeline, stage by stage against plain Python on each stage's own input."""
+
+import pytest
+from fixture_docs import frame, hard_rows
+
+from test_simhash import brute as brute_components
+from test_text_operators import brute_hits, brute_lines
+
+import corpus_pipeline
+from millrace.llm import quality_classifier
+
+SF = "/root/testdata/sf0.01"
+
+
+def held(docs):
+    return sorted(map(tuple, docs.collect()), key=str)
+
+
+def run_stages(spark, docs):
+    """Each stage's input and output rows."""
+    seen = []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF).cache()
+        seen.append((name, held(docs), held(out), out.columns))
+        docs = out
+    return seen
+
+
+def check_stages(spark, docs):
+    columns = docs.columns
+    place = {c: i for i, c in enumerate(columns)}
+    model = quality_classifier.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    good, lined, single, clean, mix = run_stages(spark, docs)
+    assert all(x[3] == columns for x in (good, lined, single, clean))
+
+    def short(rows):
+        return [(r[place["doc_id"]], r[place["text"]], r[place["source"]]) for r in rows]
+
+    texts = [(r[place["text"]] or "").encode() for r in good[1]]
+    scores = model.scores(texts)
+    assert good[2] == [r for r, s in zip(good[1], scores) if s >= 0.7]
+
+    expected = [(d, t) for d, _, _, t in brute_lines(short(lined[1]))]
+    assert sorted(((d, t) for d, t, _ in short(lined[2])), key=str) == sorted(expected, key=str)
+
+    components = {c for _, _, c in brute_components(short(single[1]))}
+    kept = [d for d, _, _ in short(single[2])]
+    assert set(kept) == components and set(single[2]) <= set(single[1])
+
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select(
+        "item_id", "text").collect()]
+    hits = brute_hits(short(clean[1]), items)
+    assert clean[2] == [r for r, x in zip(clean[1], hits) if not x[5]]
+
+    assert set(columns) < set(mix[3])
+    return good, lined, single, clean, mix
+
+
+def test_given_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    *_, clean, mix = check_stages(spark, docs)
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    stages = run_stages(spark, docs)
+    kept = {r[0] for r in stages[0][2]}
+    judged = [(d in kept) == bool(q) for d, q in labels.items() if d in {r[0] for r in stages[0][1]}]
+    assert sum(judged) / len(judged) > 0.97
+    final = corpus_pipeline.run(spark, SF)
+    assert sorted(final.columns) == sorted(mix[3])
+    assert held(final.select(*mix[3])) == mix[2]
+    rows = [(r.doc_id, r.text, r.source) for r in final.select("doc_id", "text", "source").collect()]
+    assert {r[0] for r in rows} <= {r[0] for r in clean[2]} and len(rows) > 100
+
+
+def test_hard_rows(spark):
+    check_stages(spark, frame(spark, hard_rows()).withColumnRenamed("n_words", "n_chars"))
+
+
+def test_no_documents(spark):
+    docs = frame(spark, [])
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert docs.collect() == []
+
+
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_names(name):
+    assert len(corpus_pipeline.STAGES) in (4, 5) and name == name.lower()
