@@ -56,8 +56,10 @@ def repeated_keys(keys, min_docs=MIN_DOCS):
 def _marked(docs, min_chars, min_docs):
     """docs with __lines and the positions to drop, __drop (null: none)."""
     keys = written(line_keys(docs, min_chars), "line-keys")
+    # As a table, so that the join may split a key that many documents have.
+    repeated = written(repeated_keys(keys, min_docs), "repeated-lines")
     drops = (
-        keys.join(repeated_keys(keys, min_docs), "key")
+        keys.join(repeated, "key")
         .where(F.col("doc_id") != F.col("keeper"))
         .groupBy(F.col("doc_id").alias("__doc_id"), F.col("text_key").alias("__text_key"))
         .agg(F.collect_set("position").alias("__drop"))
