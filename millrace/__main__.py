@@ -26,10 +26,10 @@ def _arguments(argv=None):
     ingest.add_argument("--clean-source", choices=["delete", "archive"])
     ingest.add_argument("--archive", help="folder for archived landing files")
     ingest.add_argument("--once", action="store_true", help="end when all files are read")
-    report = commands.add_parser("report", help="show a report view over a Parquet event table")
+    report = commands.add_parser("report", help="a report view over a Parquet event table")
     report.add_argument("--table", required=True)
     report.add_argument("--view", choices=sorted(VIEWS), required=True)
-    report.add_argument("--rows", type=int, default=100)
+    report.add_argument("--out", help="folder for the whole report as CSV; else its head is shown")
     return parser.parse_args(argv)
 
 
@@ -60,7 +60,10 @@ def ingest(spark, args):
 
 def report(spark, args):
     register_views(EventTable(args.table).read(spark))
-    spark.table(args.view).show(args.rows, truncate=False)
+    if args.out:
+        spark.table(args.view).write.mode("overwrite").option("header", "true").csv(args.out)
+    else:
+        spark.table(args.view).show(truncate=False)
 
 
 def main(argv=None):

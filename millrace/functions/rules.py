@@ -23,11 +23,19 @@ _TIME = {
     "timestamp_unparsable": "`timestamp` IS NOT NULL AND event_timestamp IS NULL",
 }
 
+# Prices that the table's column cannot hold.
+_UNSTORABLE = {
+    "price_not_finite": NOT_FINITE,
+    "price_range": f"price IS NOT NULL AND NOT {NOT_FINITE}"
+    f" AND try_cast(price AS {MONEY.simpleString()}) IS NULL",
+}
+
 # The rules of the ingestion job: ids, event type, price and time.
 BASIC_RULES = {
     **{f"{c}_null": f"{c} IS NULL" for c in BASIC_TEXT},
     "event_type_unknown": UNKNOWN_TYPE,
     **_PRICE,
+    **_UNSTORABLE,
     **_TIME,
 }
 
@@ -41,15 +49,14 @@ TABLE_RULES = {
         if c != "event_type"  # a known type is always short enough
     },
     **_PRICE,
-    "price_not_finite": NOT_FINITE,
-    "price_range": f"price IS NOT NULL AND NOT {NOT_FINITE}"
-    f" AND try_cast(price AS {MONEY.simpleString()}) IS NULL",
+    **_UNSTORABLE,
     **_TIME,
 }
 
 
 _KNOWN_TYPE = f"coalesce(event_type IN ({_TYPES}), false)"
 _POSITIVE = "coalesce(price > 0, false)"
+_STORABLE = f"try_cast(price AS {MONEY.simpleString()}) IS NOT NULL"  # nor NaN nor infinite
 
 BASIC_CONTRACT = (
     "event_id IS NOT NULL",
@@ -57,6 +64,7 @@ BASIC_CONTRACT = (
     "product_id IS NOT NULL",
     _KNOWN_TYPE,
     _POSITIVE,
+    _STORABLE,
     "event_timestamp IS NOT NULL",
 )
 TABLE_CONTRACT = (
@@ -67,7 +75,7 @@ TABLE_CONTRACT = (
     ),
     _KNOWN_TYPE,
     _POSITIVE,
-    f"try_cast(price AS {MONEY.simpleString()}) IS NOT NULL",  # nor NaN nor infinite
+    _STORABLE,
     "event_timestamp IS NOT NULL",
 )
 

@@ -51,16 +51,19 @@ EVENT = T.StructType(
 )
 EVENT_COLUMNS = EVENT.fieldNames()
 
-# The stored table. event_date and batch_id are its partition directories.
+# The stored table. event_date, stream_id and batch_id are its partition directories.
 STORED = T.StructType(
     [_field("id", T.LongType(), False, "Running number given at write")]
     + EVENT.fields
     + [
         _field("created_at", T.TimestampNTZType(), True, "When the row was stored"),
         _field("event_date", T.DateType(), False, "Date of event_timestamp, for pruning"),
+        _field("stream_id", T.StringType(), False, "Stream that stored the row"),
         _field("batch_id", T.LongType(), False, "Micro-batch that stored the row"),
     ]
 )
+# What writes without a stream goes under this name.
+DIRECT = "direct"
 TABLE_COMMENT = "Cleaned user events, one row per event_id"
 
 
@@ -82,6 +85,6 @@ def table_ddl(name, location=None):
     place = f" LOCATION '{location}'" if location else ""
     return (
         f"CREATE TABLE IF NOT EXISTS {name} (\n  " + ",\n  ".join(columns) + "\n) "
-        f"USING parquet PARTITIONED BY (event_date, batch_id)"
+        f"USING parquet PARTITIONED BY (event_date, stream_id, batch_id)"
         f" COMMENT '{TABLE_COMMENT}'{place}"
     )

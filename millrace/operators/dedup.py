@@ -3,10 +3,6 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-# At most this many ids are broadcast, as hashes of 8 bytes whatever their length.
-BROADCAST_IDS = 4_000_000
-
-
 def keep_first(df, tie_break=(), key="event_id", order="event_timestamp"):
     """The earliest row per key. tie_break (columns) decides between equal times;
     without it the row's hash does, which reads every column. Either way the
@@ -21,17 +17,15 @@ def keep_first(df, tie_break=(), key="event_id", order="event_timestamp"):
     return df.withColumn("_nth", F.row_number().over(by)).where("_nth = 1").drop("_nth")
 
 
-def absent_from(df, stored, key="event_id", rows=None):
+def absent_from(df, stored, key="event_id"):
     """The rows of df whose key is not stored yet. df must have unique keys.
 
-    rows is the size of df, or a bound of it, if known. The hashed ids of a small df
-    are broadcast past the one column of the stored table, which is then read but
-    neither shuffled nor sorted; the few matches are compared by id. Otherwise both
-    sides are shuffled on the key.
+    The stored keys are cut to those with a hash in df first, then compared by key. The
+    hashes of df are 8 bytes each whatever the length of a key; if the planner knows that they
+    are below its broadcast threshold, as for a cached micro-batch, the one column of the stored
+    table is read but neither shuffled nor sorted.
     """
-    keys = stored.select(key)
-    if rows is not None and rows <= BROADCAST_IDS:
-        hashes = df.select(F.xxhash64(key).alias("_hash"))
-        keys = keys.withColumn("_hash", F.xxhash64(key))
-        keys = keys.join(F.broadcast(hashes), "_hash", "left_semi").select(key)
-    return df.join(keys, key, "left_anti")
+    hashes = df.select(F.xxhash64(key).alias("_hash"))
+    keys = stored.select(key, F.xxhash64(key).alias("_hash"))
+    matches = keys.join(hashes, "_hash", "left_semi").select(key)
+    return df.join(matches, key, "left_anti")

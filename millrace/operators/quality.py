@@ -54,8 +54,8 @@ def split(df, strict=True):
 
 
 def to_event_columns(df):
-    """The table's columns in order, the price as money. A price that does not fit,
-    which only the basic rules let through, is an error rather than a null."""
+    """The table's columns in order, the price as money. No rule set lets a price through
+    that does not fit; one that was not judged is an error rather than a null."""
     return df.withColumn("price", F.col("price").cast(MONEY)).select(*EVENT_COLUMNS)
 
 

@@ -1,5 +1,6 @@
 """The stored event table as partitioned Parquet."""
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -7,45 +8,78 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from millrace.functions.cleaning import event_date
-from millrace.model import EVENT_COLUMNS
-from millrace.operators.dedup import absent_from
+from millrace.model import DIRECT, EVENT_COLUMNS
 from millrace.operators.ordering import number_rows
-from millrace.session import ensure_folder, remove_folders
+from millrace.session import ensure_folder, existing, filesystem, remove_folders
+from millrace.sinks.ids import IdIndex, table_batches
 from millrace.sources.events import read_events
 
+# The name under which compact() stores what many batches have stored.
+COMPACTED = "compacted"
+
 
 @dataclass(frozen=True)
 class EventTable:
-    """A table with one writer. Each micro-batch owns the folders batch_id=<n> below
-    the dates and replaces them, so that a replayed batch does not repeat rows.
+    """A table with one writer at a time. Each micro-batch of a stream owns the folders
+    stream_id=<s>/batch_id=<n> below the dates and replaces them, so that a replayed batch
+    does not repeat rows and another stream's batch of that number is left alone.
 
-    New ids are compared with all stored ones, which costs a scan of the id column
-    per batch. within_dates lists and reads only the dates of the batch, whatever
-    the size of the table; it is right only if a re-delivered event keeps its time.
+    New ids are compared with all stored ones through an index by hash: a batch reads the ids
+    of the last settle_every batches and the buckets that its own ids fall into. Choose
+    id_buckets for files of some hundred megabytes each.
     """
 
     path: str
-    within_dates: bool = False
+    id_buckets: int = 64
+    settle_every: int = 50
+
+    @property
+    def ids(self):
+        return IdIndex(f"{self.path}/_ids", self.id_buckets)
 
     def read(self, spark):
         ensure_folder(spark, self.path)
         return read_events(spark, self.path)
 
-    def insert_absent(self, events, batch_id, rows=None, last_id=0, created_at=None):
+    def last_id(self, spark, batch_id, stream_id=DIRECT):
+        """The highest id that other batches have stored, 0 if there is none."""
+        others = self.read(spark).where(
+            ~((F.col("stream_id") == stream_id) & (F.col("batch_id") == batch_id)))
+        return others.agg(F.max("id")).first()[0] or 0
+
+    def _note_unnoted(self, spark, batch_id, stream_id):
+        """Index what a batch stored that broke off before it noted its ids.
+
+        Only the last batch of a stream can have done so, and it matters only if that
+        batch is not the one that runs now.
+        """
+        noted = self.ids.batches(spark)
+        for stream, batches in table_batches(spark, self.path).items():
+            last = batches[-1]
+            if stream == COMPACTED or (stream, last) == (stream_id, batch_id):
+                continue
+            if last not in noted.get(stream, ()):
+                rows = read_events(spark, self.path).where(
+                    (F.col("stream_id") == stream) & (F.col("batch_id") == last))
+                self.ids.add(rows, last, stream)
+
+    def insert_absent(
+        self, events, batch_id, last_id=0, created_at=None, stream_id=DIRECT, first=True
+    ):
         """Store the events whose id no other batch has stored.
 
-        events must have unique ids; rows is their number, or a bound of it, if known. Returns the
-        number of rows written. Ids continue after last_id in event order.
+        events must have unique ids. Returns the number of rows written. Ids continue
+        after last_id in event order. first=False says that this process has stored the
+        stream's batch before, and that this one has not been tried yet: nothing is
+        left over then that had to be looked for.
         """
         spark = events.sparkSession
-        ensure_folder(spark, self.path)
-        remove_folders(spark, f"{self.path}/event_date=*/batch_id={batch_id}")
-        dates = None
-        if self.within_dates:
-            # One row per day.
-            dates = [d for (d,) in events.select(event_date()).distinct().collect()]
-        stored = read_events(spark, self.path, dates)
-        fresh = absent_from(events.select(*EVENT_COLUMNS), stored, rows=rows)
+        if first:
+            ensure_folder(spark, self.path)
+            remove_folders(
+                spark, f"{self.path}/event_date=*/stream_id={stream_id}/batch_id={batch_id}")
+            self._note_unnoted(spark, batch_id, stream_id)
+        fresh = self.ids.absent(events.select(*EVENT_COLUMNS), batch_id, stream_id)
         pinned = []
 
         def pin(df):
@@ -56,9 +90,7 @@ class EventTable:
         try:
             # The order of the ids also puts neighbouring dates into the same tasks,
             # and a busy date into many.
-            numbered = number_rows(
-                fresh, ["event_timestamp", "event_id"], start=last_id, rows=rows, pin=pin
-            )
+            numbered = number_rows(fresh, ["event_timestamp", "event_id"], start=last_id, pin=pin)
             stamp = F.lit(created_at) if created_at is not None else F.current_timestamp()
             written = Observation()
             (
@@ -66,16 +98,93 @@ class EventTable:
                     {
                         "created_at": stamp.cast("timestamp_ntz"),
                         "event_date": event_date(),
+                        "stream_id": F.lit(stream_id),
                         "batch_id": F.lit(batch_id),
                     }
                 )
                 .sortWithinPartitions("event_date", "event_type", "event_timestamp")
                 .observe(written, F.count("*").alias("rows"))
                 .write.mode("append")
-                .partitionBy("event_date", "batch_id")
+                .partitionBy("event_date", "stream_id", "batch_id")
                 .parquet(self.path)
             )
+            if written.get["rows"]:
+                self.ids.add(pinned[0], batch_id, stream_id)
+            else:
+                remove_folders(spark, f"{self.ids.path}/recent/stream_id={stream_id}/batch_id={batch_id}")
+            if batch_id % self.settle_every == self.settle_every - 1:
+                self.ids.settle(spark)
             return written.get["rows"]
         finally:
             for df in pinned:
                 df.unpersist()
+
+    def compact(self, spark, before):
+        """Rewrite the dates before a date into few files each, sorted by type and time.
+
+        The last batch of each stream stays as it is, so that a replay finds it. All new files
+        are written to the side first; then, date by date, they are moved in and the old
+        folders removed. compact() finishes what an earlier call has left undone. To be
+        run while no batch and no report runs.
+        """
+        aside = f"{self.path}/_compacting"
+        self._install(spark, aside)
+        last = {s: b[-1] for s, b in table_batches(spark, self.path).items() if s != COMPACTED}
+        kept = F.lit(False)
+        for stream, batch in last.items():  # one condition for each stream there has been
+            kept |= (F.col("stream_id") == stream) & (F.col("batch_id") == batch)
+        dates = [d for d in self._open_dates(spark, last) if d < str(before)]
+        if not dates:
+            return
+        closed = self.read(spark).where(F.col("event_date").isin(dates) & ~kept)
+        order = ["event_date", "event_type", "event_timestamp", "event_id"]
+        run = table_batches(spark, self.path).get(COMPACTED, [-1])[-1] + 1
+        staged = f"{aside}/{uuid.uuid4().hex}"
+        (
+            closed.withColumns({"stream_id": F.lit(COMPACTED), "batch_id": F.lit(run)})
+            .repartitionByRange(*order).sortWithinPartitions(*order)
+            .write.partitionBy("event_date", "stream_id", "batch_id").parquet(staged)
+        )
+        # From here on the staged folder counts: its name tells what it stands for.
+        fs, source = filesystem(spark, staged)
+        names = ";".join(f"{stream}={batch}" for stream, batch in sorted(last.items()))
+        plan = spark.createDataFrame([(names, run)], "kept string, run bigint")
+        plan.write.parquet(f"{aside}/plan")
+        fs.rename(source, filesystem(spark, f"{aside}/ready")[1])
+        self._install(spark, aside)
+        self.ids.settle(spark)
+        self.ids.merge(spark)
+
+    def _open_dates(self, spark, last):
+        """Dates with a batch that compact() may take in, from the folder names."""
+        fs, pattern = filesystem(spark, f"{self.path}/event_date=*/stream_id=*/batch_id=*")
+        found = set()
+        for status in fs.globStatus(pattern) or []:
+            date, stream, batch = (
+                part.split("=")[1] for part in status.getPath().toString().split("/")[-3:])
+            if stream != COMPACTED and last[stream] != int(batch):
+                found.add(date)
+        return sorted(found)
+
+    def _install(self, spark, aside):
+        """Move staged dates in, each with the removal of what it stands for."""
+        if existing(spark, [f"{aside}/ready"]):
+            names, run = spark.read.parquet(f"{aside}/plan").first()
+            kept = dict(x.split("=") for x in names.split(";") if x)
+            fs, pattern = filesystem(spark, f"{aside}/ready/event_date=*")
+            for status in fs.globStatus(pattern) or []:
+                date = status.getPath().getName()
+                _, old = filesystem(spark, f"{self.path}/{date}/stream_id=*/batch_id=*")
+                for folder in fs.globStatus(old) or []:
+                    place = folder.getPath()
+                    stream = place.getParent().getName().removeprefix("stream_id=")
+                    batch = place.getName().removeprefix("batch_id=")
+                    if kept.get(stream) != batch and (stream, batch) != (COMPACTED, str(run)):
+                        fs.delete(place, True)
+                fs.mkdirs(filesystem(spark, f"{self.path}/{date}/stream_id={COMPACTED}")[1])
+                inner = f"stream_id={COMPACTED}/batch_id={run}"
+                fs.rename(
+                    filesystem(spark, f"{aside}/ready/{date}/{inner}")[1],
+                    filesystem(spark, f"{self.path}/{date}/{inner}")[1])
+                fs.delete(status.getPath(), True)
+        remove_folders(spark, aside)

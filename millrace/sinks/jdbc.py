@@ -2,7 +2,7 @@
 
 from dataclasses import dataclass
 
-from millrace.model import EVENT_COLUMNS
+from millrace.model import DIRECT, EVENT_COLUMNS
 from millrace.sources.jdbc import Database
 
 
@@ -44,17 +44,27 @@ class JdbcEvents:
         some rows may be stored; insert_absent is the safe way."""
         self._writer(df, self.name).mode("append").save()
 
-    def insert_absent(self, events, batch_id, rows=None, last_id=0, created_at=None):
+    def last_id(self, spark, batch_id, stream_id=DIRECT):
+        """The table gives ids itself."""
+        return 0
+
+    def insert_absent(
+        self, events, batch_id, last_id=0, created_at=None, stream_id=DIRECT, first=True
+    ):
         """Stage the batch, then move the new events in one transaction; safe to
-        repeat. Returns the number of rows the table took."""
-        stage = f"{self.name}_stage_{batch_id}"
+        repeat. Returns the number of rows the table took.
+
+        The same transaction notes that number in the table <name>_batches, so that a
+        repeat after a lost answer returns what the first run stored.
+        """
+        stage = f"{self.name}_stage_{stream_id.replace('-', '')}_{batch_id}"
         self._writer(events, stage).mode("overwrite").save()
-        return self._in_transaction(
-            events.sparkSession, merge_statement(self.name, stage), f"DROP TABLE {stage}"
-        )
+        return self._move(events.sparkSession, stage, stream_id, batch_id)
 
-    def _in_transaction(self, spark, *statements):
-        """Run statements on one driver-side connection; the row count of the first."""
+    def _move(self, spark, stage, stream_id, batch_id):
+        """Move staged rows on one driver-side connection; the rows of the batch."""
+        noted = f"{self.name}_batches"
+        mine = f"stream_id = '{stream_id}' AND batch_id = {batch_id}"
         jvm = spark._jvm
         properties = jvm.java.util.Properties()
         for key in ("user", "password"):
@@ -65,15 +75,21 @@ class JdbcEvents:
         connection = jvm.java.sql.DriverManager.getConnection(self.database.url, properties)
         try:
             connection.setAutoCommit(False)
-            counts = []
-            for sql in statements:
-                statement = connection.createStatement()
-                if self.database.query_timeout:
-                    statement.setQueryTimeout(self.database.query_timeout)
-                counts.append(statement.executeUpdate(sql))
-                statement.close()
+            statement = connection.createStatement()
+            if self.database.query_timeout:
+                statement.setQueryTimeout(self.database.query_timeout)
+            statement.executeUpdate(
+                f"CREATE TABLE IF NOT EXISTS {noted} (stream_id VARCHAR(64), batch_id BIGINT, "
+                "written BIGINT, PRIMARY KEY (stream_id, batch_id))")
+            found = statement.executeQuery(f"SELECT written FROM {noted} WHERE {mine}")
+            written = found.getLong(1) if found.next() else None
+            if written is None:
+                written = statement.executeUpdate(merge_statement(self.name, stage))
+                statement.executeUpdate(
+                    f"INSERT INTO {noted} VALUES ('{stream_id}', {batch_id}, {written})")
+            statement.executeUpdate(f"DROP TABLE {stage}")
             connection.commit()
-            return counts[0]
+            return written
         except Exception:
             connection.rollback()
             raise

@@ -19,14 +19,16 @@ class Database:
 
     @classmethod
     def from_environment(cls):
-        """PostgreSQL as named by POSTGRES_HOST, _PORT, _DB, _USER and _PASSWORD."""
+        """PostgreSQL as named by POSTGRES_HOST, _DB and _USER, which must be set, _PORT
+        and _PASSWORD."""
         env = os.environ
-        host = env.get("POSTGRES_HOST", "postgres")
+        missing = [n for n in ("HOST", "DB", "USER") if not env.get(f"POSTGRES_{n}")]
+        if missing:
+            raise ValueError("not set: " + ", ".join(f"POSTGRES_{n}" for n in missing))
         port = env.get("POSTGRES_PORT", "5432")
-        name = env.get("POSTGRES_DB", "ecommerce_events")
         return cls(
-            url=f"jdbc:postgresql://{host}:{port}/{name}",
-            user=env.get("POSTGRES_USER", "postgres"),
+            url=f"jdbc:postgresql://{env['POSTGRES_HOST']}:{port}/{env['POSTGRES_DB']}",
+            user=env["POSTGRES_USER"],
             password=env.get("POSTGRES_PASSWORD"),
         )
 
@@ -60,7 +62,7 @@ class Database:
     def reachable(self, spark):
         """Whether a trivial query runs."""
         try:
-            self.query(spark, "SELECT 1 AS test").collect()
+            self.query(spark, "SELECT CURRENT_TIMESTAMP AS answered_at").collect()
             return True
         except (PySparkException, Py4JJavaError):
             return False

@@ -1,5 +1,5 @@
 from millrace.streaming.dedup import event_clock, stream_dedup
 from millrace.streaming.ingest import Pipeline
-from millrace.streaming.trends import hourly_stream, minute_stream
+from millrace.streaming.trends import Trends, hourly_stream, minute_stream
 
-__all__ = ["Pipeline", "event_clock", "hourly_stream", "minute_stream", "stream_dedup"]
+__all__ = ["Pipeline", "Trends", "event_clock", "hourly_stream", "minute_stream", "stream_dedup"]

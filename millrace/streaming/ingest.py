@@ -1,5 +1,6 @@
 """The ingestion stream: landing files in, each event stored once."""
 
+import itertools
 import logging
 import time
 from dataclasses import dataclass
@@ -8,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from millrace.model import CORRUPT, EVENT_COLUMNS
+from millrace.model import CORRUPT, DIRECT, EVENT_COLUMNS
 from millrace.operators.dedup import keep_first
 from millrace.operators.quality import clean, judge, rejected, to_event_columns, valid
 from millrace.session import remove_folders
@@ -26,8 +27,9 @@ log = logging.getLogger("millrace")
 class Pipeline:
     """Where a stream's events, rejected rows and batch counts go.
 
-    foreachBatch may run a batch again after a failure. Each write is keyed by
-    the batch id and replaces itself, in the order rejects, events, ledger.
+    foreachBatch may run a batch again after a failure. Each write is keyed by the
+    stream (the id Spark keeps in the checkpoint) and the batch id and replaces itself, in
+    the order rejects, events, ledger. A new checkpoint is another stream.
     """
 
     target: EventTable | JdbcEvents
@@ -57,14 +59,20 @@ class Pipeline:
     def process(self, batch, batch_id):
         """Clean, judge, deduplicate and store one micro-batch."""
         spark = batch.sparkSession
+        stream_id = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or DIRECT
         began = time.monotonic()
         judged = judge(clean(batch, self.strict), self.strict)
-        row = self._reject(judged, batch_id)
+        row = self._reject(judged, batch_id, stream_id)
         if row["received"] == 0:
             log.info("batch %d: empty", batch_id)
             return
         checked = time.monotonic()
-        row.update(self._store(judged, batch_id, row["valid"], spark))
+        try:
+            row.update(self._store(judged, batch_id, stream_id, row["valid"], spark))
+        except Exception:
+            # This process may run the batch again, on what this run has left.
+            self.ledger.forget()
+            raise
         total = time.monotonic() - began
         row.update(
             validate_seconds=checked - began,
@@ -73,10 +81,10 @@ class Pipeline:
             valid_rate=row["valid"] / row["received"],
             finished_at="current_timestamp()",
         )
-        self.ledger.record(spark, batch_id, row)
+        self.ledger.record(spark, batch_id, row, stream_id)
         log.info("batch %d: %s", batch_id, row)
 
-    def _reject(self, judged, batch_id):
+    def _reject(self, judged, batch_id, stream_id):
         """Write the rejects; the same pass counts the batch."""
         counts = Observation()
         corrupt = F.col(CORRUPT).isNotNull() if CORRUPT in judged.columns else F.lit(False)
@@ -88,13 +96,18 @@ class Pipeline:
             F.count_if(~F.col("is_valid")).alias("invalid"),
         )
         rejects = rejected(judged, self.strict)
-        path = write_rejected(rejects, self.quarantine, batch_id, self.quarantine_format)
+        path = write_rejected(
+            rejects, self.quarantine, batch_id, self.quarantine_format, stream_id)
         if counts.get["invalid"] == 0:
             remove_folders(judged.sparkSession, path)
         return dict(counts.get)
 
-    def _store(self, judged, batch_id, valid_rows, spark):
-        last_id = self.ledger.last_id(spark, batch_id)
+    def _store(self, judged, batch_id, stream_id, valid_rows, spark):
+        last_id = self.ledger.last_id(spark, batch_id, stream_id)
+        first = not self.ledger.knows(batch_id, stream_id)
+        if first:
+            # A batch of another stream may have been stored and never recorded.
+            last_id = max(last_id, self.target.last_id(spark, batch_id, stream_id))
         if valid_rows == 0:
             return dict(kept=0, written=0, last_id=last_id, dedup_seconds=0.0, write_seconds=0.0)
         began = time.monotonic()
@@ -102,9 +115,11 @@ class Pipeline:
         try:
             kept = survivors.count()  # computes and keeps them
             deduped = time.monotonic()
+            tries = itertools.count()
             written = with_retry(
                 lambda: self.target.insert_absent(
-                    survivors, batch_id, rows=kept, last_id=last_id
+                    survivors, batch_id, last_id=last_id, stream_id=stream_id,
+                    first=first or next(tries) > 0,
                 ),
                 self.attempts,
                 self.retry_delay,

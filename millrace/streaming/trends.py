@@ -1,8 +1,12 @@
 """Windowed counts of a stream, for a stream with event_clock."""
 
+from dataclasses import dataclass
+
 from pyspark.sql import functions as F
 
-from millrace.functions.timekeeping import as_wall_clock
+from millrace.functions.timekeeping import as_wall_clock, hour_of
+from millrace.model import DIRECT
+from millrace.session import ensure_folder
 from millrace.streaming.dedup import CLOCK
 
 
@@ -36,3 +40,57 @@ def minute_stream(stream):
     """Events per minute, once the minute has closed."""
     minutes = stream.groupBy(F.window(CLOCK, "1 minute")).agg(F.count("*").alias("event_count"))
     return minutes.select(as_wall_clock(F.col("window.start")).alias("minute"), "event_count")
+
+
+@dataclass(frozen=True)
+class Trends:
+    """Counts per window that are complete at any time, open windows included.
+
+    A stream writes the counts that a micro-batch has changed (update mode), small rows per
+    window, type and user, into folders of its own batch; a replay replaces them. Reading takes
+    each stream's last count per key and adds up the streams. No task holds the users of a
+    window, and the state forgets what the watermark has passed.
+    """
+
+    path: str
+
+    def start(self, events, checkpoint, trigger="10 seconds", available_now=False):
+        """Count a stream with event_clock."""
+        counts = events.groupBy(F.window(CLOCK, "1 minute"), "event_type", "user_id").agg(
+            F.count("*").alias("n"))
+        changed = counts.select(
+            as_wall_clock(F.col("window.start")).alias("minute"), "event_type", "user_id", "n")
+        writer = (
+            changed.writeStream.outputMode("update").foreachBatch(self._store)
+            .option("checkpointLocation", checkpoint)
+        )
+        writer = (
+            writer.trigger(availableNow=True) if available_now
+            else writer.trigger(processingTime=trigger)
+        )
+        return writer.start()
+
+    def _store(self, batch, batch_id):
+        stream_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        batch.write.mode("overwrite").parquet(
+            f"{self.path}/stream_id={stream_id or DIRECT}/batch_id={batch_id}")
+
+    def read(self, spark):
+        """n per minute, event_type and user_id."""
+        ensure_folder(spark, self.path)
+        rows = spark.read.schema(
+            "minute timestamp_ntz, event_type string, user_id string, n bigint, "
+            "stream_id string, batch_id bigint").parquet(self.path)
+        key = ["minute", "event_type", "user_id"]
+        last = rows.groupBy("stream_id", *key).agg(F.max_by("n", "batch_id").alias("n"))
+        return last.groupBy(*key).agg(F.sum("n").alias("n"))
+
+    def hourly(self, spark):
+        """Events and distinct users per hour and type."""
+        hour = hour_of("minute").alias("event_hour")
+        return self.read(spark).groupBy(hour, "event_type").agg(
+            F.sum("n").alias("event_count"), F.count_distinct("user_id").alias("unique_users"))
+
+    def minutes(self, spark):
+        """Events per minute."""
+        return self.read(spark).groupBy("minute").agg(F.sum("n").alias("event_count"))
