@@ -57,7 +57,7 @@ def slo_report(landed, stored, max_latency=MAX_LATENCY_SECONDS, min_success=MIN_
 
 
 def integrity_report(landed, stored, rejected, key="event_id"):
-    """Whether each landed id is stored once or rejected.
+    """Whether each landed id is stored once or rejected; rows without an id are counted apart.
 
     One grouping by id over the three inputs; copies of an id are combined before
     the shuffle, so a much repeated id does no harm.
@@ -68,13 +68,16 @@ def integrity_report(landed, stored, rejected, key="event_id"):
         .unionByName(rejected.select(key, F.lit(0).alias("l"), F.lit(0).alias("s"), F.lit(1).alias("r")))
     )
     ids = tagged.groupBy(key).agg(*[F.sum(c).alias(c) for c in "lsr"])
+    known = F.col(key).isNotNull()
     return ids.agg(
         F.sum("l").alias("landed_rows"),
-        F.count_if(F.col("l") > 0).alias("landed_ids"),
+        F.sum(F.when(known, 0).otherwise(F.col("l"))).alias("landed_without_id"),
+        F.count_if(known & (F.col("l") > 0)).alias("landed_ids"),
         F.sum("s").alias("stored_rows"),
-        F.sum(F.when(F.col("s") > 1, F.col("s") - 1).otherwise(0)).alias("duplicates"),
-        F.count_if(F.col("r") > 0).alias("rejected_ids"),
-        F.count_if((F.col("l") > 0) & (F.col("s") == 0) & (F.col("r") == 0)).alias("lost_ids"),
+        F.sum(F.when(known & (F.col("s") > 1), F.col("s") - 1).otherwise(0)).alias("duplicates"),
+        F.count_if(known & (F.col("r") > 0)).alias("rejected_ids"),
+        F.count_if(known & (F.col("l") > 0) & (F.col("s") == 0) & (F.col("r") == 0))
+        .alias("lost_ids"),
     )
 
 

@@ -39,15 +39,22 @@ def event_summary(events):
     )
 
 
-def hourly_events(events):
-    """Events and distinct users per hour and type, newest hour first."""
+def hourly_events(events, by=()):
+    """Events and distinct users per hour and type, newest hour first; by adds columns that
+    an hour determines, such as its date."""
     return (
-        events.groupBy(hour_of("event_timestamp").alias("event_hour"), "event_type")
+        events.groupBy(hour_of("event_timestamp").alias("event_hour"), "event_type", *by)
         .agg(F.count("*").alias("event_count"), F.count_distinct("user_id").alias("unique_users"))
         .orderBy(F.desc("event_hour"), "event_type")
     )
 
 
+def hourly_events_by_date(events):
+    """hourly_events of a stored table with event_date: a condition on that column skips the
+    other dates' files, which one on event_hour cannot."""
+    return hourly_events(events, ["event_date"])
+
+
 def last_hours(events, hours=24, now=None):
     """hourly_events of the hours that begin less than so many hours before now.
 

@@ -11,11 +11,14 @@ VIEWS = {
     "v_top_products": reports.top_products,
     "v_recent_activity": reports.recent_activity,
 }
+# Over a stored table only.
+STORED_VIEWS = {"v_hourly_events_by_date": reports.hourly_events_by_date}
 
 
 def register_views(events, table=TABLE):
-    """Create or replace the event view and the five report views in the session
+    """Create or replace the event view and the report views in the session
     of the given frame. Predicates over a view reach the scan below it."""
     events.createOrReplaceTempView(table)
-    for name, report in VIEWS.items():
+    stored = STORED_VIEWS if "event_date" in events.columns else {}
+    for name, report in {**VIEWS, **stored}.items():
         report(events).createOrReplaceTempView(name)

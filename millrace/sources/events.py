@@ -1,8 +1,9 @@
 """The stored event table."""
 
+import re
 from datetime import datetime
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millrace.model import STORED, nullable
@@ -42,24 +43,34 @@ def after(events, start, time="event_timestamp"):
     return kept
 
 
+def stored_dates(events):
+    """The dates of a stored table, newest first, from its listing; no file is opened."""
+    found = {re.search(r"/event_date=([0-9-]+)/", f) for f in events.inputFiles()}
+    return sorted({m[1] for m in found if m}, reverse=True)
+
+
 def newest_dates(events, n):
     """The latest dates of a stored table that together hold at least n rows.
 
-    The rows per date come from the file footers, so the newest events are found
-    without reading the older ones. Other frames are returned as they are.
+    The dates are walked from the newest, one, two, four, … at a time, and the rows of each are
+    counted until there are enough; older files are not opened. Other frames are
+    returned as they are.
     """
-    if "event_date" not in events.columns:
-        return events
-    per_date = events.groupBy("event_date").agg(F.count("*").alias("rows"))
-    # The window sees one row per date.
-    so_far = F.sum("rows").over(Window.orderBy(F.desc("event_date")))
-    dates = per_date.select("event_date", so_far.alias("so_far"))
-    enough = dates.agg(
-        F.coalesce(
-            F.max(F.when(F.col("so_far") >= n, F.col("event_date"))), F.min("event_date")
-        )
-    )
-    return events.where(F.col("event_date") >= enough.scalar())
+    dates = stored_dates(events) if "event_date" in events.columns else []
+    rows, seen, last, step = 0, 0, None, 1
+    while rows < n and seen < len(dates):
+        some = dates[seen:seen + step]
+        day = F.col("event_date")
+        within = events.where(day.between(F.lit(some[-1]).cast("date"), F.lit(some[0]).cast("date")))
+        counts = {
+            str(r["event_date"]): r["count"] for r in within.groupBy("event_date").count().collect()
+        }
+        for last in some:
+            rows += counts.get(last, 0)
+            if rows >= n:
+                break
+        seen, step = seen + len(some), 2 * step
+    return events if last is None else events.where(F.col("event_date") >= F.lit(last).cast("date"))
 
 
 def _moment(value):
