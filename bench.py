@@ -17,11 +17,12 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from millrace import operators as op  # noqa: E402
+from millrace.model import EVENT_COLUMNS  # noqa: E402
 from millrace.plans import files, health, reports  # noqa: E402
 from millrace.session import build_session, new_folder  # noqa: E402
 from millrace.sinks import EventTable, Ledger, export_landing, write_report_layout  # noqa: E402
 from millrace.sources import between, read_landing, stream_landing  # noqa: E402
-from millrace.streaming import Pipeline, hourly_stream, stream_dedup  # noqa: E402
+from millrace.streaming import Pipeline  # noqa: E402
 from workload import fixtures as fx  # noqa: E402
 from workload import queries as wl  # noqa: E402
 
@@ -91,6 +92,25 @@ def small_batches(spark):
     )
 
 
+def growing_table(spark):
+    """Median write seconds of the batches 10 to 19 and 50 to 59 into one table."""
+    target, base = pipeline(spark)
+    rows = fx.user_events(spark, SF_DIR).limit(6000)
+    rows = op.number_rows(rows, ["event_timestamp", "event_id"]).cache()
+    rows.count()
+    took, last = [], 0
+    for n in range(60):
+        batch = rows.where((F.col("id") > 100 * n) & (F.col("id") <= 100 * (n + 1))).drop("id").cache()
+        batch.count()
+        spent, written = timed(lambda: target.target.insert_absent(
+            batch, n, last_id=last, stream_id="bench", first=n == 0))
+        last += written
+        took.append(spent)
+        batch.unpersist()
+    rows.unpersist()
+    return statistics.median(took[10:20]), statistics.median(took[50:60])
+
+
 def main():
     spark = build_session(
         "bench",
@@ -115,11 +135,13 @@ def main():
     received = done.ledger.read(spark).agg(F.sum("received")).first()[0]
     extra["stream_rows_per_second"] = round(received / seconds["stream_ingest"], 1)
     seconds["microbatch_100_rows"], extra["microbatch_rows_per_second"] = small_batches(spark)
+    early, late = growing_table(spark)
+    seconds["microbatch_10_to_19"], seconds["microbatch_50_to_59"] = early, late
 
     # Reports over the stored table.
     layout = new_folder(spark, "layout")
     seconds["write_report_layout"], _ = timed(
-        lambda: write_report_layout(done.target.read(spark).drop("event_date", "batch_id"), layout)
+        lambda: write_report_layout(done.target.read(spark).select("id", *EVENT_COLUMNS, "created_at"), layout)
     )
     stored = spark.read.parquet(layout)
     for name, report in REPORTS.items():
@@ -135,12 +157,10 @@ def main():
     )
 
     # Stateful streams.
-    session = wl._stream_session(spark)
-    seconds["stream_hourly"], _ = timed(
-        lambda: wl._to_files(
-            spark, session, hourly_stream(stream_dedup(wl._valid_stream(session, SF_DIR, "2 hours")))
-        ).count()
-    )
+    for name in ("stream_hourly", "stream_minutes", "stream_dedup_events", "stream_restart"):
+        seconds[name], _ = timed(lambda name=name: run(wl.QUERIES[name](spark, SF_DIR)))
+    for name in ("table_insert", "integrity_report", "slo_report"):
+        seconds[name], _ = timed(lambda name=name: run(wl.QUERIES[name](spark, SF_DIR)))
     print(
         json.dumps(
             {

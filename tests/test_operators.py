@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import operators as op
-from millrace.operators import dedup
 
 EVENTS = "event_id string, event_timestamp timestamp_ntz, delivery int, v int"
 
@@ -49,29 +48,36 @@ def test_keep_first_thins_hot_ids_before_the_shuffle(skewed):
     assert "WindowGroupLimit" in before_shuffle
 
 
-@pytest.mark.parametrize("rows", [None, 20_001])
-def test_absent_from(spark, skewed, rows):
+def test_absent_from(spark, skewed):
     events = op.keep_first(skewed, ["delivery"])
     stored = events.where("v % 2 = 0")
-    absent = op.absent_from(events, stored, rows=rows)
+    absent = op.absent_from(events, stored)
     assert absent.count() == events.where("v % 2 = 1").count()
     assert absent.where("v % 2 = 0").count() == 0
 
 
-def test_absent_from_shuffles_only_beyond_the_bound(spark, tmp_path):
+def test_the_planner_decides_whether_ids_are_broadcast(spark, tmp_path):
     spark.range(1000).selectExpr("cast(id as string) event_id", "id v").write.parquet(f"{tmp_path}/s")
     stored = spark.read.parquet(f"{tmp_path}/s")
-    batch = stored.where("v < 10")
-    small = physical(op.absent_from(batch, stored, rows=10))
-    assert "LeftSemi, BuildRight" in small and "hashpartitioning" not in small
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    batch = stored.where("v < 10").cache()
+    batch.count()
     try:
-        big = physical(op.absent_from(batch, stored, rows=dedup.BROADCAST_IDS + 1))
+        assert "LeftSemi, BuildRight" in physical(op.absent_from(batch, stored))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        big = physical(op.absent_from(batch, stored))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        batch.unpersist()
     assert "Broadcast" not in big and "SortMergeJoin" in big
 
 
+def test_rows_are_not_numbered_in_one_task(spark):
+    """A small frame takes the same way: only one row per partition meets in a task."""
+    plan = physical(op.number_rows(spark.range(10).selectExpr("id k"), ["k"]))
+    single = plan.split("Exchange SinglePartition")
+    assert len(single) == 2 and "HashAggregate" in single[1][:200]
+
+
 def test_number_rows(spark):
     values = list(range(5000))
     random.Random(1).shuffle(values)

@@ -1,3 +1,4 @@
+import glob
 import os
 import shutil
 from dataclasses import replace
@@ -10,7 +11,14 @@ from millrace.model import EVENT_COLUMNS
 from millrace.plans import reports
 from millrace.sinks import EventTable, Ledger
 from millrace.sources import stream_landing
-from millrace.streaming import Pipeline, event_clock, hourly_stream, minute_stream, stream_dedup
+from millrace.streaming import (
+    Pipeline,
+    Trends,
+    event_clock,
+    hourly_stream,
+    minute_stream,
+    stream_dedup,
+)
 from workload import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
@@ -118,12 +126,24 @@ def test_restart_after_a_failure(spark, pipeline, landing, tmp_path):
     assert pipeline.ledger.read(spark).agg(F.sum("written")).first()[0] == 3
 
 
+def test_restart_in_the_same_process_after_a_later_batch_failed(spark, pipeline, landing, tmp_path):
+    landing.put(line("a"))
+    run(spark, pipeline, landing, tmp_path)
+    landing.put(line("b"), line("c"))
+    Breaks.left = 1
+    broken = replace(pipeline, target=Breaks(pipeline.target.path), attempts=1)
+    with pytest.raises(StreamingQueryException):
+        run(spark, broken, landing, tmp_path)
+    run(spark, pipeline, landing, tmp_path)
+    assert ids(spark, pipeline) == ["a", "b", "c"]
+
+
 def test_a_failed_write_is_retried(spark, pipeline, landing, tmp_path):
     landing.put(line("a"), line("b"))
     Breaks.left = 2
     run(spark, replace(pipeline, target=Breaks(pipeline.target.path)), landing, tmp_path)
     assert ids(spark, pipeline) == ["a", "b"]
-    assert os.listdir(pipeline.quarantine) == []  # nothing was rejected
+    assert glob.glob(f"{pipeline.quarantine}/*/batch_id=*") == []  # nothing was rejected
 
 
 def test_a_batch_without_valid_rows(spark, pipeline, landing, tmp_path):
@@ -157,14 +177,7 @@ def test_an_id_with_a_third_of_the_rows(spark, pipeline, landing, tmp_path):
     assert counts == {0: (6001, 6001), 1: (6001, 0)}
 
 
-def test_many_new_events_are_joined_and_numbered_without_bounds(
-    spark, pipeline, landing, tmp_path, monkeypatch
-):
-    """The ways beyond the broadcast and one-task bounds store the same rows."""
-    from millrace.operators import dedup, ordering
-
-    monkeypatch.setattr(dedup, "BROADCAST_IDS", 0)
-    monkeypatch.setattr(ordering, "ONE_TASK_ROWS", 0)
+def test_new_and_stored_events_in_one_batch(spark, pipeline, landing, tmp_path):
     landing.put(*[line(f"a{i}") for i in range(50)])
     landing.put(*[line(f"a{i}") for i in range(25, 100)])
     run(spark, pipeline, landing, tmp_path, max_files=1)
@@ -173,6 +186,63 @@ def test_many_new_events_are_joined_and_numbered_without_bounds(
     assert stored.select("event_id").distinct().count() == 100
 
 
+def test_a_new_checkpoint_keeps_what_is_stored(spark, pipeline, landing, tmp_path):
+    """Another stream starts its batch numbers at 0 again, after source files are gone."""
+    landing.put(line("a"), line("b"), "short,u\n")
+    landing.put(line("b"))
+    run(spark, pipeline, landing, tmp_path, max_files=1, clean_source="delete")
+    os.remove(f"{landing.folder}/events_002.csv")
+    landing.put(line("c"), line("a"), line("d", kind="?"))
+    stream = stream_landing(spark, landing.folder)
+    fresh = replace(pipeline, ledger=Ledger(pipeline.ledger.path))
+    fresh.start(stream, str(tmp_path / "another"), available_now=True).awaitTermination()
+    assert ids(spark, pipeline) == ["a", "b", "c"]
+    stored = pipeline.target.read(spark)
+    assert sorted(r.id for r in stored.select("id").collect()) == [1, 2, 3]
+    assert stored.select("stream_id").distinct().count() == 2
+    ledger = pipeline.ledger.read(spark).collect()
+    assert len(ledger) == 3 and sum(r.written for r in ledger) == 3
+    rejects = spark.read.option("header", True).csv(pipeline.quarantine).collect()
+    assert sorted(r.reasons for r in rejects) == ["corrupt_record", "event_type_unknown"]
+
+
+def test_ids_go_on_after_a_batch_that_was_never_recorded(spark, pipeline, landing, tmp_path):
+    landing.put(line("a"), line("b"))
+    Breaks.left = 9
+    broken = replace(pipeline, target=Breaks(pipeline.target.path))
+    with pytest.raises(StreamingQueryException):
+        run(spark, broken, landing, tmp_path)
+    landing.put(line("c"))
+    stream = stream_landing(spark, landing.folder)
+    pipeline.start(stream, str(tmp_path / "another"), available_now=True).awaitTermination()
+    Breaks.left = 0
+    stored = pipeline.target.read(spark).collect()
+    assert sorted((r.event_id, r.id) for r in stored) == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_a_price_the_table_cannot_hold_does_not_stop_the_stream(spark, pipeline, landing, tmp_path):
+    landing.put(line("a"), line("b").replace("1.50", "100000000"), line("c").replace("1.50", "NaN"))
+    run(spark, replace(pipeline, strict=False), landing, tmp_path)
+    assert ids(spark, pipeline) == ["a"]
+    rejects = spark.read.option("header", True).csv(pipeline.quarantine).collect()
+    assert sorted((r.event_id, r.reasons) for r in rejects) == [
+        ("b", "price_range"), ("c", "price_not_finite")]
+
+
+def test_processing_time_trigger(spark, pipeline, landing, tmp_path):
+    landing.put(line("a"))
+    stream = stream_landing(spark, landing.folder)
+    query = pipeline.start(stream, str(tmp_path / "checkpoint"), trigger="200 milliseconds")
+    try:
+        query.processAllAvailable()
+        landing.put(line("b"), line("a"))
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert ids(spark, pipeline) == ["a", "b"]
+    assert query.exception() is None and not query.isActive
+
+
 def test_parquet_landing(spark, pipeline, tmp_path):
     folder = str(tmp_path / "in")
     fx.dup(spark, SF).drop("delivery").write.parquet(folder)
@@ -224,6 +294,29 @@ def test_hourly_stream_equals_the_report_for_closed_hours(spark, landing, tmp_pa
     assert rows == [(h, 4, 3) for h in (8, 9, 10)]  # 11:00 is open until 12:30
 
 
+def test_trends_are_complete_at_any_time(spark, landing, tmp_path):
+    trends = Trends(str(tmp_path / "trends"))
+    hours = [(f"{h}-{i}", f"2026-01-15 {h:02d}:{i:02d}:00", u)
+             for h in range(8, 13) for i, u in enumerate(["u1", "u1", "u2", "u3"])]
+    for h in range(8, 13):
+        landing.put(*[line(e, t, u) for e, t, u in hours if e.startswith(f"{h}-")])
+    landing.put(line("more", "2026-01-15 12:00:30", "u4"))
+
+    def count(checkpoint, **options):
+        stream = event_clock(landing_events(spark, landing), "30 minutes")
+        trends.start(stream, str(tmp_path / checkpoint), available_now=True).awaitTermination()
+        rows = trends.hourly(spark).collect()
+        return sorted((r.event_hour.hour, r.event_count, r.unique_users) for r in rows)
+
+    complete = [(h, 4, 3) for h in (8, 9, 10, 11)] + [(12, 5, 4)]
+    assert count("checkpoint") == complete
+    assert count("checkpoint") == complete  # nothing new
+    landing.put(line("again", "2026-01-15 12:00:40", "u4"))
+    assert count("checkpoint")[-1] == (12, 6, 4)
+    minutes = {r.minute.strftime("%H:%M"): r.event_count for r in trends.minutes(spark).collect()}
+    assert minutes["12:00"] == 3 and minutes["08:03"] == 1 and sum(minutes.values()) == 22
+
+
 def test_minute_stream(spark, landing, tmp_path):
     landing.put(line("a", "2026-01-15 10:00:05"), line("b", "2026-01-15 10:00:59"))
     landing.put(line("c", "2026-01-15 10:05:00"))

@@ -1,4 +1,7 @@
 import datetime
+import glob
+import os
+import shutil
 from types import SimpleNamespace
 
 import duckdb
@@ -13,6 +16,7 @@ from millrace.sinks import (
     JdbcEvents,
     Ledger,
     export_landing,
+    read_rejected,
     save_bucketed,
     with_retry,
     write_rejected,
@@ -61,29 +65,124 @@ def test_a_replay_that_shrinks_leaves_no_old_rows(spark, events, tmp_path):
     assert stored.count() == few.count() + late.count()
 
 
-def test_many_and_few_rows_get_the_same_ids(spark, events, tmp_path):
-    """Numbering in one task and over ranges of the order agree."""
-    ids = []
-    for name, rows in (("few", events.count()), ("many", None)):
-        table = EventTable(str(tmp_path / name))
-        table.insert_absent(events, 0, rows=rows, last_id=7)
-        ids.append(sorted(table.read(spark).select("id", "event_id").collect()))
-    assert ids[0] == ids[1] and ids[0][0].id == 8
+def test_ids_go_on_in_event_order(spark, events, tmp_path):
+    table = EventTable(str(tmp_path / "t"))
+    table.insert_absent(events, 0, last_id=7)
+    rows = table.read(spark).orderBy("id").select("id", "event_timestamp", "event_id").collect()
+    assert [r.id for r in rows] == list(range(8, 8 + events.count()))
+    assert [r[1:] for r in rows] == sorted(r[1:] for r in rows)
+    assert table.last_id(spark, 1) == rows[-1].id and table.last_id(spark, 0) == 0
+
+
+def test_batches_of_two_streams_do_not_touch_each_other(spark, events, tmp_path):
+    table = EventTable(str(tmp_path / "t"))
+    half = events.where("cast(event_id as bigint) % 2 = 0")
+    first = table.insert_absent(half, 0, stream_id="one")
+    rest = table.insert_absent(events, 0, last_id=first, stream_id="two")
+    assert first + rest == table.read(spark).count() == events.count()
+    assert table.read(spark).select("id").distinct().count() == events.count()
+    assert table.insert_absent(events, 0, last_id=first, stream_id="two") == rest  # a replay
 
 
-def test_within_dates_reads_only_those_partitions(spark, events, tmp_path):
-    table = EventTable(str(tmp_path / "t"), within_dates=True)
+def test_dates_are_read_alone(spark, events, tmp_path):
+    table = EventTable(str(tmp_path / "t"))
     table.insert_absent(events, 0)
     day = between(events, datetime.datetime(2024, 1, 5), datetime.datetime(2024, 1, 6))
     dates = [datetime.date(2024, 1, 5), datetime.date(1999, 1, 1)]
     files = read_events(spark, table.path, dates).inputFiles()
-    assert files and all("event_date=2024-01-05/batch_id=0" in f for f in files)
+    assert files and all("event_date=2024-01-05/stream_id=direct/batch_id=0" in f for f in files)
     assert read_events(spark, table.path, dates).count() == day.count()
     assert read_events(spark, table.path, dates[1:]).count() == 0
-    assert table.insert_absent(day, 1) == 0
-    moved = day.withColumn("event_timestamp", F.expr("event_timestamp + interval 9 days"))
-    assert table.insert_absent(moved, 2) == day.count()  # the documented limit of the option
-    assert EventTable(table.path).insert_absent(moved, 3) == 0
+
+
+def test_an_event_that_changed_its_day_is_still_refused(spark, events, tmp_path):
+    table = EventTable(str(tmp_path / "t"))
+    table.insert_absent(events, 0)
+    moved = events.withColumn("event_timestamp", F.expr("event_timestamp + interval 9 days"))
+    assert table.insert_absent(moved, 1) == 0
+
+
+def _batches(spark, events, table, stream, n=6):
+    """The events in n batches of one stream."""
+    last = table.last_id(spark, 0, stream)
+    for i in range(n):
+        part = events.where(F.pmod(F.xxhash64("event_id"), F.lit(n)) == i)
+        last += table.insert_absent(part, i, last_id=last, stream_id=stream, first=i == 0)
+
+
+def test_a_batch_reads_only_the_buckets_of_its_ids(spark, events, tmp_path):
+    table = EventTable(str(tmp_path / "t"), id_buckets=16, settle_every=3)
+    _batches(spark, events, table, "s")
+    assert table.ids.batches(spark) == {"s": [5]}
+    settled = glob.glob(f"{table.path}/_ids/settled/bucket=*")
+    assert len(settled) == 16
+    few = events.limit(3).cache()
+    hashes = few.select(F.pmod(F.xxhash64("event_id"), F.lit(16)).alias("b")).distinct().collect()
+    read = table.ids.settled(spark, [r.b for r in hashes]).inputFiles()
+    assert {f.split("bucket=")[1].split("/")[0] for f in read} == {str(r.b) for r in hashes}
+    assert table.insert_absent(few, 6, stream_id="s", first=False) == 0
+    assert table.insert_absent(events, 0, stream_id="other") == 0
+    assert table.read(spark).count() == events.count()
+    table.ids.merge(spark)
+    assert len(glob.glob(f"{table.path}/_ids/settled/bucket=*/*.parquet")) == 16
+    assert table.insert_absent(events, 1, stream_id="other") == 0
+
+
+def test_the_last_batch_of_a_stream_can_run_again(spark, events, tmp_path):
+    table = EventTable(str(tmp_path / "t"), settle_every=2)
+    _batches(spark, events, table, "s", 4)
+    table.ids.settle(spark)
+    table.ids.settle(spark)  # safe to repeat
+    last = events.where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == 3)
+    assert table.insert_absent(last, 3, stream_id="s") == last.count()
+    assert table.read(spark).count() == events.count()
+
+
+def test_ids_that_a_broken_batch_did_not_note_are_found(spark, events, tmp_path):
+    table = EventTable(str(tmp_path / "t"))
+    table.insert_absent(events, 0, stream_id="broken")
+    shutil.rmtree(f"{table.path}/_ids")
+    assert table.insert_absent(events, 0, stream_id="next") == 0
+
+
+def test_compaction_keeps_rows_and_replays(spark, events, tmp_path):
+    table = EventTable(str(tmp_path / "t"))
+    _batches(spark, events, table, "s")
+    rows = sorted(table.read(spark).select("id", "event_id").collect())
+    before = len(glob.glob(f"{table.path}/event_date=2024-01-0*/*/*"))
+    table.compact(spark, datetime.date(2024, 1, 10))
+    assert sorted(table.read(spark).select("id", "event_id").collect()) == rows
+    after = glob.glob(f"{table.path}/event_date=2024-01-0*/*/*")
+    assert len(after) < before and any("stream_id=compacted/batch_id=0" in f for f in after)
+    last = events.where(F.pmod(F.xxhash64("event_id"), F.lit(6)) == 5)
+    assert table.insert_absent(last, 5, stream_id="s", last_id=len(rows) - last.count()) == last.count()
+    assert table.insert_absent(events, 0, stream_id="new") == 0
+    moved = os.stat(after[0]).st_mtime
+    table.compact(spark, datetime.date(2024, 1, 10))  # nothing to do: the folders stay
+    assert os.stat(after[0]).st_mtime == moved
+    assert sorted(table.read(spark).select("id", "event_id").collect()) == rows
+
+
+def test_an_interrupted_compaction_is_finished(spark, events, tmp_path, monkeypatch):
+    table = EventTable(str(tmp_path / "t"))
+    _batches(spark, events, table, "s")
+    count = table.read(spark).count()
+    install = EventTable._install
+    calls = []
+
+    def fails(self, spark, aside):
+        calls.append(aside)
+        if len(calls) == 2:
+            raise OSError("broke off")
+        return install(self, spark, aside)
+
+    monkeypatch.setattr(EventTable, "_install", fails)
+    with pytest.raises(OSError):
+        table.compact(spark, datetime.date(2024, 2, 1))
+    assert table.read(spark).count() == count
+    table.compact(spark, datetime.date(2024, 2, 1))
+    assert table.read(spark).count() == table.read(spark).select("event_id").distinct().count() == count
+    assert not os.path.exists(f"{table.path}/_compacting")
 
 
 def test_created_at_is_given_at_write(spark, events, tmp_path):
@@ -186,6 +285,17 @@ def test_views_of_a_stored_table(spark, events, tmp_path):
         )
 
 
+def test_a_trailing_view_reads_only_its_dates(spark, events, tmp_path):
+    from workload.queries import VIEW_LAST_DAY
+
+    write_report_layout(events, str(tmp_path / "t"))
+    register_views(spark.read.parquet(str(tmp_path / "t")))
+    last = spark.sql(VIEW_LAST_DAY)
+    filters = [x.split("]")[0] for x in physical(last).split("PartitionFilters: [")[1:]]
+    assert any("event_date" in f and ">=" in f for f in filters)
+    assert 2 in scanned_partitions(last)
+
+
 def test_a_predicate_on_a_view_reaches_the_scan(spark, events, tmp_path):
     write_report_layout(events, str(tmp_path / "t"))
     register_views(spark.read.parquet(str(tmp_path / "t")))
@@ -232,6 +342,17 @@ def test_rejected_rows_are_replaced(spark, tmp_path):
     assert back.count() == 3 and back.select("batch_id").distinct().collect() == [(7,)]
 
 
+def test_rejected_text_is_kept_as_it_came(spark, tmp_path):
+    rows = [(" 2026-01-15 10:00:00", "timestamp_unparsable", None), (None, "corrupt_record", "  short,u  "),
+            ("", 'quo"te', "a,b")]
+    df = spark.createDataFrame(rows, "timestamp string, reasons string, _corrupt_record string")
+    write_rejected(df, str(tmp_path / "r"), 1, stream_id="s")
+    back = read_rejected(spark, str(tmp_path / "r"), ["timestamp", "reasons", "raw_line"])
+    got = [(r.timestamp or "", r.reasons, r.raw_line) for r in back.collect()]
+    assert sorted(got) == sorted((t or "", x, raw) for t, x, raw in rows)
+    assert {(r.stream_id, r.batch_id) for r in back.collect()} == {("s", 1)}
+
+
 def test_ledger_continues_ids(spark, tmp_path):
     path = str(tmp_path / "l")
     ledger = Ledger(path)
@@ -241,6 +362,10 @@ def test_ledger_continues_ids(spark, tmp_path):
         ledger.record(spark, batch_id, {**counts, "last_id": last_id})
     assert ledger.last_id(spark, 2) == Ledger(path).last_id(spark, 2) == 25
     assert ledger.last_id(spark, 1) == 10  # a replay of batch 1 ignores its own row
+    assert ledger.last_id(spark, 0, "another") == 25  # a new stream goes on after the others
+    ledger.record(spark, 0, {**counts, "last_id": 30}, "another")
+    assert ledger.read(spark).count() == 3
+    assert Ledger(path).last_id(spark, 2) == 30
 
 
 def test_retry():
@@ -273,64 +398,121 @@ def test_merge_statement_inserts_only_new_ids():
 
 
 class Connection:
-    """Stands in for a JDBC connection and notes what is asked of it."""
+    """A JDBC connection's methods on a DuckDB connection; notes what is asked of it."""
+
+    def __init__(self, con, fails_at=None):
+        self.con, self.calls, self.fails_at = con, [], fails_at
+
+    def setAutoCommit(self, on):
+        assert not on
+        self.con.execute("begin")
+
+    def createStatement(self):
+        return self
+
+    def setQueryTimeout(self, seconds):
+        self.calls.append(("timeout", seconds))
+
+    def executeUpdate(self, sql):
+        if self.fails_at and self.fails_at in sql:
+            raise OSError("connection lost")
+        rows = self.con.execute(sql).fetchall()
+        return rows[0][0] if rows else 0
+
+    def executeQuery(self, sql):
+        rows = iter(self.con.execute(sql).fetchall())
+        found = SimpleNamespace(row=None)
+
+        def step():
+            found.row = next(rows, None)
+            return found.row is not None
 
-    def __init__(self, fails=False):
-        self.calls, self.fails = [], fails
+        return SimpleNamespace(next=step, getLong=lambda i: found.row[i - 1])
 
-    def __getattr__(self, name):
-        def note(*args):
-            self.calls.append((name, *args))
-            if name == "createStatement":
-                return self
-            if name == "executeUpdate":
-                if self.fails:
-                    raise OSError("connection lost")
-                return 3
-            return None
+    def commit(self):
+        self.calls.append("commit")
+        self.con.execute("commit")
 
-        return note
+    def rollback(self):
+        self.calls.append("rollback")
+        self.con.execute("rollback")
 
+    def close(self):
+        self.calls.append("close")
 
-def transaction(connection):
+
+@pytest.fixture
+def staged():
+    """A table that holds one of two staged events."""
+    con = duckdb.connect()
+    columns = ", ".join(f"{c} varchar" for c in EVENT_COLUMNS)
+    con.execute(f"create table user_events ({columns})")
+    rest = ", ".join("'x'" for _ in EVENT_COLUMNS[1:])
+    con.execute(f"insert into user_events values ('a', {rest})")
+
+    def stage():
+        con.execute(f"create or replace table s ({columns})")
+        con.execute(f"insert into s values ('a', {rest}), ('b', {rest})")
+
+    stage()
+    return con, stage
+
+
+def move(connection, batch_id=3):
+    properties = SimpleNamespace(setProperty=lambda key, value: None)
     jvm = SimpleNamespace(
         java=SimpleNamespace(
-            util=SimpleNamespace(Properties=Connection),
+            util=SimpleNamespace(Properties=lambda: properties),
             sql=SimpleNamespace(
                 DriverManager=SimpleNamespace(getConnection=lambda url, properties: connection)
             ),
         )
     )
     target = JdbcEvents(Database("jdbc:x", "u", "p", query_timeout=9))
-    return target._in_transaction(SimpleNamespace(_jvm=jvm), "INSERT", "DROP")
+    return target._move(SimpleNamespace(_jvm=jvm), "s", "stream-1", batch_id)
+
+
+def test_staged_rows_move_in_one_transaction(staged):
+    con, _ = staged
+    connection = Connection(con)
+    assert move(connection) == 1
+    assert connection.calls == [("timeout", 9), "commit", "close"]
+    assert con.execute("select event_id from user_events order by 1").fetchall() == [("a",), ("b",)]
+    assert con.execute("select * from user_events_batches").fetchall() == [("stream-1", 3, 1)]
 
 
-def test_staged_rows_move_in_one_transaction():
-    connection = Connection()
-    assert transaction(connection) == 3
-    assert [c for c in connection.calls if c[0] not in ("createStatement", "setQueryTimeout")] == [
-        ("setAutoCommit", False), ("executeUpdate", "INSERT"), ("close",),
-        ("executeUpdate", "DROP"), ("close",), ("commit",), ("close",),
-    ]
-    assert ("setQueryTimeout", 9) in connection.calls
+def test_a_repeat_after_a_lost_answer_returns_what_was_stored(staged):
+    con, stage = staged
+    assert move(Connection(con)) == 1
+    stage()
+    assert move(Connection(con)) == 1
+    stage()
+    assert move(Connection(con), batch_id=4) == 0
+    assert con.execute("select sum(written) from user_events_batches").fetchone() == (1,)
 
 
-def test_a_failed_move_is_rolled_back():
-    connection = Connection(fails=True)
+def test_a_failed_move_is_rolled_back(staged):
+    con, _ = staged
+    connection = Connection(con, fails_at="DROP TABLE")
     with pytest.raises(OSError):
-        transaction(connection)
-    names = [c[0] for c in connection.calls]
-    assert "commit" not in names and names[-2:] == ["rollback", "close"]
+        move(connection)
+    assert connection.calls[-2:] == ["rollback", "close"]
+    assert con.execute("select count(*) from user_events").fetchone() == (1,)
 
 
 def test_database_settings(spark, monkeypatch):
+    for name in ("PASSWORD", "DB", "USER"):
+        monkeypatch.delenv(f"POSTGRES_{name}", raising=False)
     monkeypatch.setenv("POSTGRES_HOST", "db")
-    monkeypatch.delenv("POSTGRES_PASSWORD", raising=False)
+    with pytest.raises(ValueError, match="POSTGRES_DB, POSTGRES_USER"):
+        Database.from_environment()
+    monkeypatch.setenv("POSTGRES_DB", "shop")
+    monkeypatch.setenv("POSTGRES_USER", "writer")
     database = Database.from_environment()
     assert database.options() == {
-        "url": "jdbc:postgresql://db:5432/ecommerce_events",
+        "url": "jdbc:postgresql://db:5432/shop",
         "driver": "org.postgresql.Driver",
-        "user": "postgres",
+        "user": "writer",
     }
     assert "secret" not in repr(Database("jdbc:x", password="secret"))
     assert not database.reachable(spark)  # the driver is not on the class path

@@ -3,22 +3,37 @@
 # The same derivation as in fixtures.py.
 _RAW = """
 raw as (
-  select cast(e.event_id as varchar) as event_id,
+  select case when e.event_id % 101 = 0 then null
+         when e.event_id % 149 = 0 then lpad(cast(e.event_id as varchar), 60, '0')
+         else cast(e.event_id as varchar) end as event_id,
     case when e.event_id % 97 = 0 then null
          when e.event_id % 89 = 0 then concat('  user_', cast(e.user_id as varchar), ' ')
+         when e.event_id % 127 = 0 then rpad(concat('user_', cast(e.user_id as varchar)), 60, '0')
          else concat('user_', cast(e.user_id as varchar)) end as user_id,
-    concat('prod_', cast(p.p_partkey as varchar)) as product_id,
-    p.p_name as product_name,
-    p.p_type as category,
+    case when e.event_id % 107 = 0 then null
+         when e.event_id % 139 = 0 then rpad(concat('prod_', cast(p.p_partkey as varchar)), 60, '0')
+         else concat('prod_', cast(p.p_partkey as varchar)) end as product_id,
+    case when e.event_id % 109 = 0 then '  '
+         when e.event_id % 131 = 0 then rpad(p.p_name, 300, 'x')
+         else p.p_name end as product_name,
+    case when e.event_id % 113 = 0 then null
+         when e.event_id % 137 = 0 then rpad(p.p_type, 120, 'x')
+         else p.p_type end as category,
     case when e.event_id % 53 = 0 then null
          when e.event_id % 59 = 0 then -e.value
+         when e.event_id % 41 = 0 or e.event_id % 43 = 0 or e.event_id % 47 = 0 then e.value
+         when e.event_id % 157 = 0 then 'infinity'::double
+         when e.event_id % 163 = 0 then 1e8
          else e.value end as price,
     case when e.event_id % 61 = 0 then null
+         when e.event_id % 167 = 0 then 'wishlist'
          when e.event_type = 'click' then ' ADD_TO_CART '
          when e.event_type = 'view' then 'View'
          else e.event_type end as event_type,
     case when e.event_id % 71 = 0 then 'not-a-date'
          when e.event_id % 73 = 0 then strftime(e.ts, '%Y-%m-%dT%H:%M:%S')
+         when e.event_id % 79 = 0 then strftime(e.ts, ' %Y-%m-%d %H:%M:%S')
+         when e.event_id % 173 = 0 then null
          else strftime(e.ts, '%Y-%m-%d %H:%M:%S') end as "timestamp"
   from events e
   join part p on cast(json_extract(e.props, '$.k') as bigint) = p.p_partkey
@@ -40,7 +55,8 @@ clean as (
     lower(nullif(trim(event_type), '')) as event_type,
     "timestamp",
     delivery,
-    try_strptime("timestamp", '%Y-%m-%d %H:%M:%S') as event_timestamp
+    case when "timestamp" not like ' %'
+      then try_strptime("timestamp", '%Y-%m-%d %H:%M:%S') end as event_timestamp
   from dup
 )"""
 
@@ -52,11 +68,17 @@ _TIME = {
     "timestamp_null": '"timestamp" is null',
     "timestamp_unparsable": '"timestamp" is not null and event_timestamp is null',
 }
+_UNSTORABLE = {
+    "price_not_finite": _INFINITE,
+    "price_range": f"price is not null and not {_INFINITE}"
+    " and try_cast(price as decimal(10,2)) is null",
+}
 _BASIC = {
     **{f"{c}_null": f"{c} is null" for c in ("event_id", "user_id", "product_id", "event_type")},
     "event_type_unknown": _UNKNOWN,
     "price_null": "price is null",
     "price_not_positive": "coalesce(price <= 0, false)",
+    **_UNSTORABLE,
     **_TIME,
 }
 _RULES = {
@@ -65,16 +87,16 @@ _RULES = {
     **{f"{c}_length": f"coalesce(length({c}) > {n}, false)" for c, n in _LIMITS.items()},
     "price_null": "price is null",
     "price_not_positive": "coalesce(price <= 0, false)",
-    "price_not_finite": _INFINITE,
-    "price_range": f"price is not null and not {_INFINITE}"
-    " and try_cast(price as decimal(10,2)) is null",
+    **_UNSTORABLE,
     **_TIME,
 }
 
-_VERDICT = """
+_SHORT = " and ".join(f"length({c}) <= {n}" for c, n in _LIMITS.items())
+_VERDICT = f"""
 v as (
-  select *, coalesce(event_id is not null and user_id is not null and product_id is not null
+  select *, coalesce({_SHORT}
       and event_type in ('view', 'add_to_cart', 'purchase') and price > 0
+      and try_cast(price as decimal(10,2)) is not null
       and event_timestamp is not null, false) as is_valid
   from clean
 )"""
@@ -82,7 +104,7 @@ v as (
 _EVENTS = """
 ue as (
   select event_id, user_id, product_id, product_name, category,
-    cast(price as decimal(10,2)) as price, event_type, event_timestamp
+    try_cast(price as decimal(10,2)) as price, event_type, event_timestamp
   from (
     select *, row_number() over (
       partition by event_id order by event_timestamp, delivery) as nth
@@ -133,6 +155,9 @@ _HOURLY = """select date_trunc('hour', event_timestamp) as event_hour, event_typ
   count(*) as event_count, count(distinct user_id) as unique_users
 from ue group by 1, 2"""
 
+_LAST_DAY = f"""select * from ({_HOURLY}) h
+where event_hour > (select max(event_timestamp) from ue) - interval 24 hour"""
+
 _FUNNEL = """select user_id,
   count(*) filter (where event_type = 'view') as views,
   count(*) filter (where event_type = 'add_to_cart') as cart_adds,
@@ -154,7 +179,8 @@ _RANGE = f"""select {_COLUMNS} from ue
 where event_timestamp >= timestamp '2024-01-10' and event_timestamp < timestamp '2024-01-20'"""
 
 _CREATED = """stored as (
-  select *, event_timestamp + to_seconds(10 - second(event_timestamp) % 10) as created_at from ue
+  select *, case when cast(event_id as bigint) % 83 <> 0 then
+    event_timestamp + to_seconds(10 - second(event_timestamp) % 10) end as created_at from ue
 ), waits as (
   select *, cast(date_diff('second', event_timestamp, created_at) as double) as latency from stored
 )"""
@@ -165,7 +191,7 @@ _PROFILE = f"""profile as (
     count(*) filter (where event_type = 'view') as view_events,
     count(*) filter (where event_type = 'add_to_cart') as add_to_cart_events,
     count(*) filter (where event_type = 'purchase') as purchase_events,
-    {_mean("cast(price as decimal(10,2))")} as avg_price,
+    {_mean("try_cast(price as decimal(10,2))")} as avg_price,
     min(event_timestamp) as first_event, max(event_timestamp) as last_event
   from clean where delivery = 0 group by 1
 )"""
@@ -175,10 +201,10 @@ _PRICE_TEXT = (
     "case when cast(event_id as bigint) % 41 = 0 then 'invalid_price'"
     " else coalesce(cast(price as varchar), '') end"
 )
-_HEAD = "event_id, coalesce(user_id, ''), product_id"
+_HEAD = "event_id, coalesce(user_id, ''), coalesce(product_id, '')"
 _LINE = (
-    f"concat_ws(',', {_HEAD}, product_name, category, {_PRICE_TEXT},"
-    " coalesce(event_type, ''), \"timestamp\")"
+    f"concat_ws(',', {_HEAD}, coalesce(product_name, ''), coalesce(category, ''), {_PRICE_TEXT},"
+    " coalesce(event_type, ''), coalesce(\"timestamp\", ''))"
 )
 _NUMBER = "cast(event_id as bigint)"
 _BROKEN = f"({_NUMBER} % 41 = 0 or {_NUMBER} % 43 = 0 or {_NUMBER} % 47 = 0)"
@@ -190,7 +216,24 @@ _LINES = f"""lines as (
   from raw where {_BROKEN}
 )"""
 
-_CLOSED = "(select max(event_timestamp) - interval 2 hour from ue)"
+_LINED = f"lined as (select event_id, {_LINE} as line from raw where event_id is not null)"
+# A line whose price is not a number.
+_UNREAD = f"coalesce({_NUMBER} % 41 = 0, false)"
+
+# Stored rows that break the contract, as in fixtures.nonconforming.
+_ODD = f"""odd as (
+  select case when {_NUMBER} % 2 = 0 then concat_ws('-', substr(md5(event_id), 1, 8),
+      substr(md5(event_id), 9, 4), substr(md5(event_id), 13, 4), substr(md5(event_id), 17, 4),
+      substr(md5(event_id), 21, 12)) else event_id end as event_id,
+    user_id, product_id, case when {_NUMBER} % 17 <> 0 then product_name end as product_name,
+    case when {_NUMBER} % 19 = 0 then rpad(category, 101, 'x') else category end as category,
+    case when {_NUMBER} % 11 = 0 then -price else price end as price,
+    case when {_NUMBER} % 7 = 0 then 'other' else event_type end as event_type,
+    case when {_NUMBER} % 13 <> 0 then event_timestamp end as event_timestamp
+  from ue
+)"""
+_LOSSY = f"""kept as (select * from ue where {_NUMBER} % 31 <> 0),
+stored as (select * from kept union all select * from kept where {_NUMBER} % 37 = 0)"""
 
 ORACLES = {
     "events_scan": _from_ue(f"select {_COLUMNS} from ue"),
@@ -209,7 +252,7 @@ where (event_id is not null and user_id is not null and product_id is not null
     ),
     "rule_violations": _from_clean(_violations(_RULES)),
     "basic_rule_violations": _from_clean(_violations(_BASIC)),
-    "conformance_report": _from_ue(
+    "conformance_report": _with(_RAW, _CLEAN, _VERDICT, _EVENTS, _ODD)(
         """select count(*) as checked_rows,
   count(*) filter (where not regexp_full_match(event_id,
     '[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}')) as bad_event_id,
@@ -222,7 +265,7 @@ where (event_id is not null and user_id is not null and product_id is not null
   count(*) filter (where length(event_id) > 50 or length(user_id) > 50
     or length(product_id) > 50 or length(product_name) > 255 or length(category) > 100
     or length(event_type) > 20) as too_long
-from ue"""
+from odd"""
     ),
     "malformed_rows": _with(_RAW, _LINES)("select event_id, line from lines"),
     "malformed_reasons": _from_v(
@@ -261,10 +304,7 @@ from (select *, cast(case when cast(event_id as bigint) % 3 = 0 then 0 else 1 en
     ),
     "event_summary": _from_ue(_SUMMARY),
     "hourly_events": _from_ue(_HOURLY),
-    "hourly_events_last_24h": _from_ue(
-        f"""select * from ({_HOURLY}) h
-where event_hour > (select max(event_timestamp) from ue) - interval 24 hour"""
-    ),
+    "hourly_events_last_24h": _from_ue(_LAST_DAY),
     "purchase_funnel": _from_ue(_FUNNEL),
     "funnel_buyers": _from_ue(f"select * from ({_FUNNEL}) f where purchases > 0"),
     "top_products": _from_ue(_PRODUCTS),
@@ -306,14 +346,16 @@ from (select (select count(*) from raw) as landed, count(*) as stored,
         count(*) filter (where latency < 30) as in_time, max(latency) as max_latency
       from waits) t"""
     ),
-    "integrity_report": _from_ue(
+    "integrity_report": _with(_RAW, _CLEAN, _VERDICT, _EVENTS, _LOSSY)(
         """select (select count(*) from v) as landed_rows,
+  (select count(*) from v where event_id is null) as landed_without_id,
   (select count(distinct event_id) from v) as landed_ids,
-  (select count(*) from ue) as stored_rows,
-  (select count(*) - count(distinct event_id) from ue) as duplicates,
+  (select count(*) from stored) as stored_rows,
+  (select count(*) - count(distinct event_id) from stored) as duplicates,
   (select count(distinct event_id) from v where not is_valid) as rejected_ids,
-  (select count(distinct event_id) from v where event_id not in (select event_id from ue)
-     and event_id not in (select event_id from v where not is_valid)) as lost_ids"""
+  (select count(distinct event_id) from v where event_id not in (select event_id from stored)
+     and event_id not in
+       (select event_id from v where not is_valid and event_id is not null)) as lost_ids"""
     ),
     "batch_ledger": _from_v(
         f"""select {_FILE} as batch, count(*) as received,
@@ -330,7 +372,7 @@ from (select file_no, events, count(*) over w as files_so_far,
         cast(date_diff('second', min(first_event) over w, max(last_event) over w) as double)
           as elapsed_seconds
       from profile
-      window w as (order by file_no rows between unbounded preceding and current row)) t"""
+      window w as (order by file_no nulls first rows between unbounded preceding and current row)) t"""
     ),
     "run_summary": _from_profile(
         """select total_events, total_files, elapsed_seconds,
@@ -347,18 +389,32 @@ from (select cast(sum(events) as bigint) as total_events, count(*) as total_file
     "view_recent_activity": _from_ue(_RECENT),
     "stream_parquet": _from_ue(f"select {_COLUMNS} from ue"),
     "stream_restart": _from_ue(f"select {_COLUMNS} from ue"),
+    "compacted_table": _from_ue(f"select {_COLUMNS} from ue"),
     "stream_dedup_events": _from_ue(f"select {_COLUMNS} from ue"),
     "stream_ledger": _from_v(
-        """select count(*) as received, cast(0 as bigint) as corrupt,
-  count(*) filter (where is_valid) as valid, count(*) filter (where not is_valid) as invalid,
-  count(distinct event_id) filter (where is_valid) as kept,
-  count(distinct event_id) filter (where is_valid) as written
+        f"""select count(*) as received, count(*) filter (where {_UNREAD}) as corrupt,
+  count(*) filter (where is_valid and not {_UNREAD}) as valid,
+  count(*) filter (where not is_valid or {_UNREAD}) as invalid,
+  count(*) filter (where is_valid and not {_UNREAD}) as kept,
+  count(distinct event_id) filter (where is_valid and not {_UNREAD}) as written,
+  true as several_batches
 from v"""
     ),
-    "stream_hourly": _from_ue(
-        f"select * from ({_HOURLY}) h where event_hour + interval 1 hour <= {_CLOSED}"
+    "stream_quarantine": _with(_RAW, _CLEAN, _VERDICT, _LINED)(
+        f"""select event_id, user_id, "timestamp", case when {_UNREAD} then line end as raw_line,
+  case when {_UNREAD} then 'corrupt_record' else {_REASONS} end as reasons
+from v left join lined using (event_id) where not is_valid or {_UNREAD}"""
     ),
-    "stream_minutes": _from_ue(
-        f"select * from ({_MINUTES}) m where minute + interval 1 minute <= {_CLOSED}"
+    "stream_new_checkpoint": _from_ue(
+        """select count(*) as stored_rows, count(*) as stored_ids, count(*) as numbers,
+  count(*) as last_number, cast(2 as bigint) as streams, count(*) as written from ue"""
+    ),
+    "stream_hourly": _from_ue(_HOURLY),
+    "stream_minutes": _from_ue(_MINUTES),
+    "stored_recent_activity": _from_ue(_RECENT),
+    "stored_recent_10": _from_ue(
+        f"select {_COLUMNS} from ue order by event_timestamp desc, event_id limit 10"
     ),
+    "stored_last_24h": _from_ue(_LAST_DAY),
+    "view_hourly_last_24h": _from_ue(_LAST_DAY),
 }

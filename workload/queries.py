@@ -11,9 +11,10 @@ from millrace.model import CORRUPT, EVENT_COLUMNS, LANDING_COLUMNS
 from millrace.plans import files, health, reports
 from millrace.plans.views import register_views
 from millrace.session import SETTINGS, new_folder
-from millrace.sinks import EventTable, Ledger, export_landing, write_report_layout
+from millrace.sinks import EventTable, Ledger, export_landing, read_rejected, write_report_layout
 from millrace.sources import between, malformed, read_landing, stream_landing
-from millrace.streaming import Pipeline, event_clock, hourly_stream, minute_stream, stream_dedup
+from millrace.sources.landing import SOURCE_FILE, SOURCE_TIME
+from millrace.streaming import Pipeline, Trends, event_clock, stream_dedup
 from workload import fixtures as fx
 
 QUERIES = {}
@@ -74,14 +75,13 @@ def basic_rule_violations(spark, sf_dir):
 
 @query
 def conformance_report(spark, sf_dir):
-    return op.conformance_report(fx.user_events(spark, sf_dir))
+    return op.conformance_report(fx.nonconforming(fx.user_events(spark, sf_dir)))
 
 
 def _broken_lines(spark, sf_dir):
     """The landing rows as CSV lines, some with a bad price, too few or too many fields."""
     number = F.col("event_id").cast("bigint")
-    price = F.when(number % 41 == 0, "invalid_price").otherwise(F.col("price").cast("string"))
-    fields = [price if c == "price" else F.col(c) for c in LANDING_COLUMNS]
+    fields = [fx.unreadable_price() if c == "price" else F.col(c) for c in LANDING_COLUMNS]
     full = [F.coalesce(f, F.lit("")) for f in fields]
     line = (
         F.when(number % 43 == 0, F.concat_ws(",", *full[:3]))
@@ -183,9 +183,29 @@ _report("latency_stats", lambda events: health.latency_stats(fx.with_created_at(
 @query
 def stored_date_range(spark, sf_dir):
     """date_range over a table laid out by date, type and time."""
+    return _january_days(_laid_out(spark, sf_dir)).select(*EVENT_COLUMNS)
+
+
+def _laid_out(spark, sf_dir):
     path = new_folder(spark, "layout")
     write_report_layout(fx.user_events(spark, sf_dir), path)
-    return _january_days(spark.read.parquet(path)).select(*EVENT_COLUMNS)
+    return spark.read.parquet(path)
+
+
+@query
+def stored_recent_activity(spark, sf_dir):
+    """recent_activity over a table laid out by date: only the newest dates are read."""
+    return reports.recent_activity(_laid_out(spark, sf_dir))
+
+
+@query
+def stored_recent_10(spark, sf_dir):
+    return reports.recent_events(_laid_out(spark, sf_dir)).select(*EVENT_COLUMNS)
+
+
+@query
+def stored_last_24h(spark, sf_dir):
+    return _last_day(_laid_out(spark, sf_dir))
 
 
 @query
@@ -196,8 +216,10 @@ def slo_report(spark, sf_dir):
 
 @query
 def integrity_report(spark, sf_dir):
+    """Over a table that lost some events and holds others twice."""
     judged = fx.judged(spark, sf_dir)
-    return health.integrity_report(judged, fx.user_events(spark, sf_dir), op.rejected(judged))
+    stored = fx.with_losses(fx.user_events(spark, sf_dir))
+    return health.integrity_report(judged, stored, op.rejected(judged))
 
 
 @query
@@ -249,6 +271,19 @@ for _name, _sql in VIEW_SQL.items():
     _view(_name, _sql)
 
 
+# The trailing hours of the view over a stored table; the date skips the older files.
+VIEW_LAST_DAY = """
+SELECT event_hour, event_type, event_count, unique_users FROM v_hourly_events_by_date
+WHERE event_hour > (SELECT max(event_timestamp) FROM user_events) - INTERVAL '24' HOUR
+  AND event_date >= (SELECT to_date(max(event_timestamp) - INTERVAL '24' HOUR) FROM user_events)"""
+
+
+@query
+def view_hourly_last_24h(spark, sf_dir):
+    register_views(_laid_out(spark, sf_dir))
+    return spark.sql(VIEW_LAST_DAY)
+
+
 # ---- streams -------------------------------------------------------------------
 
 
@@ -262,15 +297,34 @@ def _stream_session(spark):
     return session
 
 
-def _event_stream(session, sf_dir):
-    """The landing rows with re-deliveries, streamed from the event table."""
-    schema = fx.events(session, sf_dir).schema
-    events = (
-        session.readStream.schema(schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf_dir)
-    )
-    return fx.with_redeliveries(fx.as_landing(events, fx.parts(session, sf_dir)))
+class _Landing:
+    """Landing files of the test events: the originals first, the re-deliveries later.
+
+    With corrupt, some prices are not numbers, so that their lines do not parse.
+    """
+
+    def __init__(self, session, sf_dir, corrupt=False):
+        self.session, self.folder = session, new_folder(session, "landing")
+        rows = fx.dup(session, sf_dir)
+        if corrupt:
+            rows = rows.withColumn("price", fx.unreadable_price())
+        self.rows = rows
+        # Two files are a micro-batch below, so the originals come in several.
+        self.files = max(8, session.sparkContext.defaultParallelism)
+
+    def deliver(self, number):
+        part = self.rows.where(F.col("delivery") == number).drop("delivery")
+        export_landing(part.repartition(self.files), self.folder)
+
+    def stream(self):
+        return stream_landing(self.session, self.folder, max_files=2)
+
+    def run(self, start):
+        """start(stream) begins a query that works off what has landed: once after the
+        originals and, on the same checkpoint, once more after the re-deliveries."""
+        for number in (0, 1):
+            self.deliver(number)
+            start(self.stream()).awaitTermination()
 
 
 def _pipeline(session):
@@ -284,10 +338,11 @@ def _run(query):
     query.awaitTermination()
 
 
-def _ingested(spark, sf_dir):
+def _ingested(spark, sf_dir, corrupt=False):
     session = _stream_session(spark)
     pipeline, checkpoint = _pipeline(session)
-    _run(pipeline.start(_event_stream(session, sf_dir), checkpoint, available_now=True))
+    _Landing(session, sf_dir, corrupt).run(
+        lambda stream: pipeline.start(stream, checkpoint, available_now=True))
     return pipeline
 
 
@@ -298,9 +353,54 @@ def stream_parquet(spark, sf_dir):
 
 @query
 def stream_ledger(spark, sf_dir):
+    """Counts over all batches, with lines that do not parse."""
     counts = ("received", "corrupt", "valid", "invalid", "kept", "written")
-    ledger = _ingested(spark, sf_dir).ledger.read(spark)
-    return ledger.agg(*[F.sum(c).alias(c) for c in counts])
+    ledger = _ingested(spark, sf_dir, corrupt=True).ledger.read(spark)
+    return ledger.agg(
+        *[F.sum(c).alias(c) for c in counts], (F.count("*") >= 4).alias("several_batches"))
+
+
+@query
+def stream_quarantine(spark, sf_dir):
+    """The rejected rows read back, with the raw text of lines that do not parse."""
+    pipeline = _ingested(spark, sf_dir, corrupt=True)
+    columns = [*LANDING_COLUMNS, "raw_line", SOURCE_FILE, SOURCE_TIME, "event_timestamp", "reasons"]
+    rows = read_rejected(spark, pipeline.quarantine, columns)
+    return rows.select("event_id", "user_id", "timestamp", "raw_line", "reasons")
+
+
+@query
+def stream_new_checkpoint(spark, sf_dir):
+    """The originals with one checkpoint, the re-deliveries and what came last with another,
+    into the same table: nothing stored is lost, ids go on."""
+    session = _stream_session(spark)
+    pipeline, checkpoint = _pipeline(session)
+    landing = _Landing(session, sf_dir)
+    last = F.coalesce(F.col("timestamp") > "2024-01-20", F.lit(False)) | (F.col("delivery") == 1)
+    for number, part in enumerate((landing.rows.where(~last), landing.rows.where(last))):
+        # The second stream starts anew and takes the folder's earlier files again as well.
+        export_landing(part.repartition(landing.files), landing.folder)
+        _run(pipeline.start(landing.stream(), f"{checkpoint}-{number}", available_now=True))
+    stored = pipeline.target.read(spark)
+    written = pipeline.ledger.read(spark).agg(F.sum("written"))
+    return stored.agg(
+        F.count("*").alias("stored_rows"), F.count_distinct("event_id").alias("stored_ids"),
+        F.count_distinct("id").alias("numbers"), F.max("id").alias("last_number"),
+        F.count_distinct("stream_id").alias("streams"),
+    ).withColumn("written", written.scalar())
+
+
+@query
+def compacted_table(spark, sf_dir):
+    """A table of many batches, its closed dates rewritten, with re-deliveries after that."""
+    session = _stream_session(spark)
+    pipeline, checkpoint = _pipeline(session)
+    landing = _Landing(session, sf_dir)
+    for number in (0, 1):
+        landing.deliver(number)
+        _run(pipeline.start(landing.stream(), checkpoint, available_now=True))
+        pipeline.target.compact(session, datetime.date(2024, 1, 20))
+    return pipeline.target.read(spark).select(*EVENT_COLUMNS)
 
 
 class _FailsOnce(EventTable):
@@ -322,52 +422,55 @@ def stream_restart(spark, sf_dir):
     after a part of the events was delivered again in new files."""
     session = _stream_session(spark)
     healthy, checkpoint = _pipeline(session)
-    landing = new_folder(session, "landing")
-    raw = fx.raw(session, sf_dir)
-    export_landing(raw.repartition(4), landing)
-    stream = stream_landing(session, landing, max_files=2)
+    landing = _Landing(session, sf_dir)
+    landing.deliver(0)
     _FailsOnce.broken = False
     failing = replace(healthy, target=_FailsOnce(healthy.target.path), attempts=1)
     try:
-        _run(failing.start(stream, checkpoint, available_now=True))
+        _run(failing.start(landing.stream(), checkpoint, available_now=True))
     except StreamingQueryException:
         pass
-    again = fx.with_redeliveries(raw).where("delivery = 1")
-    export_landing(again.coalesce(1), landing)
-    stream = stream_landing(session, landing, max_files=2)
-    _run(healthy.start(stream, checkpoint, available_now=True))
+    landing.deliver(1)
+    _run(healthy.start(landing.stream(), checkpoint, available_now=True))
     return healthy.target.read(spark).select(*EVENT_COLUMNS)
 
 
-def _valid_stream(session, sf_dir, delay):
-    judged = op.judge(op.clean(_event_stream(session, sf_dir)))
-    return event_clock(op.to_event_columns(op.valid(judged)), delay)
+def _valid(stream):
+    """The valid events of a landing stream; the test events' times are a month apart."""
+    judged = op.judge(op.clean(stream))
+    return event_clock(op.to_event_columns(op.valid(judged)), "31 days")
 
 
-def _to_files(spark, session, stream):
+@query
+def stream_dedup_events(spark, sf_dir):
+    session = _stream_session(spark)
     base = new_folder(session, "stream")
-    writer = stream.writeStream.format("parquet").outputMode("append")
-    writer = writer.option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
-    _run(writer.trigger(availableNow=True).start())
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
+    def start(stream):
+        events = stream_dedup(_valid(stream)).select(*EVENT_COLUMNS)
+        writer = events.writeStream.format("parquet").outputMode("append")
+        writer = writer.option("path", f"{base}/out")
+        return writer.option("checkpointLocation", f"{base}/checkpoint").trigger(
+            availableNow=True).start()
 
-@query
-def stream_dedup_events(spark, sf_dir):
+    _Landing(session, sf_dir).run(start)
+    return spark.read.schema(fx.user_events(spark, sf_dir).schema).parquet(f"{base}/out")
+
+
+def _trends(spark, sf_dir):
     session = _stream_session(spark)
-    events = stream_dedup(_valid_stream(session, sf_dir, "31 days"))
-    return _to_files(spark, session, events.select(*EVENT_COLUMNS))
+    base = new_folder(session, "trends")
+    trends = Trends(f"{base}/counts")
+    _Landing(session, sf_dir).run(lambda stream: trends.start(
+        stream_dedup(_valid(stream)), f"{base}/checkpoint", available_now=True))
+    return trends
 
 
 @query
 def stream_hourly(spark, sf_dir):
-    session = _stream_session(spark)
-    events = stream_dedup(_valid_stream(session, sf_dir, "2 hours"))
-    return _to_files(spark, session, hourly_stream(events))
+    return _trends(spark, sf_dir).hourly(spark)
 
 
 @query
 def stream_minutes(spark, sf_dir):
-    session = _stream_session(spark)
-    events = stream_dedup(_valid_stream(session, sf_dir, "2 hours"))
-    return _to_files(spark, session, minute_stream(events))
+    return _trends(spark, sf_dir).minutes(spark)
