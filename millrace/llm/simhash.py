@@ -8,8 +8,9 @@ the range join is an equi-join on the cells of all projections.  In a cell, pair
 by the Manhattan distance first and then by the exact Hamming distance; no link is lost.
 
 Only different fingerprints are compared: copies meet in a grouping that combines in the tasks.
-A cell gives at most one row per member (a forest of its links), never its pairs.  Cells above
-``block`` members are cut into blocks, and each pair of blocks is compared in a task of its own.
+A cell gives at most one row per member (a forest of its links), never its pairs.  The task that
+reads a cell compares within blocks of ``block`` members; the members of larger cells go on to
+tasks that compare a pair of blocks each.
 
 Null and empty texts have fingerprint 0 and are linked like any other.  Rows that repeat a
 doc_id are fingerprinted by themselves.  component_id is the smallest doc_id of the component,
@@ -27,7 +28,7 @@ from millrace.llm.components import components
 from millrace.llm.text import written
 
 BITS, SEGMENT_BITS, SEED = 64, 2, 42
-DISTANCE, GROUPS, BLOCK = 4, 7, 512
+DISTANCE, GROUPS, BLOCK = 4, 8, 1024
 WORDS = 4
 
 # Rows of sorted cells that a task compares at once, and shingles whose bits it adds at once.
@@ -170,7 +171,61 @@ def _cell_links(fps, key, part, distance):
     return _forest(len(key), np.concatenate(lefts), np.concatenate(rights))
 
 
-def _linker(distance):
+def _cell_linker(distance, block):
+    """Links within the blocks of sorted cells: rows a, b. Rows of cells of several blocks are
+    handed on as well: a, key and the number of its block, with b null."""
+
+    def run(batches):
+        rest, seen = None, 0  # rows of the last block, and rows of its cell before them
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+            if rest.num_rows < CHUNK_ROWS:
+                continue
+            key = rest["key"].to_numpy()
+            place = _places(key, seen)
+            last = int(np.flatnonzero(np.concatenate(
+                ([True], (key[1:] != key[:-1]) | (place[1:] % block == 0))))[-1])
+            if last:  # the last block may go on in the next batch
+                yield compare(rest.slice(0, last), place[:last], key[last])
+                rest, seen = rest.slice(last).combine_chunks(), int(place[last])
+        if rest is not None and rest.num_rows:
+            yield compare(rest, _places(rest["key"].to_numpy(), seen), None)
+
+    def compare(rows, place, following):
+        fps, key = rows["fp"].to_numpy(), rows["key"].to_numpy()
+        number = place // block
+        node, root = _cell_links(fps.view(np.uint64), key, number, distance)
+        # A cell has several blocks if a row of a later one is in it.
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        ends = np.append(starts[1:], len(key))
+        several = np.repeat(number[ends - 1] > 0, ends - starts)
+        if following is not None and key[-1] == following:
+            several[starts[-1]:] = True
+        on = np.flatnonzero(several)
+        none = [None]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate((fps[node], fps[on]))),
+             pa.concat_arrays([pa.array(fps[root]), pa.array(none * len(on), pa.int64())]),
+             pa.concat_arrays([pa.array(none * len(node), pa.int64()), pa.array(key[on])]),
+             pa.concat_arrays([pa.array(none * len(node), pa.int64()), pa.array(number[on])])],
+            ["a", "b", "key", "block"])
+
+    return run
+
+
+def _places(key, seen):
+    """Each row's place in its cell; ``seen`` rows of the first cell went before."""
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    place = np.arange(len(key)) - np.repeat(starts, np.diff(np.append(starts, len(key))))
+    first = len(key) if len(starts) == 1 else starts[1]
+    place[:first] += seen
+    return place
+
+
+def _pair_linker(distance):
+    """Links between the rows of each pair of blocks, a and b."""
+
     def run(batches):
         rest = None
         for batch in batches:
@@ -179,20 +234,18 @@ def _linker(distance):
             if rest.num_rows < CHUNK_ROWS:
                 continue
             key, part = rest["key"].to_numpy(), rest["part"].to_numpy()
-            changes = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1]))
-            if len(changes):  # the last cell may go on in the next batch
-                yield from compare(rest.slice(0, int(changes[-1]) + 1))
-                rest = rest.slice(int(changes[-1]) + 1)
+            change = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1]))
+            if len(change):  # the last pair may go on in the next batch
+                yield compare(rest.slice(0, int(change[-1]) + 1))
+                rest = rest.slice(int(change[-1]) + 1).combine_chunks()
         if rest is not None and rest.num_rows:
-            yield from compare(rest)
+            yield compare(rest)
 
     def compare(rows):
-        fps = rows["fp"].to_numpy().view(np.uint64)
+        fps = rows["a"].to_numpy()
         node, root = _cell_links(
-            fps, rows["key"].to_numpy(), rows["part"].to_numpy(), distance)
-        signed = fps.view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(signed[node]), pa.array(signed[root])], ["a", "b"])
+            fps.view(np.uint64), rows["key"].to_numpy(), rows["part"].to_numpy(), distance)
+        return pa.RecordBatch.from_arrays([pa.array(fps[node]), pa.array(fps[root])], ["a", "b"])
 
     return run
 
@@ -200,27 +253,29 @@ def _linker(distance):
 def links(fps, distance=DISTANCE, groups=GROUPS, block=BLOCK):
     """Links a, b that join all fingerprints within the distance, directly or by others.
 
-    ``fps`` holds different fingerprints; ``groups`` must be above ``distance``.  More groups
-    make finer cells and more of them.
+    ``fps`` holds different fingerprints; ``groups`` must be above ``distance``. More groups make
+    finer cells and more of them: with n fingerprints, chance pairs are in proportion to n * n
+    over the number of cells, so groups should grow with the table.
     """
-    placed = cells(fps, groups, distance)
-    # A written table, so that the join may split a cell that many rows have.
-    members = written(placed.groupBy("key").count().where(F.col("count") > 1), "cells")
-    # Blocks of a large cell: every member goes to the pairs its block is in.
-    shared = placed.join(members, "key").withColumn(
-        "blocks", F.ceil(F.col("count") / block).cast("int"))
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = shared.select("fp", "key", "blocks", mine.alias("mine")).select(
-        "fp", "key", "blocks", "mine", other.alias("other"))
-    low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    # Blocks are compared within themselves in the pairs with others; alone if there is one.
-    parted = paired.where((F.col("blocks") == 1) | (F.col("mine") != F.col("other"))).select(
-        "fp", "key", (low * F.col("blocks") + high).alias("part"))
-    return (
-        parted.repartition("key", "part").sortWithinPartitions("key", "part")
-        .mapInArrow(_linker(distance), "a bigint, b bigint")
+    within = written(
+        cells(fps, groups, distance).repartition("key").sortWithinPartitions("key")
+        .mapInArrow(_cell_linker(distance, block), "a bigint, b bigint, key bigint, block bigint"),
+        "cell-links",
+    )
+    # Every row of a block goes to the pairs its block is in.
+    shared = within.where(F.col("key").isNotNull()).drop("b")
+    blocks = written(
+        shared.groupBy("key").agg((F.max("block") + 1).alias("blocks")), "large-cells")
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    between = (
+        shared.join(blocks, "key").select("a", "key", "block", "blocks", other)
+        .where("block != other")
+        .select("a", "key", (low * F.col("blocks") + high).alias("part"))
+        .repartition("key", "part").sortWithinPartitions("key", "part")
+        .mapInArrow(_pair_linker(distance), "a bigint, b bigint")
     )
+    return within.where(F.col("b").isNotNull()).select("a", "b").unionAll(between)
 
 
 def near_components(docs, words=WORDS, distance=DISTANCE, groups=GROUPS, block=BLOCK):
