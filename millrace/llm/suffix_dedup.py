@@ -8,12 +8,16 @@ one.  Strings are judged on the input; matches never cross documents.
    follow one another with the same gram form a stretch, so equal strings lie in stretches under
    one gram.  Grams of a single stretch end here; only digests, no bytes, are shuffled.
 2. Equal stretches under a gram: all but the earliest go whole.
-3. Different stretches under a gram are fetched from their texts and sorted by ``suffix_array``;
-   of each run of suffixes with ``length`` bytes in common all but the earliest go.
+3. Different stretches under a gram are fetched from their texts and cut in two: strings with
+   half of their other bytes or more before the gram, and the rest.  The former are filed anew
+   under the bytes just before the gram, the latter under those just after it, which equal
+   strings share as well; so a gram that very many texts have falls apart by what is around it.
+4. The parts under one such key are sorted by ``suffix_array``; of each run of suffixes with
+   ``length`` bytes in common all but the earliest go.
 
-Whole grams are packed into blocks of bytes, so a task holds one block.  A gram with more than
-``MANY`` different stretches is not held in one task: the strings of its stretches are digested
-one by one and grouped by digest, which combines in the tasks.
+Whole keys are packed into blocks of bytes, so a task holds one block.  A key with more than
+``MANY`` different parts is not held in one task: the strings of its parts are digested one by one
+and grouped by digest, which combines in the tasks.
 
 Null texts are empty.  Documents without doc_id come first.  Rows alike in doc_id and text are
 one document; the others that share a doc_id follow each other by place as if they were one.
@@ -32,7 +36,7 @@ from millrace.llm.text import whole, written
 
 LENGTH = 100
 GRAM = 32
-MANY = 1 << 14
+MANY = 1 << 12
 
 # Bytes hashed at once (positions must fit PLACE_BITS), and bytes sorted at once.
 PLACE_BITS = 18
@@ -42,7 +46,7 @@ BLOCK_BYTES = 1 << 20
 FETCH_ROWS = 256
 
 _PLACE = np.uint64((1 << PLACE_BITS) - 1)
-# A stretch's place packs its start and its length.
+# A stretch's place packs its start, its gram's offset from there, and its length.
 SIZE_BITS = 10
 
 
@@ -74,7 +78,7 @@ def _chunks(texts, length):
 
 
 def _stretches(texts, length, gram):
-    """(text number, gram hash, content digest, start, size) arrays, chunk by chunk."""
+    """(text number, gram hash, content digest, start, gram offset, size) arrays by chunk."""
     width = length - gram + 1
     for joined, owners in _chunks(texts, length):
         data = np.frombuffer(joined, np.uint8)
@@ -97,7 +101,8 @@ def _stretches(texts, length, gram):
         size = stops - starts + length - 1
         content = mix(spans.hash(starts, starts + size) + size.astype(np.uint64))
         where = (least[starts] & _PLACE).astype(np.int64)
-        yield owner[number, 0], hashes[where], content, starts - first[number] + owner[number, 1], size
+        start = starts - first[number] + owner[number, 1]
+        yield owner[number, 0], hashes[where], content, start, where - starts, size
 
 
 def stretches(docs, length=LENGTH, gram=GRAM):
@@ -106,12 +111,12 @@ def stretches(docs, length=LENGTH, gram=GRAM):
     def run(batches):
         for batch in batches:
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            for number, h, c, start, size in _stretches(texts, length, gram):
+            for number, h, c, start, offset, size in _stretches(texts, length, gram):
                 rows = pa.array(number)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)),
                      batch.column("doc_id").take(rows), batch.column("text_key").take(rows),
-                     pa.array((start << SIZE_BITS) | size)],
+                     pa.array((((start << SIZE_BITS) | offset) << SIZE_BITS) | size)],
                     ["h", "c", "doc_id", "text_key", "place"])
 
     kind = dict(docs.dtypes)["doc_id"]
@@ -120,13 +125,30 @@ def stretches(docs, length=LENGTH, gram=GRAM):
 
 
 def _start():
-    return F.shiftright("place", SIZE_BITS)
+    return F.shiftright("place", 2 * SIZE_BITS)
 
 
 def _size():
     return F.col("place").bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
 
 
+def _parts(text, h, place, length, gram):
+    """(key, start, bytes) of a stretch's strings with half of their other bytes or more
+    before the gram, and of the others."""
+    size = place & (1 << SIZE_BITS) - 1
+    start = place >> 2 * SIZE_BITS
+    at = start + (place >> SIZE_BITS & (1 << SIZE_BITS) - 1)
+    before = (length - gram) // 2
+    after = length - gram - before + 1
+    last, seed = start + size - length, h & (1 << 64) - 1
+    if (stop := min(last, at - before)) >= start:
+        key = xxhash.xxh64_intdigest(b"<" + text[at - before:at], seed)
+        yield key, start, text[start:stop + length]
+    if (first := max(start, at - before + 1)) <= last:
+        key = xxhash.xxh64_intdigest(b">" + text[at + gram:at + gram + after], seed)
+        yield key, first, text[first:last + length]
+
+
 def repeated_stretches(docs, length=LENGTH, gram=GRAM):
     """The stretches of grams that have two or more, with ``mixed``: not all are equal."""
     rows = stretches(docs, length, gram)
@@ -138,34 +160,39 @@ def repeated_stretches(docs, length=LENGTH, gram=GRAM):
     return written(rows.join(written(grams, "grams"), "h"), "stretches")
 
 
-def _fetch(docs, wanted):
-    """h, doc_id, text_key, start and bytes of the wanted stretches (h, doc_id, text_key, place)."""
+def _fetch(docs, wanted, length, gram):
+    """key, doc_id, text_key, start and bytes of the wanted stretches (h, doc_id, text_key,
+    place), in parts."""
     kind = dict(docs.dtypes)["doc_id"]
     lists = wanted.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(
-        F.collect_list("h").alias("h"), F.collect_list(_start()).alias("start"),
-        F.collect_list(_size()).alias("size"), F.collect_list("many").alias("many"))
+        F.collect_list("h").alias("h"), F.collect_list("place").alias("place"))
     joined = docs.select("doc_id", "text").join(
         lists, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.hash("text") == F.col("__key")))
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, FETCH_ROWS):
-                part = batch.slice(at, FETCH_ROWS)
-                start, size = part.column("start"), part.column("size")
-                owner = np.repeat(np.arange(part.num_rows), pc.list_value_length(start).to_numpy())
-                texts = part.column("text").cast(pa.binary()).to_pylist()
-                cut = [
-                    texts[o][i:i + n] for o, i, n in
-                    zip(owner.tolist(), start.flatten().to_pylist(), size.flatten().to_pylist())]
-                rows = pa.array(owner)
+                some = batch.slice(at, FETCH_ROWS)
+                owner = np.repeat(
+                    np.arange(some.num_rows), pc.list_value_length(some.column("h")).to_numpy())
+                texts = some.column("text").cast(pa.binary()).to_pylist()
+                rows, parts = [], []
+                for o, h, place in zip(
+                        owner.tolist(), some.column("h").flatten().to_pylist(),
+                        some.column("place").flatten().to_pylist()):
+                    for part in _parts(texts[o], h, place, length, gram):
+                        rows.append(o)
+                        parts.append(part)
+                rows = pa.array(rows, pa.int64())
+                keys, starts, cuts = zip(*parts) if parts else ((), (), ())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("h").flatten(), part.column("doc_id").take(rows),
-                     part.column("__key").take(rows), start.flatten(),
-                     pa.array(cut, pa.binary()), part.column("many").flatten()],
-                    ["h", "doc_id", "text_key", "start", "bytes", "many"])
+                    [pa.array(np.array(keys, np.uint64).view(np.int64)),
+                     some.column("doc_id").take(rows), some.column("__key").take(rows),
+                     pa.array(starts, pa.int64()), pa.array(cuts, pa.binary())],
+                    ["key", "doc_id", "text_key", "start", "bytes"])
 
-    return joined.select("doc_id", "__key", "text", "h", "start", "size", "many").mapInArrow(
-        run, f"h bigint, doc_id {kind}, text_key int, start bigint, bytes binary, many boolean")
+    return joined.select("doc_id", "__key", "text", "h", "place").mapInArrow(
+        run, f"key bigint, doc_id {kind}, text_key int, start bigint, bytes binary")
 
 
 def later_strings(parts, order, length=LENGTH):
@@ -174,6 +201,8 @@ def later_strings(parts, order, length=LENGTH):
     ``parts`` are byte strings; ``order`` tells each one's place among all, as numbers that
     grow by one with each byte within a document.
     """
+    if not parts:
+        return (np.zeros(0, np.int64),) * 3
     sizes = np.array([len(p) for p in parts])
     text = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8)
     starts = np.cumsum(sizes + 1) - (sizes + 1)
@@ -201,6 +230,11 @@ def later_strings(parts, order, length=LENGTH):
 
 def _sorter(length):
     def block(table):
+        key = table["key"].to_numpy()
+        alike = key[1:] == key[:-1]
+        # Alone under its key a part has nothing to be compared with.
+        table = table.filter(pa.array(
+            np.concatenate(([False], alike)) | np.concatenate((alike, [False]))))
         ids = table["doc_id"].combine_chunks()
         start = table["start"].to_numpy()
         # Documents in order of doc_id, null first; places within them by byte.
@@ -226,9 +260,9 @@ def _sorter(length):
             size += batch.nbytes
             if size < BLOCK_BYTES:
                 continue
-            h = rest["h"].to_numpy()
-            change = np.flatnonzero(h[1:] != h[:-1])
-            if len(change):  # the last gram may go on in the next batch
+            key = rest["key"].to_numpy()
+            change = np.flatnonzero(key[1:] != key[:-1])
+            if len(change):  # the last key may go on in the next batch
                 cut = int(change[-1]) + 1
                 yield block(rest.slice(0, cut))
                 rest = rest.slice(cut).combine_chunks()
@@ -240,7 +274,7 @@ def _sorter(length):
 
 
 def _digested(length):
-    """Every string of a stretch as a 128-bit digest, for grams with many stretches."""
+    """Every string of a part as a 128-bit digest, for keys with many parts."""
 
     def run(batches):
         for batch in batches:
@@ -272,15 +306,14 @@ def removed_ranges(docs, length=LENGTH, gram=GRAM, many=MANY):
             F.struct("holder.doc_id", "holder.place")))
         .select("doc_id", "text_key", _start().alias("start"), (_start() + _size()).alias("stop"))
     )
-    different = firsts.where("mixed").select("h", "holder.*")
-    amounts = different.groupBy("h").agg((F.count("*") > many).alias("many"))
-    fetched = written(_fetch(docs, different.join(amounts, "h")), "fetched")
-    ranges = "doc_id {}, text_key int, start bigint, stop bigint".format(kind)
+    fetched = written(_fetch(docs, firsts.where("mixed").select("h", "holder.*"), length, gram), "parts")
+    large = written(fetched.groupBy("key").count().where(F.col("count") > many), "large")
     sorted_out = (
-        fetched.where(~F.col("many")).drop("many")
-        .repartition("h").sortWithinPartitions("h").mapInArrow(_sorter(length), ranges)
+        fetched.join(large, "key", "left_anti")
+        .repartition("key").sortWithinPartitions("key")
+        .mapInArrow(_sorter(length), f"doc_id {kind}, text_key int, start bigint, stop bigint")
     )
-    strings = fetched.where("many").mapInArrow(
+    strings = fetched.join(large, "key", "left_semi").mapInArrow(
         _digested(length), f"digest binary, doc_id {kind}, text_key int, start bigint")
     earliest = written(
         strings.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("least")), "earliest")
