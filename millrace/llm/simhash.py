@@ -149,13 +149,13 @@ def _forest(n, left, right):
     return node, label[node]
 
 
-def _cell_links(fps, key, part, distance):
-    """Links of whole cells in sorted order, compared at growing offsets within a cell."""
-    new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]))))
-    size = np.diff(np.append(new, len(key)))
+def _cell_links(fps, group, distance):
+    """Links within groups of sorted rows, compared at growing offsets."""
+    new = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    size = np.diff(np.append(new, len(group)))
     end = np.repeat(new + size, size)
     lefts, rights = [], []
-    rows = np.arange(len(key))
+    rows = np.arange(len(group))
     for offset in range(1, int(size.max(initial=1))):
         i = rows = rows[rows + offset < end[rows]]
         if not len(i):
@@ -164,16 +164,33 @@ def _cell_links(fps, key, part, distance):
         lefts.append(near)
         rights.append(near + offset)
         if sum(map(len, lefts)) > CHUNK_ROWS * 16:
-            node, root = _forest(len(key), np.concatenate(lefts), np.concatenate(rights))
+            node, root = _forest(len(group), np.concatenate(lefts), np.concatenate(rights))
             lefts, rights = [node], [root]
     if not lefts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return _forest(len(key), np.concatenate(lefts), np.concatenate(rights))
+    return _forest(len(group), np.concatenate(lefts), np.concatenate(rights))
 
 
-def _cell_linker(distance, block):
-    """Links within the blocks of sorted cells: rows a, b. Rows of cells of several blocks are
-    handed on as well: a, key and the number of its block, with b null."""
+def _places(key, seen):
+    """Each row's place in its cell; ``seen`` rows of the first cell went before."""
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    place = np.arange(len(key)) - np.repeat(starts, np.diff(np.append(starts, len(key))))
+    first = len(key) if len(starts) == 1 else starts[1]
+    place[:first] += seen
+    return place
+
+
+def _numbered(*columns):
+    """One number per row that changes where any of the columns of sorted rows does."""
+    change = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        change[1:] |= c[1:] != c[:-1]
+    return np.cumsum(change)
+
+
+def _within_blocks(carried, link, block):
+    """Links a, b within the blocks of sorted cells. Rows of cells of several blocks are handed
+    on as well, with their key and the number of their block, and a and b null."""
 
     def run(batches):
         rest, seen = None, 0  # rows of the last block, and rows of its cell before them
@@ -193,38 +210,31 @@ def _cell_linker(distance, block):
             yield compare(rest, _places(rest["key"].to_numpy(), seen), None)
 
     def compare(rows, place, following):
-        fps, key = rows["fp"].to_numpy(), rows["key"].to_numpy()
-        number = place // block
-        node, root = _cell_links(fps.view(np.uint64), key, number, distance)
+        key, number = rows["key"].to_numpy(), place // block
+        a, b = link(rows, _numbered(key, number))
         # A cell has several blocks if a row of a later one is in it.
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         ends = np.append(starts[1:], len(key))
         several = np.repeat(number[ends - 1] > 0, ends - starts)
         if following is not None and key[-1] == following:
             several[starts[-1]:] = True
-        on = np.flatnonzero(several)
-        none = [None]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate((fps[node], fps[on]))),
-             pa.concat_arrays([pa.array(fps[root]), pa.array(none * len(on), pa.int64())]),
-             pa.concat_arrays([pa.array(none * len(node), pa.int64()), pa.array(key[on])]),
-             pa.concat_arrays([pa.array(none * len(node), pa.int64()), pa.array(number[on])])],
-            ["a", "b", "key", "block"])
+        on = pa.array(np.flatnonzero(several))
 
-    return run
+        def padded(first, last):
+            return pa.concat_arrays([
+                pa.nulls(len(a), pa.int64()) if first is None else pa.array(first),
+                pa.nulls(len(on), pa.int64()) if last is None else last])
 
+        return pa.RecordBatch.from_arrays(
+            [padded(a, None), padded(b, None), padded(None, pa.array(number).take(on)),
+             *(padded(None, rows[c].combine_chunks().take(on)) for c in ("key", *carried))],
+            ["a", "b", "block", "key", *carried])
 
-def _places(key, seen):
-    """Each row's place in its cell; ``seen`` rows of the first cell went before."""
-    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    place = np.arange(len(key)) - np.repeat(starts, np.diff(np.append(starts, len(key))))
-    first = len(key) if len(starts) == 1 else starts[1]
-    place[:first] += seen
-    return place
+    return run
 
 
-def _pair_linker(distance):
-    """Links between the rows of each pair of blocks, a and b."""
+def _within_pairs(link):
+    """Links a, b between the rows of each pair of blocks."""
 
     def run(batches):
         rest = None
@@ -233,49 +243,64 @@ def _pair_linker(distance):
             rest = table if rest is None else pa.concat_tables([rest, table])
             if rest.num_rows < CHUNK_ROWS:
                 continue
-            key, part = rest["key"].to_numpy(), rest["part"].to_numpy()
-            change = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1]))
+            change = np.flatnonzero(np.diff(numbered(rest)))
             if len(change):  # the last pair may go on in the next batch
                 yield compare(rest.slice(0, int(change[-1]) + 1))
                 rest = rest.slice(int(change[-1]) + 1).combine_chunks()
         if rest is not None and rest.num_rows:
             yield compare(rest)
 
+    def numbered(rows):
+        return _numbered(rows["key"].to_numpy(), rows["part"].to_numpy())
+
     def compare(rows):
-        fps = rows["a"].to_numpy()
-        node, root = _cell_links(
-            fps.view(np.uint64), rows["key"].to_numpy(), rows["part"].to_numpy(), distance)
-        return pa.RecordBatch.from_arrays([pa.array(fps[node]), pa.array(fps[root])], ["a", "b"])
+        a, b = link(rows, numbered(rows))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
 
-def links(fps, distance=DISTANCE, groups=GROUPS, block=BLOCK):
-    """Links a, b that join all fingerprints within the distance, directly or by others.
-
-    ``fps`` holds different fingerprints; ``groups`` must be above ``distance``. More groups make
-    finer cells and more of them: with n fingerprints, chance pairs are in proportion to n * n
-    over the number of cells, so groups should grow with the table.
-    """
-    within = written(
-        cells(fps, groups, distance).repartition("key").sortWithinPartitions("key")
-        .mapInArrow(_cell_linker(distance, block), "a bigint, b bigint, key bigint, block bigint"),
+def cell_blocks(placed, carried, link, block):
+    """Links of cells (key and carried columns, all bigint) by ``link``, which gets sorted rows
+    and the number of each row's group; and the rows of cells above ``block`` rows."""
+    columns = ", ".join(f"{c} bigint" for c in ("a", "b", "block", "key", *carried))
+    done = written(
+        placed.repartition("key").sortWithinPartitions("key")
+        .mapInArrow(_within_blocks(carried, link, block), columns),
         "cell-links",
     )
-    # Every row of a block goes to the pairs its block is in.
-    shared = within.where(F.col("key").isNotNull()).drop("b")
+    return done.where("key IS NULL").select("a", "b"), done.where("key IS NOT NULL").drop("a", "b")
+
+
+def pair_blocks(shared, carried, link):
+    """Links between the blocks of large cells: each row goes to the pairs its block is in."""
     blocks = written(
         shared.groupBy("key").agg((F.max("block") + 1).alias("blocks")), "large-cells")
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    between = (
-        shared.join(blocks, "key").select("a", "key", "block", "blocks", other)
-        .where("block != other")
-        .select("a", "key", (low * F.col("blocks") + high).alias("part"))
+    return (
+        shared.join(blocks, "key").select("*", other).where("block != other")
+        .select("key", *carried, (low * F.col("blocks") + high).alias("part"))
         .repartition("key", "part").sortWithinPartitions("key", "part")
-        .mapInArrow(_pair_linker(distance), "a bigint, b bigint")
+        .mapInArrow(_within_pairs(link), "a bigint, b bigint")
     )
-    return within.where(F.col("b").isNotNull()).select("a", "b").unionAll(between)
+
+
+def links(fps, distance=DISTANCE, groups=GROUPS, block=BLOCK):
+    """Links a, b that join all fingerprints within the distance, directly or by others.
+
+    ``fps`` holds different fingerprints; ``groups`` must be above ``distance``. More groups make
+    finer cells and more of them: with n fingerprints, chance pairs are in proportion to n * n
+    over the number of cells, so groups should grow with the table.
+    """
+
+    def link(rows, group):
+        fps = rows["fp"].to_numpy()
+        node, root = _cell_links(fps.view(np.uint64), group, distance)
+        return fps[node], fps[root]
+
+    within, shared = cell_blocks(cells(fps, groups, distance), ["fp"], link, block)
+    return within.unionAll(pair_blocks(shared, ["fp"], link))
 
 
 def near_components(docs, words=WORDS, distance=DISTANCE, groups=GROUPS, block=BLOCK):
@@ -297,10 +322,10 @@ def digests(rows):
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs, words=WORDS, distance=DISTANCE, groups=GROUPS, block=BLOCK):
-    """docs with one row of each component: that of the smallest doc_id (of rows that share
-    it, any one).  Rows without doc_id stay only where their component has no other, as one."""
-    rows = near_components(docs, words, distance, groups, block)
+def keep_one(docs, rows):
+    """docs with one row of each component of ``rows`` (of near_components or alike): that of
+    the smallest doc_id, of rows that share it any one. Rows without doc_id stay only where
+    their component has no other, as one."""
     kept = (
         rows.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("__kept"))

@@ -3,7 +3,8 @@
 import pytest
 from fixture_docs import frame, hard_rows
 
-from test_simhash import brute as brute_components
+from test_simhash import roots
+from test_simhash_similarity import brute_pairs, brute_shingles
 from test_text_operators import brute_hits, brute_lines
 
 import corpus_pipeline
@@ -43,9 +44,12 @@ def check_stages(spark, docs):
     expected = [(d, t) for d, _, _, t in brute_lines(short(lined[1]))]
     assert sorted(((d, t) for d, t, _ in short(lined[2])), key=str) == sorted(expected, key=str)
 
-    components = {c for _, _, c in brute_components(short(single[1]))}
-    kept = [d for d, _, _ in short(single[2])]
-    assert set(kept) == components and set(single[2]) <= set(single[1])
+    before = short(single[1])
+    group = roots(range(len(before)), brute_pairs([brute_shingles(t) for _, t, _ in before]))
+    alive = set(short(single[2]))
+    kept = [group[i] for i, r in enumerate(before) if r in alive]
+    assert set(kept) == set(group.values()) and set(single[2]) <= set(single[1])
+    assert len(single[2]) <= 1.01 * len(set(kept))
 
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select(
         "item_id", "text").collect()]

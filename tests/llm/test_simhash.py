@@ -5,7 +5,6 @@ import numpy as np
 import pytest
 import xxhash
 from fixture_docs import frame, hard_rows
-from pyspark.sql import functions as F
 
 from millrace.llm import simhash
 from millrace.llm.components import components
@@ -116,7 +115,7 @@ def test_components_of_chains_and_stars(spark):
 def test_one_of_each_group_stays(spark):
     rows = hard_rows()
     docs = frame(spark, rows)
-    kept = simhash.keep_one(docs)
+    kept = simhash.keep_one(docs, simhash.near_components(docs))
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
     # A doc_id may name several documents, in components of their own.
@@ -130,4 +129,4 @@ def test_one_of_each_group_stays(spark):
 def test_empty_table(spark):
     docs = frame(spark, [])
     assert simhash.digests(simhash.near_components(docs)).collect() == []
-    assert simhash.keep_one(docs).where(F.lit(True)).count() == 0
+    assert simhash.keep_one(docs, simhash.near_components(docs)).count() == 0

@@ -1,0 +1,111 @@
+"""Groups of similar documents against all pairs of shingle sets."""
+
+import random
+
+import numpy as np
+import pytest
+from fixture_docs import frame, hard_rows, prose
+from test_simhash import WHITE, roots
+
+from millrace.llm import simhash, simhash_similarity
+
+
+def brute_shingles(text, width=5):
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in lowered.translate(str.maketrans(WHITE, " " * 6)).split(" ") if w]
+    return frozenset(tuple(words[i:i + width]) for i in range(max(1, len(words) - width + 1)))
+
+
+def brute_pairs(sets, least=0.8):
+    """Pairs of different sets of that similarity, found by their shingles."""
+    holders = {}
+    for i, s in enumerate(sets):
+        for shingle in s:
+            holders.setdefault(shingle, set()).add(i)
+    pairs = set()
+    for i, s in enumerate(sets):
+        for j in set().union(*(holders[x] for x in s)):
+            if i < j and 10 * len(s & sets[j]) >= 10 * least * len(s | sets[j]):
+                pairs.add((i, j))
+    return pairs
+
+
+def altered(rng, text, share):
+    """The text with words replaced until five-word shingles have about that similarity."""
+    words = text.split()
+    for i in rng.sample(range(len(words)), max(1, round(len(words) * share))):
+        words[i] = "altered" + str(rng.randrange(10**6))
+    return " ".join(words)
+
+
+def near_rows(seed=3):
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(150):
+        base = prose(rng, rng.randint(60, 400))
+        texts += [base, *(altered(rng, base, rng.uniform(0.003, 0.06)) for _ in range(3))]
+    crowd = prose(rng, 200)  # one large group
+    texts += [altered(rng, crowd, rng.uniform(0.005, 0.02)) for _ in range(150)]
+    return [(i, t, "s") for i, t in enumerate(texts)]
+
+
+def grouped(spark, rows, **options):
+    got = simhash_similarity.similar_components(frame(spark, rows), **options)
+    return {(r.doc_id, r.node): r for r in got.collect()}
+
+
+@pytest.mark.parametrize("block", [simhash_similarity.BLOCK, 16])
+def test_groups_are_those_of_verified_pairs(spark, block):
+    rows = near_rows()
+    got = grouped(spark, rows, block=block)
+    component = {d: r.component_id for (d, _), r in got.items()}
+    sets = [brute_shingles(t) for _, t, _ in rows]
+    pairs = brute_pairs(sets)
+    exact = roots(range(len(rows)), pairs)
+    # Nothing is joined that exact pairs do not join.
+    assert all(exact[d] == exact[c] for d, c in component.items())
+    joined = np.mean([component[i] == component[j] for i, j in pairs])
+    assert len(pairs) > 400 and joined >= 0.98
+
+
+def test_given_documents(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+            .select("doc_id", "text", "source").collect()]
+    component = {d: r.component_id for (d, _), r in grouped(spark, rows).items()}
+    pairs = brute_pairs([brute_shingles(t) for _, t, _ in rows])
+    exact = roots(range(len(rows)), pairs)
+    ids = [r[0] for r in rows]
+    place = {d: i for i, d in enumerate(ids)}
+    assert all(exact[place[d]] == exact[place[c]] for d, c in component.items())
+    assert np.mean([component[ids[i]] == component[ids[j]] for i, j in pairs]) >= 0.98
+
+
+def test_hard_rows(spark):
+    rows = hard_rows()
+    docs = frame(spark, rows)
+    found = simhash_similarity.similar_components(docs)
+    assert found.count() == len(rows)
+    kept = simhash.keep_one(docs, found)
+    assert kept.columns == docs.columns
+    sets = [brute_shingles(r[1]) for r in rows]
+    exact = roots(range(len(rows)), brute_pairs(sets, 0.8))
+    alive = {(r.doc_id, r.text) for r in kept.collect()}
+    assert len(alive) == kept.count() == len({exact[i] for i in range(len(rows))})
+
+
+def test_spanning_forest_joins_what_the_links_join():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        n = int(rng.integers(2, 30))
+        m = int(rng.integers(0, 60))
+        left, right = rng.integers(0, n, m), rng.integers(0, n, m)
+        weight = rng.integers(0, 5, m)
+        kept = simhash_similarity.spanning_forest(n, left, right, weight)
+        links = list(zip(left.tolist(), right.tolist()))
+        forest = [links[i] for i in kept]
+        assert roots(range(n), forest) == roots(range(n), links)
+        assert len(forest) == n - len(set(roots(range(n), links).values()))
+
+
+def test_empty_table(spark):
+    assert simhash_similarity.similar_components(frame(spark, [])).collect() == []
