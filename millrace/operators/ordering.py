@@ -57,41 +57,55 @@ def number_rows(df, order_by, name="id", start=0, pin=write_and_read):
 
 
 _RUNNING = {"sum": F.sum, "min": F.min, "max": F.max}
-_COMBINE = {
-    "sum": lambda before, here: F.coalesce(before, F.lit(0)) + here,
+# Two running values put together; either may be null for want of rows.
+_EARLIER = {
+    "sum": lambda before, here: F.coalesce(before + here, before, here),
     "min": F.least,
     "max": F.greatest,
 }
 
 
+# Rows of a partition that are summed up by one task.
+_STRETCH = 1 << 16
+
+
 def running(df, order_by, values, pin=write_and_read):
     """Add running values in the order given, which must be total.
 
-    values maps a new column to (sum | min | max, input column).
+    values maps a new column to (sum | min | max, input column). A partition falls into
+    stretches, so that the rows spread evenly over the tasks that finish them.
     """
-    ordered = _ordered(df, order_by, pin)
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = _ordered(df, order_by, pin).withColumn(
+        "_stretch", F.floor(F.col("_place") / _STRETCH))
+    parts, stretch = ["_part"], ["_part", "_stretch"]
+
+    def totals(rows, by, source):
+        return rows.groupBy(*by).agg(
+            *[_RUNNING[how](source(name, column)).alias(f"_all_{name}")
+              for name, (how, column) in values.items()])
+
+    def earlier(window, name, how):
+        before = window.rowsBetween(Window.unboundedPreceding, -1)
+        return _RUNNING[how](f"_all_{name}").over(before)
+
+    stretches = totals(ordered, stretch, lambda name, column: column)
+    by_part = totals(stretches, parts, lambda name, column: f"_all_{name}")
+    # One row per partition of the shuffle: a window over them and a broadcast are bounded.
+    whole = by_part.select(
+        "_part", *[earlier(Window.orderBy("_part"), name, how).alias(f"_part_{name}")
+                   for name, (how, _) in values.items()])
+    in_part = Window.partitionBy("_part").orderBy("_stretch")
+    before = stretches.join(F.broadcast(whole), "_part").select(
+        *stretch,
+        *[_EARLIER[how](F.col(f"_part_{name}"), earlier(in_part, name, how)).alias(f"_before_{name}")
+          for name, (how, _) in values.items()],
+    )
     within = (
-        Window.partitionBy("_part")
-        .orderBy("_place")
+        Window.partitionBy(*stretch).orderBy("_place")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    per_part = ordered.groupBy("_part").agg(
-        *[_RUNNING[how](column).alias(f"_all_{name}") for name, (how, column) in values.items()]
-    )
-    before = per_part.select(
-        "_part",
-        *[
-            _RUNNING[how](f"_all_{name}").over(earlier).alias(f"_before_{name}")
-            for name, (how, _) in values.items()
-        ],
-    )
     here = {
-        name: _COMBINE[how](F.col(f"_before_{name}"), _RUNNING[how](column).over(within))
+        name: _EARLIER[how](F.col(f"_before_{name}"), _RUNNING[how](column).over(within))
         for name, (how, column) in values.items()
     }
-    return (
-        ordered.join(F.broadcast(before), "_part")
-        .withColumns(here)
-        .select(*df.columns, *values)
-    )
+    return ordered.join(before, stretch).withColumns(here).select(*df.columns, *values)

@@ -99,6 +99,20 @@ def test_running(spark):
         assert (row.k, row.total, row.low, row.high) == (k, total, low, high)
 
 
+def test_running_over_stretches(spark, monkeypatch):
+    from millrace.operators import ordering
+
+    monkeypatch.setattr(ordering, "_STRETCH", 7)
+    rows = [(i, None if i % 5 == 0 else i % 11) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, x int").repartition(3)
+    got = op.running(df, ["k"], {"total": ("sum", "x"), "high": ("max", "x")}).orderBy("k").collect()
+    total = high = None
+    for (k, x), row in zip(rows, got, strict=True):
+        if x is not None:
+            total, high = (total or 0) + x, max(x, high if high is not None else x)
+        assert (row.k, row.total, row.high) == (k, total, high)
+
+
 def test_ordered_values_are_not_gathered_in_one_task(spark):
     """Only one row per partition may meet in a single task."""
     df = spark.range(1000).selectExpr("id k", "id x")
