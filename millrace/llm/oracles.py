@@ -89,3 +89,66 @@ SELECT *, coalesce({" OR ".join(map(_broken, BASE_RULES))}, false) AS base_faile
     NOT coalesce({" OR ".join(map(_broken, BASE_RULES + RULES))}, false) AS kept
 FROM measured
 """
+
+_WORDS = (
+    f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+ORACLES["op6_decontaminate"] = f"""
+WITH item AS (
+    SELECT item_id, words, least(10, len(words)) AS n
+    FROM (SELECT item_id, {_WORDS} AS words FROM benchmark) WHERE len(words) > 0),
+string AS (
+    SELECT DISTINCT item_id, n, words[i:i + n - 1] AS s
+    FROM (SELECT *, unnest(range(1, len(words) - n + 2)) AS i FROM item)),
+document AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+place AS (
+    SELECT doc_id, n, i, words[i:i + n - 1] AS s
+    FROM (SELECT *, unnest(range(1, len(words) - n + 2)) AS i
+          FROM document, (SELECT DISTINCT n FROM string))),
+found AS (SELECT doc_id, n, i, item_id FROM place JOIN string USING (n, s)),
+hit AS (
+    SELECT doc_id, count(DISTINCT j) AS n_hit
+    FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM found) GROUP BY doc_id),
+listed AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM found) GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM document LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
+
+# Texts as hexadecimal digits: two for each byte.
+ORACLES["op3_suffix_dedup"] = """
+WITH document AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+string AS (
+    SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS digest
+    FROM (SELECT *, unnest(range(0, len(h) // 2 - 99)) AS i FROM document)),
+later AS (
+    SELECT doc_id, i FROM string
+    QUALIFY row_number() OVER (PARTITION BY digest ORDER BY doc_id, i) > 1),
+apart AS (
+    SELECT doc_id, i, coalesce(i - lag(i) OVER w > 100, true) AS begins
+    FROM later WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+numbered AS (
+    SELECT doc_id, i, count(*) FILTER (begins) OVER (PARTITION BY doc_id ORDER BY i) AS span
+    FROM apart),
+span AS (
+    SELECT doc_id, span, min(i) AS start, max(i) + 100 AS stop FROM numbered GROUP BY doc_id, span),
+gap AS (
+    SELECT s.doc_id, s.start,
+        substr(h, 2 * coalesce(lag(stop) OVER w, 0) + 1,
+            2 * (s.start - coalesce(lag(stop) OVER w, 0))) AS before,
+        CASE WHEN lead(s.start) OVER w IS NULL THEN substr(h, 2 * stop + 1) ELSE '' END AS after,
+        stop - s.start AS removed
+    FROM span s JOIN document d ON d.doc_id = s.doc_id
+    WINDOW w AS (PARTITION BY s.doc_id ORDER BY s.start)),
+kept AS (
+    SELECT doc_id, sum(removed)::BIGINT AS n_removed, count(*) AS n_spans,
+        string_agg(before || after, '' ORDER BY start) AS rest
+    FROM gap GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+    coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM document LEFT JOIN kept USING (doc_id)
+"""
