@@ -50,11 +50,12 @@ class IdIndex:
         spark = events.sparkSession
         others = self.recent(spark).where(
             ~((F.col("stream_id") == stream_id) & (F.col("batch_id") == batch_id)))
-        # At most as many numbers as there are buckets.
-        touched = sorted(
-            b for (b,) in self._keyed(events).select(self._bucket()).distinct().collect())
-        stored = others.select("event_id").unionAll(
-            self.settled(spark, touched).select("event_id"))
+        stored = others.select("event_id")
+        if self._has_settled(spark):
+            # At most as many numbers as there are buckets.
+            touched = self._keyed(events).select(self._bucket()).distinct().collect()
+            settled = self.settled(spark, sorted(b for (b,) in touched))
+            stored = stored.unionAll(settled.select("event_id"))
         return absent_from(events, stored)
 
     def add(self, events, batch_id, stream_id=DIRECT):
@@ -80,6 +81,16 @@ class IdIndex:
         for folder in folders:
             remove_folders(spark, folder)
 
+    def _has_settled(self, spark):
+        """Whether there are settled ids; puts in place what a broken merge() has left."""
+        settled, merged = f"{self.path}/settled", f"{self.path}/merged"
+        if existing(spark, [settled]):
+            return True
+        if existing(spark, [merged]):  # complete, or the old folder would still be there
+            fs, target = filesystem(spark, merged)
+            return fs.rename(target, filesystem(spark, settled)[1])
+        return False
+
     def merge(self, spark):
         """Rewrite each settled bucket as few sorted files without repeats.
 
@@ -87,7 +98,7 @@ class IdIndex:
         no batch runs.
         """
         old, new = f"{self.path}/settled", f"{self.path}/merged"
-        if not existing(spark, [old]):
+        if not self._has_settled(spark):
             return
         schema = f"{SCHEMA}, bucket int"
         remove_folders(spark, new)

@@ -128,6 +128,14 @@ def test_a_batch_reads_only_the_buckets_of_its_ids(spark, events, tmp_path):
     assert table.insert_absent(events, 1, stream_id="other") == 0
 
 
+def test_a_merge_that_broke_off_between_its_moves_is_finished(spark, events, tmp_path):
+    table = EventTable(str(tmp_path / "t"), settle_every=2)
+    _batches(spark, events, table, "s", 4)
+    os.rename(f"{table.path}/_ids/settled", f"{table.path}/_ids/merged")
+    assert table.insert_absent(events, 0, stream_id="other") == 0
+    assert os.path.exists(f"{table.path}/_ids/settled")
+
+
 def test_the_last_batch_of_a_stream_can_run_again(spark, events, tmp_path):
     table = EventTable(str(tmp_path / "t"), settle_every=2)
     _batches(spark, events, table, "s", 4)
