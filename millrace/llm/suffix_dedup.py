@@ -320,7 +320,12 @@ def removed_ranges(docs, length=LENGTH, gram=GRAM, many=MANY):
     later = strings.join(earliest, "digest").where(
         ~F.struct("doc_id", "start").eqNullSafe(F.col("least"))
     ).select("doc_id", "text_key", "start", (F.col("start") + length).alias("stop"))
-    return copies.unionAll(sorted_out).unionAll(later)
+    # One table each: the join of the copies may then be split where one of them is frequent.
+    parts = [("copies", copies), ("sorted", sorted_out), ("later", later)]
+    first, *others = (written(part, f"ranges-{name}") for name, part in parts)
+    for part in others:
+        first = first.unionAll(part)
+    return first
 
 
 def _cut(text, starts, stops):
@@ -336,7 +341,7 @@ def _cut(text, starts, stops):
 def remove_repeats(docs, length=LENGTH, gram=GRAM, many=MANY):
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row."""
     kind = dict(docs.dtypes)["doc_id"]
-    ranges = written(removed_ranges(docs, length, gram, many), "ranges")
+    ranges = removed_ranges(docs, length, gram, many)
     lists = ranges.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(
         F.collect_list("start").alias("start"), F.collect_list("stop").alias("stop"))
     joined = docs.select("doc_id", whole(F.col("text")).alias("text"), F.hash("text").alias("k")).join(
