@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from millrace.llm.text import utf8_bytes, whole, written
 from millrace.session import existing
 
-CACHE_SCHEMA = "digest binary, n_tokens bigint, tokenizer string"
-
 # Texts are handed to the library in groups of so many characters, to bound the ids in memory.
 GROUP_CHARS = 1 << 20
 
