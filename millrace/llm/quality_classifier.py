@@ -27,7 +27,7 @@ from millrace.llm.hashing import Spans, mix
 BUCKET_BITS = 17
 GRAMS = (3, 4, 5)
 DIMENSIONS = 16
-MAX_TRAIN = 4000
+MAX_TRAIN = 2500
 EPOCHS = 6
 RATE = 0.5
 SEED = 8
@@ -186,8 +186,8 @@ def fit(docs, labels, max_train=MAX_TRAIN, seed=SEED):
         .limit(max_train)
     )
     # At most max_train rows of two numbers: a proven bound for the broadcast.
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(
-        ["doc_id"])
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy(
+        "doc_id", "label").agg(F.min("text").alias("text"))
     rows = chosen.select("doc_id", "label", "text").mapInArrow(
         _shares, f"doc_id {kind}, label int, buckets array<int>, shares array<float>"
     ).toArrow().sort_by("doc_id")
