@@ -6,7 +6,7 @@ token within its class.  A document's score is the sum over all its tokens of th
 that probability.
 
 1. All words of all documents are counted; the most frequent have ids of their own, the others
-   share ``UNKNOWN`` ids by hash.  Counts are combined in the tasks first.
+   share ``UNKNOWN`` ids by hash; words of one count are treated alike.  Counts are combined in the tasks first.
 2. Starting from the counts (as biases) and seeded vectors, every task trains on each
    ``TRAIN_EVERY``-th token of each of its documents, and the tasks' changes are averaged by the
    number of tokens behind them.  So what is gathered grows with the corpus, while the network
@@ -21,11 +21,14 @@ doc_id and text are ignored.
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from millrace.llm.text import written
+
 CLASSES, SLOTS, UNKNOWN = 48, 56, 384
 TOKENS = CLASSES * SLOTS
 DIMENSIONS = 16
@@ -70,11 +73,22 @@ def word_counts(docs):
 
 
 def vocabulary(docs):
-    """The most frequent words in order, their counts, and the count of all others."""
-    counts = word_counts(docs)
-    top = counts.orderBy(F.col("n").desc(), "word").limit(TOKENS - UNKNOWN).toArrow()
-    words, n = top["word"].to_pylist(), np.array(top["n"].to_pylist(), np.int64)
-    return words, n
+    """The most frequent words in order and their counts.
+
+    All words above a count have ids, with the least count for which there are enough ids.
+    It is found from the numbers of words of each count, so no task meets all words.
+    """
+    most = TOKENS - UNKNOWN
+    counts = written(word_counts(docs), "word-counts")
+    alike = counts.groupBy("n").agg(F.count("*").alias("words"))
+    frequent = alike.orderBy(F.col("n").desc()).limit(most).collect()  # at most a row per id
+    enough = [r["n"] for r, total in zip(frequent, accumulate(r["words"] for r in frequent))
+              if total <= most]
+    if not enough:
+        return [], np.zeros(0, np.int64)
+    top = counts.where(F.col("n") >= enough[-1]).toArrow()
+    top = top.sort_by([("n", "descending"), ("word", "ascending")])
+    return top["word"].to_pylist(), np.array(top["n"].to_pylist(), np.int64)
 
 
 @dataclass
