@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions.timekeeping import hour_of, minute_of, ratio
-from millrace.sources.events import after, newest_dates
+from millrace.sources.events import after, newest_date, newest_dates
 
 CENTS = "decimal(18,2)"
 
@@ -68,8 +68,8 @@ def last_hours(events, hours=24, now=None):
 
 
 def newest(events):
-    """The latest event time as a scalar subquery."""
-    return newest_dates(events, 1).agg(F.max("event_timestamp")).scalar()
+    """The latest event time as a scalar subquery; over a stored table from the newest date."""
+    return newest_date(events).agg(F.max("event_timestamp")).scalar()
 
 
 def purchase_funnel(events):

@@ -30,7 +30,7 @@ class EventTable:
     """
 
     path: str
-    id_buckets: int = 64
+    id_buckets: int = 16
     settle_every: int = 50
 
     @property

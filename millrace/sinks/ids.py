@@ -22,7 +22,7 @@ class IdIndex:
     """
 
     path: str
-    buckets: int = 64
+    buckets: int = 16
 
     def _recent(self, stream_id, batch_id):
         return f"{self.path}/recent/stream_id={stream_id}/batch_id={batch_id}"

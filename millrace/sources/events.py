@@ -49,6 +49,16 @@ def stored_dates(events):
     return sorted({m[1] for m in found if m}, reverse=True)
 
 
+def newest_date(events):
+    """The latest date of a stored table that has rows; other frames as they are."""
+    dates = stored_dates(events) if "event_date" in events.columns else []
+    for date in dates:
+        found = events.where(F.col("event_date") == F.lit(date).cast("date"))
+        if found.select(F.lit(1)).head(1):
+            return found
+    return events
+
+
 def newest_dates(events, n):
     """The latest dates of a stored table that together hold at least n rows.
 
