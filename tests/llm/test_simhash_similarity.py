@@ -109,3 +109,42 @@ def test_spanning_forest_joins_what_the_links_join():
 
 def test_empty_table(spark):
     assert simhash_similarity.similar_components(frame(spark, [])).collect() == []
+
+
+def similar_pairs_apart(spark, texts, **options):
+    """Pairs of the similarity that are in different groups, and the number of pairs."""
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    component = {d: r.component_id for (d, _), r in grouped(spark, rows, **options).items()}
+    pairs = brute_pairs([brute_shingles(t) for t in texts])
+    exact = roots(range(len(texts)), pairs)
+    assert all(exact[d] == exact[c] for d, c in component.items())
+    return [p for p in pairs if component[p[0]] != component[p[1]]], len(pairs)
+
+
+def test_short_and_long_pairs_at_the_limit(spark):
+    rng = random.Random(12)
+    texts = []
+    for i in range(300):  # 4 common of 5 shingles, 12 of 15, 200 of 250
+        for common, more in ((4, 1), (12, 3), (200, 50)) if i < 60 else ((4, 1),):
+            words = [f"w{rng.randrange(10**9)}" for _ in range(common + more + 4)]
+            texts += [" ".join(words[:common + 4]), " ".join(words)]
+    apart, pairs = similar_pairs_apart(spark, texts)
+    assert pairs == 420 and not apart
+
+
+def test_any_order_finds_the_pairs():
+    rng = np.random.default_rng(5)
+    for _ in range(500):
+        total = int(rng.integers(1, 60))
+        every = np.unique(rng.integers(0, 1 << 63, total).astype(np.uint64))
+        a = np.sort(rng.choice(every, int(rng.integers(1, len(every) + 1)), replace=False))
+        b = np.sort(rng.choice(every, int(rng.integers(1, len(every) + 1)), replace=False))
+        both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+        common = np.sort(rng.choice(every, len(every) // 2, replace=False))
+        often = rng.integers(4, 9, len(common))
+        apart = np.bitwise_count(
+            simhash_similarity.sketch(a)[1:] ^ simhash_similarity.sketch(b)[1:]).sum()
+        assert apart <= either - both
+        if 5 * both >= 4 * either:
+            assert len(np.intersect1d(simhash_similarity.prefix(a, common, often),
+                                      simhash_similarity.prefix(b, common, often)))
