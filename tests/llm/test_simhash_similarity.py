@@ -121,6 +121,30 @@ def similar_pairs_apart(spark, texts, **options):
     return [p for p in pairs if component[p[0]] != component[p[1]]], len(pairs)
 
 
+@pytest.mark.parametrize("block", [simhash_similarity.BLOCK, 64])
+def test_pairs_in_a_family_of_lighter_links(spark, block):
+    """A template whose texts are at about 0.75, with planted pairs at 0.80 to 0.85."""
+    rng = random.Random(11)
+    template = prose(rng, 204).split()
+
+    def member():
+        words = list(template)
+        for i in rng.sample(range(2, 200, 7), 3):  # 15 of 200 shingles: 185 / 215 with the template
+            words[i] = f"own{rng.randrange(10**9)}"
+        return words
+
+    texts = [" ".join(member()) for _ in range(600)]
+    for _ in range(60):
+        words = member()
+        other = list(words)
+        for i in rng.sample(range(4, 200, 10), 4):
+            other[i] = f"planted{rng.randrange(10**9)}"
+        texts += [" ".join(words), " ".join(other)]
+    rng.shuffle(texts)
+    apart, pairs = similar_pairs_apart(spark, texts, block=block)
+    assert pairs >= 60 and not apart
+
+
 def test_short_and_long_pairs_at_the_limit(spark):
     rng = random.Random(12)
     texts = []
