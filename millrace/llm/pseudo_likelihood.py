@@ -7,8 +7,8 @@ that probability.
 
 1. All words of all documents are counted; the most frequent have ids of their own, the others
    share ``UNKNOWN`` ids by hash; words of one count are treated alike.  Counts are combined in the tasks first.
-2. Starting from the counts (as biases) and seeded vectors, every task trains on each
-   ``TRAIN_EVERY``-th token of each of its documents, and the tasks' changes are averaged by the
+2. Starting from the counts (as biases) and seeded vectors, every task trains on every
+   token of each of its documents, and the tasks' changes are averaged by the
    number of tokens behind them.  So what is gathered grows with the corpus, while the network
    that comes to the driver and back has a fixed size.
 3. Every token of every document is scored.
@@ -34,13 +34,12 @@ TOKENS = CLASSES * SLOTS
 DIMENSIONS = 16
 SIDE = 2
 LONGEST = 64
-TRAIN_EVERY = 16
 RATE = 0.1
 SEED = 4
 
 # Different words counted before a task hands them on; tokens trained and scored at once.
 COUNT_WORDS = 1 << 18
-TRAIN_BATCH = 512
+TRAIN_BATCH = 1 << 12
 SCORE_BATCH = 1 << 14
 CHUNK_BYTES = 1 << 21
 
@@ -171,15 +170,15 @@ class Network:
         steps = [None, odds.T @ mean / n, odds.sum(axis=0) / n]
         order = np.argsort(group, kind="stable")
         group, slot, ordered = group[order], slot[order], mean[order]
-        layer = self.slot_layer[group]
-        error = _softmax(np.matmul(layer, ordered[:, :, None])[:, :, 0] + self.slot_bias[group])
-        error[np.arange(len(at)), slot] -= 1
-        back[order] += np.matmul(error[:, None, :], layer)[:, 0, :]
         heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
         seen = group[heads]
-        cuts = np.append(heads, len(group))
-        slot_step = np.stack([
-            error[a:b].T @ ordered[a:b] for a, b in zip(cuts[:-1], cuts[1:])]) / n
+        parts = list(zip(seen, heads, np.append(heads[1:], len(group))))
+        error = np.concatenate([
+            _softmax(ordered[a:b] @ self.slot_layer[g].T + self.slot_bias[g])
+            for g, a, b in parts])
+        error[np.arange(len(at)), slot] -= 1
+        back[order] += np.concatenate([error[a:b] @ self.slot_layer[g] for g, a, b in parts])
+        slot_step = np.stack([error[a:b].T @ ordered[a:b] for _, a, b in parts]) / n
         bias_step = np.add.reduceat(error, heads, axis=0) / n
         _adagrad(self.class_layer, steps[1], past[1])
         _adagrad(self.class_bias, steps[2], past[2])
@@ -236,10 +235,8 @@ def _trainer(shared):
         trained = 0
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            phase = np.array([zlib.crc32(t or b"") % TRAIN_EVERY for t in texts])
             for row, owner in _padded(network, texts):
                 at = np.flatnonzero(owner >= 0)
-                at = at[(at + phase[owner[at]]) % TRAIN_EVERY == 0]
                 for i in range(0, len(at), TRAIN_BATCH):
                     network.train(row, at[i:i + TRAIN_BATCH], past)
                 trained += len(at)

@@ -144,3 +144,16 @@ def test_nothing_to_learn_from(spark):
     docs = frame(spark, [(1, None, "a"), (2, "", "b")])
     got = pseudo_likelihood.score(docs, pseudo_likelihood.fit(docs)).collect()
     assert [(r.n_tokens, r.log_prob) for r in got] == [(0, 0.0)] * 2
+
+
+def test_every_token_is_trained(spark, monkeypatch):
+    docs = frame(spark, [(i, f"a{i} b c d e f g h", "s") for i in range(50)])
+    start = pseudo_likelihood.Network.start(*pseudo_likelihood.vocabulary(docs))
+
+    class Shared:
+        value = start
+
+    batch = docs.select("text").toArrow().to_batches()
+    trained = [b.column("trained")[0].as_py()
+               for b in pseudo_likelihood._trainer(Shared)(iter(batch))]
+    assert trained == [400]
