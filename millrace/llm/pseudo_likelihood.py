@@ -6,7 +6,8 @@ token within its class.  A document's score is the sum over all its tokens of th
 that probability.
 
 1. All words of all documents are counted; the most frequent have ids of their own, the others
-   share ``UNKNOWN`` ids by hash; words of one count are treated alike.  Counts are combined in the tasks first.
+   share ``UNKNOWN`` ids by hash, which start from the sums of their counts; of words of one count
+   the first in order go first.  Counts are combined in the tasks first.
 2. Starting from the counts (as biases) and seeded vectors, every task trains on every
    token of each of its documents, and the tasks' changes are averaged by the
    number of tokens behind them.  So what is gathered grows with the corpus, while the network
@@ -48,8 +49,12 @@ def _words(text):
     return (text or b"").lower().split()
 
 
+def _shared_id(word):
+    return zlib.crc32(word) % UNKNOWN
+
+
 def word_counts(docs):
-    """word (bytes) and count over all documents."""
+    """word (bytes; null if above LONGEST), shared id it would have, and count over all documents."""
 
     def run(batches):
         seen = Counter()
@@ -62,32 +67,37 @@ def word_counts(docs):
         yield _rows(seen)
 
     def _rows(seen):
-        kept = [(w, n) for w, n in seen.items() if len(w) <= LONGEST]
         return pa.RecordBatch.from_arrays(
-            [pa.array([w for w, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int64())],
-            ["word", "n"])
+            [pa.array([w if len(w) <= LONGEST else None for w in seen], pa.binary()),
+             pa.array([_shared_id(w) for w in seen], pa.int32()),
+             pa.array(seen.values(), pa.int64())], ["word", "shared", "n"])
 
-    counts = docs.select("text").mapInArrow(run, "word binary, n bigint")
-    return counts.groupBy("word").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(run, "word binary, shared int, n bigint")
+    return counts.groupBy("word", "shared").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(docs):
-    """The most frequent words in order and their counts.
+    """The most frequent words in order, their counts, and the counts of all others by shared id.
 
-    All words above a count have ids, with the least count for which there are enough ids.
-    It is found from the numbers of words of each count, so no task meets all words.
+    The least count is found from the numbers of words of each count, so no task meets all words;
+    of the words of that count the first in order have ids.
     """
     most = TOKENS - UNKNOWN
     counts = written(word_counts(docs), "word-counts")
-    alike = counts.groupBy("n").agg(F.count("*").alias("words"))
+    named = counts.where("word IS NOT NULL")
+    alike = named.groupBy("n").agg(F.count("*").alias("words"))
     frequent = alike.orderBy(F.col("n").desc()).limit(most).collect()  # at most a row per id
-    enough = [r["n"] for r, total in zip(frequent, accumulate(r["words"] for r in frequent))
-              if total <= most]
-    if not enough:
-        return [], np.zeros(0, np.int64)
-    top = counts.where(F.col("n") >= enough[-1]).toArrow()
-    top = top.sort_by([("n", "descending"), ("word", "ascending")])
-    return top["word"].to_pylist(), np.array(top["n"].to_pylist(), np.int64)
+    others = np.zeros(UNKNOWN, np.int64)
+    for r in counts.groupBy("shared").agg(F.sum("n").alias("n")).collect():
+        others[r["shared"]] = r["n"]
+    if not frequent:
+        return [], np.zeros(0, np.int64), others
+    upto = accumulate(r["words"] for r in frequent)
+    least = next((r["n"] for r, total in zip(frequent, upto) if total >= most), frequent[-1]["n"])
+    top = named.where(F.col("n") >= least).orderBy(F.col("n").desc(), "word").limit(most).toArrow()
+    words, often = top["word"].to_pylist(), np.array(top["n"].to_pylist(), np.int64)
+    np.subtract.at(others, [_shared_id(w) for w in words], often)
+    return words, often, others
 
 
 @dataclass
@@ -103,11 +113,11 @@ class Network:
     slot_bias: np.ndarray
 
     @classmethod
-    def start(cls, words, counts, seed=SEED):
+    def start(cls, words, counts, others, seed=SEED):
         random = np.random.default_rng(seed)
         n = np.ones(TOKENS)
         n[:len(counts)] += counts
-        # What words without an id amount to is learned; a unit each is the start.
+        n[TOKENS - UNKNOWN:] += others
         table = n.reshape(SLOTS, CLASSES).T
         vectors = random.normal(0, 0.1, (TOKENS + 1, DIMENSIONS)).astype(np.float32)
         vectors[-1] = 0
@@ -136,7 +146,7 @@ class Network:
         get, first = self.ids.get, TOKENS - UNKNOWN
         words = _words(text)
         found = [get(w, -1) for w in words]
-        return [t if t >= 0 else first + zlib.crc32(w) % UNKNOWN for t, w in zip(found, words)]
+        return [t if t >= 0 else first + _shared_id(w) for t, w in zip(found, words)]
 
     def _means(self, row, at):
         """Averaged vectors of the neighbours of places in a padded row of tokens."""

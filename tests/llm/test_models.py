@@ -157,3 +157,17 @@ def test_every_token_is_trained(spark, monkeypatch):
     trained = [b.column("trained")[0].as_py()
                for b in pseudo_likelihood._trainer(Shared)(iter(batch))]
     assert trained == [400]
+
+
+def test_counts_of_all_words_start_the_network(spark):
+    most = pseudo_likelihood.TOKENS - pseudo_likelihood.UNKNOWN
+    rows = [(i, " ".join(f"w{100 * i + j}" for j in range(100)), "s") for i in range(30)]
+    rows.append((30, "x" * 100 + " w7 w7", "s"))
+    words, counts, others = pseudo_likelihood.vocabulary(frame(spark, rows))
+    alike = sorted(f"w{i}".encode() for i in range(3000) if i != 7)
+    assert words == [b"w7"] + alike[:most - 1]  # ties at the cut by word
+    assert counts.tolist() == [3] + [1] * (most - 1)
+    left = np.zeros(pseudo_likelihood.UNKNOWN, int)
+    for w in [*alike[most - 1:], b"x" * 100]:
+        left[zlib.crc32(w) % pseudo_likelihood.UNKNOWN] += 1
+    assert others.tolist() == left.tolist()
