@@ -7,7 +7,8 @@ as often as its target allows; the rest of the target is a budget for a part of
 
 For that part, documents are counted by exact length.  An even share of every stretch of lengths
 fills the budget up to a remainder, and bounded-knapsack dynamic programming over the lengths
-still there fits the remainder as closely as it can be.  The result is a number of documents for
+still there fits the remainder as closely as it can be.  Where only longer documents are left than that
+programming reaches, at most one fits, and the longest such is taken.  The result is a number of documents for
 each length; those documents are the first by a seeded hash of doc_id.
 
 The counts are one row per source and length, combined before any shuffle; one source's rows
@@ -128,6 +129,11 @@ def take_counts(lengths, counts, budget):
         rest -= more * int(lengths[i])
     if rest <= FIT_WORDS:
         taken += fit_remainder(lengths, left, rest)
+    else:
+        # Every length still there is above rest - FIT_WORDS / 2, so above half of rest: no two
+        # documents fit, and the longest that does comes nearest.
+        fits = np.flatnonzero((left > 0) & (lengths <= rest))
+        taken[fits[-1:]] += 1
     return taken
 
 

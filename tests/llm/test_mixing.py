@@ -105,3 +105,16 @@ def test_corpus_has_each_taken_row_once(spark):
 def test_empty_table(spark):
     docs = frame(spark, [])
     assert mixing.mix(docs).collect() == [] and mixing.mixed_corpus(docs).collect() == []
+
+
+def test_few_long_texts_fit_the_budget():
+    assert mixing.take_counts([60_000], [3], 130_000).tolist() == [2]
+    rng = np.random.default_rng(4)
+    for _ in range(500):
+        lengths = np.unique(rng.integers(40_000, 200_000, rng.integers(1, 6)))
+        counts = rng.integers(1, 4, len(lengths))
+        budget = int(rng.integers(0, lengths @ counts))
+        taken = mixing.take_counts(lengths, counts, budget)
+        rest = budget - int(lengths @ taken)
+        assert (taken >= 0).all() and (taken <= counts).all() and 0 <= rest < lengths[-1]
+        assert (lengths[taken < counts] > rest).all()  # no other document fits
