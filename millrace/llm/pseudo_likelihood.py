@@ -156,6 +156,7 @@ class Network:
 
     def log_probabilities(self, row, at):
         mean, _, _ = self._means(row, at)
+        mean = mean.astype(np.float64)  # equal texts score alike in whatever batch
         token = row[at]
         group, slot = token % CLASSES, token // CLASSES
         result = _log_softmax_at(mean @ self.class_layer.T + self.class_bias, group)
