@@ -152,3 +152,76 @@ SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_rem
     coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
 FROM document LEFT JOIN kept USING (doc_id)
 """
+
+_TERMS = (
+    f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), "
+    r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
+ORACLES["op11_lexical_search"] = f"""
+WITH occurrence AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+frequency AS (SELECT doc_id, term, count(*) AS tf FROM occurrence GROUP BY doc_id, term),
+measure AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM frequency GROUP BY doc_id),
+corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM measure),
+weight AS (
+    SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+    FROM frequency, corpus GROUP BY term),
+document AS (SELECT doc_id, 100 - 25 + (25 * n * docs) // terms AS m FROM measure, corpus),
+asked AS (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark),
+scored AS (
+    SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+    FROM asked JOIN frequency USING (term) JOIN weight USING (term) JOIN document USING (doc_id)
+    GROUP BY item_id, doc_id),
+ranked AS (
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER
+        AS rank, doc_id, score
+    FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+_LETTERS = (
+    f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), "
+    r"'[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+_SHARE = "(1 + (1000000000::HUGEINT * (n + 2)) // (total + 2 * terms))::BIGINT"
+
+ORACLES["op12_divergence"] = f"""
+WITH document AS (
+    SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        {_LETTERS} AS found FROM documents),
+occurrence AS (SELECT doc_id, lang, source, unnest(found) AS term FROM document),
+kept AS (
+    SELECT lang, term FROM occurrence GROUP BY lang, term HAVING count(DISTINCT doc_id) >= 10),
+size AS (SELECT lang, count(*) AS terms FROM kept GROUP BY lang),
+grp AS (SELECT DISTINCT lang, source FROM document),
+present AS (
+    SELECT lang, source, term, count(*) AS n
+    FROM occurrence JOIN kept USING (lang, term) GROUP BY lang, source, term),
+counted AS (
+    SELECT lang, source, term, coalesce(n, 0) AS n
+    FROM grp JOIN kept USING (lang) LEFT JOIN present USING (lang, source, term)),
+shared AS (
+    SELECT lang, source, term, n, {_SHARE} AS p
+    FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS total FROM counted)
+    JOIN size USING (lang)),
+language AS (
+    SELECT lang, term, {_SHARE} AS q
+    FROM (SELECT *, sum(n) OVER (PARTITION BY lang) AS total
+          FROM (SELECT lang, term, sum(n) AS n FROM counted GROUP BY lang, term))
+    JOIN size USING (lang)),
+pair AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM shared a JOIN shared b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+    GROUP BY a.lang, a.source, b.source),
+value AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+    FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q)
+    FROM shared JOIN language USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+    SELECT *, row_number() OVER (
+        PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM value)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""

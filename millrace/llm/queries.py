@@ -5,6 +5,8 @@ import public_tokenizers
 from millrace.llm import (
     chat_format,
     decontaminate,
+    divergence,
+    lexical_search,
     line_dedup,
     mixing,
     pseudo_likelihood,
@@ -13,6 +15,7 @@ from millrace.llm import (
     simhash,
     suffix_dedup,
     token_counts,
+    token_store,
 )
 from millrace.session import new_folder
 
@@ -95,6 +98,25 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.judged(_documents(spark, sf_dir)).drop("broken_rules")
 
 
+@query
+def op11_lexical_search(spark, sf_dir):
+    return lexical_search.search(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_divergence(spark, sf_dir):
+    return divergence.audit(_documents(spark, sf_dir))
+
+
+@query
+def op13_token_store(spark, sf_dir):
+    """Written to a folder of its own and read back from it."""
+    path = new_folder(spark, "token-ids")
+    token_store.write_ids(
+        _documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_store.digests(token_store.read_ids(spark, path))
+
+
 @query
 def pipeline(spark, sf_dir):
     import corpus_pipeline
