@@ -35,10 +35,13 @@ TOP_TERMS = 10
 PRIOR, THOUSANDS = 2, 3
 
 # Different terms counted before a task hands them on; terms in a block; shares held at once.
-COUNT_TERMS = 1 << 18
+COUNT_TERMS = 1 << 19
 BLOCK_TERMS = 512
 SHARES = 1 << 18
 
+# A task counts occurrences and documents in one number: these are the high bits.
+ONE_DOCUMENT = 1 << 40
+
 _TABLE = bytes(
     b if 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20
     for b in range(256))
@@ -50,26 +53,27 @@ def _counted(batches):
     """lang, source, term with its occurrences and documents, summed over a part of a task."""
 
     def rows():
-        groups = [(g, t, n, held[g][t]) for g, terms in total.items() for t, n in terms.items()]
+        found = [(g, t, n) for g, terms in total.items() for t, n in terms.items()]
+        n = np.array([n for *_, n in found], np.int64)
         return pa.RecordBatch.from_arrays(
-            [pa.array([g[0] for g, *_ in groups], pa.string()),
-             pa.array([g[1] for g, *_ in groups], pa.string()),
-             pa.array([t for _, t, *_ in groups], pa.binary()).cast(pa.string()),
-             pa.array([n for *_, n, _ in groups], pa.int64()),
-             pa.array([d for *_, d in groups], pa.int64())],
+            [pa.array([g[0] for g, *_ in found], pa.string()),
+             pa.array([g[1] for g, *_ in found], pa.string()),
+             pa.array([t for _, t, _ in found], pa.binary()).cast(pa.string()),
+             pa.array(n % ONE_DOCUMENT), pa.array(n // ONE_DOCUMENT)],
             ["lang", "source", "term", "n", "docs"])
 
-    total, held = defaultdict(Counter), defaultdict(Counter)
+    total = defaultdict(dict)
     for batch in batches:
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         groups = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())
         for text, group in zip(texts, groups):
-            frequency = Counter(text.translate(_TABLE).split())
-            total[group].update(frequency)
-            held[group].update(frequency.keys())
+            terms = total[group]
+            seen = terms.get
+            for term, n in Counter(text.translate(_TABLE).split()).items():
+                terms[term] = seen(term, 0) + n + ONE_DOCUMENT
         if sum(map(len, total.values())) > COUNT_TERMS:
             yield rows()
-            total, held = defaultdict(Counter), defaultdict(Counter)
+            total = defaultdict(dict)
     yield rows()
 
 
@@ -184,10 +188,15 @@ def audit(docs, least=LEAST_DOCUMENTS, top=TOP_TERMS):
     size = F.greatest(F.lit(BLOCK_TERMS), 4 * F.size("groups"))
     numbered = kept.join(languages.select("lang", "terms", size.alias("size")), "lang").withColumn(
         "number", F.pmod(F.xxhash64("term"), F.ceil(F.col("terms") / F.col("size"))))
-    blocks = numbered.groupBy("lang", "number").agg(
+    # A block is much work for its bytes: as many tasks as partitions, whatever their size.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = numbered.repartition(tasks, "lang", "number").groupBy("lang", "number").agg(
         F.collect_list(F.struct("term", "counts")).alias("block"))
-    parts = languages.join(blocks, "lang", "left").select(
-        "lang", "terms", "groups", "block").mapInArrow(_compare(top), PARTS)
+    given = ["lang", "terms", "groups"]
+    # Not one outer join: that would deal the blocks by language.
+    blocks = blocks.join(languages, "lang").select(*given, "block").unionAll(
+        languages.where("terms = 0").select(*given, F.lit(None).alias("block")))
+    parts = blocks.mapInArrow(_compare(top), PARTS)
     # The blocks' rows: a sum for each pair, the first terms of each source.
     parts = written(parts, "parts")
     pairs = parts.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(

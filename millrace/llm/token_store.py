@@ -24,6 +24,7 @@ a task and the ids are put together.  That is exact for tokenizers whose pieces
 space nor depend on what stands beyond it, as word_bpe_49k.json; for others turn it off.
 """
 
+import os
 import re
 import struct
 import zlib
@@ -37,6 +38,9 @@ from tokenizers import Tokenizer
 
 from millrace.llm.grammar import Grammar, compress, symbol_type
 
+# Spark's tasks fill the cores; threads of the library would only add to them.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 SHARD_IDS = 1 << 20
 END_ID = 1
 
@@ -80,7 +84,7 @@ class Encoder:
         return b"".join(parts)
 
     def _joined(self, words):
-        new = set(words) - self.known.keys()
+        new = set(words).difference(self.known)
         if len(self.known) + len(new) > KNOWN_WORDS:
             self.known.clear()
             new = set(words)
