@@ -1,7 +1,7 @@
 """Re-Pair grammars over token ids: compression, expansion and access to a part.
 
 ``compress`` replaces frequent pairs of neighbouring symbols by new symbols, round by round: each
-round takes the pairs that occur at least a sixteenth as often as the most frequent one, resolves
+round takes the pairs that occur at least 1/256 as often as the most frequent one, resolves
 overlaps from left to right, and replaces all their occurrences at once.  It ends when no pair is
 frequent, or the rules are used up.  Rule k is symbol ``base + k``; its two symbols are older.
 """
@@ -78,7 +78,7 @@ def _frequent(pairs, room):
     ordered = np.sort(pairs)
     heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     counts = np.diff(np.append(heads, len(ordered)))
-    chosen = np.flatnonzero(counts >= max(LEAST, counts.max() // 16))
+    chosen = np.flatnonzero(counts >= max(LEAST, counts.max() // 256))
     if len(chosen) > room:
         chosen = chosen[np.argsort(-counts[chosen], kind="stable")[:room]]
     return np.sort(ordered[heads[chosen]])

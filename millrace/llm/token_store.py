@@ -19,9 +19,10 @@ doc_id come first; rows of one doc_id are documents of their own, in the order o
 hashes.  Texts are read whole, in pieces cut at white space.  Columns other than doc_id and text
 are ignored; an empty table gives no row.
 
-With ``by_word`` the library encodes each different word (bytes between ASCII white space) once in
-a task and the ids are put together.  That is exact for tokenizers whose pieces neither hold white
-space nor depend on what stands beyond it, as word_bpe_49k.json; for others turn it off.
+With ``by_word`` the library encodes each different word (bytes between ASCII white space, without
+marks behind it and in lower case) once in a worker and the ids are put together.  That is exact for
+tokenizers that lower A-Z, whose pieces neither hold white space nor depend on what stands beyond it,
+and that part marks from words, as word_bpe_49k.json; for others turn it off.
 """
 
 import os
@@ -52,6 +53,9 @@ PIECE = 1 << 20
 MAGIC, VERSION = b"IDRP", 1
 _HEAD = struct.Struct("<4sHHIIIQQI")
 _WHITE = re.compile(rb"[\x20\x09-\x0D]")
+# Marks that the tokenizer parts from a letter or digit before them.
+TAIL = b".,;:!?"
+_PLAIN_END = re.compile(rb"[0-9A-Za-z]")
 
 FILES = "part int, shard int, start bigint, n_ids bigint, content binary"
 
@@ -65,7 +69,7 @@ class Encoder:
         self.tokenizer.no_padding()
         self.base = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.by_word = by_word
-        self.known = {}
+        self.known, self.pieces = {}, {}
 
     def _encoded(self, texts):
         found = self.tokenizer.encode_batch_fast(
@@ -84,17 +88,34 @@ class Encoder:
         return b"".join(parts)
 
     def _joined(self, words):
-        new = set(words).difference(self.known)
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known.clear()
-            new = set(words)
-        new = list(new)
-        self.known.update(zip(new, self._encoded(new)))
-        ids = b"".join(map(self.known.__getitem__, words))
-        for word in new:
-            if len(word) > LONGEST:
-                del self.known[word]
-        return ids
+        """The ids of words, from the known ones; new ones are encoded first."""
+        found = list(map(self.known.get, words))
+        if None in found:
+            self._learn({w for w, ids in zip(words, found) if ids is None})
+            found = list(map(self.known.__getitem__, words))
+            if len(self.known) > KNOWN_WORDS:
+                self.known.clear()
+        return b"".join(found)
+
+    def _learn(self, words):
+        """A word that ends in a letter or digit and some of TAIL is encoded without it: the library
+        cuts there, and gives both cases of A-Z the same ids but within its special strings."""
+        parts = {}
+        for word in words:
+            head = word.rstrip(TAIL)
+            if not _PLAIN_END.match(head[-1:]):
+                head = word
+            parts[word] = head if b"<" in head else head.lower(), word[len(head):]
+        new = list({p for both in parts.values() for p in both}.difference(self.pieces, [b""]))
+        pieces = dict(zip(new, self._encoded(new)))
+        pieces[b""] = b""
+        pieces.update((p, self.pieces[p]) for both in parts.values() for p in both
+                      if p in self.pieces)
+        for word, (head, tail) in parts.items():
+            self.known[word] = pieces[head] + pieces[tail]
+        if len(self.pieces) > KNOWN_WORDS:
+            self.pieces.clear()
+        self.pieces.update((p, ids) for p, ids in pieces.items() if len(p) <= LONGEST)
 
 
 _encoders = {}
