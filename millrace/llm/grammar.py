@@ -3,7 +3,7 @@
 ``compress`` replaces frequent pairs of neighbouring symbols by new symbols, round by round: each
 round takes the pairs that occur at least 1/256 as often as the most frequent one, resolves
 overlaps from left to right, and replaces all their occurrences at once.  It ends when no pair is
-frequent, or the rules are used up.  Rule k is symbol ``base + k``; its two symbols are older.
+frequent, the rules are used up, or a round has shortened the sequence by less than a hundredth.  Rule k is symbol ``base + k``; its two symbols are older.
 """
 
 from dataclasses import dataclass
@@ -136,6 +136,8 @@ def compress(ids, base, rules=RULES):
         keep = np.ones(len(sequence), bool)
         keep[place + 1] = False
         sequence = sequence[keep]
+        if 100 * len(place) < len(sequence):
+            break
     none = np.zeros(0, symbol)
     return Grammar(base, np.concatenate([none, *left]), np.concatenate([none, *right]),
                    lengths, sequence)

@@ -32,6 +32,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -45,23 +46,24 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 SHARD_IDS = 1 << 20
 END_ID = 1
 
-# Words kept by a worker, the longest of them, and bytes of text encoded at once.
+# Words kept by a worker, the longest of them, words of one library call's text, and bytes of text
+# encoded at once.
 KNOWN_WORDS = 1 << 20
 LONGEST = 64
-PIECE = 1 << 20
+TOGETHER = 256
+PIECE = 1 << 24
 
 MAGIC, VERSION = b"IDRP", 1
 _HEAD = struct.Struct("<4sHHIIIQQI")
 _WHITE = re.compile(rb"[\x20\x09-\x0D]")
 # Marks that the tokenizer parts from a letter or digit before them.
-TAIL = b".,;:!?"
-_PLAIN_END = re.compile(rb"[0-9A-Za-z]")
+TAIL = ".,;:!?"
 
 FILES = "part int, shard int, start bigint, n_ids bigint, content binary"
 
 
 class Encoder:
-    """Ids of texts, as little-endian 32-bit numbers."""
+    """Ids of texts."""
 
     def __init__(self, path, by_word=True):
         self.tokenizer = Tokenizer.from_file(path)
@@ -69,53 +71,135 @@ class Encoder:
         self.tokenizer.no_padding()
         self.base = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.by_word = by_word
-        self.known, self.pieces = {}, {}
+        self.known = {}
+        self.ends_word = self._word_ends() if by_word else None
+
+    def _word_ends(self):
+        """Whether each id ends a word; None if the tokenizer does not mark ends."""
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if not suffix:
+            return None
+        ends = np.zeros(self.base, bool)
+        for token, number in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            ends[number] = token.endswith(suffix)
+        return ends
 
     def _encoded(self, texts):
         found = self.tokenizer.encode_batch_fast(
             [t.decode() for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def ids(self, text):
-        if not self.by_word:
-            return self._encoded([text])[0]
-        parts, at = [], 0
+        return [np.array(e.ids, np.uint32).tobytes() for e in found]
+
+    def ids(self, texts):
+        """(the ids of all texts as one array, where each text's end)."""
+        found, ends = [], np.zeros(len(texts), np.int64)
+        for pieces, owners in _pieces(texts, self.by_word):
+            ids, sizes = self._words(pieces) if self.by_word else _flat(self._encoded(pieces))
+            found.append(ids)
+            np.add.at(ends, owners, sizes)
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.cumsum(ends)
+
+    def _words(self, pieces):
+        """Ids of stretches of text, and how many each has: every different word is looked up once."""
+        words = pc.ascii_split_whitespace(pa.array(pieces, pa.binary()).cast(pa.string()))
+        edges = words.offsets.to_numpy()
+        coded = words.flatten().dictionary_encode()
+        flat, sizes = self._different(coded.dictionary)
+        flat, sizes = _gathered(flat, sizes, coded.indices.to_numpy())
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        return flat, np.diff(ends[edges])
+
+    def _different(self, words):
+        """Ids of different words, and how many each has. A word that ends in a letter or digit and
+        some of TAIL is encoded without it: the library cuts there, and gives both cases of A-Z the
+        same ids but within its special strings."""
+        heads = pc.ascii_rtrim(words, characters=TAIL)
+        heads = pc.if_else(pc.match_substring_regex(heads, "[0-9A-Za-z]$"), heads, words)
+        behind = (pc.binary_length(words).to_numpy() - pc.binary_length(heads).to_numpy())
+        heads = pc.if_else(pc.match_substring(heads, "<"), heads, pc.ascii_lower(heads))
+        heads = heads.dictionary_encode()
+        pieces = heads.dictionary.cast(pa.binary()).to_pylist()
+        place = np.stack([heads.indices.to_numpy(), np.full(len(words), len(pieces))], axis=1)
+        tails = {b"": len(pieces)}
+        for n in np.unique(behind[behind > 0]).tolist():
+            rows = np.flatnonzero(behind == n)
+            marks = pc.binary_slice(words.take(pa.array(rows)).cast(pa.binary()), -n, None)
+            marks = marks.dictionary_encode()
+            numbers = [tails.setdefault(t, len(pieces) + len(tails))
+                       for t in marks.dictionary.to_pylist()]
+            place[rows, 1] = np.array(numbers)[marks.indices.to_numpy()]
+        flat, sizes = _flat(self._looked_up([*pieces, *tails]))
+        flat, sizes = _gathered(flat, sizes, place.ravel())
+        return flat, sizes.reshape(-1, 2).sum(axis=1)
+
+    def _looked_up(self, pieces):
+        known = self.known
+        found = list(map(known.get, pieces))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing:
+            new = [pieces[i] for i in missing]
+            known.update(self._new(new))
+            for i, piece in zip(missing, new):
+                found[i] = known[piece]
+                if len(piece) > LONGEST:
+                    del known[piece]
+            if len(known) > KNOWN_WORDS:
+                known.clear()
+        return found
+
+    def _new(self, pieces):
+        """(piece, ids) of pieces. Letters alone are one word of the library, so many are encoded as
+        one text and cut apart after the ids that end a word; if that does not give as many words
+        as there are pieces, each is encoded by itself."""
+        letters, others = [], []
+        for piece in pieces:
+            (letters if piece.decode().isalpha() else others).append(piece)
+        if self.ends_word is None:
+            letters, others = [], pieces
+        groups = [letters[i:i + TOGETHER] for i in range(0, len(letters), TOGETHER)]
+        for group, ids in zip(groups, self._encoded([b" ".join(g) for g in groups])):
+            after = np.flatnonzero(self.ends_word[np.frombuffer(ids, np.uint32)]) + 1
+            if len(after) == len(group):
+                edges = [0, *(4 * after).tolist()]
+                yield from zip(group, map(ids.__getitem__, map(slice, edges, edges[1:])))
+            else:
+                others += group
+        yield from zip(others, self._encoded(others))
+
+
+def _gathered(flat, sizes, place):
+    """The stretches of ``flat`` (of the given sizes, one after the other) at some places."""
+    start, size = (np.cumsum(sizes) - sizes)[place], sizes[place]
+    ends = np.cumsum(size)
+    small = not len(ends) or ends[-1] < 1 << 31
+    at = np.repeat((start - ends + size).astype(np.int32 if small else np.int64), size)
+    at += np.arange(len(at), dtype=at.dtype)
+    return np.take(flat, at), size
+
+
+def _flat(encoded):
+    """Ids given as bytes, together, and their numbers."""
+    sizes = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+    return np.frombuffer(b"".join(encoded), np.uint32), sizes
+
+
+def _pieces(texts, cut):
+    """(stretches, the number of the text of each): about PIECE bytes; a longer text is cut at
+    white space, if it may be."""
+    pieces, owners, size = [], [], 0
+    for number, text in enumerate(texts):
+        at = 0
         while at < len(text):
-            cut = _WHITE.search(text, at + PIECE)
-            end = cut.start() if cut else len(text)
-            parts.append(self._joined(text[at:end].split()))
+            white = _WHITE.search(text, at + PIECE) if cut else None
+            end = white.start() if white else len(text)
+            pieces.append(text[at:end])
+            owners.append(number)
+            size += end - at
             at = end
-        return b"".join(parts)
-
-    def _joined(self, words):
-        """The ids of words, from the known ones; new ones are encoded first."""
-        found = list(map(self.known.get, words))
-        if None in found:
-            self._learn({w for w, ids in zip(words, found) if ids is None})
-            found = list(map(self.known.__getitem__, words))
-            if len(self.known) > KNOWN_WORDS:
-                self.known.clear()
-        return b"".join(found)
-
-    def _learn(self, words):
-        """A word that ends in a letter or digit and some of TAIL is encoded without it: the library
-        cuts there, and gives both cases of A-Z the same ids but within its special strings."""
-        parts = {}
-        for word in words:
-            head = word.rstrip(TAIL)
-            if not _PLAIN_END.match(head[-1:]):
-                head = word
-            parts[word] = head if b"<" in head else head.lower(), word[len(head):]
-        new = list({p for both in parts.values() for p in both}.difference(self.pieces, [b""]))
-        pieces = dict(zip(new, self._encoded(new)))
-        pieces[b""] = b""
-        pieces.update((p, self.pieces[p]) for both in parts.values() for p in both
-                      if p in self.pieces)
-        for word, (head, tail) in parts.items():
-            self.known[word] = pieces[head] + pieces[tail]
-        if len(self.pieces) > KNOWN_WORDS:
-            self.pieces.clear()
-        self.pieces.update((p, ids) for p, ids in pieces.items() if len(p) <= LONGEST)
+            if size >= PIECE:
+                yield pieces, owners
+                pieces, owners, size = [], [], 0
+    if pieces:
+        yield pieces, owners
 
 
 _encoders = {}
@@ -135,10 +219,9 @@ class Shard:
         self.doc_ids, self.ends, self.grammar = doc_ids, ends, grammar
 
     @classmethod
-    def of(cls, doc_ids, encoded, base):
-        """From the documents' ids as bytes."""
-        ends = np.cumsum([len(e) // 4 for e in encoded], dtype=np.int64)
-        return cls(doc_ids, ends, compress(np.frombuffer(b"".join(encoded), "<u4"), base))
+    def of(cls, doc_ids, ids, ends, base):
+        """From the documents' ids, one after the other, and where each ends."""
+        return cls(doc_ids, np.asarray(ends, np.int64), compress(ids, base))
 
     def to_bytes(self):
         g = self.grammar
@@ -187,39 +270,62 @@ class Shard:
                                  int(self.ends[number]))
 
 
-def _writer(path, end_id, by_word, shard_ids):
-    end = np.array([end_id], "<u4").tobytes()
+def _ended(ids, ends, end_id):
+    """The ids with end_id after each document, and the ends after that."""
+    after = ends + np.arange(1, len(ends) + 1)
+    out = np.empty(len(ids) + len(ends), np.uint32)
+    is_end = np.zeros(len(out), bool)
+    is_end[after - 1] = True
+    out[is_end] = end_id
+    out[~is_end] = ids
+    return out, after
 
+
+def _writer(path, end_id, by_word, shard_ids):
     def run(batches):
         encode = encoder(path, by_word)
+        base = max(encode.base, end_id + 1)
         part = TaskContext.get().partitionId()
-        number = start = size = 0
-        doc_ids, encoded = [], []
-
-        def row():
-            content = Shard.of(doc_ids, encoded, max(encode.base, end_id + 1)).to_bytes()
-            return pa.RecordBatch.from_arrays(
+        number = start = 0
+        doc_ids, ids, ends = [], np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+        def row(n):
+            """The first n documents as a shard."""
+            size = int(ends[n - 1])
+            content = Shard.of(doc_ids[:n], ids[:size], ends[:n], base).to_bytes()
+            return size, pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([number], pa.int32()),
                  pa.array([start], pa.int64()), pa.array([size], pa.int64()),
                  pa.array([content], pa.binary())],
                 ["part", "shard", "start", "n_ids", "content"])
 
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            for doc_id, text in zip(batch.column("doc_id"), texts):
-                doc_ids.append(doc_id.as_py())
-                encoded.append(encode.ids(text.as_py() or b"") + end)
-                size += len(encoded[-1]) // 4
-                if size >= shard_ids:
-                    yield row()
-                    number, start, size = number + 1, start + size, 0
-                    doc_ids, encoded = [], []
+            for some in _slices(batch):
+                texts = [t or b"" for t in some.column("text").cast(pa.binary()).to_pylist()]
+                new, new_ends = _ended(*encode.ids(texts), end_id)
+                doc_ids += some.column("doc_id").to_pylist()
+                ends = np.concatenate([ends, len(ids) + new_ends])
+                ids = np.concatenate([ids, new])
+                while len(ids) >= shard_ids:
+                    n = int(np.searchsorted(ends, shard_ids)) + 1
+                    size, shard = row(n)
+                    yield shard
+                    number, start = number + 1, start + size
+                    doc_ids, ids, ends = doc_ids[n:], ids[size:], ends[n:] - size
         if doc_ids:
-            yield row()
+            yield row(len(doc_ids))[1]
 
     return run
 
 
+def _slices(batch):
+    """Rows of about PIECE bytes of text; a longer text is one by itself."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
+    group = np.cumsum(sizes) // PIECE
+    for first in np.flatnonzero(np.concatenate(([True], np.diff(group) > 0))).tolist() if len(group) else []:
+        yield batch.slice(first, int(np.searchsorted(group, group[first], "right")) - first)
+
+
 def write_ids(docs, path, tokenizer_path, end_id=END_ID, by_word=True, shard_ids=SHARD_IDS):
     """Write the documents' ids in ascending order of doc_id."""
     order = ["doc_id", F.xxhash64("text")]
