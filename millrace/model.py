@@ -57,6 +57,7 @@ STORED = T.StructType(
     + EVENT.fields
     + [
         _field("created_at", T.TimestampNTZType(), True, "When the row was stored"),
+        _field("event_hour", T.TimestampNTZType(), True, "Hour of event_timestamp, for statistics"),
         _field("event_date", T.DateType(), False, "Date of event_timestamp, for pruning"),
         _field("stream_id", T.StringType(), False, "Stream that stored the row"),
         _field("batch_id", T.LongType(), False, "Micro-batch that stored the row"),

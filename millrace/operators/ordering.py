@@ -20,7 +20,7 @@ def write_and_read(df):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _ordered(df, order_by, pin):
+def ordered(df, order_by, pin):
     """df in order, each row with its partition and its place in there."""
     rows = (
         df.repartitionByRange(*order_by)
@@ -35,22 +35,35 @@ def _ordered(df, order_by, pin):
     )
 
 
+def numbered(rows, parts, name="id", start=0):
+    """Number ordered() rows after start; parts has each partition and its number of rows, in
+    order."""
+    before, offsets = start, []
+    for part, n in parts:
+        offsets.append((part, before))
+        before += n
+    # One row per partition of the shuffle.
+    offsets = rows.sparkSession.createDataFrame(offsets, "_part bigint, _before bigint")
+    number = F.col("_before") + F.col("_place") + 1
+    return rows.join(F.broadcast(offsets), "_part").withColumn(name, number)
+
+
 def number_rows(df, order_by, name="id", start=0, pin=write_and_read):
     """Add start + 1, start + 2, … in the order given, which must be total.
 
     pin keeps the ordered frame for the second pass; the default writes it.
     """
-    ordered = _ordered(df, order_by, pin)
+    rows = ordered(df, order_by, pin)
     # One row per partition of the shuffle: a window over them and a broadcast are bounded.
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        ordered.groupBy("_part")
+        rows.groupBy("_part")
         .agg(F.count("*").alias("_rows"))
         .select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     )
     number = F.lit(start) + F.col("_before") + F.col("_place") + 1
     return (
-        ordered.join(F.broadcast(offsets), "_part")
+        rows.join(F.broadcast(offsets), "_part")
         .withColumn(name, number.cast("bigint"))
         .select(name, *df.columns)
     )
@@ -75,12 +88,12 @@ def running(df, order_by, values, pin=write_and_read):
     values maps a new column to (sum | min | max, input column). A partition falls into
     stretches, so that the rows spread evenly over the tasks that finish them.
     """
-    ordered = _ordered(df, order_by, pin).withColumn(
+    rows = ordered(df, order_by, pin).withColumn(
         "_stretch", F.floor(F.col("_place") / _STRETCH))
     parts, stretch = ["_part"], ["_part", "_stretch"]
 
-    def totals(rows, by, source):
-        return rows.groupBy(*by).agg(
+    def totals(frame, by, source):
+        return frame.groupBy(*by).agg(
             *[_RUNNING[how](source(name, column)).alias(f"_all_{name}")
               for name, (how, column) in values.items()])
 
@@ -88,7 +101,7 @@ def running(df, order_by, values, pin=write_and_read):
         before = window.rowsBetween(Window.unboundedPreceding, -1)
         return _RUNNING[how](f"_all_{name}").over(before)
 
-    stretches = totals(ordered, stretch, lambda name, column: column)
+    stretches = totals(rows, stretch, lambda name, column: column)
     by_part = totals(stretches, parts, lambda name, column: f"_all_{name}")
     # One row per partition of the shuffle: a window over them and a broadcast are bounded.
     whole = by_part.select(
@@ -108,4 +121,4 @@ def running(df, order_by, values, pin=write_and_read):
         name: _EARLIER[how](F.col(f"_before_{name}"), _RUNNING[how](column).over(within))
         for name, (how, column) in values.items()
     }
-    return ordered.join(before, stretch).withColumns(here).select(*df.columns, *values)
+    return rows.join(before, stretch).withColumns(here).select(*df.columns, *values)

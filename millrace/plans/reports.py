@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions.timekeeping import hour_of, minute_of, ratio
-from millrace.sources.events import after, newest_date, newest_dates
+from millrace.sources.events import after, of_dates
 
 CENTS = "decimal(18,2)"
 
@@ -39,22 +39,34 @@ def event_summary(events):
     )
 
 
-def hourly_events(events, by=()):
-    """Events and distinct users per hour and type, newest hour first; by adds columns that
-    an hour determines, such as its date."""
+def _hour(events):
+    """The hour of each event; a stored table has it as a column, whose statistics let a scan pass
+    over files."""
+    return F.col("event_hour") if "event_hour" in events.columns else hour_of("event_timestamp")
+
+
+def hourly_events(events, dates=None):
+    """Events and distinct users per hour and type, newest hour first.
+
+    dates, for a stored table, are the dates it holds (see Zones): a join with their hours, which
+    drops nothing, leads a condition on event_hour to the folders of its dates.
+    """
+    hour = _hour(events)
+    if dates is not None:
+        days = events.sparkSession.createDataFrame([(str(d),) for d in dates], "day string")
+        day = F.to_date("day")
+        hours = days.select(day.alias("event_date"), F.explode(F.expr(
+            "transform(sequence(0, 23), h -> cast(to_date(day) AS timestamp_ntz)"
+            " + make_dt_interval(0, h))")).alias("event_hour"))
+        # 24 small rows a date.
+        events = events.join(F.broadcast(hours), ["event_date", "event_hour"])
     return (
-        events.groupBy(hour_of("event_timestamp").alias("event_hour"), "event_type", *by)
+        events.groupBy(hour.alias("event_hour"), "event_type")
         .agg(F.count("*").alias("event_count"), F.count_distinct("user_id").alias("unique_users"))
         .orderBy(F.desc("event_hour"), "event_type")
     )
 
 
-def hourly_events_by_date(events):
-    """hourly_events of a stored table with event_date: a condition on that column skips the
-    other dates' files, which one on event_hour cannot."""
-    return hourly_events(events, ["event_date"])
-
-
 def last_hours(events, hours=24, now=None):
     """hourly_events of the hours that begin less than so many hours before now.
 
@@ -67,9 +79,11 @@ def last_hours(events, hours=24, now=None):
     return hourly_events(after(events, start)).where(F.col("event_hour") > start)
 
 
-def newest(events):
-    """The latest event time as a scalar subquery; over a stored table from the newest date."""
-    return newest_date(events).agg(F.max("event_timestamp")).scalar()
+def newest(events, zones=None):
+    """The latest event time: from the zones of a stored table, else as a scalar subquery."""
+    if zones is not None and zones.last() is not None:
+        return F.lit(str(zones.last())).cast("timestamp_ntz")
+    return events.agg(F.max("event_timestamp")).scalar()
 
 
 def purchase_funnel(events):
@@ -102,18 +116,23 @@ def top_products(events, n=None):
     return ranked.limit(n) if n is not None else ranked
 
 
-def recent_activity(events, n=100):
+def _newest_dates(events, n, zones):
+    return events if zones is None else of_dates(events, zones.newest(n))
+
+
+def recent_activity(events, n=100, zones=None):
+    """The newest events; with the zones of a stored table only the dates that hold them are read."""
     return (
-        newest_dates(events, n)
+        _newest_dates(events, n, zones)
         .orderBy(F.desc("event_timestamp"), "event_id")
         .select("event_id", "user_id", "product_name", "event_type", "price", "event_timestamp")
         .limit(n)
     )
 
 
-def recent_events(events, n=10):
+def recent_events(events, n=10, zones=None):
     """The newest events with all their columns."""
-    latest = newest_dates(events, n)
+    latest = _newest_dates(events, n, zones)
     return latest.orderBy(F.desc("event_timestamp"), "event_id").limit(n)
 
 
@@ -144,5 +163,80 @@ def sample_by_id(events, n=5):
     return events.orderBy(F.md5("event_id"), "event_id").limit(n)
 
 
+def events_of(events, column, value):
+    """The events of a user or product, newest first. In compacted dates Bloom filters name the
+    row groups that may have them."""
+    return events.where(F.col(column) == value).orderBy(F.desc("event_timestamp"), "event_id")
+
+
+def events_of_user(events, user_id):
+    return events_of(events, "user_id", user_id)
+
+
+def events_of_product(events, product_id):
+    return events_of(events, "product_id", product_id)
+
+
+# ---- from the partial results of a stored table (EventTable.states) ---------------
+
+
+def summary_from_states(users):
+    """event_summary from the part ``users``."""
+    total = F.sum("value")
+    return users.groupBy("event_type").agg(
+        F.sum("events").alias("total_events"),
+        F.count_distinct("user_id").alias("unique_users"),
+        F.round(F.try_divide(total, F.sum("events")), 2).cast(CENTS).alias("avg_price"),
+        total.cast(CENTS).alias("total_value"),
+    )
+
+
+def hourly_from_states(users):
+    """hourly_events from the part ``users``."""
+    return (
+        users.groupBy("event_hour", "event_type")
+        .agg(F.sum("events").alias("event_count"), F.count_distinct("user_id").alias("unique_users"))
+        .orderBy(F.desc("event_hour"), "event_type")
+    )
+
+
+def funnel_from_states(users):
+    """purchase_funnel from the part ``users``."""
+    def of(kind):
+        return F.sum(F.when(F.col("event_type") == kind, F.col("events")).otherwise(0))
+
+    return users.groupBy("user_id").agg(
+        of("view").alias("views"), of("add_to_cart").alias("cart_adds"),
+        of("purchase").alias("purchases"))
+
+
+def products_from_states(products, n=None):
+    """top_products from the part ``products``."""
+    ranked = (
+        products.groupBy("product_id", "product_name", "category")
+        .agg(F.sum("events").alias("purchase_count"), F.sum("value").cast(CENTS).alias("total_revenue"))
+        .orderBy(F.desc("total_revenue"), "product_id", "product_name", "category")
+    )
+    return ranked.limit(n) if n is not None else ranked
+
+
+def span_users(sketches, start, end):
+    """About how many different users there were from start to before end, whole hours: the
+    sketches of the hours are united, no event and no user is read."""
+    hours = sketches.where((F.col("event_hour") >= start) & (F.col("event_hour") < end))
+    return hours.agg(F.hll_sketch_estimate(F.hll_union_agg("users")).alias("users"))
+
+
+def rolling_users(sketches, hours=24):
+    """The same for the ``hours`` up to and with each hour: a sketch is small and goes to each
+    of the spans it is in."""
+    spans = sketches.select(F.explode(F.expr(
+        f"transform(sequence(0, {hours - 1}), h -> event_hour + make_dt_interval(0, h))"
+    )).alias("until"), "users")
+    known = sketches.select(F.col("event_hour").alias("until")).distinct()
+    return spans.join(known, "until").groupBy(F.col("until").alias("event_hour")).agg(
+        F.hll_sketch_estimate(F.hll_union_agg("users")).alias("users"))
+
+
 def random_sample(events, n=5, seed=None):
     return events.orderBy(F.rand(seed)).limit(n)

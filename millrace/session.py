@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -35,9 +36,9 @@ def shared_folder(spark):
     A temporary folder stands in only for a local master that sets none.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if folder:
         return folder.rstrip("/")
-    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder shared by the executors")
@@ -45,12 +46,44 @@ def shared_folder(spark):
     return context.getCheckpointDir()
 
 
+_scratches = []
+
+
+class Scratch:
+    """The folders that new_folder() has given since, to be removed before the session ends."""
+
+    def __init__(self, spark):
+        self.spark, self.folders = spark, []
+
+    def remove(self, but=None):
+        """Remove them, without those that a frame reads."""
+        kept = but.inputFiles() if but is not None else []
+        left = [f for f in self.folders if any(f"{f}/" in k for k in kept)]
+        for folder in self.folders:
+            if folder not in left:
+                remove_folders(self.spark, folder)
+        self.folders = left
+
+
+@contextmanager
+def scratch(spark):
+    """Note the folders that are given meanwhile."""
+    noted = Scratch(spark)
+    _scratches.append(noted)
+    try:
+        yield noted
+    finally:
+        _scratches.remove(noted)
+
+
 def new_folder(spark, label):
     """A path under the shared folder that nothing else uses, gone with the session."""
     parent = f"{shared_folder(spark)}/millrace/{label}-{uuid.uuid4().hex}"
     fs, target = filesystem(spark, parent)
     fs.mkdirs(target)
     fs.deleteOnExit(target)
+    for noted in _scratches:
+        noted.folders.append(parent)
     return f"{parent}/data"
 
 
@@ -60,6 +93,27 @@ def filesystem(spark, path):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+def write_text(spark, path, text):
+    """A small file, there as a whole or not at all."""
+    fs, aside = filesystem(spark, f"{path}.{uuid.uuid4().hex}._COPYING_")
+    _, target = filesystem(spark, path)
+    out = fs.create(aside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(target, False)
+    if not fs.rename(aside, target):
+        raise OSError(f"cannot write {path}")
+
+
+def read_text(spark, path):
+    fs, target = filesystem(spark, path)
+    stream = fs.open(target)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def ensure_folder(spark, path):
     fs, target = filesystem(spark, path)
     fs.mkdirs(target)

@@ -1,21 +1,28 @@
 """The stored event table as partitioned Parquet."""
 
+import json
 import uuid
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from millrace.functions.cleaning import event_date
+from millrace.functions.timekeeping import hour_of
 from millrace.model import DIRECT, EVENT_COLUMNS
-from millrace.operators.ordering import number_rows
-from millrace.session import ensure_folder, existing, filesystem, remove_folders
-from millrace.sinks.ids import IdIndex, table_batches
-from millrace.sources.events import read_events
+from millrace.operators.dedup import absent_from
+from millrace.operators.ordering import numbered, ordered
+from millrace.session import ensure_folder, existing, filesystem, read_text, remove_folders, write_text
+from millrace.sinks.ids import IdIndex, keyed
+from millrace.sinks.journal import Journal, Zone, shown
+from millrace.sinks.layout import clustered
+from millrace.sinks.states import States, of_events
+from millrace.sources.events import Zones, read_events
 
 # The name under which compact() stores what many batches have stored.
 COMPACTED = "compacted"
+# Segments of one level before they become one of the next.
+FANOUT = 4
 
 
 @dataclass(frozen=True)
@@ -24,103 +31,202 @@ class EventTable:
     stream_id=<s>/batch_id=<n> below the dates and replaces them, so that a replayed batch
     does not repeat rows and another stream's batch of that number is left alone.
 
-    New ids are compared with all stored ones through an index by hash: a batch reads the ids
-    of the last settle_every batches and the buckets that its own ids fall into. Choose
-    id_buckets for files of some hundred megabytes each.
+    A batch is shown when the journal has its file, which is written last: readers never see a
+    part of it. The journal also holds the rows and times of each date, so that reports choose their
+    dates without listing or reading.
+
+    After settle_every batches those that cannot run again become a segment: their ids go to an
+    index by hash, their partial results beside it. Segments of one size are put together, so their
+    number grows with the logarithm of the table. A batch compares its ids with the unsettled
+    batches and with the index files, or pages, that its own hashes fall into.
     """
 
     path: str
-    id_buckets: int = 16
+    ids_per_file: int = 1 << 18
     settle_every: int = 50
 
     @property
     def ids(self):
-        return IdIndex(f"{self.path}/_ids", self.id_buckets)
+        return IdIndex(f"{self.path}/_ids", self.ids_per_file)
+
+    @property
+    def journal(self):
+        return Journal(f"{self.path}/_journal")
+
+    @property
+    def partials(self):
+        return States(f"{self.path}/_states")
 
-    def read(self, spark):
+    # ---- reading -----------------------------------------------------------------
+
+    def read(self, spark, dates=None):
+        """The rows of all recorded batches, of all dates or of some."""
         ensure_folder(spark, self.path)
-        return read_events(spark, self.path)
+        rows = read_events(spark, self.path, dates)
+        if not self.journal.exists(spark):
+            return rows
+        return rows.where(shown({(z.stream_id, z.batch_id) for z in self.journal.zones(spark)}))
+
+    def zones(self, spark):
+        """Rows and times by date of what read() shows, from the journal."""
+        return Zones.of(
+            (z.event_date, z.rows, z.first, z.last) for z in self.journal.zones(spark) if z.rows)
+
+    def newest(self, spark, n):
+        """The rows of the latest dates that hold n rows; no other folder is listed."""
+        return self.read(spark, self.zones(spark).newest(n))
+
+    def within(self, spark, start, end):
+        """The rows of the dates that have events from start to before end."""
+        return self.read(spark, self.zones(spark).within(start, end))
+
+    def states(self, spark, part="users"):
+        """Partial results (see States) of all rows: stored ones of the settled batches, and those
+        of the open ones' events."""
+        names = [s.data for s in self.journal.segments(spark)]
+        stored = self.partials.read(spark, part, names)
+        waiting = self._rows_of(spark, self.journal.unsettled(spark))
+        return stored.unionByName(of_events(waiting, part))
+
+    def _rows_of(self, spark, zones):
+        """The rows of some open batches; only their dates are listed."""
+        dates = {z.event_date for z in zones if z.rows}
+        rows = read_events(spark, self.path, sorted(dates))
+        return rows.where(shown({(z.stream_id, z.batch_id) for z in zones}))
 
     def last_id(self, spark, batch_id, stream_id=DIRECT):
         """The highest id that other batches have stored, 0 if there is none."""
-        others = self.read(spark).where(
-            ~((F.col("stream_id") == stream_id) & (F.col("batch_id") == batch_id)))
-        return others.agg(F.max("id")).first()[0] or 0
+        return max((z.last_id for z in self.journal.zones(spark)
+                    if (z.stream_id, z.batch_id) != (stream_id, batch_id)), default=0)
 
-    def _note_unnoted(self, spark, batch_id, stream_id):
-        """Index what a batch stored that broke off before it noted its ids.
+    # ---- writing -----------------------------------------------------------------
 
-        Only the last batch of a stream can have done so, and it matters only if that
-        batch is not the one that runs now.
-        """
-        noted = self.ids.batches(spark)
-        for stream, batches in table_batches(spark, self.path).items():
-            last = batches[-1]
-            if stream == COMPACTED or (stream, last) == (stream_id, batch_id):
-                continue
-            if last not in noted.get(stream, ()):
-                rows = read_events(spark, self.path).where(
-                    (F.col("stream_id") == stream) & (F.col("batch_id") == last))
-                self.ids.add(rows, last, stream)
+    def _clear(self, spark, batch_id, stream_id):
+        """Remove what the batch, or one that broke off and never came back, has left."""
+        ensure_folder(spark, self.path)
+        if not self.journal.exists(spark):
+            if existing_batches(spark, self.path):
+                raise ValueError(f"{self.path} has batches but no journal: write its rows anew")
+            ensure_folder(spark, self.journal.path)
+        self.journal.withdraw(spark, stream_id, batch_id)
+        recorded = {(z.stream_id, z.batch_id) for z in self.journal.zones(spark)}
+        for stream, batch in existing_batches(spark, self.path) - recorded:
+            remove_folders(spark, f"{self.path}/event_date=*/stream_id={stream}/batch_id={batch}")
 
     def insert_absent(
-        self, events, batch_id, last_id=0, created_at=None, stream_id=DIRECT, first=True
+        self, events, batch_id, last_id=0, created_at=None, stream_id=DIRECT, first=True, rows=None
     ):
         """Store the events whose id no other batch has stored.
 
         events must have unique ids. Returns the number of rows written. Ids continue
         after last_id in event order. first=False says that this process has stored the
         stream's batch before, and that this one has not been tried yet: nothing is
-        left over then that had to be looked for.
+        left over then that had to be looked for. rows is the number of events, if known.
         """
         spark = events.sparkSession
         if first:
-            ensure_folder(spark, self.path)
-            remove_folders(
-                spark, f"{self.path}/event_date=*/stream_id={stream_id}/batch_id={batch_id}")
-            self._note_unnoted(spark, batch_id, stream_id)
-        fresh = self.ids.absent(events.select(*EVENT_COLUMNS), batch_id, stream_id)
+            self._clear(spark, batch_id, stream_id)
         pinned = []
 
         def pin(df):
             # Recomputed from the same shuffle if an executor is lost.
             pinned.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-            return pinned[0]
+            return pinned[-1]
 
         try:
+            # Pinned as well, since ordering looks at the rows before it deals them out.
+            fresh = pin(self._absent(events.select(*EVENT_COLUMNS), batch_id, stream_id, rows))
             # The order of the ids also puts neighbouring dates into the same tasks,
             # and a busy date into many.
-            numbered = number_rows(fresh, ["event_timestamp", "event_id"], start=last_id, pin=pin)
-            stamp = F.lit(created_at) if created_at is not None else F.current_timestamp()
-            written = Observation()
-            (
-                numbered.withColumns(
-                    {
-                        "created_at": stamp.cast("timestamp_ntz"),
-                        "event_date": event_date(),
-                        "stream_id": F.lit(stream_id),
-                        "batch_id": F.lit(batch_id),
-                    }
-                )
-                .sortWithinPartitions("event_date", "event_type", "event_timestamp")
-                .observe(written, F.count("*").alias("rows"))
-                .write.mode("append")
-                .partitionBy("event_date", "stream_id", "batch_id")
-                .parquet(self.path)
-            )
-            if written.get["rows"]:
-                self.ids.add(pinned[0], batch_id, stream_id)
-            else:
-                remove_folders(spark, f"{self.ids.path}/recent/stream_id={stream_id}/batch_id={batch_id}")
-            if batch_id % self.settle_every == self.settle_every - 1:
-                self.ids.settle(spark)
-            return written.get["rows"]
+            rows_in_order = ordered(fresh, ["event_timestamp", "event_id"], pin)
+            # A row per task and date: neighbouring dates are in the same tasks.
+            found = rows_in_order.groupBy("_part", event_date().alias("event_date")).agg(
+                F.count("*").alias("rows"), F.min("event_timestamp").alias("first"),
+                F.max("event_timestamp").alias("last")).collect()
+            written = sum(r["rows"] for r in found)
+            if written:
+                self._write(rows_in_order, found, last_id, batch_id, stream_id, created_at)
+            zones = _zones(found, stream_id, batch_id, last_id + written)
+            self.journal.commit(spark, stream_id, batch_id, zones)
         finally:
             for df in pinned:
                 df.unpersist()
+        if batch_id % self.settle_every == self.settle_every - 1:
+            self.settle(spark)
+        return written
+
+    def _absent(self, events, batch_id, stream_id, rows):
+        """The events that no other recorded batch has stored."""
+        spark = events.sparkSession
+        names = [s.data for s in self.journal.segments(spark)]
+        others = [z for z in self.journal.unsettled(spark)
+                  if (z.stream_id, z.batch_id) != (stream_id, batch_id)]
+        stored = self._rows_of(spark, others).select("event_id")
+        if names:
+            stored = stored.unionAll(self.ids.near(events, names, rows).select("event_id"))
+        return absent_from(events, stored)
+
+    def _write(self, rows, found, last_id, batch_id, stream_id, created_at):
+        parts = {}
+        for r in found:
+            parts[r["_part"]] = parts.get(r["_part"], 0) + r["rows"]
+        stamp = F.lit(created_at) if created_at is not None else F.current_timestamp()
+        (
+            numbered(rows, sorted(parts.items()), start=last_id)
+            .select("id", *EVENT_COLUMNS)
+            .withColumns(
+                {
+                    "created_at": stamp.cast("timestamp_ntz"),
+                    "event_hour": hour_of("event_timestamp"),
+                    "event_date": event_date(),
+                    "stream_id": F.lit(stream_id),
+                    "batch_id": F.lit(batch_id),
+                }
+            )
+            .sortWithinPartitions("event_date", "event_type", "event_timestamp")
+            .write.mode("append")
+            .partitionBy("event_date", "stream_id", "batch_id")
+            .parquet(self.path)
+        )
+
+    # ---- maintenance -------------------------------------------------------------
+
+    def settle(self, spark):
+        """Make a segment of the batches that cannot run again: all but the last of each stream.
+
+        Everything is written under the segment's name before its journal file counts; what
+        breaks off leaves unused files and is done again by the next call.
+        """
+        ended = {(stream, z.batch_id) for stream, zones in self.journal.open(spark).items()
+                 for z in zones if z.batch_id < zones[-1].batch_id}
+        zones = [z for z in self.journal.unsettled(spark) if (z.stream_id, z.batch_id) in ended]
+        if zones:
+            data = uuid.uuid4().hex
+            rows = self._rows_of(spark, zones)
+            self.ids.write(keyed(rows), data)
+            self.partials.write(rows, data)
+            self.journal.write_segment(spark, 0, zones, data)
+        self.journal.drop(spark, ended)
+        for level in range(1 << 8):
+            alike = [s for s in self.journal.segments(spark) if s.level == level]
+            if len(alike) < FANOUT:
+                break
+            self._merge(spark, alike, level + 1, [z for s in alike for z in s.zones])
+
+    def _merge(self, spark, segments, level, zones):
+        """One segment of several."""
+        data = uuid.uuid4().hex
+        self.ids.merge(spark, [s.data for s in segments], data)
+        self.partials.merge(spark, [s.data for s in segments], data)
+        merged = self.journal.write_segment(spark, level, zones, data, replaces=segments)
+        self.journal.remove_segments(spark, segments)
+        for segment in segments:
+            self.ids.remove(spark, segment.data)
+            self.partials.remove(spark, segment.data)
+        return merged
 
     def compact(self, spark, before):
-        """Rewrite the dates before a date into few files each, sorted by type and time.
+        """Rewrite the dates before a date into few files each, clustered by hour, user and product.
 
         The last batch of each stream stays as it is, so that a replay finds it. All new files
         are written to the side first; then, date by date, they are moved in and the old
@@ -129,62 +235,90 @@ class EventTable:
         """
         aside = f"{self.path}/_compacting"
         self._install(spark, aside)
-        last = {s: b[-1] for s, b in table_batches(spark, self.path).items() if s != COMPACTED}
-        kept = F.lit(False)
-        for stream, batch in last.items():  # one condition for each stream there has been
-            kept |= (F.col("stream_id") == stream) & (F.col("batch_id") == batch)
-        dates = [d for d in self._open_dates(spark, last) if d < str(before)]
+        self.settle(spark)
+        zones = [z for s in self.journal.segments(spark) for z in s.zones if z.rows]
+        dates = sorted({z.event_date for z in zones
+                        if z.stream_id != COMPACTED and z.event_date < str(before)})
         if not dates:
             return
-        closed = self.read(spark).where(F.col("event_date").isin(dates) & ~kept)
-        order = ["event_date", "event_type", "event_timestamp", "event_id"]
-        run = table_batches(spark, self.path).get(COMPACTED, [-1])[-1] + 1
+        closed = read_events(spark, self.path, dates).where(
+            shown({(z.stream_id, z.batch_id) for z in zones}))
+        run = max((z.batch_id for z in zones if z.stream_id == COMPACTED), default=-1) + 1
         staged = f"{aside}/{uuid.uuid4().hex}"
         (
-            closed.withColumns({"stream_id": F.lit(COMPACTED), "batch_id": F.lit(run)})
-            .repartitionByRange(*order).sortWithinPartitions(*order)
-            .write.partitionBy("event_date", "stream_id", "batch_id").parquet(staged)
+            clustered(closed.withColumns({"stream_id": F.lit(COMPACTED), "batch_id": F.lit(run)}))
+            .write.options(**bloom_filters()).partitionBy("event_date", "stream_id", "batch_id")
+            .parquet(staged)
         )
-        # From here on the staged folder counts: its name tells what it stands for.
+        found = read_events(spark, staged).groupBy("event_date").agg(
+            F.count("*").alias("rows"), F.min("event_timestamp").alias("first"),
+            F.max("event_timestamp").alias("last"), F.max("id").alias("last_id")).collect()
+        plan = [dict(event_date=str(r["event_date"]), rows=r["rows"], first=r["first"].isoformat(),
+                     last=r["last"].isoformat(), last_id=r["last_id"]) for r in found]
+        write_text(spark, f"{aside}/plan.json", json.dumps(dict(run=run, zones=plan)))
+        # From here on the staged folder counts.
         fs, source = filesystem(spark, staged)
-        names = ";".join(f"{stream}={batch}" for stream, batch in sorted(last.items()))
-        plan = spark.createDataFrame([(names, run)], "kept string, run bigint")
-        plan.write.parquet(f"{aside}/plan")
         fs.rename(source, filesystem(spark, f"{aside}/ready")[1])
         self._install(spark, aside)
-        self.ids.settle(spark)
-        self.ids.merge(spark)
-
-    def _open_dates(self, spark, last):
-        """Dates with a batch that compact() may take in, from the folder names."""
-        fs, pattern = filesystem(spark, f"{self.path}/event_date=*/stream_id=*/batch_id=*")
-        found = set()
-        for status in fs.globStatus(pattern) or []:
-            date, stream, batch = (
-                part.split("=")[1] for part in status.getPath().toString().split("/")[-3:])
-            if stream != COMPACTED and last[stream] != int(batch):
-                found.add(date)
-        return sorted(found)
 
     def _install(self, spark, aside):
-        """Move staged dates in, each with the removal of what it stands for."""
+        """Move staged dates in, each with the removal of what it stands for.
+
+        The journal shows the new batch from the start, so that no row is hidden in between,
+        and forgets the old ones at the end.
+        """
         if existing(spark, [f"{aside}/ready"]):
-            names, run = spark.read.parquet(f"{aside}/plan").first()
-            kept = dict(x.split("=") for x in names.split(";") if x)
-            fs, pattern = filesystem(spark, f"{aside}/ready/event_date=*")
-            for status in fs.globStatus(pattern) or []:
-                date = status.getPath().getName()
-                _, old = filesystem(spark, f"{self.path}/{date}/stream_id=*/batch_id=*")
-                for folder in fs.globStatus(old) or []:
-                    place = folder.getPath()
-                    stream = place.getParent().getName().removeprefix("stream_id=")
-                    batch = place.getName().removeprefix("batch_id=")
-                    if kept.get(stream) != batch and (stream, batch) != (COMPACTED, str(run)):
-                        fs.delete(place, True)
-                fs.mkdirs(filesystem(spark, f"{self.path}/{date}/stream_id={COMPACTED}")[1])
-                inner = f"stream_id={COMPACTED}/batch_id={run}"
-                fs.rename(
-                    filesystem(spark, f"{aside}/ready/{date}/{inner}")[1],
-                    filesystem(spark, f"{self.path}/{date}/{inner}")[1])
-                fs.delete(status.getPath(), True)
+            plan = json.loads(read_text(spark, f"{aside}/plan.json"))
+            run = plan["run"]
+            new = [Zone(COMPACTED, run, **z) for z in plan["zones"]]
+            dates = {z.event_date for z in new}
+            segments = self.journal.segments(spark)
+            old = [z for s in segments for z in s.zones]
+            if len(segments) > 1 or (COMPACTED, run) not in {(z.stream_id, z.batch_id) for z in old}:
+                both = [*old, Zone(COMPACTED, run, None, 0, None, None, 0)]
+                segments = [self._merge(spark, segments, max(s.level for s in segments), both)]
+            for z in old:
+                if z.event_date in dates and (z.stream_id, z.batch_id) != (COMPACTED, run):
+                    remove_folders(spark, f"{self.path}/event_date={z.event_date}/"
+                                          f"stream_id={z.stream_id}/batch_id={z.batch_id}")
+            for date in sorted(dates):
+                inner = f"event_date={date}/stream_id={COMPACTED}"
+                ensure_folder(spark, f"{self.path}/{inner}")
+                source = f"{aside}/ready/{inner}/batch_id={run}"
+                if existing(spark, [source]):
+                    fs, place = filesystem(spark, source)
+                    fs.rename(place, filesystem(spark, f"{self.path}/{inner}/batch_id={run}")[1])
+            kept = [z for z in old
+                    if z.event_date not in dates and (z.stream_id, z.batch_id) != (COMPACTED, run)]
+            self.journal.write_segment(
+                spark, segments[0].level, [*kept, *new], segments[0].data, replaces=segments)
+            self.journal.remove_segments(spark, segments)
         remove_folders(spark, aside)
+
+
+def bloom_filters():
+    """Parquet options by which a reader passes over row groups without a user or product."""
+    return {f"parquet.bloom.filter.enabled#{c}": "true"
+            for c in ("event_id", "user_id", "product_id")}
+
+
+def _zones(found, stream_id, batch_id, last_id):
+    """Zones of a batch from its rows per task and date."""
+    dates = {}
+    for r in found:
+        rows, first, last = dates.get(r["event_date"], (0, r["first"], r["last"]))
+        dates[r["event_date"]] = (
+            rows + r["rows"], min(first, r["first"]), max(last, r["last"]))
+    return [Zone(stream_id, batch_id, str(date), rows, first.isoformat(), last.isoformat(), last_id)
+            for date, (rows, first, last) in sorted(dates.items())]
+
+
+def existing_batches(spark, path):
+    """(stream_id, batch_id) of all folders of a table, recorded or not."""
+    fs, pattern = filesystem(spark, f"{path}/event_date=*/stream_id=*/batch_id=*")
+    found = set()
+    for status in fs.globStatus(pattern) or []:
+        place = status.getPath()
+        found.add((place.getParent().getName().removeprefix("stream_id="),
+                   int(place.getName().removeprefix("batch_id="))))
+    return found

@@ -4,126 +4,105 @@ from dataclasses import dataclass
 
 from pyspark.sql import functions as F
 
-from millrace.model import DIRECT
-from millrace.operators.dedup import absent_from
-from millrace.session import ensure_folder, existing, filesystem, remove_folders
+from millrace.session import existing, filesystem, remove_folders
 
 SCHEMA = "hash bigint, event_id string"
+# Ids of a batch that are looked up one by one inside the files; more choose whole files.
+LOOKUPS = 512
+# Rows of a Parquet page: what is read at least where one id may be.
+PAGE_ROWS = 256
 
 
-@dataclass(frozen=True)
-class IdIndex:
-    """Ids by bucket of their hash, in a hidden folder of the table.
+def keyed(events):
+    return events.select(F.xxhash64("event_id").alias("hash"), "event_id")
 
-    Each batch adds its ids as files of its own under recent/, where a replay replaces them.
-    settle() moves them into settled/, a folder per bucket, sorted by hash; the last batch of
-    each stream, which may be run again, stays. A batch is compared with the recent ids and with
-    the settled buckets of its own ids. The ids themselves are compared, the hash only finds them.
-    """
-
-    path: str
-    buckets: int = 16
 
-    def _recent(self, stream_id, batch_id):
-        return f"{self.path}/recent/stream_id={stream_id}/batch_id={batch_id}"
+def _bucket(hash_, bits):
+    return F.shiftrightunsigned(hash_, 64 - bits) if bits else F.lit(0).cast("bigint")
 
-    def _keyed(self, events):
-        return events.select(F.xxhash64("event_id").alias("hash"), "event_id")
 
-    def _bucket(self):
-        return F.pmod("hash", F.lit(self.buckets)).cast("int")
+@dataclass(frozen=True)
+class IdIndex:
+    """Runs of ids sorted by hash, each split into files by the first bits of the hash.
 
-    def recent(self, spark):
-        ensure_folder(spark, f"{self.path}/recent")
-        schema = f"{SCHEMA}, stream_id string, batch_id bigint"
-        return spark.read.schema(schema).parquet(f"{self.path}/recent")
+    The number of bits follows from the ids of a run and stands in its folder's name, so each run
+    is read as it was written, whatever ids_per_file is now; merge() splits anew. A batch opens
+    only the files that its own hashes fall into, and of these, if it has few ids, the pages:
+    small pages and their statistics lead to single hashes. The ids themselves are compared, the
+    hash only finds them. Repeated ids do no harm, so new files are complete before old ones go.
+    """
 
-    def settled(self, spark, buckets):
-        """The settled ids of some buckets; no other folder is listed."""
-        folders = existing(spark, [f"{self.path}/settled/bucket={b}" for b in buckets])
-        if not folders:
-            return spark.createDataFrame([], SCHEMA)
-        return spark.read.schema(SCHEMA).parquet(*folders)
+    path: str
+    ids_per_file: int = 1 << 18
 
-    def absent(self, events, batch_id, stream_id=DIRECT):
-        """The events, of unique ids, that no other batch has stored."""
-        spark = events.sparkSession
-        others = self.recent(spark).where(
-            ~((F.col("stream_id") == stream_id) & (F.col("batch_id") == batch_id)))
-        stored = others.select("event_id")
-        if self._has_settled(spark):
-            # At most as many numbers as there are buckets.
-            touched = self._keyed(events).select(self._bucket()).distinct().collect()
-            settled = self.settled(spark, sorted(b for (b,) in touched))
-            stored = stored.unionAll(settled.select("event_id"))
-        return absent_from(events, stored)
-
-    def add(self, events, batch_id, stream_id=DIRECT):
-        """Note the ids that a batch has stored."""
-        self._keyed(events).write.mode("overwrite").parquet(self._recent(stream_id, batch_id))
-
-    def batches(self, spark):
-        """{stream_id: its recent batches in order}."""
-        return _batches(spark, f"{self.path}/recent/stream_id=*/batch_id=*")
-
-    def settle(self, spark):
-        """Move the ids of all batches that cannot run again; safe to repeat."""
-        done = [(s, b) for s, found in self.batches(spark).items() for b in found[:-1]]
-        if not done:
-            return
-        folders = [self._recent(s, b) for s, b in done]
+    def write(self, ids, name):
+        """Write ids (hash, event_id) as the run of a name, replacing what broke off before."""
+        rows = ids.count()
+        bits = (rows // self.ids_per_file).bit_length()
+        remove_folders(ids.sparkSession, f"{self.path}/run={name}")
         (
-            spark.read.schema(SCHEMA).parquet(*folders)
-            .withColumn("bucket", self._bucket())
+            ids.withColumn("bucket", _bucket(F.col("hash"), bits))
             .repartition("bucket").sortWithinPartitions("bucket", "hash")
-            .write.mode("append").partitionBy("bucket").parquet(f"{self.path}/settled")
+            .write.option("parquet.page.row.count.limit", PAGE_ROWS)
+            .partitionBy("bucket").parquet(f"{self.path}/run={name}/bits={bits}")
         )
-        for folder in folders:
-            remove_folders(spark, folder)
-
-    def _has_settled(self, spark):
-        """Whether there are settled ids; puts in place what a broken merge() has left."""
-        settled, merged = f"{self.path}/settled", f"{self.path}/merged"
-        if existing(spark, [settled]):
-            return True
-        if existing(spark, [merged]):  # complete, or the old folder would still be there
-            fs, target = filesystem(spark, merged)
-            return fs.rename(target, filesystem(spark, settled)[1])
-        return False
-
-    def merge(self, spark):
-        """Rewrite each settled bucket as few sorted files without repeats.
-
-        The new folder is complete before it takes the old one's place. To be run while
-        no batch runs.
+
+    def read(self, spark, names):
+        """All ids of some runs."""
+        folders = [f for folders in self._files(spark, names).values() for f in folders.values()]
+        return _read(spark, folders)
+
+    def merge(self, spark, names, name):
+        """One run of several."""
+        self.write(self.read(spark, names).distinct(), name)
+
+    def remove(self, spark, name):
+        remove_folders(spark, f"{self.path}/run={name}")
+
+    def _files(self, spark, names):
+        """{(run, bits): {bucket: folder}} of some runs."""
+        fs, pattern = filesystem(spark, f"{self.path}/run=*/bits=*")
+        found = {}
+        for status in fs.globStatus(pattern) or []:
+            place = status.getPath()
+            run = place.getParent().getName().removeprefix("run=")
+            if run in names:
+                bits = int(place.getName().removeprefix("bits="))
+                found[run, bits] = {
+                    int(f.getPath().getName().removeprefix("bucket=")): f.getPath().toString()
+                    for f in fs.listStatus(place) if f.isDirectory()}
+        return found
+
+    def near(self, events, names, rows=None):
+        """The ids of some runs among which those of the events must be, if they are there.
+
+        rows is the number of events, if it is known.
         """
-        old, new = f"{self.path}/settled", f"{self.path}/merged"
-        if not self._has_settled(spark):
-            return
-        schema = f"{SCHEMA}, bucket int"
-        remove_folders(spark, new)
-        (
-            spark.read.schema(schema).parquet(old).distinct()
-            .repartition("bucket").sortWithinPartitions("bucket", "hash")
-            .write.partitionBy("bucket").parquet(new)
-        )
-        fs, target = filesystem(spark, new)
-        remove_folders(spark, f"{old}-before")
-        fs.rename(filesystem(spark, old)[1], filesystem(spark, f"{old}-before")[1])
-        fs.rename(target, filesystem(spark, old)[1])
-        remove_folders(spark, f"{old}-before")
-
-
-def _batches(spark, pattern):
-    fs, target = filesystem(spark, pattern)
-    found = {}
-    for status in fs.globStatus(target) or []:
-        place = status.getPath()
-        stream = place.getParent().getName().removeprefix("stream_id=")
-        found.setdefault(stream, set()).add(int(place.getName().removeprefix("batch_id=")))
-    return {stream: sorted(batches) for stream, batches in found.items()}
-
-
-def table_batches(spark, path):
-    """{stream_id: the batches in order that an event table holds}."""
-    return _batches(spark, f"{path}/event_date=*/stream_id=*/batch_id=*")
+        spark = events.sparkSession
+        files = self._files(spark, set(names))
+        if not files:
+            return spark.createDataFrame([], SCHEMA)
+        hashes = keyed(events).select("hash")
+        rows = hashes.count() if rows is None else rows
+        most = max(bits for _, bits in files)
+        few = rows <= LOOKUPS
+        if few:
+            own = [r["hash"] for r in hashes.collect()]
+            first = {(h % (1 << 64)) >> (64 - most) if most else 0 for h in own}
+        else:  # at most as many numbers as there are files
+            first = {r[0] for r in hashes.select(_bucket(F.col("hash"), most)).distinct().collect()}
+        folders = []
+        for (_, bits), buckets in files.items():
+            wanted = {b >> (most - bits) for b in first}
+            folders += [buckets[b] for b in sorted(wanted & buckets.keys())]
+        found = _read(spark, folders)
+        if few and own:
+            found = found.where(" OR ".join(f"hash = bigint('{h}')" for h in sorted(own)))
+        return found
+
+
+def _read(spark, folders):
+    folders = existing(spark, folders) if len(folders) < 64 else folders
+    if not folders:
+        return spark.createDataFrame([], SCHEMA)
+    return spark.read.schema(SCHEMA).parquet(*folders)

@@ -49,7 +49,7 @@ class JdbcEvents:
         return 0
 
     def insert_absent(
-        self, events, batch_id, last_id=0, created_at=None, stream_id=DIRECT, first=True
+        self, events, batch_id, last_id=0, created_at=None, stream_id=DIRECT, first=True, rows=None
     ):
         """Stage the batch, then move the new events in one transaction; safe to
         repeat. Returns the number of rows the table took.

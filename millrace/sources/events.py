@@ -1,13 +1,17 @@
 """The stored event table."""
 
-import re
+import json
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millrace.model import STORED, nullable
-from millrace.session import existing
+from millrace.session import existing, read_text
+
+# Rows and times by date, beside the files of a layout.
+ZONES_FILE = "_zones.json"
 
 
 def read_events(spark, path, dates=None):
@@ -43,44 +47,53 @@ def after(events, start, time="event_timestamp"):
     return kept
 
 
-def stored_dates(events):
-    """The dates of a stored table, newest first, from its listing; no file is opened."""
-    found = {re.search(r"/event_date=([0-9-]+)/", f) for f in events.inputFiles()}
-    return sorted({m[1] for m in found if m}, reverse=True)
-
-
-def newest_date(events):
-    """The latest date of a stored table that has rows; other frames as they are."""
-    dates = stored_dates(events) if "event_date" in events.columns else []
-    for date in dates:
-        found = events.where(F.col("event_date") == F.lit(date).cast("date"))
-        if found.select(F.lit(1)).head(1):
-            return found
-    return events
+@dataclass(frozen=True)
+class Zones:
+    """Rows, first and last time of each date of a stored table: what decides which dates a report
+    has to read, without listing or opening a file."""
 
+    dates: dict
 
-def newest_dates(events, n):
-    """The latest dates of a stored table that together hold at least n rows.
+    @classmethod
+    def of(cls, found):
+        """From (date, rows, first, last) with times as ISO text, several for a date or none."""
+        dates = {}
+        for date, rows, first, last in found:
+            first, last = datetime.fromisoformat(first), datetime.fromisoformat(last)
+            n, a, b = dates.get(date, (0, first, last))
+            dates[date] = n + rows, min(a, first), max(b, last)
+        return cls(dict(sorted(dates.items())))
 
-    The dates are walked from the newest, one, two, four, … at a time, and the rows of each are
-    counted until there are enough; older files are not opened. Other frames are
-    returned as they are.
-    """
-    dates = stored_dates(events) if "event_date" in events.columns else []
-    rows, seen, last, step = 0, 0, None, 1
-    while rows < n and seen < len(dates):
-        some = dates[seen:seen + step]
-        day = F.col("event_date")
-        within = events.where(day.between(F.lit(some[-1]).cast("date"), F.lit(some[0]).cast("date")))
-        counts = {
-            str(r["event_date"]): r["count"] for r in within.groupBy("event_date").count().collect()
-        }
-        for last in some:
-            rows += counts.get(last, 0)
+    def newest(self, n):
+        """The latest dates that together hold n rows."""
+        rows, chosen = 0, []
+        for date in reversed(self.dates):
             if rows >= n:
                 break
-        seen, step = seen + len(some), 2 * step
-    return events if last is None else events.where(F.col("event_date") >= F.lit(last).cast("date"))
+            rows += self.dates[date][0]
+            chosen.append(date)
+        return sorted(chosen)
+
+    def within(self, start, end):
+        """The dates with events from start to before end, or close to it."""
+        return [d for d, (_, first, last) in self.dates.items() if first < end and last >= start]
+
+    def last(self):
+        """The latest event time, None if there is none."""
+        return max((last for _, _, last in self.dates.values()), default=None)
+
+    def rows(self):
+        return sum(n for n, _, _ in self.dates.values())
+
+
+def layout_zones(spark, path):
+    """The zones that write_report_layout has left."""
+    return Zones.of(json.loads(read_text(spark, f"{path}/{ZONES_FILE}")))
+
+
+def of_dates(events, dates):
+    """The events of some dates; a stored table is read in the folders of those only."""
+    return events.where(F.col("event_date").isin([F.lit(d).cast("date") for d in dates]))
 
 
 def _moment(value):

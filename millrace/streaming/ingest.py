@@ -119,7 +119,7 @@ class Pipeline:
             written = with_retry(
                 lambda: self.target.insert_absent(
                     survivors, batch_id, last_id=last_id, stream_id=stream_id,
-                    first=first or next(tries) > 0,
+                    first=first or next(tries) > 0, rows=kept,
                 ),
                 self.attempts,
                 self.retry_delay,

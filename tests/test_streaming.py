@@ -12,11 +12,13 @@ from millrace.plans import reports
 from millrace.sinks import EventTable, Ledger
 from millrace.sources import stream_landing
 from millrace.streaming import (
+    Monitor,
     Pipeline,
     Trends,
     event_clock,
     hourly_stream,
     minute_stream,
+    processed_files,
     stream_dedup,
 )
 from workload import fixtures as fx
@@ -294,27 +296,114 @@ def test_hourly_stream_equals_the_report_for_closed_hours(spark, landing, tmp_pa
     assert rows == [(h, 4, 3) for h in (8, 9, 10)]  # 11:00 is open until 12:30
 
 
-def test_trends_are_complete_at_any_time(spark, landing, tmp_path):
-    trends = Trends(str(tmp_path / "trends"))
+def trend_rows(trends, spark):
+    rows = trends.hourly(spark).collect()
+    return sorted((r.event_hour.hour, r.event_count, r.unique_users) for r in rows)
+
+
+@pytest.mark.parametrize("fold_every", [1, 2, 100])
+def test_trends_are_complete_at_any_time(spark, landing, tmp_path, fold_every):
+    trends = Trends(str(tmp_path / "trends"), "30 minutes", fold_every)
     hours = [(f"{h}-{i}", f"2026-01-15 {h:02d}:{i:02d}:00", u)
              for h in range(8, 13) for i, u in enumerate(["u1", "u1", "u2", "u3"])]
     for h in range(8, 13):
         landing.put(*[line(e, t, u) for e, t, u in hours if e.startswith(f"{h}-")])
     landing.put(line("more", "2026-01-15 12:00:30", "u4"))
 
-    def count(checkpoint, **options):
-        stream = event_clock(landing_events(spark, landing), "30 minutes")
-        trends.start(stream, str(tmp_path / checkpoint), available_now=True).awaitTermination()
-        rows = trends.hourly(spark).collect()
-        return sorted((r.event_hour.hour, r.event_count, r.unique_users) for r in rows)
+    def count(checkpoint):
+        events = landing_events(spark, landing)
+        trends.start(events, str(tmp_path / checkpoint), available_now=True).awaitTermination()
+        return trend_rows(trends, spark)
 
     complete = [(h, 4, 3) for h in (8, 9, 10, 11)] + [(12, 5, 4)]
     assert count("checkpoint") == complete
     assert count("checkpoint") == complete  # nothing new
     landing.put(line("again", "2026-01-15 12:00:40", "u4"))
-    assert count("checkpoint")[-1] == (12, 6, 4)
+    landing.put(line("late", "2026-01-15 08:00:00", "u9"))  # a correction of a closed window
+    complete = [(8, 5, 4), *complete[1:-1], (12, 6, 4)]
+    assert count("checkpoint") == complete
     minutes = {r.minute.strftime("%H:%M"): r.event_count for r in trends.minutes(spark).collect()}
-    assert minutes["12:00"] == 3 and minutes["08:03"] == 1 and sum(minutes.values()) == 22
+    assert minutes["12:00"] == 3 and minutes["08:00"] == 2 and sum(minutes.values()) == 23
+    trends.fold(spark)
+    assert trend_rows(trends, spark) == complete
+    assert trends.late(spark) == (1 if fold_every < 100 else 0)
+
+
+def test_reading_trends_does_not_grow_with_the_batches(spark, tmp_path):
+    trends = Trends(str(tmp_path / "trends"), "2 hours", 4)
+    events = fx.user_events(spark, SF).where("event_timestamp < timestamp_ntz'2024-01-03 00:00:00'")
+    for n in range(30):
+        trends._store(events.where(F.pmod(F.xxhash64("event_id"), F.lit(30)) == n), n)
+    files = glob.glob(f"{trends.path}/new/*/*") + [
+        f for t in ("hours", "minutes", "open") for f in glob.glob(f"{trends.path}/{t}/*")]
+    assert len(files) <= 5 + 3 + 3 + 1
+    want = reports.hourly_events(events)
+    assert sorted(trends.hourly(spark).collect()) == sorted(want.collect())
+    assert sorted(trends.minutes(spark).collect()) == sorted(reports.events_per_minute(events).collect())
+
+
+@pytest.mark.parametrize("at", ["write_text", "_remove_spent"])
+def test_a_fold_that_broke_off_is_finished(spark, tmp_path, monkeypatch, at):
+    from millrace.streaming import trends as module
+
+    trends = Trends(str(tmp_path / "trends"), "2 hours", 100)
+    events = fx.user_events(spark, SF).where("event_timestamp < timestamp_ntz'2024-01-02 00:00:00'")
+    want = sorted(reports.hourly_events(events).collect())
+
+    def fails(*args):
+        raise OSError("broke off")
+
+    for n in range(6):
+        trends._store(events.where(F.pmod(F.xxhash64("event_id"), F.lit(6)) == n), n)
+        if n in (2, 4):
+            with monkeypatch.context() as m:
+                m.setattr(module if at == "write_text" else Trends, at, fails)
+                with pytest.raises(OSError):
+                    trends.fold(spark)
+    assert sorted(trends.hourly(spark).collect()) == want
+    trends._store(events.where(F.pmod(F.xxhash64("event_id"), F.lit(6)) == 5), 5)  # a replay
+    trends.fold(spark)
+    assert sorted(trends.hourly(spark).collect()) == want
+
+
+def test_a_slow_batch_is_flagged_while_the_query_runs(spark, pipeline, landing, tmp_path):
+    import time
+
+    class Slow(EventTable):
+        def insert_absent(self, *args, **known):
+            time.sleep(1.5)
+            return super().insert_absent(*args, **known)
+
+    monitor = Monitor(max_seconds=1.0)
+    spark.streams.addListener(monitor)
+    landing.put(line("a"), line("b"), line("c", kind="?"))
+    slow = replace(pipeline, target=Slow(pipeline.target.path))
+    query = slow.start(
+        stream_landing(spark, landing.folder), str(tmp_path / "checkpoint"), trigger="200 milliseconds")
+    try:
+        query.processAllAvailable()
+        for _ in range(100):
+            if monitor.slow:
+                break
+            time.sleep(0.1)
+        assert monitor.slow and query.isActive
+    finally:
+        query.stop()
+        spark.streams.removeListener(monitor)
+    ledger = {(r.stream_id, r.batch_id): r for r in pipeline.ledger.read(spark).collect()}
+    seen = {(r.stream_id, r.batch_id): r for r in monitor.progress(spark).collect() if r.input_rows}
+    assert seen.keys() == ledger.keys()
+    for key, r in seen.items():
+        assert r.slow and r.seconds > ledger[key].total_seconds and r.input_rows >= ledger[key].received
+
+
+def test_processed_files(spark, pipeline, landing, tmp_path):
+    for name in "abc":
+        landing.put(line(name))
+    run(spark, pipeline, landing, tmp_path, max_files=2)
+    taken = processed_files(spark, str(tmp_path / "checkpoint")).collect()
+    assert sorted((os.path.basename(r.path), r.batch_id) for r in taken) == [
+        ("events_001.csv", 0), ("events_002.csv", 0), ("events_003.csv", 1)]
 
 
 def test_minute_stream(spark, landing, tmp_path):

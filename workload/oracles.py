@@ -417,4 +417,38 @@ from v left join lined using (event_id) where not is_valid or {_UNREAD}"""
     ),
     "stored_last_24h": _from_ue(_LAST_DAY),
     "view_hourly_last_24h": _from_ue(_LAST_DAY),
+    "view_hourly_since": _from_ue(_LAST_DAY),
+    "reindexed_insert": _from_ue(f"select {_COLUMNS} from ue"),
+    "committed_events": _from_ue(f"select {_COLUMNS} from ue where {_NUMBER} % 3 = 0"),
+    "table_newest": _from_ue(_RECENT),
+    "table_date_range": _from_ue(_RANGE),
+    "summary_from_states": _from_ue(_SUMMARY),
+    "hourly_from_states": _from_ue(_HOURLY),
+    "funnel_from_states": _from_ue(_FUNNEL),
+    "products_from_states": _from_ue(_TOP_10),
+    "events_of_user": _from_ue(
+        f"select {_COLUMNS} from ue where user_id = (select min(user_id) from ue)"
+    ),
+    "events_of_product": _from_ue(
+        f"select {_COLUMNS} from ue where product_id = (select min(product_id) from ue)"
+    ),
+    "rolling_users": _from_ue(
+        """select h.event_hour, count(distinct user_id) as unique_users, true as within
+from (select distinct date_trunc('hour', event_timestamp) as event_hour from ue) h
+join ue on event_timestamp < h.event_hour + interval 1 hour
+  and event_timestamp >= h.event_hour - interval 23 hour
+group by 1"""
+    ),
+    "stream_files": """select true as all_landed, true as several_batches,
+  cast(2 as bigint) as most_in_a_batch""",
+    "stream_without_valid_rows": _from_v(
+        """select count(*) as received, count(*) as invalid, cast(0 as bigint) as written,
+  cast(0 as bigint) as stored
+from v where not is_valid"""
+    ),
+    "stored_stamps": _from_ue(
+        f"""select case when {_NUMBER} % 3 = 0 then timestamp '2026-01-01 12:00:00'
+  else timestamp '2026-01-02 00:00:00' end as created_at, count(*) as stored_rows
+from ue group by 1"""
+    ),
 }

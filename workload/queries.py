@@ -12,9 +12,9 @@ from millrace.plans import files, health, reports
 from millrace.plans.views import register_views
 from millrace.session import SETTINGS, new_folder
 from millrace.sinks import EventTable, Ledger, export_landing, read_rejected, write_report_layout
-from millrace.sources import between, malformed, read_landing, stream_landing
+from millrace.sources import between, layout_zones, malformed, read_landing, stream_landing
 from millrace.sources.landing import SOURCE_FILE, SOURCE_TIME
-from millrace.streaming import Pipeline, Trends, event_clock, stream_dedup
+from millrace.streaming import Pipeline, Trends, event_clock, processed_files, stream_dedup
 from workload import fixtures as fx
 
 QUERIES = {}
@@ -152,8 +152,8 @@ def _report(name, build):
     QUERIES[name] = lambda spark, sf_dir: build(fx.user_events(spark, sf_dir))
 
 
-def _last_day(events):
-    return reports.last_hours(events, 24, reports.newest(events))
+def _last_day(events, zones=None):
+    return reports.last_hours(events, 24, reports.newest(events, zones))
 
 
 def _january_days(events):
@@ -183,29 +183,32 @@ _report("latency_stats", lambda events: health.latency_stats(fx.with_created_at(
 @query
 def stored_date_range(spark, sf_dir):
     """date_range over a table laid out by date, type and time."""
-    return _january_days(_laid_out(spark, sf_dir)).select(*EVENT_COLUMNS)
+    return _january_days(_laid_out(spark, sf_dir)[0]).select(*EVENT_COLUMNS)
 
 
 def _laid_out(spark, sf_dir):
+    """A table laid out by date and its zones."""
     path = new_folder(spark, "layout")
     write_report_layout(fx.user_events(spark, sf_dir), path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), layout_zones(spark, path)
 
 
 @query
 def stored_recent_activity(spark, sf_dir):
     """recent_activity over a table laid out by date: only the newest dates are read."""
-    return reports.recent_activity(_laid_out(spark, sf_dir))
+    events, zones = _laid_out(spark, sf_dir)
+    return reports.recent_activity(events, zones=zones)
 
 
 @query
 def stored_recent_10(spark, sf_dir):
-    return reports.recent_events(_laid_out(spark, sf_dir)).select(*EVENT_COLUMNS)
+    events, zones = _laid_out(spark, sf_dir)
+    return reports.recent_events(events, zones=zones).select(*EVENT_COLUMNS)
 
 
 @query
 def stored_last_24h(spark, sf_dir):
-    return _last_day(_laid_out(spark, sf_dir))
+    return _last_day(*_laid_out(spark, sf_dir))
 
 
 @query
@@ -271,17 +274,164 @@ for _name, _sql in VIEW_SQL.items():
     _view(_name, _sql)
 
 
-# The trailing hours of the view over a stored table; the date skips the older files.
+# The trailing hours of the view over a stored table.
 VIEW_LAST_DAY = """
-SELECT event_hour, event_type, event_count, unique_users FROM v_hourly_events_by_date
-WHERE event_hour > (SELECT max(event_timestamp) FROM user_events) - INTERVAL '24' HOUR
-  AND event_date >= (SELECT to_date(max(event_timestamp) - INTERVAL '24' HOUR) FROM user_events)"""
+SELECT event_hour, event_type, event_count, unique_users FROM v_hourly_events
+WHERE event_hour > {newest} - INTERVAL '24' HOUR"""
 
 
 @query
 def view_hourly_last_24h(spark, sf_dir):
-    register_views(_laid_out(spark, sf_dir))
-    return spark.sql(VIEW_LAST_DAY)
+    """The condition is on the hour alone; the zones turn it into one on dates."""
+    events, zones = _laid_out(spark, sf_dir)
+    register_views(events, zones=zones)
+    return spark.sql(VIEW_LAST_DAY.format(newest="(SELECT max(event_timestamp) FROM user_events)"))
+
+
+@query
+def view_hourly_since(spark, sf_dir):
+    """The same with the newest time as a value."""
+    events, zones = _laid_out(spark, sf_dir)
+    register_views(events, zones=zones)
+    return spark.sql(VIEW_LAST_DAY.format(newest=f"timestamp_ntz'{zones.last()}'"))
+
+
+# ---- the stored table ------------------------------------------------------------
+
+STRETCHES = 6
+
+
+def _filled(spark, sf_dir, table, stretches=STRETCHES):
+    """All events in some batches of one stream; the table settles after every two."""
+    events = fx.user_events(spark, sf_dir)
+    last = 0
+    for n in range(stretches):
+        part = events.where(F.pmod(F.xxhash64("event_id"), F.lit(stretches)) == n)
+        last += table.insert_absent(part, n, last_id=last, stream_id="fill", first=n == 0)
+    return table
+
+
+def _table(spark, **options):
+    return EventTable(new_folder(spark, "table"), settle_every=2, **options)
+
+
+@query
+def reindexed_insert(spark, sf_dir):
+    """A table filled with few ids per index file, opened with more, then with fewer, each time
+    with all events delivered again: nothing is stored twice."""
+    table = _filled(spark, sf_dir, _table(spark, ids_per_file=64))
+    events = fx.user_events(spark, sf_dir)
+    for n, size in enumerate((1 << 18, 16)):
+        table = replace(table, ids_per_file=size)
+        table.insert_absent(events, n, stream_id="again", first=n == 0)
+        table.settle(spark)
+    single = events.where(F.col("event_id").cast("bigint") % 97 == 0)
+    table.insert_absent(single, 2, stream_id="again", first=False)
+    return table.read(spark).select(*EVENT_COLUMNS)
+
+
+class _NotRecorded(EventTable):
+    """A table whose last batch breaks off after its files are written."""
+
+    def _write(self, *args):
+        super()._write(*args)
+        raise RuntimeError("injected failure")
+
+
+@query
+def committed_events(spark, sf_dir):
+    """Half of the events stored, the others written by a batch that broke off: what the
+    reports see is the first half alone."""
+    events = fx.user_events(spark, sf_dir)
+    table = _table(spark)
+    table.insert_absent(_already_stored(events), batch_id=0)
+    try:
+        _NotRecorded(table.path).insert_absent(events, batch_id=1)
+    except RuntimeError:
+        pass
+    return table.read(spark).select(*EVENT_COLUMNS)
+
+
+@query
+def table_newest(spark, sf_dir):
+    """The newest 100 events of the stored table, its dates chosen from the journal."""
+    table = _filled(spark, sf_dir, _table(spark))
+    return reports.recent_activity(table.newest(spark, 100))
+
+
+@query
+def table_date_range(spark, sf_dir):
+    table = _filled(spark, sf_dir, _table(spark))
+    start, end = datetime.datetime(2024, 1, 10), datetime.datetime(2024, 1, 20)
+    return between(table.within(spark, start, end), start, end).select(*EVENT_COLUMNS)
+
+
+def _settled(spark, sf_dir):
+    """A table with compacted dates, settled batches, a replay and open batches."""
+    table = _filled(spark, sf_dir, _table(spark))
+    table.compact(spark, datetime.date(2024, 1, 15))
+    last = F.pmod(F.xxhash64("event_id"), F.lit(STRETCHES)) == STRETCHES - 1
+    events = fx.user_events(spark, sf_dir)
+    before = table.last_id(spark, STRETCHES - 1, "fill")
+    table.insert_absent(events.where(last), STRETCHES - 1, last_id=before, stream_id="fill")
+    return table
+
+
+@query
+def summary_from_states(spark, sf_dir):
+    """event_summary from the partial results of a table."""
+    return reports.summary_from_states(_settled(spark, sf_dir).states(spark))
+
+
+@query
+def hourly_from_states(spark, sf_dir):
+    return reports.hourly_from_states(_settled(spark, sf_dir).states(spark))
+
+
+@query
+def funnel_from_states(spark, sf_dir):
+    return reports.funnel_from_states(_settled(spark, sf_dir).states(spark))
+
+
+@query
+def products_from_states(spark, sf_dir):
+    return reports.products_from_states(_settled(spark, sf_dir).states(spark, "products"), 10)
+
+
+@query
+def rolling_users(spark, sf_dir):
+    """Users of the day up to each hour, exactly from the part ``users``, and whether the united
+    sketches come within five percent (their stated error is 1.6) or two users of it."""
+    table = _settled(spark, sf_dir)
+    estimate = reports.rolling_users(table.states(spark, "sketches"))
+    users = table.states(spark).select("event_hour", "user_id").distinct()
+    exact = users.select(F.explode(F.expr(
+        "transform(sequence(0, 23), h -> event_hour + make_dt_interval(0, h))"
+    )).alias("event_hour"), "user_id").groupBy("event_hour").agg(
+        F.count_distinct("user_id").alias("unique_users"))
+    apart = F.abs(F.col("users") - F.col("unique_users"))
+    return estimate.join(exact, "event_hour").select(
+        "event_hour", "unique_users",
+        (apart <= F.greatest(F.lit(2), F.col("unique_users") * 0.05)).alias("within"))
+
+
+def _first_value(events, column):
+    return events.agg(F.min(column)).first()[0]
+
+
+@query
+def events_of_user(spark, sf_dir):
+    """All events of one user in a table with compacted dates."""
+    events = _settled(spark, sf_dir).read(spark)
+    user = _first_value(events, "user_id")
+    return reports.events_of_user(events, user).select(*EVENT_COLUMNS)
+
+
+@query
+def events_of_product(spark, sf_dir):
+    events = _settled(spark, sf_dir).read(spark)
+    product = _first_value(events, "product_id")
+    return reports.events_of_product(events, product).select(*EVENT_COLUMNS)
 
 
 # ---- streams -------------------------------------------------------------------
@@ -458,9 +608,10 @@ def stream_dedup_events(spark, sf_dir):
 
 
 def _trends(spark, sf_dir):
+    """Folded after every second batch; the test events are a month apart, so many come late."""
     session = _stream_session(spark)
     base = new_folder(session, "trends")
-    trends = Trends(f"{base}/counts")
+    trends = Trends(f"{base}/counts", delay="1 day", fold_every=2)
     _Landing(session, sf_dir).run(lambda stream: trends.start(
         stream_dedup(_valid(stream)), f"{base}/checkpoint", available_now=True))
     return trends
@@ -474,3 +625,46 @@ def stream_hourly(spark, sf_dir):
 @query
 def stream_minutes(spark, sf_dir):
     return _trends(spark, sf_dir).minutes(spark)
+
+
+@query
+def stream_files(spark, sf_dir):
+    """What a checkpoint has down as taken: files, and the most in a batch."""
+    session = _stream_session(spark)
+    pipeline, checkpoint = _pipeline(session)
+    landing = _Landing(session, sf_dir)
+    landing.run(lambda stream: pipeline.start(stream, checkpoint, available_now=True))
+    taken = processed_files(session, checkpoint)
+    landed = read_landing(session, landing.folder).select(SOURCE_FILE).distinct()
+    per_batch = taken.groupBy("batch_id").count().agg(F.max("count").alias("most"))
+    return taken.agg(
+        (F.count("*") == landed.agg(F.count("*")).scalar()).alias("all_landed"),
+        (F.count_distinct("batch_id") > 1).alias("several_batches"),
+    ).withColumn("most_in_a_batch", per_batch.scalar())
+
+
+@query
+def stream_without_valid_rows(spark, sf_dir):
+    """Batches of rejected rows alone: nothing is stored, all of them are counted."""
+    session = _stream_session(spark)
+    pipeline, checkpoint = _pipeline(session)
+    folder = new_folder(session, "landing")
+    rejects = op.rejected(fx.judged(session, sf_dir)).select(*LANDING_COLUMNS)
+    export_landing(rejects.repartition(4), folder)
+    _run(pipeline.start(
+        stream_landing(session, folder, max_files=2), checkpoint, available_now=True))
+    counts = pipeline.ledger.read(session).agg(
+        *[F.sum(c).alias(c) for c in ("received", "invalid", "written")])
+    return counts.withColumn("stored", pipeline.target.read(session).agg(F.count("*")).scalar())
+
+
+@query
+def stored_stamps(spark, sf_dir):
+    """Rows by the time they were stored at."""
+    events = fx.user_events(spark, sf_dir)
+    table = _table(spark)
+    first = table.insert_absent(
+        _already_stored(events), 0, created_at=datetime.datetime(2026, 1, 1, 12))
+    table.insert_absent(
+        events, 1, last_id=first, first=False, created_at=datetime.datetime(2026, 1, 2))
+    return table.read(spark).groupBy("created_at").agg(F.count("*").alias("stored_rows"))
