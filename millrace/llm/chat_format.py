@@ -14,6 +14,7 @@ form one conversation.  A conversation is one string and so one row of a task: i
 the number of conversations, is what a task must hold.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 # The template's control strings.
@@ -31,52 +32,46 @@ def unescaped(text):
     return F.regexp_replace(text, rf"(?<!\\)\\(\\*+{_CONTROL})", "$1")
 
 
-def _lagged(array, first):
-    return F.concat(F.array(first), F.slice(array, 1, F.greatest(F.size(array) - 1, F.lit(0))))
-
-
 def formatted(turns, loss_role="assistant"):
-    """conv_id, formatted, loss_spans (start from 0 and length in code points).
+    """conv_id, formatted, loss_spans.
 
     ``turns`` has conv_id, turn, role, text; other columns are ignored.  The spans cover
-    the escaped texts of the loss role, without marks.
+    the escaped texts of the loss role, without marks: start (from 0) and length in code points,
+    and the same in bytes, by which a reader need not count the characters before.
     """
-    row = F.struct(
-        "turn",
+    rows = turns.select(
+        "conv_id", "turn",
         escaped(F.coalesce(F.col("role"), F.lit(""))).alias("role"),
         escaped(F.coalesce(F.col("text"), F.lit(""))).alias("text"),
     )
-    grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("turns"))
-    rows = F.col("turns")
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    before = F.lag("role").over(order)
     # The text before a turn's own: a new block's marks, or a mere part mark if the role stays.
-    pieces = F.zip_with(
-        rows, _lagged(rows, F.lit(None)),
-        lambda t, before: F.struct(
-            F.when(before["role"] == t["role"], F.lit(MARK_PART))
-            .when(before["role"].isNull(), F.concat(F.lit(MARK_OPEN), t["role"], F.lit(MARK_HEAD)))
-            .otherwise(F.concat(F.lit(MARK_CLOSE + MARK_OPEN), t["role"], F.lit(MARK_HEAD)))
-            .alias("marks"),
-            t["text"].alias("text"),
-            (t["role"] == loss_role).alias("loss"),
-        ),
+    opened = F.concat(F.lit(MARK_OPEN), F.col("role"), F.lit(MARK_HEAD))
+    marks = (
+        F.when(before == F.col("role"), F.lit(MARK_PART))
+        .when(before.isNull(), opened)
+        .otherwise(F.concat(F.lit(MARK_CLOSE), opened))
     )
-    pieced = grouped.select("conv_id", pieces.alias("pieces"))
-    state = "struct<at:int,spans:array<struct<start:int,length:int>>>"
-    spans = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).alias("at"), F.array().alias("spans")).cast(state),
-        lambda seen, p: F.struct(
-            (seen["at"] + F.length(p["marks"]) + F.length(p["text"])).alias("at"),
-            F.when(p["loss"], F.concat(seen["spans"], F.array(F.struct(
-                (seen["at"] + F.length(p["marks"])).alias("start"),
-                F.length(p["text"]).alias("length")))))
-            .otherwise(seen["spans"]).alias("spans"),
-        ).cast(state),
-        lambda seen: seen["spans"],
+    pieces = rows.select(
+        "*", F.row_number().over(order).alias("number"), marks.alias("marks")
+    ).withColumn("piece", F.concat("marks", "text"))
+    until = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    span = F.struct(
+        (F.sum(F.length("piece")).over(until) - F.length("text")).cast("int").alias("start"),
+        F.length("text").alias("length"),
+        (F.sum(F.octet_length("piece")).over(until) - F.octet_length("text")).cast("int")
+        .alias("byte_start"),
+        F.octet_length("text").alias("byte_length"),
     )
-    text = F.array_join(F.transform("pieces", lambda p: F.concat(p["marks"], p["text"])), "")
-    return pieced.select(
-        "conv_id", F.concat(text, F.lit(MARK_CLOSE)).alias("formatted"), spans.alias("loss_spans")
+    placed = pieces.select(
+        "conv_id", "number", "piece", F.when(F.col("role") == loss_role, span).alias("span"))
+    whole = placed.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("number", "piece", "span"))).alias("pieces"))
+    return whole.select(
+        "conv_id",
+        F.concat(F.array_join(F.col("pieces.piece"), ""), F.lit(MARK_CLOSE)).alias("formatted"),
+        F.filter(F.col("pieces.span"), lambda s: s.isNotNull()).alias("loss_spans"),
     )
 
 
@@ -100,11 +95,15 @@ def turns_back(text):
 
 def read_back(chats):
     """conv_id, turns and loss_texts, taken from ``formatted``'s output alone."""
+    # The outer array holds the bytes once: each span is then cut out without counting.
+    cut = F.transform(
+        F.array(F.col("formatted").cast("binary")),
+        lambda whole: F.transform("loss_spans", lambda s: unescaped(
+            F.substring(whole, s["byte_start"] + 1, s["byte_length"]).cast("string"))))
     return chats.select(
         "conv_id", "formatted",
         turns_back(F.col("formatted")).alias("turns"),
-        F.transform("loss_spans", lambda s: unescaped(
-            F.substring(F.col("formatted"), s["start"] + 1, s["length"]))).alias("loss_texts"),
+        F.element_at(cut, 1).alias("loss_texts"),
     )
 
 

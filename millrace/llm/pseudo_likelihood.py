@@ -5,24 +5,29 @@ side of it: their vectors are averaged, one softmax gives the token's class and
 token within its class.  A document's score is the sum over all its tokens of the logarithm of
 that probability.
 
-1. All words of all documents are counted; the most frequent have ids of their own, the others
-   share ``UNKNOWN`` ids by hash, which start from the sums of their counts; of words of one count
-   the first in order go first.  Counts are combined in the tasks first.
-2. Starting from the counts (as biases) and seeded vectors, every task trains on every
-   token of each of its documents, and the tasks' changes are averaged by the
-   number of tokens behind them.  So what is gathered grows with the corpus, while the network
-   that comes to the driver and back has a fixed size.
-3. Every token of every document is scored.
-
-Null and empty texts have no tokens and a score of 0.  Words above ``LONGEST`` bytes have no id of
-their own.  Repeated rows are scored each; an empty table gives no row.  Columns other than
-doc_id and text are ignored.
+1. All words of all documents are counted.  The number of ids grows with the root of the number of
+   different words, so do classes and slots with its root; the most frequent words have ids of
+   their own, the others share a sixth of the ids by hash, which start from the sums of their
+   counts; of words of one count the first in order go first.
+2. Every document becomes ids, once, in a table of its own.
+3. The documents fall into shards by a hash, of about ``SHARD_TOKENS`` tokens whatever the number
+   of documents, each in the order of that hash.  Starting from the counts (as biases) and seeded
+   vectors, a network is trained on every token of each shard, and the shards' changes are averaged
+   by their tokens.  So what is gathered grows with the corpus, the network that comes to the driver
+   and back has the size of its ids, and scores do not depend on how the table is partitioned.
+4. Every token of every document is scored.  All matrix products have one shape, so that equal
+   texts score alike wherever they stand.
+
+Null and empty texts have no tokens and a score of 0.  Texts are taken whole, however long.  Words
+above ``LONGEST`` bytes have no id of their own.  Repeated rows are trained on and scored each; an
+empty table gives no row.  Columns other than doc_id and text are ignored.
 """
 
 import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import accumulate
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -30,31 +35,57 @@ from pyspark.sql import functions as F
 
 from millrace.llm.text import written
 
-CLASSES, SLOTS, UNKNOWN = 48, 56, 384
-TOKENS = CLASSES * SLOTS
+# Ids for each unit of the root of the number of different words, and the fewest ids.
+IDS_PER_ROOT, LEAST_IDS = 2, 64
 DIMENSIONS = 16
 SIDE = 2
 LONGEST = 64
 RATE = 0.1
 SEED = 4
+# Tokens of a shard; of a training step; scored at once; rows of each product within a class.
+SHARD_TOKENS = 1 << 22
+TRAIN_BATCH = 1 << 14
+SCORE_BATCH = 1 << 14
+ROWS = 64
+# Logits beyond this are cut, so that a softmax needs no maximum.
+LARGEST = 60.0
 
-# Different words counted before a task hands them on; tokens trained and scored at once.
+# Different words counted before a task hands them on; tokens laid out at once.
 COUNT_WORDS = 1 << 18
-TRAIN_BATCH = 1 << 12
-SCORE_BATCH = 1 << 14
-CHUNK_BYTES = 1 << 21
+CHUNK_TOKENS = 1 << 20
 
 
 def _words(text):
     return (text or b"").lower().split()
 
 
-def _shared_id(word):
-    return zlib.crc32(word) % UNKNOWN
+@dataclass(frozen=True)
+class Ids:
+    """How many ids there are: classes * slots, the last ``unknown`` of them shared."""
+
+    classes: int
+    slots: int
+    unknown: int
+
+    @classmethod
+    def of(cls, different):
+        """For a number of different words."""
+        ids = max(LEAST_IDS, IDS_PER_ROOT * isqrt(different))
+        classes = isqrt(ids)
+        slots = -(-ids // classes)
+        return cls(classes, slots, classes * slots // 6)
+
+    @property
+    def all(self):
+        return self.classes * self.slots
+
+    @property
+    def own(self):
+        return self.all - self.unknown
 
 
 def word_counts(docs):
-    """word (bytes; null if above LONGEST), shared id it would have, and count over all documents."""
+    """word (bytes; null if above LONGEST), its hash and count over all documents."""
 
     def run(batches):
         seen = Counter()
@@ -69,63 +100,78 @@ def word_counts(docs):
     def _rows(seen):
         return pa.RecordBatch.from_arrays(
             [pa.array([w if len(w) <= LONGEST else None for w in seen], pa.binary()),
-             pa.array([_shared_id(w) for w in seen], pa.int32()),
-             pa.array(seen.values(), pa.int64())], ["word", "shared", "n"])
+             pa.array([zlib.crc32(w) for w in seen], pa.int64()),
+             pa.array(seen.values(), pa.int64())], ["word", "crc", "n"])
 
-    counts = docs.select("text").mapInArrow(run, "word binary, shared int, n bigint")
-    return counts.groupBy("word", "shared").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(run, "word binary, crc bigint, n bigint")
+    return counts.groupBy("word", "crc").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(docs):
-    """The most frequent words in order, their counts, and the counts of all others by shared id.
+    """(Ids, the most frequent words in order, their counts, the counts of the shared ids).
 
     The least count is found from the numbers of words of each count, so no task meets all words;
     of the words of that count the first in order have ids.
     """
-    most = TOKENS - UNKNOWN
     counts = written(word_counts(docs), "word-counts")
+    ids = Ids.of(counts.count())
     named = counts.where("word IS NOT NULL")
     alike = named.groupBy("n").agg(F.count("*").alias("words"))
-    frequent = alike.orderBy(F.col("n").desc()).limit(most).collect()  # at most a row per id
-    others = np.zeros(UNKNOWN, np.int64)
-    for r in counts.groupBy("shared").agg(F.sum("n").alias("n")).collect():
+    frequent = alike.orderBy(F.col("n").desc()).limit(ids.own).collect()  # at most a row per id
+    others = np.zeros(ids.unknown, np.int64)
+    shared = F.pmod("crc", F.lit(ids.unknown)).alias("shared")
+    for r in counts.groupBy(shared).agg(F.sum("n").alias("n")).collect():
         others[r["shared"]] = r["n"]
     if not frequent:
-        return [], np.zeros(0, np.int64), others
+        return ids, [], np.zeros(0, np.int64), others
     upto = accumulate(r["words"] for r in frequent)
-    least = next((r["n"] for r, total in zip(frequent, upto) if total >= most), frequent[-1]["n"])
-    top = named.where(F.col("n") >= least).orderBy(F.col("n").desc(), "word").limit(most).toArrow()
+    least = next(
+        (r["n"] for r, total in zip(frequent, upto) if total >= ids.own), frequent[-1]["n"])
+    top = named.where(F.col("n") >= least).orderBy(F.col("n").desc(), "word").limit(ids.own).toArrow()
     words, often = top["word"].to_pylist(), np.array(top["n"].to_pylist(), np.int64)
-    np.subtract.at(others, [_shared_id(w) for w in words], often)
-    return words, often, others
+    np.subtract.at(others, [zlib.crc32(w) % ids.unknown for w in words], often)
+    return ids, words, often, others
+
+
+class _Lookup(dict):
+    """Ids of words; those without one of their own share by hash."""
+
+    def __init__(self, words, ids):
+        super().__init__((w, i) for i, w in enumerate(words))
+        self.first, self.unknown = ids.own, ids.unknown
+
+    def __missing__(self, word):
+        return self.first + zlib.crc32(word) % self.unknown
 
 
 @dataclass
 class Network:
-    """Vectors of tokens as neighbours, and the two layers. Token t is slot t // CLASSES of
-    class t % CLASSES; the last row of ``vectors`` stands for no neighbour."""
+    """Vectors of tokens as neighbours, and the two layers. Token t is slot t // classes of
+    class t % classes; the last row of ``vectors`` stands for no neighbour."""
 
-    ids: dict
+    ids: Ids
+    words: list
     vectors: np.ndarray
     class_layer: np.ndarray
     class_bias: np.ndarray
     slot_layer: np.ndarray
     slot_bias: np.ndarray
+    lookup: _Lookup = field(default=None, repr=False, compare=False)
 
     @classmethod
-    def start(cls, words, counts, others, seed=SEED):
+    def start(cls, ids, words, counts, others, seed=SEED):
         random = np.random.default_rng(seed)
-        n = np.ones(TOKENS)
+        n = np.ones(ids.all)
         n[:len(counts)] += counts
-        n[TOKENS - UNKNOWN:] += others
-        table = n.reshape(SLOTS, CLASSES).T
-        vectors = random.normal(0, 0.1, (TOKENS + 1, DIMENSIONS)).astype(np.float32)
+        n[ids.own:] += others
+        table = n.reshape(ids.slots, ids.classes).T
+        vectors = random.normal(0, 0.1, (ids.all + 1, DIMENSIONS)).astype(np.float32)
         vectors[-1] = 0
         return cls(
-            {w: i for i, w in enumerate(words)}, vectors,
-            np.zeros((CLASSES, DIMENSIONS), np.float32),
+            ids, words, vectors,
+            np.zeros((ids.classes, DIMENSIONS), np.float32),
             np.log(table.sum(axis=1) / table.sum()).astype(np.float32),
-            np.zeros((CLASSES, SLOTS, DIMENSIONS), np.float32),
+            np.zeros((ids.classes, ids.slots, DIMENSIONS), np.float32),
             np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32))
 
     def arrays(self):
@@ -140,80 +186,120 @@ class Network:
         for a in self.arrays():
             parts.append(flat[at:at + a.size].reshape(a.shape).astype(np.float32))
             at += a.size
-        return Network(self.ids, *parts)
+        return Network(self.ids, self.words, *parts)
+
+    def token_type(self):
+        return np.uint16 if self.ids.all < 1 << 16 else np.uint32
 
     def tokens(self, text):
-        get, first = self.ids.get, TOKENS - UNKNOWN
-        words = _words(text)
-        found = [get(w, -1) for w in words]
-        return [t if t >= 0 else first + _shared_id(w) for t, w in zip(found, words)]
+        if self.lookup is None:
+            self.lookup = _Lookup(self.words, self.ids)
+        found = map(self.lookup.__getitem__, _words(text))
+        return np.fromiter(found, self.token_type())
 
     def _means(self, row, at):
         """Averaged vectors of the neighbours of places in a padded row of tokens."""
-        near = np.stack([row[at + k] for k in range(-SIDE, SIDE + 1) if k], axis=1)
-        count = np.maximum((near != TOKENS).sum(axis=1), 1).astype(np.float32)
-        return self.vectors[near].sum(axis=1) / count[:, None], near, count
+        near = [row[at + k] for k in range(-SIDE, SIDE + 1) if k]
+        total = np.take(self.vectors, near[0], axis=0)
+        count = (near[0] != self.ids.all).astype(np.float32)
+        for n in near[1:]:
+            total += np.take(self.vectors, n, axis=0)
+            count += n != self.ids.all
+        count = np.maximum(count, 1)[:, None]
+        total /= count
+        return total, near, count
+
+    def _class_logits(self, mean):
+        logits = mean @ self.class_layer.T
+        logits += self.class_bias
+        return _cut(logits)
+
+    def _in_blocks(self, mean, group):
+        """The rows in blocks of one class each: (rows, place of each token, class of each block)."""
+        count = np.bincount(group, minlength=self.ids.classes)
+        blocks = -(-count // ROWS)
+        order = np.argsort(group.astype(np.uint16), kind="stable")
+        shift = (np.cumsum(blocks) - blocks) * ROWS - (np.cumsum(count) - count)
+        place = np.empty(len(group), np.int64)
+        place[order] = np.arange(len(group)) + np.repeat(shift, count)
+        of = np.repeat(np.arange(self.ids.classes), blocks)
+        rows = np.zeros((len(of) * ROWS, DIMENSIONS), np.float32)
+        rows[place] = mean
+        return rows.reshape(len(of), ROWS, DIMENSIONS), place, of
+
+    def _slot_logits(self, rows, of):
+        logits = rows @ self.slot_layer.transpose(0, 2, 1)[of]
+        logits += self.slot_bias[of][:, None]
+        return _cut(logits.reshape(-1, self.ids.slots))
 
     def log_probabilities(self, row, at):
+        """Of the tokens at some places. Rows are padded, so that every product has one shape."""
+        n = len(at)
+        at = np.concatenate([at, np.full(-n % SCORE_BATCH, at[0] if n else 0)])
         mean, _, _ = self._means(row, at)
-        mean = mean.astype(np.float64)  # equal texts score alike in whatever batch
-        token = row[at]
-        group, slot = token % CLASSES, token // CLASSES
-        result = _log_softmax_at(mean @ self.class_layer.T + self.class_bias, group)
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for g in range(CLASSES):
-            mine = order[cuts[g]:cuts[g + 1]]
-            if len(mine):
-                logits = mean[mine] @ self.slot_layer[g].T + self.slot_bias[g]
-                result[mine] += _log_softmax_at(logits, slot[mine])
+        token = row[at[:n]].astype(np.int64)
+        group, slot = token % self.ids.classes, token // self.ids.classes
+        logits = self._class_logits(mean)
+        result = logits[np.arange(n), group].astype(np.float64)
+        result -= np.log(_exp_sums(logits)[:n])
+        rows, place, of = self._in_blocks(mean[:n], group)
+        logits = self._slot_logits(rows, of)
+        result += logits[place, slot]
+        result -= np.log(_exp_sums(logits)[place])
         return result
 
     def train(self, row, at, past):
         """One step on the places ``at``; ``past`` holds sums of squared gradients."""
         mean, near, count = self._means(row, at)
-        token = row[at]
-        group, slot = token % CLASSES, token // CLASSES
+        token = row[at].astype(np.int64)
+        group, slot = token % self.ids.classes, token // self.ids.classes
         n = np.float32(len(at))
-        odds = _softmax(mean @ self.class_layer.T + self.class_bias)
-        odds[np.arange(len(at)), group] -= 1
-        back = odds @ self.class_layer
-        steps = [None, odds.T @ mean / n, odds.sum(axis=0) / n]
-        order = np.argsort(group, kind="stable")
-        group, slot, ordered = group[order], slot[order], mean[order]
-        heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        seen = group[heads]
-        parts = list(zip(seen, heads, np.append(heads[1:], len(group))))
-        error = np.concatenate([
-            _softmax(ordered[a:b] @ self.slot_layer[g].T + self.slot_bias[g])
-            for g, a, b in parts])
-        error[np.arange(len(at)), slot] -= 1
-        back[order] += np.concatenate([error[a:b] @ self.slot_layer[g] for g, a, b in parts])
-        slot_step = np.stack([error[a:b].T @ ordered[a:b] for _, a, b in parts]) / n
-        bias_step = np.add.reduceat(error, heads, axis=0) / n
-        _adagrad(self.class_layer, steps[1], past[1])
-        _adagrad(self.class_bias, steps[2], past[2])
-        _adagrad(self.slot_layer, slot_step, past[3], seen)
-        _adagrad(self.slot_bias, bias_step, past[4], seen)
-        flat = near.ravel()
-        change = np.repeat(back / count[:, None] / n, near.shape[1], axis=0)
+        error = self._class_logits(mean)
+        error *= (1 / _exp_sums(error))[:, None]
+        error[np.arange(len(at)), group] -= 1
+        back = error @ self.class_layer
+        class_step, class_bias_step = error.T @ mean / n, _column_sums(error) / n
+        rows, place, of = self._in_blocks(mean, group)
+        error = self._slot_logits(rows, of)
+        used = np.zeros(len(error), np.float32)
+        used[place] = 1
+        error *= (used / _exp_sums(error))[:, None]
+        error[place, slot] -= 1
+        error = error.reshape(len(of), ROWS, -1)
+        back += np.take((error @ self.slot_layer[of]).reshape(-1, DIMENSIONS), place, axis=0)
+        heads = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        seen = of[heads]
+        # A column of ones beside the rows gives the steps of the biases.
+        rows = np.concatenate([rows, np.ones((len(of), ROWS, 1), np.float32)], axis=2)
+        steps = np.add.reduceat(error.transpose(0, 2, 1) @ rows, heads, axis=0) / n
+        _adagrad(self.class_layer, class_step, past[1])
+        _adagrad(self.class_bias, class_bias_step, past[2])
+        _adagrad(self.slot_layer, steps[:, :, :-1], past[3], seen)
+        _adagrad(self.slot_bias, steps[:, :, -1], past[4], seen)
+        back /= count * n
+        flat = np.concatenate(near)
         order = np.argsort(flat, kind="stable")
         flat = flat[order]
         heads = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-        summed = np.add.reduceat(change[order], heads, axis=0)
-        real = flat[heads] != TOKENS
+        summed = np.add.reduceat(np.take(back, order % len(at), axis=0), heads, axis=0)
+        real = flat[heads] != self.ids.all
         _adagrad(self.vectors, summed[real], past[0], flat[heads][real])
 
 
-def _softmax(logits):
-    odds = np.exp(logits - logits.max(axis=1, keepdims=True))
-    return odds / odds.sum(axis=1, keepdims=True)
+def _cut(logits):
+    if logits.size and max(logits.max(), -logits.min()) > LARGEST:
+        np.clip(logits, -LARGEST, LARGEST, out=logits)
+    return logits
+
+
+def _exp_sums(logits):
+    """Sums of the exponentials of each row, which take the logits' place."""
+    np.exp(logits, out=logits)
+    return logits @ np.ones(logits.shape[1], np.float32)
 
 
-def _log_softmax_at(logits, chosen):
-    top = logits.max(axis=1)
-    total = np.log(np.exp(logits - top[:, None]).sum(axis=1))
-    return (logits[np.arange(len(chosen)), chosen] - top - total).astype(np.float64)
+def _column_sums(values):
+    return np.ones(len(values), np.float32) @ values
 
 
 def _adagrad(values, step, past, rows=slice(None)):
@@ -221,52 +307,114 @@ def _adagrad(values, step, past, rows=slice(None)):
     values[rows] -= RATE * step / (np.sqrt(past[rows]) + 1e-6)
 
 
-def _padded(network, texts):
-    """(row, places, owners): tokens of texts with gaps between, some megabytes at a time."""
-    gap = [TOKENS] * SIDE
-    row, owner, size = list(gap), [-1] * SIDE, 0
-    for number, text in enumerate(texts):
-        tokens = network.tokens(text)
-        row += tokens
-        row += gap
-        owner += [number] * len(tokens)
-        owner += [-1] * SIDE
-        size += len(text or b"")
-        if size >= CHUNK_BYTES:
-            yield np.array(row), np.array(owner)
-            row, owner, size = list(gap), [-1] * SIDE, 0
-    yield np.array(row), np.array(owner)
+def _laid_out(network, documents):
+    """(row, owners): tokens of documents with gaps between, about CHUNK_TOKENS at a time."""
+    kind = network.token_type()
+    gap, none = np.full(SIDE, network.ids.all, kind), np.full(SIDE, -1)
+
+    def laid(parts, owners):
+        return (np.concatenate([gap, *(x for p in parts for x in (p, gap))]),
+                np.concatenate([none, *(x for o, p in zip(owners, parts)
+                                        for x in (np.full(len(p), o), none))]))
+
+    parts, owners, size = [], [], 0
+    for number, tokens in enumerate(documents):
+        parts.append(tokens)
+        owners.append(number)
+        size += len(tokens)
+        if size >= CHUNK_TOKENS:
+            yield laid(parts, owners)
+            parts, owners, size = [], [], 0
+    if parts:
+        yield laid(parts, owners)
+
+
+def scores(network, documents):
+    """(tokens, summed log-probability) of documents as arrays of tokens."""
+    total, count = np.zeros(len(documents)), np.zeros(len(documents), np.int64)
+    for row, owner in _laid_out(network, documents):
+        at = np.flatnonzero(owner >= 0)
+        for i in range(0, len(at), SCORE_BATCH):
+            part = at[i:i + SCORE_BATCH]
+            total += np.bincount(
+                owner[part], network.log_probabilities(row, part), minlength=len(documents))
+        count += np.bincount(owner[at], minlength=len(documents))
+    return count, total
+
 
+def encoded(docs, shared, shards):
+    """doc_id, shard, key (the order within a shard) and ids of every document, as a table."""
 
-def _trainer(shared):
     def run(batches):
-        start = shared.value
-        network = start.moved(start.flat())
-        past = [np.zeros_like(a) for a in network.arrays()]
-        trained = 0
+        network = shared.value
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            for row, owner in _padded(network, texts):
-                at = np.flatnonzero(owner >= 0)
-                for i in range(0, len(at), TRAIN_BATCH):
-                    network.train(row, at[i:i + TRAIN_BATCH], past)
-                trained += len(at)
-        if trained:
-            change = (network.flat() - start.flat()) * trained
+            ids = [network.tokens(t).tobytes()
+                   for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(change), dtype=np.int32)), pa.array(change),
-                 pa.array(np.full(len(change), trained, np.int64))],
-                ["place", "change", "trained"])
+                [*(batch.column(c) for c in ("doc_id", "shard", "key")), pa.array(ids, pa.binary())],
+                ["doc_id", "shard", "key", "ids"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    key = F.xxhash64("doc_id", "text")
+    return written(docs.select(
+        "doc_id", F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(shards)).cast("int").alias("shard"),
+        key.alias("key"), "text",
+    ).mapInArrow(run, f"doc_id {kind}, shard int, key bigint, ids binary"), "token-ids")
+
+
+def train_shard(start, documents):
+    """(network, tokens) after one pass over a shard's documents."""
+    network = start.moved(start.flat())
+    past = [np.zeros_like(a) for a in network.arrays()]
+    trained = 0
+    for row, owner in _laid_out(network, documents):
+        at = np.flatnonzero(owner >= 0)
+        for i in range(0, len(at), TRAIN_BATCH):
+            network.train(row, at[i:i + TRAIN_BATCH], past)
+        trained += len(at)
+    return network, trained
+
+
+def _trainer(shared):
+    def rows(batches):
+        for batch in batches:
+            yield from zip(batch.column("shard").to_pylist(), batch.column("ids"))
+
+    def run(batches):
+        start = shared.value
+        found = rows(batches)
+        pair = next(found, None)
+        while pair is not None:
+            shard = pair[0]
+
+            def documents():
+                nonlocal pair
+                while pair is not None and pair[0] == shard:
+                    yield np.frombuffer(pair[1].as_py(), start.token_type())
+                    pair = next(found, None)
+
+            network, trained = train_shard(start, documents())
+            if trained:
+                change = (network.flat() - start.flat()) * trained
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(len(change), dtype=np.int32)), pa.array(change),
+                     pa.array(np.full(len(change), trained, np.int64))],
+                    ["place", "change", "trained"])
 
     return run
 
 
 def fit(docs):
-    """The network, trained on all documents."""
-    start = Network.start(*vocabulary(docs))
+    """(network, table of the documents' ids), trained on all documents."""
+    ids, words, counts, others = vocabulary(docs)
+    start = Network.start(ids, words, counts, others)
     shared = docs.sparkSession.sparkContext.broadcast(start)
+    tokens = int(counts.sum() + others.sum())
+    shards = max(1, -(-tokens // SHARD_TOKENS))
+    table = encoded(docs, shared, shards)
     changes = (
-        docs.select("text").mapInArrow(_trainer(shared), "place int, change double, trained bigint")
+        table.repartition(shards, "shard").sortWithinPartitions("shard", "key")
+        .mapInArrow(_trainer(shared), "place int, change double, trained bigint")
         .groupBy("place")
         .agg((F.sum("change") / F.sum("trained")).alias("change"))
         .toArrow()  # a row for each parameter of the network
@@ -274,35 +422,30 @@ def fit(docs):
     flat = start.flat()
     if changes.num_rows:
         flat[changes["place"].to_numpy()] += changes["change"].to_numpy()
-    return start.moved(flat)
+    return start.moved(flat), table
 
 
-def scores(network, texts):
-    """(tokens, summed log-probability) of each text."""
-    total, count = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-    for row, owner in _padded(network, texts):
-        at = np.flatnonzero(owner >= 0)
-        for i in range(0, len(at), SCORE_BATCH):
-            part = at[i:i + SCORE_BATCH]
-            total += np.bincount(
-                owner[part], network.log_probabilities(row, part), minlength=len(texts))
-        count += np.bincount(owner[at], minlength=len(texts))
-    return count, total
-
-
-def score(docs, network):
-    """doc_id, n_tokens, log_prob (sum) and mean_log_prob (0 without tokens)."""
-    shared = docs.sparkSession.sparkContext.broadcast(network)
+def score(table, network):
+    """doc_id, n_tokens, log_prob (sum) and mean_log_prob (0 without tokens) of ``encoded``
+    documents."""
+    shared = table.sparkSession.sparkContext.broadcast(network)
 
     def run(batches):
+        kind = shared.value.token_type()
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            count, total = scores(shared.value, texts)
+            documents = [np.frombuffer(x.as_py(), kind) for x in batch.column("ids")]
+            count, total = scores(shared.value, documents)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(count), pa.array(total),
                  pa.array(total / np.maximum(count, 1))],
                 ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(
+    kind = dict(table.dtypes)["doc_id"]
+    return table.select("doc_id", "ids").mapInArrow(
         run, f"doc_id {kind}, n_tokens bigint, log_prob double, mean_log_prob double")
+
+
+def scored(docs):
+    """Every document's score by a network trained on all of them."""
+    network, table = fit(docs)
+    return score(table, network)

@@ -5,13 +5,15 @@ end) and its pairs of neighbouring words, hashed into ``2 ** BUCKET_BITS`` bucke
 word equal to its neighbour is shown by a sign of its own.  Each bucket has a learned vector.
 The vectors are averaged over all features of the whole text and a softmax layer gives the
 class.  Training is stochastic gradient descent in numpy over at most ``MAX_TRAIN`` labelled
-documents, chosen by a seeded hash of doc_id; scoring covers every document.
+documents, chosen by a seeded hash of doc_id, whose features are written as a table.  An epoch is
+a task that reads them in a seeded order of its own, a batch at a time, and returns the model, so
+neither driver nor task holds the examples, however long their texts.  Scoring covers every document.
 
 As the output is linear in the averaged vector, scoring folds vectors and layer into one number
 per bucket, which is all that is sent to the executors.
 
-Null and empty texts have no feature and get the score of the bias.  Repeated rows get equal
-scores.  Labels without doc_id or quality are left out, of several for one doc_id the largest
+Null and empty texts have no feature and get the score of the bias; long texts are read whole, in
+pieces.  Repeated rows get equal scores.  A null doc_id is not held out.  Labels without doc_id or quality are left out, of several for one doc_id the largest
 counts.  Without labels of both classes every score is the share of class 1, or 0.5 without any.
 Columns other than doc_id and text are never read for a score.
 """
@@ -23,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.llm.hashing import Spans, mix
+from millrace.llm.text import written
 
 BUCKET_BITS = 17
 GRAMS = (3, 4, 5)
 DIMENSIONS = 16
-MAX_TRAIN = 2500
-EPOCHS = 6
+MAX_TRAIN = 4000
+EPOCHS = 12
 RATE = 0.5
 SEED = 8
 THRESHOLD = 0.7
@@ -120,41 +123,99 @@ class Model:
         return 1 / (1 + np.exp(-(self.bias + total / np.maximum(count, 1))))
 
 
-def train(features, labels, epochs=EPOCHS, rate=RATE, seed=SEED):
-    """A Model from (buckets, shares) per document and their 0/1 labels."""
-    labels = np.asarray(labels, np.int64)
-    ones = int(labels.sum())
-    if not len(labels):
-        return Model(np.zeros(1 << BUCKET_BITS, np.float32), 0.0)
-    if ones in (0, len(labels)):
-        share = np.clip(ones / len(labels), 1e-6, 1 - 1e-6)
-        return Model(np.zeros(1 << BUCKET_BITS, np.float32), float(np.log(share / (1 - share))))
-    random = np.random.default_rng(seed)
-    vectors = random.uniform(-1, 1, (1 << BUCKET_BITS, DIMENSIONS)).astype(np.float32) / DIMENSIONS
-    layer = np.zeros((2, DIMENSIONS), np.float32)
-    bias = np.log(np.array([1 - ones / len(labels), ones / len(labels)])).astype(np.float32)
-    steps, done = epochs * len(labels), 0
-    for _ in range(epochs):
-        for i in random.permutation(len(labels)):
-            buckets, shares = features[i]
-            step = rate * (1 - done / steps)
-            done += 1
-            mean = shares @ vectors[buckets]
-            logits = layer @ mean + bias
-            odds = np.exp(logits - logits.max())
-            error = odds / odds.sum()
-            error[labels[i]] -= 1
-            back = error @ layer
-            layer -= step * np.outer(error, mean)
-            bias -= step * 0.1 * error
-            # Shares add up to 1; a document's step is spread over its features' vectors.
-            vectors[buckets] -= (step * len(buckets) ** 0.5) * shares[:, None] * back
-    difference = layer[1] - layer[0]
-    return Model((vectors @ difference).astype(np.float32), float(bias[1] - bias[0]))
+@dataclass
+class Trainee:
+    """Vectors of the buckets and the softmax layer, between two epochs."""
+
+    vectors: np.ndarray
+    layer: np.ndarray
+    bias: np.ndarray
+    done: int = 0
+
+    @classmethod
+    def start(cls, zeros, ones, seed=SEED):
+        """For so many documents of either class, at least one of each."""
+        random = np.random.default_rng(seed)
+        vectors = random.uniform(-1, 1, (1 << BUCKET_BITS, DIMENSIONS)).astype(np.float32)
+        return cls(vectors / DIMENSIONS, np.zeros((2, DIMENSIONS), np.float32),
+                   np.log(np.array([zeros, ones]) / (zeros + ones)).astype(np.float32))
+
+    def step(self, buckets, shares, label, steps, rate=RATE):
+        """One document, of ``steps`` in all epochs."""
+        pace = rate * (1 - self.done / steps)
+        self.done += 1
+        mean = shares @ self.vectors[buckets]
+        logits = self.layer @ mean + self.bias
+        error = np.exp(logits - logits.max())
+        error /= error.sum()
+        error[label] -= 1
+        back = error @ self.layer
+        self.layer -= pace * np.outer(error, mean)
+        self.bias -= pace * 0.1 * error
+        # Shares add up to 1; a document's step is spread over its features' vectors.
+        self.vectors[buckets] -= (pace * len(buckets) ** 0.5) * shares[:, None] * back
+
+    def model(self):
+        difference = self.layer[1] - self.layer[0]
+        return Model((self.vectors @ difference).astype(np.float32),
+                     float(self.bias[1] - self.bias[0]))
+
+    def to_bytes(self):
+        return b"".join(a.tobytes() for a in (self.vectors, self.layer, self.bias))
+
+    def taught(self, content, done):
+        """From to_bytes(), after so many steps."""
+        values, parts, at = np.frombuffer(content, np.float32).copy(), [], 0
+        for a in (self.vectors, self.layer, self.bias):
+            parts.append(values[at:at + a.size].reshape(a.shape))
+            at += a.size
+        return Trainee(*parts, done)
+
+
+def _epoch(shared, steps):
+    """The task of an epoch: all examples in order, the model at the end."""
+
+    def run(batches):
+        trainee = shared.value.taught(shared.value.to_bytes(), shared.value.done)
+        for batch in batches:
+            columns = (batch.column(c) for c in ("label", "buckets", "shares"))
+            for label, buckets, shares in zip(*columns):
+                trainee.step(np.asarray(buckets.values), np.asarray(shares.values),
+                             label.as_py(), steps)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([trainee.to_bytes()], pa.binary()), pa.array([trainee.done], pa.int64())],
+            ["content", "done"])
+
+    return run
+
+
+def train(examples, epochs=EPOCHS, seed=SEED):
+    """The model from a table of doc_id, label, buckets and shares."""
+    counts = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
+    zeros, ones = counts.get(0, 0), counts.get(1, 0)
+    flat = np.zeros(1 << BUCKET_BITS, np.float32)
+    if not zeros or not ones:
+        share = np.clip(ones / (zeros + ones), 1e-6, 1 - 1e-6) if zeros + ones else 0.5
+        return Model(flat, float(np.log(share / (1 - share))))
+    trainee = Trainee.start(zeros, ones, seed)
+    context = examples.sparkSession.sparkContext
+    for epoch in range(epochs):
+        shared = context.broadcast(trainee)
+        order = [F.xxhash64("doc_id", F.lit(seed + epoch)), "doc_id"]
+        # At most max_train rows: one task takes them one after the other.
+        taught = (
+            examples.select(*order, "label", "buckets", "shares")
+            .repartition(1).sortWithinPartitions(*order)
+            .mapInArrow(_epoch(shared, epochs * (zeros + ones)), "content binary, done bigint")
+            .first()
+        )
+        trainee = trainee.taught(bytes(taught["content"]), taught["done"])
+        shared.destroy()
+    return trainee.model()
 
 
 def held_out(doc_id):
-    return F.crc32(doc_id.cast("string")) % 4 == 2
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
 def _shares(batches):
@@ -188,15 +249,9 @@ def fit(docs, labels, max_train=MAX_TRAIN, seed=SEED):
     # At most max_train rows of two numbers: a proven bound for the broadcast.
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy(
         "doc_id", "label").agg(F.min("text").alias("text"))
-    rows = chosen.select("doc_id", "label", "text").mapInArrow(
-        _shares, f"doc_id {kind}, label int, buckets array<int>, shares array<float>"
-    ).toArrow().sort_by("doc_id")
-    features = [
-        (np.asarray(b.values), np.asarray(s.values))
-        for b, s in zip(rows["buckets"], rows["shares"])
-    ]
-    known = [i for i, (b, _) in enumerate(features) if len(b)]
-    return train([features[i] for i in known], [rows["label"][i].as_py() for i in known])
+    examples = written(chosen.select("doc_id", "label", "text").mapInArrow(
+        _shares, f"doc_id {kind}, label int, buckets array<int>, shares array<float>"), "examples")
+    return train(examples.where("size(buckets) > 0"), seed=seed)
 
 
 def score(docs, model):

@@ -55,8 +55,7 @@ def op3_suffix_dedup(spark, sf_dir):
 
 @query
 def op4_pseudo_likelihood(spark, sf_dir):
-    documents = _documents(spark, sf_dir)
-    return pseudo_likelihood.score(documents, pseudo_likelihood.fit(documents))
+    return pseudo_likelihood.scored(_documents(spark, sf_dir))
 
 
 @query

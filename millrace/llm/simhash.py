@@ -2,7 +2,7 @@
 
 A fingerprint is cut into 32 segments of two bits, each mapped to its number of ones.  The
 Manhattan distance of two such vectors is never above the Hamming distance of the fingerprints.
-The segments form ``groups`` coordinates of a grid.  Two vectors within distance d differ in at
+The segments form the coordinates of a grid, more of them for more fingerprints.  Two vectors within distance d differ in at
 most d coordinates, so they share a cell in one of the projections on ``groups - d`` of them:
 the range join is an equi-join on the cells of all projections.  In a cell, pairs are compared
 by the Manhattan distance first and then by the exact Hamming distance; no link is lost.
@@ -12,12 +12,13 @@ A cell gives at most one row per member (a forest of its links), never its pairs
 reads a cell compares within blocks of ``block`` members; the members of larger cells go on to
 tasks that compare a pair of blocks each.
 
-Null and empty texts have fingerprint 0 and are linked like any other.  Rows that repeat a
+Null and empty texts have fingerprint 0 and are linked like any other; long texts are read whole.  Rows that repeat a
 doc_id are fingerprinted by themselves.  component_id is the smallest doc_id of the component,
 null ids left out; it is null only if the component has no other.
 """
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,17 @@ from millrace.llm.components import components
 from millrace.llm.text import written
 
 BITS, SEGMENT_BITS, SEED = 64, 2, 42
-DISTANCE, GROUPS, BLOCK = 4, 8, 1024
+DISTANCE, BLOCK = 4, 1024
 WORDS = 4
 
 # Rows of sorted cells that a task compares at once, and shingles whose bits it adds at once.
 CHUNK_ROWS = 1 << 15
 CHUNK_SHINGLES = 1 << 16
 
+# Bits by which a segment's count tells fingerprints apart (at most 1.5), and the comparisons that
+# cost as much as a row of a cell: what grid() weighs.
+SEGMENT_INFORMATION, ROW_COST = 1.25, 50
+
 _LOW = np.uint64(0x5555555555555555)
 _ONE = np.uint64(1)
 
@@ -106,7 +111,19 @@ def _cell_keys(fps, groups, distance):
     return np.stack(keys, axis=1)
 
 
-def cells(fps, groups=GROUPS, distance=DISTANCE):
+def grid(n, distance=DISTANCE):
+    """The number of groups that costs least for n fingerprints: each is in a cell of every
+    projection, and is compared there with those that are in it by chance. No result depends on it."""
+    segments = BITS // SEGMENT_BITS
+
+    def cost(groups):
+        bits = SEGMENT_INFORMATION * segments * (groups - distance) / groups
+        return comb(groups, distance) * (1 + n / 2 ** bits / ROW_COST)
+
+    return min(range(distance + 1, segments + 1), key=cost)
+
+
+def cells(fps, groups, distance=DISTANCE):
     """fp and key, a row for each projection."""
 
     def run(batches):
@@ -286,13 +303,13 @@ def pair_blocks(shared, carried, link):
     )
 
 
-def links(fps, distance=DISTANCE, groups=GROUPS, block=BLOCK):
+def links(fps, distance=DISTANCE, groups=None, block=BLOCK):
     """Links a, b that join all fingerprints within the distance, directly or by others.
 
-    ``fps`` holds different fingerprints; ``groups`` must be above ``distance``. More groups make
-    finer cells and more of them: with n fingerprints, chance pairs are in proportion to n * n
-    over the number of cells, so groups should grow with the table.
+    ``fps`` holds different fingerprints; ``groups`` must be above ``distance``, and follows from
+    the number of fingerprints if it is not given.
     """
+    groups = groups or grid(fps.count(), distance)
 
     def link(rows, group):
         fps = rows["fp"].to_numpy()
@@ -303,7 +320,7 @@ def links(fps, distance=DISTANCE, groups=GROUPS, block=BLOCK):
     return within.unionAll(pair_blocks(shared, ["fp"], link))
 
 
-def near_components(docs, words=WORDS, distance=DISTANCE, groups=GROUPS, block=BLOCK):
+def near_components(docs, words=WORDS, distance=DISTANCE, groups=None, block=BLOCK):
     """doc_id, text_key, fp, root (the component's smallest fingerprint) and component_id
     of every row."""
     prints = written(fingerprints(docs, words), "fingerprints")

@@ -120,8 +120,8 @@ def stretches(docs, length=LENGTH, gram=GRAM):
                     ["h", "c", "doc_id", "text_key", "place"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.hash("text").alias("text_key"), "text").mapInArrow(
-        run, f"h bigint, c bigint, doc_id {kind}, text_key int, place bigint")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(
+        run, f"h bigint, c bigint, doc_id {kind}, text_key bigint, place bigint")
 
 
 def _start():
@@ -167,7 +167,7 @@ def _fetch(docs, wanted, length, gram):
     lists = wanted.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(
         F.collect_list("h").alias("h"), F.collect_list("place").alias("place"))
     joined = docs.select("doc_id", "text").join(
-        lists, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.hash("text") == F.col("__key")))
+        lists, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")))
 
     def run(batches):
         for batch in batches:
@@ -192,7 +192,7 @@ def _fetch(docs, wanted, length, gram):
                     ["key", "doc_id", "text_key", "start", "bytes"])
 
     return joined.select("doc_id", "__key", "text", "h", "place").mapInArrow(
-        run, f"key bigint, doc_id {kind}, text_key int, start bigint, bytes binary")
+        run, f"key bigint, doc_id {kind}, text_key bigint, start bigint, bytes binary")
 
 
 def later_strings(parts, order, length=LENGTH):
@@ -311,10 +311,10 @@ def removed_ranges(docs, length=LENGTH, gram=GRAM, many=MANY):
     sorted_out = (
         fetched.join(large, "key", "left_anti")
         .repartition("key").sortWithinPartitions("key")
-        .mapInArrow(_sorter(length), f"doc_id {kind}, text_key int, start bigint, stop bigint")
+        .mapInArrow(_sorter(length), f"doc_id {kind}, text_key bigint, start bigint, stop bigint")
     )
     strings = fetched.join(large, "key", "left_semi").mapInArrow(
-        _digested(length), f"digest binary, doc_id {kind}, text_key int, start bigint")
+        _digested(length), f"digest binary, doc_id {kind}, text_key bigint, start bigint")
     earliest = written(
         strings.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("least")), "earliest")
     later = strings.join(earliest, "digest").where(
@@ -344,7 +344,7 @@ def remove_repeats(docs, length=LENGTH, gram=GRAM, many=MANY):
     ranges = removed_ranges(docs, length, gram, many)
     lists = ranges.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(
         F.collect_list("start").alias("start"), F.collect_list("stop").alias("stop"))
-    joined = docs.select("doc_id", whole(F.col("text")).alias("text"), F.hash("text").alias("k")).join(
+    joined = docs.select("doc_id", whole(F.col("text")).alias("text"), F.xxhash64("text").alias("k")).join(
         lists, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("k") == F.col("__key")), "left")
 
     def run(batches):

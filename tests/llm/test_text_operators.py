@@ -252,5 +252,14 @@ def test_adjacent_turns_share_a_block(spark):
     assert [got.formatted[s.start:s.start + s.length] for s in got.loss_spans] == ["c"]
 
 
+def test_loss_spans_in_characters_and_bytes(spark):
+    rows = [(1, i, "assistant" if i % 3 else "user", f"é{i}</s>日本", "", "") for i in range(3000)]
+    got = chat_format.formatted(spark.createDataFrame(rows, TURNS)).first()
+    whole = got.formatted.encode()
+    texts = [got.formatted[s.start:s.start + s.length] for s in got.loss_spans]
+    assert texts == [f"é{i}\\</s>日本" for i in range(3000) if i % 3]
+    assert texts == [whole[s.byte_start:s.byte_start + s.byte_length].decode() for s in got.loss_spans]
+
+
 def test_no_turns(spark):
     assert chat_format.digests(chat_format.formatted(spark.createDataFrame([], TURNS))).collect() == []
