@@ -1,15 +1,9 @@
 """The corpus pipeline: five stages, each one operator of ``millrace.llm`` over all documents
 that the stage before it kept.  A stage's result is written as Parquet and read by the next."""
 
-from millrace.llm import (
-    decontaminate,
-    line_dedup,
-    mixing,
-    quality_classifier,
-    simhash,
-    simhash_similarity,
-)
+from millrace.llm import decontaminate, line_dedup, mixing, quality_classifier, simhash
 from millrace.llm.text import written
+from millrace.session import scratch
 
 
 def _table(spark, sf_dir, name):
@@ -27,9 +21,9 @@ def without_repeated_lines(spark, docs, sf_dir):
 
 
 def one_of_near_copies(spark, docs, sf_dir):
-    """The document of the smallest doc_id of each group of near copies: five-word shingles, a
-    similarity of 0.8 or more."""
-    return simhash.keep_one(docs, simhash_similarity.similar_components(docs))
+    """The document of the smallest doc_id of each group whose fingerprints, over four-word
+    shingles, are linked by four or fewer differing bits."""
+    return simhash.keep_one(docs, simhash.near_components(docs))
 
 
 def without_benchmark(spark, docs, sf_dir):
@@ -55,7 +49,13 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
+    docs, spent = _table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as tables:
+            kept = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        # What the stage worked with is not needed any more, nor what it read.
+        tables.remove(but=kept)
+        if spent is not None:
+            spent.remove()
+        docs, spent = kept, tables
     return STAGES[-1][1](spark, docs, sf_dir)
