@@ -147,13 +147,11 @@ class Trends:
         added = self._rows(spark, "open", [self._folder(*b) for b in taken])
         rows = added.unionAll(self._runs(spark, notes, "open"))
         before = F.lit(notes["closed"]).cast("timestamp_ntz")
-        found = rows.agg(F.max("minute").alias("newest")).first()
         late = added.where(F.col("minute") < before).agg(F.sum("n")).first()[0] or 0
-        closed_at = F.lit(str(found["newest"])).cast("timestamp_ntz") - F.expr(
-            f"interval {self.delay}")
-        closed = F.greatest(hour_of("c"), before)
-        closed = spark.range(1).select(closed_at.alias("c")).select(closed.alias("c")).first()["c"]
-        is_closed = F.col("minute") < F.lit(str(closed)).cast("timestamp_ntz")
+        newest = rows.agg(F.max("minute")).first()[0]
+        closed = notes["closed"] if newest is None else self._end_of_closed(spark, newest, before)
+        is_closed = F.coalesce(
+            F.col("minute") < F.lit(closed).cast("timestamp_ntz"), F.lit(False))
         run = uuid.uuid4().hex
         ended = rows.where(is_closed)
         runs = dict(notes["runs"])
@@ -166,10 +164,17 @@ class Trends:
                 merged = self._runs(spark, dict(runs=runs), tier)
                 runs[tier] = [self._write(merged, tier, uuid.uuid4().hex)]
         folded = {**notes["folded"], **dict(taken)}
-        after = dict(folded=folded, runs=runs, closed=str(closed), late=notes["late"] + late)
+        after = dict(folded=folded, runs=runs, closed=closed, late=notes["late"] + late)
         write_text(spark, f"{self.path}/folds/{number + 1:012d}.json", json.dumps(after))
         self._remove_spent(spark, after, number)
 
+    def _end_of_closed(self, spark, newest, before):
+        """The hour that ended ``delay`` before the newest minute, as text; it never goes back."""
+        passed = F.lit(str(newest)).cast("timestamp_ntz") - F.expr(f"interval {self.delay}")
+        hour = spark.range(1).select(passed.alias("at")).select(
+            F.greatest(hour_of("at"), before).cast("string").alias("at"))
+        return hour.first()["at"]
+
     def _remove_spent(self, spark, notes, number):
         for stream, batch in notes["folded"].items():
             fs, pattern = filesystem(spark, f"{self.path}/new/stream_id={stream}/batch_id=*")

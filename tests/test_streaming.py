@@ -326,7 +326,7 @@ def test_trends_are_complete_at_any_time(spark, landing, tmp_path, fold_every):
     assert minutes["12:00"] == 3 and minutes["08:00"] == 2 and sum(minutes.values()) == 23
     trends.fold(spark)
     assert trend_rows(trends, spark) == complete
-    assert trends.late(spark) == (1 if fold_every < 100 else 0)
+    assert trends.late(spark) == 1
 
 
 def test_reading_trends_does_not_grow_with_the_batches(spark, tmp_path):
