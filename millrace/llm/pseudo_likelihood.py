@@ -413,7 +413,7 @@ def fit(docs):
     shards = max(1, -(-tokens // SHARD_TOKENS))
     table = encoded(docs, shared, shards)
     changes = (
-        table.repartition(shards, "shard").sortWithinPartitions("shard", "key")
+        table.repartitionById(shards, "shard").sortWithinPartitions("shard", "key")
         .mapInArrow(_trainer(shared), "place int, change double, trained bigint")
         .groupBy("place")
         .agg((F.sum("change") / F.sum("trained")).alias("change"))

@@ -6,8 +6,9 @@ word equal to its neighbour is shown by a sign of its own.  Each bucket has a le
 The vectors are averaged over all features of the whole text and a softmax layer gives the
 class.  Training is stochastic gradient descent in numpy over at most ``MAX_TRAIN`` labelled
 documents, chosen by a seeded hash of doc_id, whose features are written as a table.  An epoch is
-a task that reads them in a seeded order of its own, a batch at a time, and returns the model, so
-neither driver nor task holds the examples, however long their texts.  Scoring covers every document.
+a task that reads the model and then the examples, in a seeded order of its own and a batch at a
+time, and writes the model, so neither driver nor task holds the examples, however long their
+texts, and the vectors never come to the driver.  Scoring covers every document.
 
 As the output is linear in the averaged vector, scoring folds vectors and layer into one number
 per bucket, which is all that is sent to the executors.
@@ -155,36 +156,47 @@ class Trainee:
         # Shares add up to 1; a document's step is spread over its features' vectors.
         self.vectors[buckets] -= (pace * len(buckets) ** 0.5) * shares[:, None] * back
 
-    def model(self):
+    def odds(self):
+        """The weight of each bucket and the bias of Model, as bytes."""
         difference = self.layer[1] - self.layer[0]
-        return Model((self.vectors @ difference).astype(np.float32),
-                     float(self.bias[1] - self.bias[0]))
+        return np.append(self.vectors @ difference, self.bias[1] - self.bias[0]).astype(
+            np.float32).tobytes()
 
     def to_bytes(self):
         return b"".join(a.tobytes() for a in (self.vectors, self.layer, self.bias))
 
-    def taught(self, content, done):
-        """From to_bytes(), after so many steps."""
+    @classmethod
+    def from_bytes(cls, content, done):
         values, parts, at = np.frombuffer(content, np.float32).copy(), [], 0
-        for a in (self.vectors, self.layer, self.bias):
-            parts.append(values[at:at + a.size].reshape(a.shape))
-            at += a.size
-        return Trainee(*parts, done)
+        for shape in ((1 << BUCKET_BITS, DIMENSIONS), (2, DIMENSIONS), (2,)):
+            size = int(np.prod(shape))
+            parts.append(values[at:at + size].reshape(shape))
+            at += size
+        return cls(*parts, done)
 
 
-def _epoch(shared, steps):
-    """The task of an epoch: all examples in order, the model at the end."""
+def _epoch(zeros, ones, seed, epochs, epoch):
+    """The task of an epoch: the model comes first, then all examples in order."""
+    n = zeros + ones
 
     def run(batches):
-        trainee = shared.value.taught(shared.value.to_bytes(), shared.value.done)
+        trainee = None
         for batch in batches:
-            columns = (batch.column(c) for c in ("label", "buckets", "shares"))
+            first = 0
+            if trainee is None:
+                content = batch.column("content")[0].as_py()
+                trainee = (Trainee.from_bytes(content, epoch * n) if content
+                           else Trainee.start(zeros, ones, seed))
+                first = 1
+            columns = (batch.column(c).slice(first) for c in ("label", "buckets", "shares"))
             for label, buckets, shares in zip(*columns):
                 trainee.step(np.asarray(buckets.values), np.asarray(shares.values),
-                             label.as_py(), steps)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([trainee.to_bytes()], pa.binary()), pa.array([trainee.done], pa.int64())],
-            ["content", "done"])
+                             label.as_py(), epochs * n)
+        if trainee is not None:
+            last = trainee.odds() if epoch + 1 == epochs else None
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([trainee.to_bytes()], pa.binary()), pa.array([last], pa.binary())],
+                ["content", "odds"])
 
     return run
 
@@ -193,25 +205,28 @@ def train(examples, epochs=EPOCHS, seed=SEED):
     """The model from a table of doc_id, label, buckets and shares."""
     counts = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
     zeros, ones = counts.get(0, 0), counts.get(1, 0)
-    flat = np.zeros(1 << BUCKET_BITS, np.float32)
     if not zeros or not ones:
         share = np.clip(ones / (zeros + ones), 1e-6, 1 - 1e-6) if zeros + ones else 0.5
+        flat = np.zeros(1 << BUCKET_BITS, np.float32)
         return Model(flat, float(np.log(share / (1 - share))))
-    trainee = Trainee.start(zeros, ones, seed)
-    context = examples.sparkSession.sparkContext
+    spark = examples.sparkSession
+    kinds = dict(place="bigint", tie="string", label="int", buckets="array<int>",
+                 shares="array<float>")
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()]
+    trainee = spark.sql("SELECT CAST(NULL AS binary) AS content")
     for epoch in range(epochs):
-        shared = context.broadcast(trainee)
-        order = [F.xxhash64("doc_id", F.lit(seed + epoch)), "doc_id"]
-        # At most max_train rows: one task takes them one after the other.
-        taught = (
-            examples.select(*order, "label", "buckets", "shares")
-            .repartition(1).sortWithinPartitions(*order)
-            .mapInArrow(_epoch(shared, epochs * (zeros + ones)), "content binary, done bigint")
-            .first()
-        )
-        trainee = trainee.taught(bytes(taught["content"]), taught["done"])
-        shared.destroy()
-    return trainee.model()
+        # At most max_train rows: one task takes them one after the other, the model first.
+        rows = examples.select(
+            F.xxhash64("doc_id", F.lit(seed + epoch)).alias("place"),
+            F.col("doc_id").cast("string").alias("tie"), "label", "buckets", "shares",
+            F.lit(None).cast("binary").alias("content"))
+        rows = trainee.select(*none, "content").unionAll(rows)
+        trainee = written(
+            rows.coalesce(1).sortWithinPartitions(F.asc_nulls_first("place"), "tie")
+            .mapInArrow(_epoch(zeros, ones, seed, epochs, epoch), "content binary, odds binary"),
+            "trainee")
+    odds = np.frombuffer(bytes(trainee.select("odds").first()["odds"]), np.float32)
+    return Model(odds[:-1].copy(), float(odds[-1]))
 
 
 def held_out(doc_id):
