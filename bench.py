@@ -103,7 +103,7 @@ def growing_table(spark):
         batch = rows.where((F.col("id") > 100 * n) & (F.col("id") <= 100 * (n + 1))).drop("id").cache()
         batch.count()
         spent, written = timed(lambda: target.target.insert_absent(
-            batch, n, last_id=last, stream_id="bench", first=n == 0))
+            batch, n, last_id=last, stream_id="bench", first=n == 0, rows=100))
         last += written
         took.append(spent)
         batch.unpersist()

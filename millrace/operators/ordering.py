@@ -20,10 +20,12 @@ def write_and_read(df):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ordered(df, order_by, pin):
-    """df in order, each row with its partition and its place in there."""
+def ordered(df, order_by, pin, tasks=None):
+    """df in order, each row with its partition and its place in there; in so many tasks, by
+    default as many as there are shuffle partitions."""
+    ranges = [tasks] if tasks else []
     rows = (
-        df.repartitionByRange(*order_by)
+        df.repartitionByRange(*ranges, *order_by)
         .sortWithinPartitions(*order_by)
         .withColumn("_at", F.monotonically_increasing_id())
     )
@@ -43,7 +45,8 @@ def numbered(rows, parts, name="id", start=0):
         offsets.append((part, before))
         before += n
     # One row per partition of the shuffle.
-    offsets = rows.sparkSession.createDataFrame(offsets, "_part bigint, _before bigint")
+    values = ", ".join(f"({part}L, {n}L)" for part, n in offsets)
+    offsets = rows.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(_part, _before)")
     number = F.col("_before") + F.col("_place") + 1
     return rows.join(F.broadcast(offsets), "_part").withColumn(name, number)
 

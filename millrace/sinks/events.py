@@ -23,6 +23,8 @@ from millrace.sources.events import Zones, read_events
 COMPACTED = "compacted"
 # Segments of one level before they become one of the next.
 FANOUT = 4
+# Rows that a task of a batch of known size orders and writes.
+TASK_ROWS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -138,7 +140,8 @@ class EventTable:
             fresh = pin(self._absent(events.select(*EVENT_COLUMNS), batch_id, stream_id, rows))
             # The order of the ids also puts neighbouring dates into the same tasks,
             # and a busy date into many.
-            rows_in_order = ordered(fresh, ["event_timestamp", "event_id"], pin)
+            tasks = None if rows is None else max(1, -(-rows // TASK_ROWS))
+            rows_in_order = ordered(fresh, ["event_timestamp", "event_id"], pin, tasks)
             # A row per task and date: neighbouring dates are in the same tasks.
             found = rows_in_order.groupBy("_part", event_date().alias("event_date")).agg(
                 F.count("*").alias("rows"), F.min("event_timestamp").alias("first"),
@@ -183,7 +186,9 @@ class EventTable:
                     "batch_id": F.lit(batch_id),
                 }
             )
-            .sortWithinPartitions("event_date", "event_type", "event_timestamp")
+            # The order that the writer needs, and within it the one that statistics like.
+            .sortWithinPartitions(
+                "event_date", "stream_id", "batch_id", "event_type", "event_timestamp")
             .write.mode("append")
             .partitionBy("event_date", "stream_id", "batch_id")
             .parquet(self.path)

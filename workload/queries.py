@@ -298,7 +298,7 @@ def view_hourly_since(spark, sf_dir):
 
 # ---- the stored table ------------------------------------------------------------
 
-STRETCHES = 6
+STRETCHES = 3
 
 
 def _filled(spark, sf_dir, table, stretches=STRETCHES):
