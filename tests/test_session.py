@@ -6,7 +6,7 @@ import textwrap
 
 import pytest
 
-from millrace.session import new_folder, shared_folder
+from millrace.session import new_folder, read_text, scratch, shared_folder, write_text
 
 
 class Context:
@@ -80,3 +80,24 @@ def test_command_line(spark, tmp_path):
     call("ingest", "--once", *folders)
     shown = call("report", folders[-1], "--view=v_event_summary")
     assert "|view      |1           |1           |1.50     |1.50       |" in shown
+
+
+def test_scratch_folders_are_removed_but_for_what_is_read(spark):
+    with scratch(spark) as noted:
+        paths = [new_folder(spark, "x") for _ in range(3)]
+        for path in paths:
+            spark.range(3).write.parquet(path)
+    later = new_folder(spark, "x")
+    kept = spark.read.parquet(paths[1])
+    noted.remove(but=kept)
+    assert [os.path.exists(p.removeprefix("file:")) for p in paths] == [False, True, False]
+    assert kept.count() == 3 and later.rsplit("/", 1)[0] not in noted.folders
+    noted.remove()
+    assert not os.path.exists(paths[1].removeprefix("file:"))
+
+
+def test_small_files_are_whole_and_replaced(spark, tmp_path):
+    for text in ("first é", "second"):
+        write_text(spark, f"{tmp_path}/a/b.json", text)
+        assert read_text(spark, f"{tmp_path}/a/b.json") == text
+    assert [f for f in os.listdir(tmp_path / "a") if not f.startswith(".")] == ["b.json"]

@@ -366,8 +366,19 @@ def table_date_range(spark, sf_dir):
     return between(table.within(spark, start, end), start, end).select(*EVENT_COLUMNS)
 
 
+_settled_tables = {}
+
+
 def _settled(spark, sf_dir):
-    """A table with compacted dates, settled batches, a replay and open batches."""
+    """A table with compacted dates, settled batches, a replay and open batches; the queries of a
+    session that read it share it."""
+    known = spark.sparkContext.applicationId, sf_dir
+    if known not in _settled_tables:
+        _settled_tables[known] = _settle(spark, sf_dir)
+    return _settled_tables[known]
+
+
+def _settle(spark, sf_dir):
     table = _filled(spark, sf_dir, _table(spark))
     table.compact(spark, datetime.date(2024, 1, 15))
     last = F.pmod(F.xxhash64("event_id"), F.lit(STRETCHES)) == STRETCHES - 1
