@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.hashing import Spans, mix
 from millrace.llm.text import written
+from millrace.session import scratch
 
 BUCKET_BITS = 17
 GRAMS = (3, 4, 5)
@@ -213,7 +214,7 @@ def train(examples, epochs=EPOCHS, seed=SEED):
     kinds = dict(place="bigint", tie="string", label="int", buckets="array<int>",
                  shares="array<float>")
     none = [F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()]
-    trainee = spark.sql("SELECT CAST(NULL AS binary) AS content")
+    trainee, spent = spark.sql("SELECT CAST(NULL AS binary) AS content"), None
     for epoch in range(epochs):
         # At most max_train rows: one task takes them one after the other, the model first.
         rows = examples.select(
@@ -221,10 +222,14 @@ def train(examples, epochs=EPOCHS, seed=SEED):
             F.col("doc_id").cast("string").alias("tie"), "label", "buckets", "shares",
             F.lit(None).cast("binary").alias("content"))
         rows = trainee.select(*none, "content").unionAll(rows)
-        trainee = written(
-            rows.coalesce(1).sortWithinPartitions(F.asc_nulls_first("place"), "tie")
-            .mapInArrow(_epoch(zeros, ones, seed, epochs, epoch), "content binary, odds binary"),
-            "trainee")
+        with scratch(spark) as tables:
+            trainee = written(
+                rows.coalesce(1).sortWithinPartitions(F.asc_nulls_first("place"), "tie")
+                .mapInArrow(_epoch(zeros, ones, seed, epochs, epoch), "content binary, odds binary"),
+                "trainee")
+        if spent is not None:
+            spent.remove()
+        spent = tables
     odds = np.frombuffer(bytes(trainee.select("odds").first()["odds"]), np.float32)
     return Model(odds[:-1].copy(), float(odds[-1]))
 
@@ -264,9 +269,12 @@ def fit(docs, labels, max_train=MAX_TRAIN, seed=SEED):
     # At most max_train rows of two numbers: a proven bound for the broadcast.
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy(
         "doc_id", "label").agg(F.min("text").alias("text"))
-    examples = written(chosen.select("doc_id", "label", "text").mapInArrow(
-        _shares, f"doc_id {kind}, label int, buckets array<int>, shares array<float>"), "examples")
-    return train(examples.where("size(buckets) > 0"), seed=seed)
+    with scratch(docs.sparkSession) as tables:
+        examples = written(chosen.select("doc_id", "label", "text").mapInArrow(
+            _shares, f"doc_id {kind}, label int, buckets array<int>, shares array<float>"), "examples")
+        model = train(examples.where("size(buckets) > 0"), seed=seed)
+    tables.remove()
+    return model
 
 
 def score(docs, model):
