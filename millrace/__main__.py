@@ -59,7 +59,8 @@ def ingest(spark, args):
 
 
 def report(spark, args):
-    register_views(EventTable(args.table).read(spark))
+    table = EventTable(args.table)
+    register_views(table.read(spark), zones=table.zones(spark) if table.journal.exists(spark) else None)
     if args.out:
         spark.table(args.view).write.mode("overwrite").option("header", "true").csv(args.out)
     else:
