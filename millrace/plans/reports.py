@@ -6,7 +6,7 @@ Times have second precision and tie, so every order ends in a unique column.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.functions.timekeeping import hour_of, minute_of, ratio
+from millrace.functions.timekeeping import hour_of, minute_of, ratio, seconds_between
 from millrace.sources.events import after, of_dates
 
 CENTS = "decimal(18,2)"
@@ -227,15 +227,41 @@ def span_users(sketches, start, end):
     return hours.agg(F.hll_sketch_estimate(F.hll_union_agg("users")).alias("users"))
 
 
+def _spans(frame, hours, **totals):
+    """Totals by hour over the rows that count in it: each counts in its own hour and in those
+    after it, ``hours`` in all. Hours without a row of their own are left out."""
+    after = F.posexplode(F.transform(
+        F.sequence(F.lit(0), hours - 1),
+        lambda h: F.col("event_hour") + F.make_dt_interval(hours=h))).alias("_after", "_hour")
+    return (
+        frame.select("*", after).groupBy(F.col("_hour").alias("event_hour"))
+        .agg(F.min("_after").alias("_after"), *[v.alias(k) for k, v in totals.items()])
+        .where("_after = 0").drop("_after")
+    )
+
+
 def rolling_users(sketches, hours=24):
-    """The same for the ``hours`` up to and with each hour: a sketch is small and goes to each
-    of the spans it is in."""
-    spans = sketches.select(F.explode(F.expr(
-        f"transform(sequence(0, {hours - 1}), h -> event_hour + make_dt_interval(0, h))"
-    )).alias("until"), "users")
-    known = sketches.select(F.col("event_hour").alias("until")).distinct()
-    return spans.join(known, "until").groupBy(F.col("until").alias("event_hour")).agg(
-        F.hll_sketch_estimate(F.hll_union_agg("users")).alias("users"))
+    """The same for the ``hours`` up to and with each hour: a sketch is small and goes, one for
+    each hour, to the spans it is in."""
+    hourly = sketches.groupBy("event_hour").agg(F.hll_union_agg("users").alias("users"))
+    return _spans(
+        hourly, F.lit(hours), users=F.hll_sketch_estimate(F.hll_union_agg("users")))
+
+
+def rolling_users_exact(users, hours=24):
+    """rolling_users exactly, from the part ``users``.
+
+    A user counts in a span by the last of the user's hours in it, which is an hour's for as many
+    spans as there are hours to the user's next one. Users are counted by hour and that number
+    first, so that a few rows an hour go to the spans, not every user to every span.
+    """
+    seen = users.select("event_hour", "user_id").distinct()
+    following = F.lead("event_hour").over(Window.partitionBy("user_id").orderBy("event_hour"))
+    gap = (seconds_between("event_hour", following) / 3600).cast("int")
+    counts = seen.withColumn(
+        "gap", F.least(F.coalesce(gap, F.lit(hours)), F.lit(hours))
+    ).groupBy("event_hour", "gap").agg(F.count("*").alias("users"))
+    return _spans(counts, F.col("gap"), unique_users=F.sum("users"))
 
 
 def random_sample(events, n=5, seed=None):

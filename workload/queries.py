@@ -415,11 +415,7 @@ def rolling_users(spark, sf_dir):
     sketches come within five percent (their stated error is 1.6) or two users of it."""
     table = _settled(spark, sf_dir)
     estimate = reports.rolling_users(table.states(spark, "sketches"))
-    users = table.states(spark).select("event_hour", "user_id").distinct()
-    exact = users.select(F.explode(F.expr(
-        "transform(sequence(0, 23), h -> event_hour + make_dt_interval(0, h))"
-    )).alias("event_hour"), "user_id").groupBy("event_hour").agg(
-        F.count_distinct("user_id").alias("unique_users"))
+    exact = reports.rolling_users_exact(table.states(spark))
     apart = F.abs(F.col("users") - F.col("unique_users"))
     return estimate.join(exact, "event_hour").select(
         "event_hour", "unique_users",
