@@ -23,7 +23,7 @@ from millrace.sources.events import Zones, read_events
 COMPACTED = "compacted"
 # Segments of one level before they become one of the next.
 FANOUT = 4
-# Rows that a task of a batch of known size orders and writes.
+# Rows that a task of a batch orders and writes.
 TASK_ROWS = 1 << 18
 
 
@@ -136,11 +136,16 @@ class EventTable:
             return pinned[-1]
 
         try:
+            batch = events.select(*EVENT_COLUMNS)
+            if rows is None:
+                # The lookup in the index, the comparison and the rows themselves read it.
+                batch = pin(batch)
+                rows = batch.count()
             # Pinned as well, since ordering looks at the rows before it deals them out.
-            fresh = pin(self._absent(events.select(*EVENT_COLUMNS), batch_id, stream_id, rows))
+            fresh = pin(self._absent(batch, batch_id, stream_id, rows))
             # The order of the ids also puts neighbouring dates into the same tasks,
             # and a busy date into many.
-            tasks = None if rows is None else max(1, -(-rows // TASK_ROWS))
+            tasks = max(1, -(-rows // TASK_ROWS))
             rows_in_order = ordered(fresh, ["event_timestamp", "event_id"], pin, tasks)
             # A row per task and date: neighbouring dates are in the same tasks.
             found = rows_in_order.groupBy("_part", event_date().alias("event_date")).agg(

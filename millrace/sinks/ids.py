@@ -11,6 +11,9 @@ SCHEMA = "hash bigint, event_id string"
 LOOKUPS = 512
 # Rows of a Parquet page: what is read at least where one id may be.
 PAGE_ROWS = 256
+# A run has more than 2 to this power of files only if they would hold over FILE_IDS ids each.
+MOST_BITS = 6
+FILE_IDS = 1 << 18
 
 
 def keyed(events):
@@ -26,7 +29,9 @@ class IdIndex:
     """Runs of ids sorted by hash, each split into files by the first bits of the hash.
 
     The number of bits follows from the ids of a run and stands in its folder's name, so each run
-    is read as it was written, whatever ids_per_file is now; merge() splits anew. A batch opens
+    is read as it was written, whatever ids_per_file is now; merge() splits anew. Files below
+    FILE_IDS do not grow in number with the table: pages lead to single ids, and more ids than are
+    looked up that way fall into all of them. A batch opens
     only the files that its own hashes fall into, and of these, if it has few ids, the pages:
     small pages and their statistics lead to single hashes. The ids themselves are compared, the
     hash only finds them. Repeated ids do no harm, so new files are complete before old ones go.
@@ -37,8 +42,7 @@ class IdIndex:
 
     def write(self, ids, name):
         """Write ids (hash, event_id) as the run of a name, replacing what broke off before."""
-        rows = ids.count()
-        bits = (rows // self.ids_per_file).bit_length()
+        bits = self._bits(ids.count())
         remove_folders(ids.sparkSession, f"{self.path}/run={name}")
         (
             ids.withColumn("bucket", _bucket(F.col("hash"), bits))
@@ -47,6 +51,10 @@ class IdIndex:
             .partitionBy("bucket").parquet(f"{self.path}/run={name}/bits={bits}")
         )
 
+    def _bits(self, rows):
+        wanted = (rows // self.ids_per_file).bit_length()
+        return min(wanted, max(MOST_BITS, (rows // FILE_IDS).bit_length()))
+
     def read(self, spark, names):
         """All ids of some runs."""
         folders = [f for folders in self._files(spark, names).values() for f in folders.values()]

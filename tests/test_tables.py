@@ -172,6 +172,34 @@ def test_a_batch_of_many_ids_opens_only_its_files(spark, tmp_path, monkeypatch):
     assert near.join(batch, "event_id", "left_semi").count() == 20
 
 
+def test_the_files_of_a_run_do_not_grow_with_its_ids(spark, tmp_path):
+    from millrace.sinks.ids import FILE_IDS, MOST_BITS, IdIndex, keyed
+
+    index = IdIndex(str(tmp_path / "ids"), ids_per_file=1)
+    index.write(keyed(made_up(spark, 0, 3000)), "run")
+    assert len(glob.glob(f"{index.path}/run=run/bits=*/bucket=*")) <= 1 << MOST_BITS
+    batch = made_up(spark, 2000, 4000).cache()
+    near = index.near(batch, ["run"])
+    assert near.join(batch, "event_id", "left_semi").count() == 1000
+    assert [index._bits(n) for n in (0, 1, 40, FILE_IDS << 8)] == [0, 1, MOST_BITS, 9]
+    assert IdIndex("").ids_per_file == FILE_IDS
+
+
+def test_an_insert_computes_its_events_once(spark, few, tmp_path):
+    table = EventTable(str(tmp_path / "t"), settle_every=1)
+    for n in range(2):
+        table.insert_absent(few.where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == n), n, first=n == 0)
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    assert table.insert_absent(few.mapInArrow(note, few.schema), 2, first=False) == 0
+    assert seen.value == few.count()
+
+
 def test_any_ids_per_file_finds_all_ids(spark, few, tmp_path):
     table = EventTable(str(tmp_path / "t"), ids_per_file=2, settle_every=3)
     _batches(spark, few, table, "s")
@@ -458,6 +486,33 @@ def test_last_hours_read_only_their_dates(spark, events, tmp_path):
     assert sorted(last.collect()) == sorted(expected.collect()) != []
 
 
+def test_rolling_users_by_their_last_hour_in_a_span(spark):
+    start = datetime.datetime(2024, 1, 1)
+    hours = {"a": [0, 1, 23, 24, 25, 80], "b": [0, 24], "c": [3, 28], "d": [47], "e": [100, 123]}
+    rows = [(start + datetime.timedelta(hours=h), kind, u)
+            for u, hs in hours.items() for h in hs for kind in ("view", "purchase")]
+    users = spark.createDataFrame(rows, "event_hour timestamp_ntz, event_type string, user_id string")
+    for length in (1, 2, 24):
+        got = reports.rolling_users_exact(users, length)
+        assert sorted(map(tuple, got.collect())) == [
+            (start + datetime.timedelta(hours=h),
+             sum(any(h - length < x <= h for x in hs) for hs in hours.values()))
+            for h in sorted({h for hs in hours.values() for h in hs})]
+
+
+def test_rolling_users_sends_no_user_to_every_span(spark, tmp_path):
+    """Counts by hour go to the spans: their rows do not grow with the users."""
+    from workload.queries import rolling_users
+
+    lines = physical(rolling_users(spark, SF)).split("\n")
+    spans = [n for n, line in enumerate(lines) if "Generate" in line]
+    assert len(spans) == 2
+    for n in spans:
+        assert "user_id" not in lines[n]
+        # Put together by hour just below.
+        assert any("Aggregate" in line for line in lines[n + 1:n + 4])
+
+
 def test_states_leave_settled_events_alone(spark, few, tmp_path):
     table = EventTable(str(tmp_path / "t"), settle_every=2)
     _batches(spark, few, table, "s")
@@ -486,33 +541,6 @@ def test_a_user_or_product_is_in_few_row_groups(spark, tmp_path):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "64")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-def test_rolling_users_by_their_last_hour_in_a_span(spark):
-    start = datetime.datetime(2024, 1, 1)
-    hours = {"a": [0, 1, 23, 24, 25, 80], "b": [0, 24], "c": [3, 28], "d": [47], "e": [100, 123]}
-    rows = [(start + datetime.timedelta(hours=h), kind, u)
-            for u, hs in hours.items() for h in hs for kind in ("view", "purchase")]
-    users = spark.createDataFrame(rows, "event_hour timestamp_ntz, event_type string, user_id string")
-    for length in (1, 2, 24):
-        got = reports.rolling_users_exact(users, length)
-        assert sorted(map(tuple, got.collect())) == [
-            (start + datetime.timedelta(hours=h),
-             sum(any(h - length < x <= h for x in hs) for hs in hours.values()))
-            for h in sorted({h for hs in hours.values() for h in hs})]
-
-
-def test_rolling_users_sends_no_user_to_every_span(spark, tmp_path):
-    """Counts by hour go to the spans: their rows do not grow with the users."""
-    from workload.queries import rolling_users
-
-    lines = physical(rolling_users(spark, SF)).split("\n")
-    spans = [n for n, line in enumerate(lines) if "Generate" in line]
-    assert len(spans) == 2
-    for n in spans:
-        assert "user_id" not in lines[n]
-        # Put together by hour just below.
-        assert any("Aggregate" in line for line in lines[n + 1:n + 4])
-
-
     try:
         table.compact(spark, datetime.date(2024, 2, 1))
     finally:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace import operators as op
 from millrace.model import CORRUPT, EVENT_COLUMNS, LANDING_COLUMNS
+from millrace.operators.ordering import write_and_read
 from millrace.plans import files, health, reports
 from millrace.plans.views import register_views
 from millrace.session import SETTINGS, new_folder
@@ -301,9 +302,13 @@ def view_hourly_since(spark, sf_dir):
 STRETCHES = 3
 
 
-def _filled(spark, sf_dir, table, stretches=STRETCHES):
+def _derived(spark, sf_dir):
+    """The events as a working table, for queries that deliver them several times."""
+    return write_and_read(fx.user_events(spark, sf_dir))
+
+
+def _filled(events, table, stretches=STRETCHES):
     """All events in some batches of one stream; the table settles after every two."""
-    events = fx.user_events(spark, sf_dir)
     last = 0
     for n in range(stretches):
         part = events.where(F.pmod(F.xxhash64("event_id"), F.lit(stretches)) == n)
@@ -319,8 +324,8 @@ def _table(spark, **options):
 def reindexed_insert(spark, sf_dir):
     """A table filled with few ids per index file, opened with more, then with fewer, each time
     with all events delivered again: nothing is stored twice."""
-    table = _filled(spark, sf_dir, _table(spark, ids_per_file=64))
-    events = fx.user_events(spark, sf_dir)
+    events = _derived(spark, sf_dir)
+    table = _filled(events, _table(spark, ids_per_file=64))
     for n, size in enumerate((1 << 18, 16)):
         table = replace(table, ids_per_file=size)
         table.insert_absent(events, n, stream_id="again", first=n == 0)
@@ -355,13 +360,13 @@ def committed_events(spark, sf_dir):
 @query
 def table_newest(spark, sf_dir):
     """The newest 100 events of the stored table, its dates chosen from the journal."""
-    table = _filled(spark, sf_dir, _table(spark))
+    table = _filled(_derived(spark, sf_dir), _table(spark))
     return reports.recent_activity(table.newest(spark, 100))
 
 
 @query
 def table_date_range(spark, sf_dir):
-    table = _filled(spark, sf_dir, _table(spark))
+    table = _filled(_derived(spark, sf_dir), _table(spark))
     start, end = datetime.datetime(2024, 1, 10), datetime.datetime(2024, 1, 20)
     return between(table.within(spark, start, end), start, end).select(*EVENT_COLUMNS)
 
@@ -379,10 +384,10 @@ def _settled(spark, sf_dir):
 
 
 def _settle(spark, sf_dir):
-    table = _filled(spark, sf_dir, _table(spark))
+    events = _derived(spark, sf_dir)
+    table = _filled(events, _table(spark))
     table.compact(spark, datetime.date(2024, 1, 15))
     last = F.pmod(F.xxhash64("event_id"), F.lit(STRETCHES)) == STRETCHES - 1
-    events = fx.user_events(spark, sf_dir)
     before = table.last_id(spark, STRETCHES - 1, "fill")
     table.insert_absent(events.where(last), STRETCHES - 1, last_id=before, stream_id="fill")
     return table
