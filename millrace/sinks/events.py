@@ -23,8 +23,10 @@ from millrace.sources.events import Zones, read_events
 COMPACTED = "compacted"
 # Segments of one level before they become one of the next.
 FANOUT = 4
-# Rows that a task of a batch orders and writes.
+# Rows that a task of a batch orders and writes; fewer, down to the second number, as long as
+# there are cores without a task.
 TASK_ROWS = 1 << 18
+SPREAD_ROWS = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -145,7 +147,7 @@ class EventTable:
             fresh = pin(self._absent(batch, batch_id, stream_id, rows))
             # The order of the ids also puts neighbouring dates into the same tasks,
             # and a busy date into many.
-            tasks = max(1, -(-rows // TASK_ROWS))
+            tasks = write_tasks(rows, spark.sparkContext.defaultParallelism)
             rows_in_order = ordered(fresh, ["event_timestamp", "event_id"], pin, tasks)
             # A row per task and date: neighbouring dates are in the same tasks.
             found = rows_in_order.groupBy("_part", event_date().alias("event_date")).agg(
@@ -306,6 +308,11 @@ class EventTable:
         remove_folders(spark, aside)
 
 
+def write_tasks(rows, cores):
+    """How many tasks order and write a batch."""
+    return max(1, -(-rows // TASK_ROWS), min(cores, -(-rows // SPREAD_ROWS)))
+
+
 def bloom_filters():
     """Parquet options by which a reader passes over row groups without a user or product."""
     return {f"parquet.bloom.filter.enabled#{c}": "true"

@@ -185,6 +185,22 @@ def test_the_files_of_a_run_do_not_grow_with_its_ids(spark, tmp_path):
     assert IdIndex("").ids_per_file == FILE_IDS
 
 
+def test_a_batch_is_written_by_all_cores_before_tasks_grow():
+    from millrace.sinks.events import SPREAD_ROWS, TASK_ROWS, write_tasks
+
+    assert [write_tasks(n, 8) for n in (0, 1, SPREAD_ROWS, 4 * SPREAD_ROWS, TASK_ROWS)] == [
+        1, 1, 1, 4, 8]
+    assert write_tasks(20 * TASK_ROWS, 8) == 20
+
+
+def test_the_clustering_sort_hashes_no_text(spark, events):
+    from millrace.sinks.layout import clustered
+
+    sorts = [line for line in physical(clustered(events.withColumn(
+        "event_date", F.to_date("event_timestamp")))).split("\n") if "Sort [event_date" in line]
+    assert len(sorts) == 1 and "xxhash64" not in sorts[0]
+
+
 def test_an_insert_computes_its_events_once(spark, few, tmp_path):
     table = EventTable(str(tmp_path / "t"), settle_every=1)
     for n in range(2):
